@@ -5,24 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from packlake.functions.text import col
 
 
-def xml_attr(attrs: Column | str, name: str) -> Column:
+def xml_attr(attrs: str, name: str) -> Column:
     """Value of an attribute: exact qualified name first, else the first attribute with the
     same local name (which must itself be prefixed if `name` is)."""
-    attrs = col(attrs)
     local = name.rsplit(":", 1)[-1]
-    exact = F.get(F.filter(attrs, lambda a: a["name"] == name), F.lit(0))["value"]
-
-    def same_local(a: Column) -> Column:
-        match = F.substring_index(a["name"], ":", -1) == local
-        return match & a["name"].contains(":") if ":" in name else match
-
-    fallback = F.get(F.filter(attrs, same_local), F.lit(0))["value"]
-    return F.coalesce(exact, fallback)
+    prefixed = " AND contains(a.name, ':')" if ":" in name else ""
+    return F.expr(
+        f"coalesce(get(filter({attrs}, a -> a.name = '{name}'), 0).value, "
+        f"get(filter({attrs}, a -> substring_index(a.name, ':', -1) = '{local}'{prefixed}), 0).value)"
+    )
 
 
 def is_element(local: str, *events: str) -> Column:
     """Rows of an element with this local name; any of `events` (Start/Empty/End)."""
-    return (F.col("local") == local) & F.col("event").isin(*events)
+    listed = ", ".join(f"'{e}'" for e in events)
+    # False, not null, for text.
+    return F.expr(f"coalesce(local = '{local}', false) AND event IN ({listed})")

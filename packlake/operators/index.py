@@ -5,6 +5,8 @@ No operator here carries part bytes through a shuffle; XML is read as tokens (`s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from packlake.functions.text import ascii_lower, equals_ascii_ci
 from packlake.functions.xml import is_element, xml_attr
 from packlake.limits import DEFAULT, Limits
 from packlake.operators.shred import shred_xml, xml_errors
+from packlake.session import staged
+
+Stage = Callable[[DataFrame, str], DataFrame]
 
 TRAVERSAL_MESSAGE = "traversal-like archive name was normalized"
 SOURCE_MESSAGE = "could not determine relationship source"
@@ -397,15 +402,17 @@ def warnings(diagnostics: DataFrame) -> DataFrame:
 # The whole index ----------------------------------------------------------------------------
 
 
-def build_index(entries: DataFrame, limits: Limits = DEFAULT) -> dict[str, DataFrame]:
+def build_index(
+    entries: DataFrame, limits: Limits = DEFAULT, stage: Stage = staged
+) -> dict[str, DataFrame]:
     """Entries of `explode_packages` to the tables of the index.
 
-    `entries` is used several times; persist or write it first where opening packages is
-    expensive.
+    `entries` is used several times, so it should be a written table. `stage` keeps what the
+    tables share (the named parts, the tokens of the metadata parts) so that it is made once.
     """
     opened = entries.filter(F.col("ord") >= 0)
     usable = accept_packages(opened, limits)
-    named_parts = dedupe_first_wins(usable, limits)
+    named_parts = stage(dedupe_first_wins(usable, limits), "named-parts")
     read = opened.select("package", "ord", "content", "read_error")
 
     # The metadata parts are few and small: look them up by position.
@@ -413,10 +420,13 @@ def build_index(entries: DataFrame, limits: Limits = DEFAULT) -> dict[str, DataF
     rels_at = relationship_parts(named_parts)
     type_contents = types_at.join(read, ["package", "ord"])
     rels_contents = rels_at.join(read, ["package", "ord"])
-    type_events = type_tokens(type_contents).join(
-        last_readable(type_contents), ["package", "path"], "left_semi"
+    type_events = stage(
+        type_tokens(type_contents).join(
+            last_readable(type_contents), ["package", "path"], "left_semi"
+        ),
+        "type-tokens",
     )
-    rels_events = relationship_tokens(rels_contents)
+    rels_events = stage(relationship_tokens(rels_contents), "rels-tokens")
 
     defaults, overrides = parse_content_types(type_events)
     parts = refine_kind(resolve_content_type(named_parts, defaults, overrides))

@@ -9,9 +9,10 @@ from packlake.limits import DEFAULT, Limits
 from packlake.operators import presentation as S
 from packlake.operators import word as D
 from packlake.operators import workbook as X
-from packlake.operators.index import diagnostic
+from packlake.operators.index import Stage, diagnostic
 from packlake.operators.report import bounded_lines
 from packlake.operators.shred import shred_xml, xml_errors
+from packlake.session import staged
 
 # Main part by format, in order of precedence.
 MAIN_PARTS = {"ppt": S.PRESENTATION, "word": D.DOCUMENT, "excel": X.WORKBOOK}
@@ -78,14 +79,16 @@ def document_summaries(
     events: DataFrame,
     read_errors: DataFrame,
     limits: Limits = DEFAULT,
+    stage: Stage = staged,
 ) -> tuple[DataFrame, DataFrame]:
     """`(report lines, diagnostics)` for all packages of a known format.
 
     `events` are the `summary_tokens` of the XML parts, `read_errors` `(package, path,
     read_error)` of parts that could not be read. One bad part fails the summary of its
-    package, never the job.
+    package, never the job. `stage` keeps the lists of main parts, slides and sheets and the
+    failures, which several branches read.
     """
-    form = main_parts(parts)
+    form = stage(main_parts(parts), "formats")
     main = form.select("package", "path")
 
     def of_format(rows: DataFrame, name: str) -> DataFrame:
@@ -98,10 +101,13 @@ def document_summaries(
 
     # Slides, notes and sheets are found through the main parts.
     main_events = of_parts(main)
-    slides = of_format(S.slide_order(main_events, rels, limits), "ppt")
-    sheets = of_format(X.workbook_sheets(main_events, rels, limits), "excel")
-    notes = slides.join(S.notes_paths(rels), ["package", "path"]).select(
-        "package", F.col("notes_path").alias("path"), (F.col("slide_no") * 2 + 1).alias("step")
+    slides = stage(of_format(S.slide_order(main_events, rels, limits), "ppt"), "slides")
+    sheets = stage(of_format(X.workbook_sheets(main_events, rels, limits), "excel"), "sheets")
+    notes = stage(
+        slides.join(S.notes_paths(rels), ["package", "path"]).select(
+            "package", F.col("notes_path").alias("path"), (F.col("slide_no") * 2 + 1).alias("step")
+        ),
+        "notes",
     )
     strings = of_format(parts.filter(F.col("path") == X.SHARED_STRINGS), "excel").select(
         "package", "path", F.lit(1).alias("step")
@@ -114,7 +120,7 @@ def document_summaries(
         .unionByName(strings)
         .unionByName(worksheets.select("package", "path", (F.col("ord") + 1).alias("step")))
     )
-    failures = summary_failures(needed, parts, read_errors, events)
+    failures = stage(summary_failures(needed, parts, read_errors, events), "failures")
     sound = form.join(failures, "package", "left_anti")
 
     def kept(rows: DataFrame, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from packlake.functions import paths as P
 from packlake.operators import index as I
-from packlake.session import shared_dir
+from packlake.session import spread
 
 
 class Tables:
@@ -26,14 +26,6 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """`df` as a table in the shared folder: for results that several plans read."""
-    spark = df.sparkSession
-    path = shared_dir(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def escaped(sql: str) -> str:
     """SQL text that XML-escapes the value of `sql`."""
     return f"replace(replace(replace({sql}, '&', '&amp;'), '<', '&lt;'), '\"', '&quot;')"
@@ -219,7 +211,7 @@ def graph_diagnostics(t: Tables) -> DataFrame:
 def document_parts(t: Tables) -> DataFrame:
     """Package = source; a document is a part whose extension, type and bytes vary by id."""
     extension = "element_at(array('txt','json','bin','xml','ttf','mp3','dat','PNG'), CAST(doc_id % 8 AS int) + 1)"
-    return t.documents.selectExpr(
+    return spread(t.documents).selectExpr(
         "source AS package",
         f"concat('/docs/', lang, '/', doc_id, '.', {extension}) AS path",
         f"concat('docs/', lang, '/', doc_id, '.', {extension}) AS archive_name",
@@ -263,7 +255,7 @@ def page_rels(t: Tables) -> DataFrame:
         "concat('<r:Relationship Id=\"rId', i, '\" Type=\"http://example.org/rel/link', i % 2, '\" Target=\"', "
         f"{escaped(LINK_TARGET)}, '\"', if(i % 5 = 4, ' TargetMode=\"external\"', ''), '/>')"
     )
-    return t.pages.selectExpr("page_id", f"{q} AS q", f"{HREFS} AS hrefs").selectExpr(
+    return spread(t.pages).selectExpr("page_id", f"{q} AS q", f"{HREFS} AS hrefs").selectExpr(
         "concat('page-', page_id) AS package",
         "page_id AS ord",
         "CASE WHEN page_id % 19 = 0 THEN concat('/misc/', page_id, '.RELS') "
@@ -282,7 +274,7 @@ def page_content_types(t: Tables) -> DataFrame:
         f"concat('<Override PartName=\"', {escaped('h')}, '\" ContentType=\"application/x-', i, '\"/>')"
     )
     default = "concat('<Default Extension=\"E', i % 3, '\" ContentType=\"text/t', i, '\"/>')"
-    return t.pages.selectExpr("page_id", f"{HREFS} AS hrefs").selectExpr(
+    return spread(t.pages).selectExpr("page_id", f"{HREFS} AS hrefs").selectExpr(
         "concat('page-', page_id) AS package",
         "page_id AS ord",
         "'/[Content_Types].xml' AS path",
@@ -371,7 +363,7 @@ def deck_files(t: Tables) -> DataFrame:
     presentation_rels = _rels(
         _each("lines", _relationship("concat('rId', {i})", "slide", "concat('slides/slide', {i}, '.xml')"))
     )
-    base = t.conversations.selectExpr(
+    base = spread(t.conversations).selectExpr(
         "concat('c', conv_id, '-', turn) AS package",
         "split(text, '\\n') AS lines",
         "role = 'assistant' AS noted",
@@ -429,7 +421,7 @@ def word_files(t: Tables) -> DataFrame:
             _file("'word/_rels/document.xml.rels'", _rels(links)),
         ]
     )
-    return t.documents.selectExpr("doc_id", "split(text, '\\n') AS lines").selectExpr(
+    return spread(t.documents).selectExpr("doc_id", "split(text, '\\n') AS lines").selectExpr(
         "concat('d', doc_id) AS package", f"array({files}) AS files"
     )
 
@@ -476,7 +468,7 @@ def workbook_files(t: Tables) -> DataFrame:
             _file("'xl/worksheets/sheet2.xml'", numbers),
         ]
     )
-    return t.customer.selectExpr("concat('w', c_custkey) AS package", f"array({files}) AS files")
+    return spread(t.customer).selectExpr("concat('w', c_custkey) AS package", f"array({files}) AS files")
 
 
 def file_parts(files: DataFrame, *endings: str) -> DataFrame:

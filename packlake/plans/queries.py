@@ -19,8 +19,8 @@ from packlake.operators import shred as X
 from packlake.operators import word as D
 from packlake.operators import workbook as W
 from packlake.plans import adapters as A
-from packlake.plans.adapters import Tables, written
-from packlake.session import configure, shared_dir
+from packlake.plans.adapters import Tables
+from packlake.session import configure, shared_dir, spread, staged
 from packlake.sources.packages import explode_packages, pack_zip, read_part, scan_packages
 from packlake.sources.sinks import read_index, write_index
 from packlake.streaming.packages import index_stream, stream_packages
@@ -404,7 +404,7 @@ def append_text(t: Tables) -> DataFrame:
 
 @query
 def clean_text(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", T.clean_text("text").alias("text"))
+    return spread(t.documents).select("doc_id", T.clean_text("text").alias("text"))
 
 
 def _slides(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -456,17 +456,17 @@ def ppt_slides(t: Tables) -> DataFrame:
 
 def _summary_inputs(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Index tables and tokens of packages made from `files`, through the container."""
-    entries = written(explode_packages(pack_zip(files), with_content=True), "entries")
+    entries = staged(explode_packages(pack_zip(files), with_content=True), "entries")
     index = I.build_index(entries)
-    parts = written(index["parts"], "parts")
-    rels = written(index["relationships"], "relationships")
+    parts = staged(index["parts"], "parts")
+    rels = staged(index["relationships"], "relationships")
     contents = entries.join(
         parts.filter(F.col("kind") == "Xml").select("package", "ord", "path"), ["package", "ord"]
     )
     errors = contents.filter(F.col("read_error").isNotNull()).select(
         "package", "path", "read_error"
     )
-    tokens = written(summary.summary_tokens(contents), "tokens")
+    tokens = staged(summary.summary_tokens(contents), "tokens")
     return parts, rels, tokens, errors
 
 
@@ -604,7 +604,7 @@ def hex_dump(t: Tables) -> DataFrame:
 
 @query
 def json_pretty(t: Tables) -> DataFrame:
-    parts = t.events.selectExpr(
+    parts = spread(t.events).selectExpr(
         "event_type AS package",
         "concat('/events/', event_id, '.json') AS path",
         "CAST(if(event_id % 5 = 0, concat(props, '}'), concat('{\"z\":[],\"a\":', props, '}')) AS binary) AS content",
@@ -614,7 +614,7 @@ def json_pretty(t: Tables) -> DataFrame:
 
 @query
 def xml_pretty(t: Tables) -> DataFrame:
-    parts = t.customer.selectExpr(
+    parts = spread(t.customer).selectExpr(
         "c_mktsegment AS package",
         "concat('/customer/', c_custkey) AS path",
         "CAST(concat('<c id=\"', c_custkey, '\"><!-- > --><n a=''>''>', c_name, '</n><e /><o><i><b></b></i></o>', "

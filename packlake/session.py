@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 import packlake
 
@@ -24,6 +24,28 @@ RUNTIME = {
 }
 
 
+# Settings a session must be started with; useful, not required.
+START = {
+    # Plans here have many expressions; do not record a Python call site for each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
+def local_session(cores: int | str = "*", memory: str = "12g") -> SparkSession:
+    """A session on this machine, for tests and measurements."""
+    builder = SparkSession.builder.master(f"local[{cores}]").config("spark.driver.memory", memory)
+    settings = {
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    for key, value in (START | RUNTIME | settings).items():
+        builder = builder.config(key, value)
+    spark = configure(builder.getOrCreate())
+    spark.sparkContext.setLogLevel("OFF")
+    return spark
+
+
 def configure(spark: SparkSession) -> SparkSession:
     # Task functions travel with the job, so executors need no copy of this package.
     cloudpickle.register_pickle_by_value(packlake)
@@ -45,3 +67,23 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-packlake-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """`df` as a table in the shared folder, for results that several plans read.
+
+    This cuts the lineage: what comes after is planned from a plain scan, the work before is
+    done once, and a lost executor re-reads files instead of redoing it.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Uses all cores for row-local work on an input of fewer splits than cores.
+
+    Large inputs have more splits than that and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
