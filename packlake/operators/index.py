@@ -89,18 +89,12 @@ def _too_deep(limits: Limits) -> Column:
     return P.path_depth("path") - 1 > limits.path_depth
 
 
-def first_entries(named: DataFrame) -> DataFrame:
-    """Per `(package, path)` the first entry in archive order.
+def collisions(named: DataFrame) -> DataFrame:
+    """All but the first entry, in archive order, of each `(package, path)`.
 
-    The rank filter is applied before the shuffle too, so a path repeated without end costs
-    one row per task.
+    Counts are pre-aggregated per task; a path that a third of all entries share is split by the
+    adaptive skew join when its entries are looked up.
     """
-    w = Window.partitionBy("package", "path").orderBy("ord")
-    return named.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
-
-
-def collisions(named: DataFrame) -> DataFrame:
-    """The entries that `first_entries` leaves out."""
     first = named.groupBy("package", "path").agg(
         F.min("ord").alias("first_ord"), F.count(F.lit(1)).alias("copies")
     )
@@ -112,10 +106,22 @@ def collisions(named: DataFrame) -> DataFrame:
     )
 
 
-def dedupe_first_wins(entries: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """Entries to parts without content types: names, guards, first entry wins, kind by name."""
-    named = depth_guard(named_entries(entries.select(*META)), limits)
-    return first_entries(named).select(
+def first_entries(named: DataFrame, collided: DataFrame | None = None) -> DataFrame:
+    """Per `(package, path)` the first entry in archive order.
+
+    With `collided` (a written table of `collisions`) the entries stay where they are: the few
+    that collide are broadcast as long as their known size allows it. Without it, a rank whose
+    filter is applied before the shuffle too, so an endlessly repeated path costs one row per task.
+    """
+    if collided is not None:
+        return named.join(collided.select("package", "ord"), ["package", "ord"], "left_anti")
+    w = Window.partitionBy("package", "path").orderBy("ord")
+    return named.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+
+
+def named_parts(first: DataFrame) -> DataFrame:
+    """First entries to parts without content types, kind by name."""
+    return first.select(
         "package",
         "ord",
         "path",
@@ -126,16 +132,32 @@ def dedupe_first_wins(entries: DataFrame, limits: Limits = DEFAULT) -> DataFrame
     )
 
 
-# Content types ------------------------------------------------------------------------------
+def dedupe_first_wins(entries: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """Entries to parts without content types: names, guards, first entry wins, kind by name."""
+    return named_parts(first_entries(depth_guard(named_entries(entries.select(*META)), limits)))
 
 
-def content_type_parts(parts: DataFrame) -> DataFrame:
-    """Candidates for the content-types part of each package; the name is matched without case."""
-    return parts.filter(equals_ascii_ci("path", "/" + CONTENT_TYPES)).select(
-        "package", "path", "ord"
+def part_contents(
+    entries: DataFrame, collided: DataFrame, limits: Limits = DEFAULT
+) -> DataFrame:
+    """Entries with bytes as read parts `(package, ord, path, archive_name, content, read_error)`.
+
+    Bytes are not shuffled unless the table of collisions is too large to broadcast.
+    """
+    named = depth_guard(named_entries(entries), limits)
+    return first_entries(named, collided).select(
+        "package", "ord", "path", "archive_name", "is_dir", "content", "read_error"
     )
 
 
+# Content types ------------------------------------------------------------------------------
+
+
+def _is_content_types() -> Column:
+    """The name is matched without case."""
+    return equals_ascii_ci("path", "/" + CONTENT_TYPES)
+
+
 def last_readable(contents: DataFrame) -> DataFrame:
     """Per package the last candidate that could be read."""
     return (
@@ -215,16 +237,18 @@ def refine_kind(parts: DataFrame) -> DataFrame:
 # Relationships ------------------------------------------------------------------------------
 
 
+def _is_relationships() -> Column:
+    return ascii_lower("archive_name").endswith(".rels") & ~_is_content_types()
+
+
+def _described_part() -> Column:
+    return P.relationship_source(F.substring("path", 2, 2**31 - 1))
+
+
 def relationship_parts(parts: DataFrame) -> DataFrame:
     """Parts whose archive name ends in `.rels` (any case), with the part they describe."""
-    return parts.filter(
-        ascii_lower("archive_name").endswith(".rels")
-        & ~equals_ascii_ci("path", "/" + CONTENT_TYPES)
-    ).select(
-        "package",
-        "ord",
-        "path",
-        P.relationship_source(F.substring("path", 2, 2**31 - 1)).alias("source"),
+    return parts.filter(_is_relationships()).select(
+        "package", "ord", "path", _described_part().alias("source")
     )
 
 
@@ -366,7 +390,9 @@ def diagnostic(rows: DataFrame, severity: str, stage: str, part: Column, message
     )
 
 
-def name_diagnostics(entries: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+def name_diagnostics(
+    entries: DataFrame, limits: Limits = DEFAULT, collided: DataFrame | None = None
+) -> DataFrame:
     """What the names alone tell: traversal, depth, collision."""
     named = named_entries(entries.select(*META))
     name = F.col("archive_name")
@@ -382,14 +408,16 @@ def name_diagnostics(entries: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
             f"archive path exceeds maximum depth of {limits.path_depth}; entry ignored"
         ),
     )
-    collided = diagnostic(
-        collisions(depth_guard(named, limits)),
+    if collided is None:
+        collided = collisions(depth_guard(named, limits))
+    collision = diagnostic(
+        collided,
         "Error",
         "index",
         F.col("path"),
         F.concat(F.lit("archive path collides with '"), name, F.lit("'; entry ignored")),
     )
-    return unsafe.unionByName(deep).unionByName(collided)
+    return unsafe.unionByName(deep).unionByName(collision)
 
 
 def warnings(diagnostics: DataFrame) -> DataFrame:
@@ -408,18 +436,22 @@ def build_index(
     """Entries of `explode_packages` to the tables of the index.
 
     `entries` is used several times, so it should be a written table. `stage` keeps what the
-    tables share (the named parts, the tokens of the metadata parts) so that it is made once.
+    tables share (collisions, tokens of the metadata parts) so that it is made once.
     """
     opened = entries.filter(F.col("ord") >= 0)
-    usable = accept_packages(opened, limits)
-    named_parts = stage(dedupe_first_wins(usable, limits), "named-parts")
-    read = opened.select("package", "ord", "content", "read_error")
-
-    # The metadata parts are few and small: look them up by position.
-    types_at = content_type_parts(named_parts)
-    rels_at = relationship_parts(named_parts)
-    type_contents = types_at.join(read, ["package", "ord"])
-    rels_contents = rels_at.join(read, ["package", "ord"])
+    named = depth_guard(named_entries(opened.select(*META)), limits)
+    collided = stage(
+        collisions(named).select("package", "ord", "path", "archive_name"), "collisions"
+    )
+    untyped = named_parts(first_entries(named, collided))
+
+    # Only rows with a metadata name are looked at for bytes.
+    lowered = ascii_lower("archive_name")
+    metadata = part_contents(
+        opened.filter(lowered.endswith(".rels") | lowered.contains(CONTENT_TYPES)), collided, limits
+    )
+    type_contents = metadata.filter(_is_content_types())
+    rels_contents = metadata.filter(_is_relationships()).withColumn("source", _described_part())
     type_events = stage(
         type_tokens(type_contents).join(
             last_readable(type_contents), ["package", "path"], "left_semi"
@@ -429,7 +461,8 @@ def build_index(
     rels_events = stage(relationship_tokens(rels_contents), "rels-tokens")
 
     defaults, overrides = parse_content_types(type_events)
-    parts = refine_kind(resolve_content_type(named_parts, defaults, overrides))
+    parts = refine_kind(resolve_content_type(untyped, defaults, overrides))
+    rels_at = relationship_parts(untyped)
     relationships = parse_relationships(rels_events, rels_at)
 
     unreadable = F.col("read_error").isNotNull()
@@ -437,10 +470,9 @@ def build_index(
     message = F.col("message")
     found = [
         diagnostic(
-            entries.filter(F.col("ord") < 0), "Error", "open", F.lit(None), F.col("read_error")
+            entries.filter(F.col("ord") < 0), "Error", "index", F.lit(None), F.col("read_error")
         ),
-        name_diagnostics(usable, limits),
-        diagnostic(archive_limits(opened, limits), "Error", "index", F.lit(None), message),
+        name_diagnostics(opened, limits, collided),
         diagnostic(
             type_contents.filter(unreadable), "Error", "content-types", path, F.col("read_error")
         ),
@@ -491,4 +523,5 @@ def build_index(
         "type_overrides": overrides,
         "relationships": relationships,
         "diagnostics": warnings(diagnostics),
+        "collisions": collided,
     }

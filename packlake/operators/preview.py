@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from packlake.functions import media as M
 from packlake.functions.text import utf8_text
 from packlake.limits import DEFAULT, Limits
-from packlake.operators.shred import shred_xml, xml_errors
+from packlake.operators.shred import xml_error
 
 
 def limited_output(text: Column, label: str, limit: int) -> Column:
@@ -98,18 +98,24 @@ def _pretty_texts(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else pretty_json(t))
 
 
-def json_pretty(parts: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """`(package, path, text, error)`: formatted JSON; invalid JSON stays as it is."""
-    text = utf8_text("content")
-    pretty = F.pandas_udf(_pretty_texts, "string")
-    shaped = parts.select("package", "path", text.alias("raw")).withColumn(
-        "text", F.coalesce(pretty("raw"), "raw")
-    )
-    too_long = limited_output(F.col("text"), "formatted JSON preview", limits.json_bytes)
-    error = F.when(F.col("raw").isNull(), "JSON is not valid UTF-8").otherwise(
+def formatted_json(text: Column) -> Column:
+    """Formatted text; invalid JSON stays as it is, null stays null."""
+    return F.coalesce(F.pandas_udf(_pretty_texts, "string")(text), text)
+
+
+def json_error(raw: Column, formatted: Column, limits: Limits) -> Column:
+    too_long = limited_output(formatted, "formatted JSON preview", limits.json_bytes)
+    return F.when(raw.isNull(), "JSON is not valid UTF-8").otherwise(
         F.concat(F.lit("JSON preview failed: "), too_long)
     )
-    return shaped.withColumn("error", error).select(
+
+
+def json_pretty(parts: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """`(package, path, text, error)`: formatted JSON; invalid JSON stays as it is. Row-local."""
+    shaped = parts.select("package", "path", utf8_text("content").alias("raw")).withColumn(
+        "text", formatted_json(F.col("raw"))
+    )
+    return shaped.withColumn("error", json_error(F.col("raw"), F.col("text"), limits)).select(
         "package", "path", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error"
     )
 
@@ -130,14 +136,14 @@ def xml_pretty(parts: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     summed before anything is indented, so deep nesting cannot blow up: a part over the limit
     gives an error and its text is never built.
     """
-    errors = xml_errors(shred_xml(parts, names=[], with_text=False)).select(
-        "package", "path", F.concat(F.lit("XML preview failed: "), F.col("message")).alias("broken")
-    )
+    checked = parts.select("package", "path", "content", xml_error("content").alias("broken"))
     source = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\A\x{FEFF}", "")
-    tokens = parts.select(
-        "package",
-        "path",
-        F.posexplode(F.regexp_extract_all(source, F.lit(XML_TOKEN), F.lit(0))).alias("pos", "raw"),
+    # A broken part keeps one row, without token.
+    found = F.when(
+        F.col("broken").isNull(), F.regexp_extract_all(source, F.lit(XML_TOKEN), F.lit(0))
+    )
+    tokens = checked.select(
+        "package", "path", "broken", F.posexplode_outer(found).alias("pos", "raw")
     )
     raw = F.col("raw")
     inline = ~raw.startswith("<") | raw.startswith("<![CDATA[")
@@ -172,40 +178,26 @@ def xml_pretty(parts: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     pieces = F.sort_array(F.collect_list(F.when(shown.isNotNull(), F.struct("pos", shown.alias("t")))))
     built = placed.groupBy("package", "path").agg(
         F.max("used").alias("total"),
+        F.max("broken").alias("broken"),
         F.array_join(F.transform(pieces, lambda p: p["t"]), "").alias("built"),
     )
+    failed = F.concat(F.lit("XML preview failed: "), F.col("path"), F.lit(": malformed XML: "), F.col("broken"))
     too_long = F.when(
         F.col("total") > limits.xml_bytes,
         f"XML preview failed: formatted XML preview exceeds {limits.xml_bytes} byte limit",
     )
-    return (
-        parts.select("package", "path")
-        .join(built, ["package", "path"], "left")
-        .join(errors, ["package", "path"], "left")
-        .withColumn("error", F.coalesce("broken", too_long))
-        .select(
-            "package",
-            "path",
-            F.when(F.col("error").isNull(), F.coalesce("built", F.lit(""))).alias("text"),
-            "error",
-        )
+    return built.withColumn("error", F.coalesce(failed, too_long)).select(
+        "package", "path", F.when(F.col("error").isNull(), F.col("built")).alias("text"), "error"
     )
 
 
 # Images -------------------------------------------------------------------------------------
 
 
-def image_guard(parts: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """`(package, path, format, width, height, error)` from image headers, pixels not decoded."""
-    content = F.col("content").cast("binary")
-    sized = (
-        parts.select("package", "path", "archive_name", content.alias("content"))
-        .withColumn("format", M.image_format("archive_name"))
-        .withColumn("_jpeg", M.jpeg_size("archive_name", "content"))
-        .withColumn("size", M.image_size(F.col("format"), F.col("content"), F.col("_jpeg")))
-    )
-    width, height = F.col("size.width"), F.col("size.height")
-    error = (
+def image_error(size: Column, limits: Limits = DEFAULT) -> Column:
+    """Why an image of this header size is not shown; null if it is."""
+    width, height = size["width"], size["height"]
+    return (
         F.when(
             F.coalesce(width, F.lit(0)) * F.coalesce(height, F.lit(0)) == 0,
             "image decode failed: unreadable header",
@@ -219,8 +211,24 @@ def image_guard(parts: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
             f"image exceeds {limits.image_pixels} pixel limit",
         )
     )
+
+
+def image_guard(parts: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """`(package, path, format, width, height, error)` from image headers, pixels not decoded."""
+    content = F.col("content").cast("binary")
+    sized = (
+        parts.select("package", "path", "archive_name", content.alias("content"))
+        .withColumn("format", M.image_format("archive_name"))
+        .withColumn("_jpeg", M.jpeg_size("archive_name", "content"))
+        .withColumn("size", M.image_size(F.col("format"), F.col("content"), F.col("_jpeg")))
+    )
     return sized.select(
-        "package", "path", "format", width.alias("width"), height.alias("height"), error.alias("error")
+        "package",
+        "path",
+        "format",
+        F.col("size.width").alias("width"),
+        F.col("size.height").alias("height"),
+        image_error(F.col("size"), limits).alias("error"),
     )
 
 
@@ -230,51 +238,53 @@ def image_guard(parts: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
 def build_previews(parts: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """`(package, path, preview_kind, preview_text, preview_error)` for read parts.
 
-    Hex, plain text and binary information are made in place; JSON, XML and images by their
-    operators over the rows of that kind only. Every part goes one way, so the pieces are a union.
+    Everything but XML is made in place in one pass; only JSON text and JPEG bytes go to Python.
+    XML takes a second pass over the rows that are XML by name or type.
     """
-    kind = M.preview_kind("archive_name", "content_type", "content")
-    typed = parts.withColumn("preview_kind", kind)
-    none = F.lit(None).cast("string")
-
-    def of_kind(name: str) -> DataFrame:
-        return typed.filter(F.col("preview_kind") == name)
+    name, typ = F.col("archive_name"), F.col("content_type")
+    by_kind = F.col("preview_kind")
+    is_xml = ~M.is_image_name(name) & M.is_xml(name, typ)
 
+    pass_one = (
+        parts.filter(~is_xml)
+        .select(
+            "package", "path", "archive_name", "content_type", "size", "compressed_size",
+            F.col("content").cast("binary").alias("content"),
+        )
+        .withColumn("preview_kind", M.preview_kind(name, typ, "content"))
+        .withColumn("raw", utf8_text("content"))
+        .withColumn("json", formatted_json(F.when(by_kind == "Json", F.col("raw"))))
+        .withColumn("_jpeg", M.jpeg_size(name, F.when(by_kind == "Image", F.col("content"))))
+    )
+    size = M.image_size(M.image_format(name), F.col("content"), F.col("_jpeg"))
+    error = (
+        F.when(by_kind == "Image", image_error(size, limits))
+        .when(by_kind == "Json", json_error(F.col("raw"), F.col("json"), limits))
+        .when(by_kind == "Error", "JSON is not valid UTF-8")
+    )
     notice = M.truncation_notice("content", limits)
+    lines = F.transform(M.hex_lines("content", limits), lambda s: F.concat(s, F.lit("\n")))
     dump = F.concat(
-        F.array_join(F.transform(M.hex_lines("content", limits), lambda s: F.concat(s, F.lit("\n"))), ""),
+        F.array_join(lines, ""),
         F.coalesce(F.concat(F.lit("\n"), notice, F.lit("\n")), F.lit("")),
     )
-    info = M.binary_info(
-        "archive_name",
-        M.info_category("archive_name", "content_type"),
-        "content_type",
-        "size",
-        "compressed_size",
-    )
+    info = M.binary_info(name, M.info_category(name, typ), typ, "size", "compressed_size")
     text = (
-        F.when(F.col("preview_kind") == "Hex", dump)
-        .when(F.col("preview_kind") == "PlainText", utf8_text("content"))
-        .when(F.col("preview_kind") == "Info", info)
+        F.when(by_kind == "Hex", dump)
+        .when(by_kind == "PlainText", F.col("raw"))
+        .when(by_kind == "Json", F.col("json"))
+        .when(by_kind == "Info", info)
+    )
+    shown = pass_one.withColumn("error", error).withColumn("text", text)
+    rendered = shown.unionByName(
+        xml_pretty(parts.filter(is_xml), limits).withColumn("preview_kind", F.lit("Xml")),
+        allowMissingColumns=True,
     )
-    in_place = typed.filter(F.col("preview_kind").isin("Hex", "PlainText", "Info", "Error")).select(
+    failed = F.col("error").isNotNull()
+    return rendered.select(
         "package",
         "path",
-        "preview_kind",
-        text.alias("preview_text"),
-        F.when(F.col("preview_kind") == "Error", "JSON is not valid UTF-8").alias("preview_error"),
+        F.when(failed, "Error").otherwise(by_kind).alias("preview_kind"),
+        F.when(~failed, F.col("text")).alias("preview_text"),
+        F.col("error").alias("preview_error"),
     )
-
-    def rendered(name: str, rows: DataFrame) -> DataFrame:
-        return rows.select(
-            "package",
-            "path",
-            F.when(F.col("error").isNull(), name).otherwise("Error").alias("preview_kind"),
-            "text",
-            "error",
-        )
-
-    json_rows = rendered("Json", json_pretty(of_kind("Json"), limits))
-    xml_rows = rendered("Xml", xml_pretty(of_kind("Xml"), limits))
-    image_rows = rendered("Image", image_guard(of_kind("Image"), limits).withColumn("text", none))
-    return in_place.union(json_rows).union(xml_rows).union(image_rows)

@@ -50,9 +50,9 @@ def numbered(lines: DataFrame, *order: str) -> DataFrame:
     """Numbers the lines of each package from 0 in the given order, up to the line cap."""
     w = Window.partitionBy("package").orderBy(*order)
     return (
-        lines.withColumn("line", F.row_number().over(w) - 1)
-        .filter(F.col("line") < DEFAULT.summary_lines)
-        .select("package", "line", "text", "target")
+        lines.withColumn("_no", F.row_number().over(w))
+        .filter(F.col("_no") <= DEFAULT.summary_lines)
+        .select("package", (F.col("_no") - 1).alias("line"), "text", "target")
     )
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from xml.parsers import expat
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,10 +113,13 @@ class _Tokens:
 def _tokenise(data: bytes, keep: frozenset[str] | None, with_text: bool) -> Iterator[list[tuple]]:
     try:
         data = _utf8(data)
-        # First a run without callbacks: a malformed part yields its error and nothing else.
-        _new_parser().Parse(data, True)
-    except (expat.ExpatError, UnicodeError) as error:
-        yield [(0, "Error", None, None, 0, [], str(error))]
+        problem = None
+    except UnicodeError as error:
+        problem = str(error)
+    # First a run without callbacks: a malformed part yields its error and nothing else.
+    problem = problem or _parse_error(data)
+    if problem is not None:
+        yield [(0, "Error", None, None, 0, [], problem)]
         return
     tokens = _Tokens(data, keep, with_text)
     step = 1 << 20
@@ -180,13 +184,31 @@ def xml_errors(events: DataFrame) -> DataFrame:
     )
 
 
+def _parse_error(data: bytes) -> str | None:
+    try:
+        _new_parser().Parse(_utf8(data), True)
+    except (expat.ExpatError, UnicodeError) as error:
+        return str(error)
+    return None
+
+
+def _parse_errors(contents: pd.Series) -> pd.Series:
+    return contents.map(lambda data: None if data is None else _parse_error(data))
+
+
+def xml_error(content: Column | str) -> Column:
+    """Why `content` is not well-formed XML; null if it is, or is null. Row-local."""
+    content = F.col(content) if isinstance(content, str) else content
+    return F.pandas_udf(_parse_errors, "string")(content.cast("binary"))
+
+
 def validate_xml(parts: DataFrame) -> DataFrame:
     """`(package, path, valid, message)` for every part given."""
-    events = shred_xml(parts, names=[], with_text=False)
-    return (
-        parts.select("package", "path")
-        .join(xml_errors(events), ["package", "path"], "left")
-        .select("package", "path", F.col("message").isNull().alias("valid"), "message")
+    return parts.select("package", "path", xml_error("content").alias("_error")).select(
+        "package",
+        "path",
+        F.col("_error").isNull().alias("valid"),
+        F.concat(F.col("path"), F.lit(": malformed XML: "), F.col("_error")).alias("message"),
     )
 
 

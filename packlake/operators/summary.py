@@ -65,8 +65,21 @@ def summary_failures(
     )
 
 
+def readable_parts(contents: DataFrame) -> DataFrame:
+    """Adds to the `read_error` of `part_contents` that a part cannot be XML at all.
+
+    Media and other bytes are told by their first byte, without leaving the JVM.
+    """
+    first = F.hex(F.substring("content", 1, 1))
+    markup = first.isin("3C", "EF", "FF", "FE", "20", "09", "0A", "0D")
+    none = F.concat(F.col("path"), F.lit(": malformed XML: no element found"))
+    return contents.filter(~F.col("is_dir")).withColumn(
+        "read_error", F.coalesce("read_error", F.when(~F.coalesce(markup, F.lit(False)), none))
+    )
+
+
 def summary_tokens(contents: DataFrame) -> DataFrame:
-    """The tokens summaries need, of all parts given, in one pass and without moving bytes.
+    """The tokens summaries need, of all readable parts, in one pass and without moving bytes.
 
     They are read by several operators: write or persist them before `document_summaries`.
     """

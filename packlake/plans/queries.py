@@ -460,9 +460,7 @@ def _summary_inputs(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     index = I.build_index(entries)
     parts = staged(index["parts"], "parts")
     rels = staged(index["relationships"], "relationships")
-    contents = entries.join(
-        parts.filter(F.col("kind") == "Xml").select("package", "ord", "path"), ["package", "ord"]
-    )
+    contents = summary.readable_parts(I.part_contents(entries, index["collisions"]))
     errors = contents.filter(F.col("read_error").isNotNull()).select(
         "package", "path", "read_error"
     )

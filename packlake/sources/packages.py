@@ -111,7 +111,15 @@ def bounded_read(
 
 def _is_metadata(name: str) -> bool:
     lowered = name.lower()
-    return lowered.endswith(".rels") or lowered.endswith("[content_types].xml")
+    return lowered.endswith(".rels") or "[content_types].xml" in lowered
+
+
+def _over_limits(infos: list[zipfile.ZipInfo], limits: Limits) -> str | None:
+    if len(infos) > limits.entry_count:
+        return f"archive has {len(infos)} entries; limit is {limits.entry_count}"
+    if sum(info.file_size for info in infos) > limits.total_bytes:
+        return f"declared uncompressed size exceeds {limits.total_bytes} bytes"
+    return None
 
 
 def explode_packages(
@@ -125,7 +133,9 @@ def explode_packages(
 
     `parts` names an `ARRAY<INT>` column of `packages` with the entry positions to inflate;
     without it all entries are inflated if `with_content`, else only the metadata parts.
-    A container that cannot be opened gives one row with `ord = -1` and `read_error`.
+    A container that cannot be opened, or is over the archive limits (tested before anything is
+    inflated), gives one row with `ord = -1` and `read_error`. So a package has at most
+    `limits.entry_count` entries from here on.
     """
     cap = min(limit if limit is not None else limits.entry_bytes, limits.entry_bytes)
     metadata_cap = min(limits.metadata_bytes, limits.entry_bytes)
@@ -142,9 +152,12 @@ def explode_packages(
                 wanted = set(wanted_column[row].as_py() or ()) if parts else None
                 try:
                     infos = zipfile.ZipFile(io.BytesIO(blob)).infolist()
+                    problem = _over_limits(infos, limits)
                 except Exception as error:  # any damage ends as a diagnostic, never as a failed job
-                    infos = []
-                    rows.append((package, -1, None, False, 0, 0, None, str(error)))
+                    infos, problem = [], str(error)
+                if problem is not None:
+                    rows.append((package, -1, None, False, 0, 0, None, problem))
+                    continue
                 for ord_, info in enumerate(infos):
                     name = info.orig_filename
                     content = read_error = None
@@ -186,7 +199,7 @@ def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def package_errors(entries: DataFrame) -> DataFrame:
-    """Containers that could not be opened at all."""
+    """Containers that could not be opened or are over the limits."""
     return entries.filter(F.col("ord") < 0).select(
         "package", F.col("read_error").alias("message")
     )

@@ -51,7 +51,8 @@ def index_stream(
         explode_packages(batch, limits=limits).write.mode("overwrite").parquet(base)
         entries = spark.read.parquet(base)
         for name, df in build_index(entries, limits).items():
-            df.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}/batch={batch_id}")
+            if name != "collisions":
+                df.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}/batch={batch_id}")
 
     return (
         packages.writeStream.foreachBatch(write)
