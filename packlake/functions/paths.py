@@ -22,26 +22,24 @@ KIND_LABELS = {
 def normalize_path(c: Column | str) -> Column:
     """Use `/`, drop empty and `.` components, let `..` pop; no leading slash.
 
-    Most names are clean already and most others hold no `..`, so the folding
-    branch is evaluated for traversal-like names only.
+    Most names are clean already: one regular expression tells them, and only the others are
+    folded component by component.
     """
     c = col(c)
-    slashed = F.replace(c, F.lit("\\"), F.lit("/"))
-    kept = F.filter(F.split(slashed, "/"), lambda x: ~x.isin("", "."))
-    folded = F.aggregate(
-        kept,
-        F.array().cast("array<string>"),
-        lambda acc, x: F.when(
-            x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        ).otherwise(F.array_append(acc, x)),
-    )
+    empty = F.lit("")
+
+    def add(path: Column, piece: Column) -> Column:
+        last = F.char_length(F.substring_index(path, "/", -1))
+        return (
+            F.when(piece.isin("", "."), path)
+            .when(piece == "..", F.substring(path, F.lit(1), F.char_length(path) - last - 1))
+            .otherwise(F.concat(path, F.lit("/"), piece))
+        )
+
+    pieces = F.split(F.replace(c, F.lit("\\"), F.lit("/")), "/")
+    folded = F.substring(F.aggregate(pieces, empty, add), 2, 2**31 - 1)
     dirty = F.rlike(c, F.lit(r"\\|(^|/)\.{0,2}(/|\z)"))
-    climbs = F.rlike(slashed, F.lit(r"(^|/)\.\.(/|\z)"))
-    return (
-        F.when(~dirty, c)
-        .when(~climbs, F.array_join(kept, "/"))
-        .otherwise(F.array_join(folded, "/"))
-    )
+    return F.when(dirty, folded).otherwise(c)
 
 
 def unsafe_name(c: Column | str) -> Column:

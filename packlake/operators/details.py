@@ -92,14 +92,12 @@ def relationship_lines(rels: DataFrame) -> DataFrame:
 def dangling_relationships(rels: DataFrame, parts: DataFrame) -> DataFrame:
     """Relationships whose target is neither a part nor an implied directory.
 
-    The targets are made distinct first (pre-aggregated per task) and only the dangling ones
-    are joined back.
+    One pass over each side: nodes are unique by path, and a target that very many relationships
+    share is split by the adaptive skew join.
     """
-    linked = rels.filter(F.col("resolved_target").isNotNull())
-    targets = linked.select("package", "resolved_target").distinct()
     nodes = tree_nodes(parts).select("package", F.col("node").alias("resolved_target"))
-    lost = targets.join(nodes, ["package", "resolved_target"], "left_anti")
-    return linked.join(lost, ["package", "resolved_target"], "left_semi")
+    linked = rels.filter(F.col("resolved_target").isNotNull())
+    return linked.join(nodes, ["package", "resolved_target"], "left_anti")
 
 
 def relationship_targets(rels: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,20 +31,24 @@ def hex_dump(parts: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
 # JSON ---------------------------------------------------------------------------------------
 
 
+# Fixed value: deepest nesting that still counts as JSON.
+MAX_DEPTH = 127
+
+
 def _constant(name: str):
     raise ValueError(name)
 
 
 def _float_text(value: float) -> str:
     """Shortest digits; plain notation from 1e-5 up to below 1e16, else exponent form."""
-    digits, exponent = re.fullmatch(r"(-?[0-9.]+)e([+-]?[0-9]+)", f"{value!r}e0" if "e" not in repr(value) else repr(value)).groups()
-    exponent = int(exponent)
-    if "e" not in repr(value):
-        return digits
-    if exponent == -5 and abs(value) < 1e-4:
-        sign = "-" if digits.startswith("-") else ""
+    shortest = repr(value)
+    if "e" not in shortest:
+        return shortest
+    digits, power = shortest.split("e")
+    if int(power) == -5:
+        sign = "-" if value < 0 else ""
         return f"{sign}0.0000{digits.lstrip('-').replace('.', '')}"
-    return f"{digits}e{exponent}"
+    return f"{digits}e{int(power)}"
 
 
 def _integer(text: str):
@@ -64,6 +67,8 @@ def _number(text: str) -> float:
 
 def _render(value, indent: str) -> str:
     inner = indent + "  "
+    if isinstance(value, (dict, list)) and len(inner) > 2 * MAX_DEPTH:
+        raise ValueError("nested too deeply")
     if isinstance(value, dict):
         if not value:
             return "{}"

@@ -123,7 +123,12 @@ def order_entries(t: Tables) -> DataFrame:
 
 # Graph: foreign keys as relationships -------------------------------------------------------
 
-SALES = "'sales' AS package"
+
+
+def _sales(key: str) -> str:
+    """One package for all rows that have a key."""
+    return f"if({key} IS NULL, NULL, 'sales')"
+
 
 
 def graph_parts(t: Tables) -> DataFrame:
@@ -131,7 +136,7 @@ def graph_parts(t: Tables) -> DataFrame:
 
     def rows(df: DataFrame, name: str, key: str, label: str) -> DataFrame:
         return df.selectExpr(
-            SALES,
+            f"{_sales(key)} AS package",
             f"concat('/{name}/', {key}) AS path",
             f"concat(if({key} % 5 = 0, './', ''), '{name}/', {key}) AS archive_name",
             f"if({key} % 3 = 0, NULL, 'application/vnd.{name}+xml') AS content_type",
@@ -146,7 +151,7 @@ def graph_parts(t: Tables) -> DataFrame:
         .unionByName(rows(t.customer, "customer", "c_custkey", "c_name"))
         .unionByName(rows(t.supplier, "supplier", "s_suppkey", "s_name"))
         .unionByName(rows(t.part, "part", "p_partkey", "p_name"))
-        .unionByName(rows(t.orders, "orders", "o_orderkey", "o_orderpriority"))
+        .unionByName(rows(spread(t.orders), "orders", "o_orderkey", "o_orderpriority"))
     )
 
 
@@ -156,7 +161,7 @@ def graph_relationships(t: Tables) -> DataFrame:
     def rows(df, source, id_, ord_, kind, target, external="false"):
         external = F.expr(external)
         return df.select(
-            F.lit("sales").alias("package"),
+            F.expr(_sales(df.columns[0])).alias("package"),
             F.expr(source).alias("source"),
             F.expr(ord_).cast("bigint").alias("rel_ord"),
             F.expr(id_).alias("id"),
@@ -174,11 +179,11 @@ def graph_relationships(t: Tables) -> DataFrame:
             rows(t.supplier, "concat('/supplier/', s_suppkey)", "'r1'", "1", "nation", "concat('.././nation//', s_nationkey)")
         )
         .unionByName(
-            rows(t.orders, "concat('/orders/', o_orderkey)", "'r1'", "1", "customer", "concat('../customer/', o_custkey)", "o_orderkey % 7 = 0")
+            rows(spread(t.orders), "concat('/orders/', o_orderkey)", "'r1'", "1", "customer", "concat('../customer/', o_custkey)", "o_orderkey % 7 = 0")
         )
         .unionByName(
             rows(
-                t.lineitem,
+                spread(t.lineitem),
                 "concat('/orders/', l_orderkey)",
                 "concat('p', l_linenumber)",
                 "l_partkey * 10 + l_linenumber",
@@ -197,7 +202,7 @@ def graph_relationships(t: Tables) -> DataFrame:
 
 def graph_diagnostics(t: Tables) -> DataFrame:
     return I.diagnostic(
-        t.customer.filter("c_acctbal < 0").selectExpr(SALES, "c_custkey"),
+        t.customer.filter("c_acctbal < 0").selectExpr(f"{_sales('c_custkey')} AS package", "c_custkey"),
         "Warning",
         "index",
         F.concat(F.lit("/customer/"), F.col("c_custkey")),

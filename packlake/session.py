@@ -18,8 +18,9 @@ RUNTIME = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Per-package caps go up to 16,384 rows: keep the map-side top-k for all of them.
     "spark.sql.optimizer.windowGroupLimitThreshold": "16384",
-    # Package rows can hold megabytes each.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # Package rows can hold megabytes each: bound batches by bytes as well as by rows.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -11,6 +11,7 @@ from packlake.operators.index import build_index
 from packlake.sources.packages import PACKAGE_GLOB, explode_packages
 
 BLOB_SCHEMA = "package string, content binary"
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def stream_packages(
@@ -28,7 +29,8 @@ def stream_packages(
     if fmt == "parquet":
         return reader.schema(BLOB_SCHEMA).load(path)
     return (
-        reader.option("pathGlobFilter", glob)
+        reader.schema(FILE_SCHEMA)
+        .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(path)
         .select(F.col("path").alias("package"), "content")
