@@ -10,7 +10,9 @@ from packlake.functions.text import col, compact_text
 from packlake.operators.index import degrees
 from packlake.operators.tree import tree_nodes
 
+# Fixed values.
 LABEL_CHARS = 48
+WARNING_CHARS = 56
 
 
 def target_label(
@@ -89,6 +91,74 @@ def relationship_lines(rels: DataFrame) -> DataFrame:
     return rels.select("package", "rel_ord", F.inline(sides)).filter(F.col("node").isNotNull())
 
 
+def details_lines(
+    parts: DataFrame, rels: DataFrame, diagnostics: DataFrame | None = None
+) -> DataFrame:
+    """The details of each node as text lines, with link spans.
+
+    Lines are ordered by `(section, ord)` within a node rather than numbered: a node that very
+    many relationships point to is never brought together in one task.
+    """
+    facts = part_details(parts, rels, diagnostics)
+
+    def text(section: int, line: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), line.alias("line"))
+
+    def said(label: str, c: str) -> Column:
+        return F.concat(F.lit(label), F.col(c).cast("string"))
+
+    size = F.concat(
+        said("Size: ", "size"), said(" bytes (", "compressed_size"), F.lit(" compressed)")
+    )
+    degree = F.concat(
+        said("Relationships: ", "n_out"), said(" outgoing, ", "n_in"), F.lit(" incoming")
+    )
+    lines = F.array(
+        text(0, said("Part: ", "display_name")),
+        text(1, said("Archive: ", "archive_name")),
+        text(2, said("Kind: ", "kind_label")),
+        text(3, said("Content type: ", "content_type")),
+        text(4, size),
+        text(5, F.lit("")),
+        text(6, degree),
+        text(7, F.when(F.col("n_out") > 0, "")),
+        text(8, F.when(F.col("n_out") > 0, "Outgoing")),
+        text(10, F.when(F.col("n_in") > 0, "")),
+        text(11, F.when(F.col("n_in") > 0, "Incoming")),
+    )
+    none = F.lit(None)
+    head = facts.select("package", "path", F.inline(lines)).filter("line is not null").select(
+        "package",
+        "path",
+        "section",
+        F.lit(0).cast("bigint").alias("ord"),
+        "line",
+        none.cast("int").alias("link_start"),
+        none.cast("int").alias("link_end"),
+        none.cast("string").alias("link_target"),
+    )
+    nodes = tree_nodes(parts).select("package", F.col("node").alias("path"))
+    body = relationship_lines(rels).select(
+        "package",
+        F.col("node").alias("path"),
+        F.when(F.col("direction") == "outgoing", 9).otherwise(12).alias("section"),
+        F.col("rel_ord").cast("bigint").alias("ord"),
+        "line",
+        "link_start",
+        "link_end",
+        "link_target",
+    )
+    return head.unionByName(body.join(nodes, ["package", "path"], "left_semi"))
+
+
+def package_warnings(diagnostics: DataFrame) -> DataFrame:
+    """The warnings every node of a package shows, as text lines."""
+    warning = F.concat(F.col("stage"), F.lit(": "), F.col("message"))
+    return diagnostics.select(
+        "package", F.concat(F.lit("- "), compact_text(warning, WARNING_CHARS)).alias("line")
+    )
+
+
 def dangling_relationships(rels: DataFrame, parts: DataFrame) -> DataFrame:
     """Relationships whose target is neither a part nor an implied directory.
 

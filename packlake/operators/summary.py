@@ -142,8 +142,10 @@ def document_summaries(
 
     slide_rows = S.ppt_slides(slides, rels, of_parts(slides), of_parts(notes))
     sheet_events = of_parts(worksheets)
-    cells = X.resolve_shared(
-        X.worksheet_cells(sheet_events), X.shared_strings(of_parts(strings), limits)
+    cells = stage(X.worksheet_cells(sheet_events), "cells")
+    # Only the cells that are shown need their strings.
+    shown = X.resolve_shared(
+        cells.filter(F.col("ord") <= X.SAMPLE_CELLS), X.shared_strings(of_parts(strings), limits)
     )
     document_events = main_events.filter(F.col("path") == D.DOCUMENT)
     headings = D.heading_outline(document_events, limits)
@@ -159,7 +161,7 @@ def document_summaries(
                 kept(main, "excel"),
                 kept(sheets, "excel"),
                 X.sheet_stats(sheet_events, cells, limits),
-                X.cell_sample(cells),
+                X.cell_sample(shown),
             )
         )
     )

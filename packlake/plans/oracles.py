@@ -412,7 +412,7 @@ ORACLES: dict[str, str] = {
                unnest(['application/xml', 'application/vnd.openxmlformats-package.relationships+xml', 'application/xml',
                  'application/vnd.openxmlformats-package.relationships+xml', 'application/xml', 'application/xml',
                  'application/xml']) AS content_type, 'Xml' AS kind FROM books""",
-    "stream_relationships": f"""WITH {BOOKS}
+    "incremental_index": f"""WITH {BOOKS}
         SELECT package, unnest(['/', '/xl/workbook.xml', '/xl/workbook.xml']) AS source,
                unnest(['rId1', 'rId1', 'rId2']) AS id,
                unnest(['/xl/workbook.xml', '/xl/worksheets/sheet1.xml', '/xl/worksheets/sheet2.xml']) AS resolved_target,
@@ -471,7 +471,7 @@ ORACLES: dict[str, str] = {
         FROM named WHERE page_id % 13 = 0 OR page_id % 17 = 0""",
     "is_directory": pages_query("""SELECT package, node AS path,
         (package, node) IN (SELECT (package, path) FROM folders) AS is_directory FROM tree"""),
-    "xml_attribute": f"""WITH {LINKS}
+    "xml_attr": f"""WITH {LINKS}
         SELECT package, id, NULL::VARCHAR AS prefixed, target FROM (
           SELECT package, 'rId' || i AS id, target FROM link WHERE page_id % 13 <> 0
           UNION ALL SELECT package, 'x', '' FROM page WHERE page_id % 17 = 0 AND page_id % 13 <> 0)""",
@@ -506,6 +506,42 @@ ORACLES: dict[str, str] = {
         LEFT JOIN (SELECT source, count(*) AS n FROM rels GROUP BY source) o ON o.source = n.path
         LEFT JOIN (SELECT resolved_target, count(*) AS n FROM rels GROUP BY resolved_target) i
           ON i.resolved_target = n.path"""),
+    "details_lines": graph_query(f"""
+        , degree AS (
+          SELECT n.path, p.archive_name, p.kind_label, p.content_type, p.size, p.compressed_size, p.path IS NOT NULL AS is_part,
+            coalesce(o.n, 0) AS n_out, coalesce(i.n, 0) AS n_in
+          FROM nodes n LEFT JOIN parts p ON p.path = n.path
+          LEFT JOIN (SELECT source, count(*) AS n FROM rels GROUP BY source) o ON o.source = n.path
+          LEFT JOIN (SELECT resolved_target, count(*) AS n FROM rels GROUP BY resolved_target) i
+            ON i.resolved_target = n.path)
+        SELECT path, section, 0 AS ord, line, NULL::INTEGER AS link_start, NULL::INTEGER AS link_end,
+               NULL::VARCHAR AS link_target
+        FROM (SELECT path, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 11]) AS section, unnest([
+            'Part: ' || substr(path, 2),
+            CASE WHEN archive_name <> substr(path, 2) THEN 'Archive: ' || archive_name END,
+            'Kind: ' || coalesce(kind_label, 'Directory'),
+            'Content type: ' || CASE WHEN is_part THEN coalesce(content_type, 'Unknown') ELSE 'N/A' END,
+            'Size: ' || size || ' bytes (' || compressed_size || ' compressed)', '',
+            'Relationships: ' || n_out || ' outgoing, ' || n_in || ' incoming',
+            CASE WHEN n_out > 0 THEN '' END, CASE WHEN n_out > 0 THEN 'Outgoing' END,
+            CASE WHEN n_in > 0 THEN '' END, CASE WHEN n_in > 0 THEN 'Incoming' END]) AS line FROM degree)
+        WHERE line IS NOT NULL
+        UNION ALL
+        SELECT source, 9, rel_ord, '  ' || id || '  ' || {short(f'({LABEL})')} || ' (' || typ || ')',
+          CASE WHEN resolved_target IS NOT NULL THEN length(id) + 4 END,
+          CASE WHEN resolved_target IS NOT NULL THEN length(id) + 4 + length({short(f'({LABEL})')}) END,
+          resolved_target FROM rels
+        UNION ALL
+        SELECT resolved_target, 12, rel_ord, '  ' || id || '  ' || {short('source')} || ' (' || typ || ')',
+          length(id) + 4, length(id) + 4 + length({short('source')}), source
+        FROM rels WHERE resolved_target IN (SELECT path FROM nodes)"""),
+    "package_warnings": pages_query("""SELECT package, '- ' || CASE WHEN length(w) > 56 THEN left(w, 56) || '…' ELSE w END AS line
+        FROM (
+          SELECT package, 'index: traversal-like archive name was normalized' AS w FROM accepted WHERE unsafe
+          UNION ALL SELECT package, 'index: archive path exceeds maximum depth of 64; entry ignored'
+          FROM accepted WHERE len(string_split(path, '/')) - 1 > 64
+          UNION ALL SELECT package, 'index: archive path collides with ' || chr(39) || archive_name || chr(39) || '; entry ignored'
+          FROM fitting WHERE copy > 1)"""),
     "relationship_lines": graph_query(f"""
         SELECT 'sales' AS package, rel_ord, 'outgoing' AS direction, source AS node,
           '  ' || id || '  ' || {short(f'({LABEL})')} || ' (' || typ || ')' AS line,
@@ -642,8 +678,11 @@ ORACLES: dict[str, str] = {
         FROM room""",
     # Previews.
     "preview_kind": f"WITH {DOCS} SELECT package, path, preview_kind FROM kinds",
-    "type_predicates": f"""WITH {DOCS} SELECT path, is_json, is_bin, is_font, is_media, is_ole,
-        {lower('ext')} AS extension FROM flags""",
+    **{
+        name: f"WITH {DOCS} SELECT path, {name} FROM flags"
+        for name in ("is_json", "is_bin", "is_font", "is_media", "is_ole")
+    },
+    "path_extension": f"WITH {DOCS} SELECT path, {lower('ext')} AS path_extension FROM docs",
     "utf8_text": f"WITH {DOCS} SELECT path, shown AS text FROM docs",
     "is_probably_text": f"""WITH {DOCS} SELECT path,
         NOT regexp_matches(shown, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}]') AS is_text FROM docs""",

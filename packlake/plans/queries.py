@@ -102,7 +102,7 @@ def stream_packages_query(t: Tables) -> DataFrame:
 
 
 @query
-def stream_relationships(t: Tables) -> DataFrame:
+def incremental_index(t: Tables) -> DataFrame:
     source, out = shared_dir(t.spark, "arrivals"), shared_dir(t.spark, "indexed")
     _zips(A.workbook_files(t)).write.parquet(source)
     stream = stream_packages(t.spark, source, fmt="parquet")
@@ -244,7 +244,7 @@ def is_directory(t: Tables) -> DataFrame:
 
 
 @query
-def xml_attribute(t: Tables) -> DataFrame:
+def xml_attr_query(t: Tables) -> DataFrame:
     events = X.shred_xml(A.page_rels(t), names=["Relationship"], with_text=False)
     return events.filter(F.col("event") == "Empty").select(
         "package",
@@ -309,6 +309,18 @@ def part_details(t: Tables) -> DataFrame:
     )
 
 
+@query
+def details_lines(t: Tables) -> DataFrame:
+    return details.details_lines(
+        A.graph_parts(t), A.graph_relationships(t), A.graph_diagnostics(t)
+    ).select("path", "section", "ord", "line", "link_start", "link_end", "link_target")
+
+
+@query
+def package_warnings(t: Tables) -> DataFrame:
+    return details.package_warnings(I.name_diagnostics(I.accept_packages(A.page_entries(t))))
+
+
 @query
 def relationship_lines(t: Tables) -> DataFrame:
     return details.relationship_lines(A.graph_relationships(t))
@@ -571,17 +583,19 @@ def preview_kind(t: Tables) -> DataFrame:
     return A.document_parts(t).select("package", "path", kind.alias("preview_kind"))
 
 
-@query
-def type_predicates(t: Tables) -> DataFrame:
-    return A.document_parts(t).select(
-        "path",
-        M.is_json("archive_name", "content_type").alias("is_json"),
-        M.is_bin("archive_name").alias("is_bin"),
-        M.is_font("archive_name", "content_type").alias("is_font"),
-        M.is_media("archive_name", "content_type").alias("is_media"),
-        M.is_ole("archive_name", "content_type").alias("is_ole"),
-        P.path_extension("archive_name").alias("extension"),
-    )
+def _by_name_and_type(predicate, name: str) -> None:
+    def build(t: Tables) -> DataFrame:
+        flag = predicate("archive_name", "content_type")
+        return A.document_parts(t).select("path", flag.alias(name))
+
+    build.__name__ = name
+    query(build)
+
+
+for _predicate in (M.is_json, M.is_font, M.is_media, M.is_ole):
+    _by_name_and_type(_predicate, _predicate.__name__)
+_by_name_and_type(lambda name, _: M.is_bin(name), "is_bin")
+_by_name_and_type(lambda name, _: P.path_extension(name), "path_extension")
 
 
 @query
