@@ -23,7 +23,11 @@ TRAVERSAL_MESSAGE = "traversal-like archive name was normalized"
 SOURCE_MESSAGE = "could not determine relationship source"
 CONTENT_TYPES = "[content_types].xml"
 
-META = ["package", "ord", "archive_name", "is_dir", "size", "compressed_size"]
+META = ["package", "ord", "archive_name", "is_dir", "size", "compressed_size", "copy"]
+
+
+def _without_bytes(entries: DataFrame) -> DataFrame:
+    return entries.select(*[c for c in META if c in entries.columns])
 
 
 # Archive limits -----------------------------------------------------------------------------
@@ -92,9 +96,12 @@ def _too_deep(limits: Limits) -> Column:
 def collisions(named: DataFrame) -> DataFrame:
     """All but the first entry, in archive order, of each `(package, path)`.
 
-    Counts are pre-aggregated per task; a path that a third of all entries share is split by the
-    adaptive skew join when its entries are looked up.
+    Entries of `explode_packages` know this (`copy`). For other tables, counts are
+    pre-aggregated per task, and a path that very many entries share is split by the adaptive
+    skew join when its entries are looked up.
     """
+    if "copy" in named.columns:
+        return named.filter("copy > 0")
     first = named.groupBy("package", "path").agg(
         F.min("ord").alias("first_ord"), F.count(F.lit(1)).alias("copies")
     )
@@ -106,15 +113,14 @@ def collisions(named: DataFrame) -> DataFrame:
     )
 
 
-def first_entries(named: DataFrame, collided: DataFrame | None = None) -> DataFrame:
+def first_entries(named: DataFrame) -> DataFrame:
     """Per `(package, path)` the first entry in archive order.
 
-    With `collided` (a written table of `collisions`) the entries stay where they are: the few
-    that collide are broadcast as long as their known size allows it. Without it, a rank whose
-    filter is applied before the shuffle too, so an endlessly repeated path costs one row per task.
+    For entries without `copy`, the rank filter is applied before the shuffle too: a path
+    repeated without end costs one row per task.
     """
-    if collided is not None:
-        return named.join(collided.select("package", "ord"), ["package", "ord"], "left_anti")
+    if "copy" in named.columns:
+        return named.filter("copy = 0")
     w = Window.partitionBy("package", "path").orderBy("ord")
     return named.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
@@ -134,18 +140,13 @@ def named_parts(first: DataFrame) -> DataFrame:
 
 def dedupe_first_wins(entries: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Entries to parts without content types: names, guards, first entry wins, kind by name."""
-    return named_parts(first_entries(depth_guard(named_entries(entries.select(*META)), limits)))
+    return named_parts(first_entries(depth_guard(named_entries(_without_bytes(entries)), limits)))
 
 
-def part_contents(
-    entries: DataFrame, collided: DataFrame, limits: Limits = DEFAULT
-) -> DataFrame:
-    """Entries with bytes as read parts `(package, ord, path, archive_name, content, read_error)`.
-
-    Bytes are not shuffled unless the table of collisions is too large to broadcast.
-    """
-    named = depth_guard(named_entries(entries), limits)
-    return first_entries(named, collided).select(
+def part_contents(entries: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """Entries with bytes as read parts `(package, ord, path, archive_name, is_dir, content,
+    read_error)`. Row-local: bytes are not shuffled."""
+    return first_entries(depth_guard(named_entries(entries), limits)).select(
         "package", "ord", "path", "archive_name", "is_dir", "content", "read_error"
     )
 
@@ -390,11 +391,9 @@ def diagnostic(rows: DataFrame, severity: str, stage: str, part: Column, message
     )
 
 
-def name_diagnostics(
-    entries: DataFrame, limits: Limits = DEFAULT, collided: DataFrame | None = None
-) -> DataFrame:
+def name_diagnostics(entries: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """What the names alone tell: traversal, depth, collision."""
-    named = named_entries(entries.select(*META))
+    named = named_entries(_without_bytes(entries))
     name = F.col("archive_name")
     unsafe = diagnostic(
         named.filter("unsafe"), "Warning", "index", name, F.lit(TRAVERSAL_MESSAGE)
@@ -408,10 +407,8 @@ def name_diagnostics(
             f"archive path exceeds maximum depth of {limits.path_depth}; entry ignored"
         ),
     )
-    if collided is None:
-        collided = collisions(depth_guard(named, limits))
     collision = diagnostic(
-        collided,
+        collisions(depth_guard(named, limits)),
         "Error",
         "index",
         F.col("path"),
@@ -435,20 +432,16 @@ def build_index(
 ) -> dict[str, DataFrame]:
     """Entries of `explode_packages` to the tables of the index.
 
-    `entries` is used several times, so it should be a written table. `stage` keeps what the
-    tables share (collisions, tokens of the metadata parts) so that it is made once.
+    `entries` is used several times, so it should be a written table. `stage` keeps the tokens
+    of the metadata parts, which the tables share, so that they are made once.
     """
     opened = entries.filter(F.col("ord") >= 0)
-    named = depth_guard(named_entries(opened.select(*META)), limits)
-    collided = stage(
-        collisions(named).select("package", "ord", "path", "archive_name"), "collisions"
-    )
-    untyped = named_parts(first_entries(named, collided))
+    untyped = dedupe_first_wins(opened, limits)
 
     # Only rows with a metadata name are looked at for bytes.
     lowered = ascii_lower("archive_name")
     metadata = part_contents(
-        opened.filter(lowered.endswith(".rels") | lowered.contains(CONTENT_TYPES)), collided, limits
+        opened.filter(lowered.endswith(".rels") | lowered.contains(CONTENT_TYPES)), limits
     )
     type_contents = metadata.filter(_is_content_types())
     rels_contents = metadata.filter(_is_relationships()).withColumn("source", _described_part())
@@ -472,7 +465,7 @@ def build_index(
         diagnostic(
             entries.filter(F.col("ord") < 0), "Error", "index", F.lit(None), F.col("read_error")
         ),
-        name_diagnostics(opened, limits, collided),
+        name_diagnostics(opened, limits),
         diagnostic(
             type_contents.filter(unreadable), "Error", "content-types", path, F.col("read_error")
         ),
@@ -523,5 +516,4 @@ def build_index(
         "type_overrides": overrides,
         "relationships": relationships,
         "diagnostics": warnings(diagnostics),
-        "collisions": collided,
     }

@@ -472,7 +472,7 @@ def _summary_inputs(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     index = I.build_index(entries)
     parts = staged(index["parts"], "parts")
     rels = staged(index["relationships"], "relationships")
-    contents = summary.readable_parts(I.part_contents(entries, index["collisions"]))
+    contents = summary.readable_parts(I.part_contents(entries))
     errors = contents.filter(F.col("read_error").isNotNull()).select(
         "package", "path", "read_error"
     )

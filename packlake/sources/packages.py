@@ -11,6 +11,7 @@ import io
 import struct
 import zipfile
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ OLE_MAGIC = "D0CF11E0A1B11AE1"
 
 ENTRY_SCHEMA = (
     "package string, ord int, archive_name string, is_dir boolean, size bigint, "
-    "compressed_size bigint, content binary, read_error string"
+    "compressed_size bigint, content binary, read_error string, copy int"
 )
 _ARROW_ENTRY = pa.schema(
     [
@@ -36,6 +37,7 @@ _ARROW_ENTRY = pa.schema(
         ("compressed_size", pa.int64()),
         ("content", pa.binary()),
         ("read_error", pa.string()),
+        ("copy", pa.int32()),
     ]
 )
 _FLUSH_BYTES = 16 * 1024 * 1024
@@ -114,6 +116,17 @@ def _is_metadata(name: str) -> bool:
     return lowered.endswith(".rels") or "[content_types].xml" in lowered
 
 
+def _clean_name(name: str) -> str:
+    """Same rule as `functions.paths.normalize_path`."""
+    pieces: list[str] = []
+    for piece in name.replace("\\", "/").split("/"):
+        if piece == "..":
+            pieces[-1:] = []
+        elif piece not in ("", "."):
+            pieces.append(piece)
+    return "/".join(pieces)
+
+
 def _over_limits(infos: list[zipfile.ZipInfo], limits: Limits) -> str | None:
     if len(infos) > limits.entry_count:
         return f"archive has {len(infos)} entries; limit is {limits.entry_count}"
@@ -131,6 +144,9 @@ def explode_packages(
 ) -> DataFrame:
     """One row per archive entry, in archive order.
 
+    `copy` counts the earlier entries of the same normalised path. The task has the whole
+    package at hand, so this saves the index every shuffle of entries.
+
     `parts` names an `ARRAY<INT>` column of `packages` with the entry positions to inflate;
     without it all entries are inflated if `with_content`, else only the metadata parts.
     A container that cannot be opened, or is over the archive limits (tested before anything is
@@ -156,8 +172,9 @@ def explode_packages(
                 except Exception as error:  # any damage ends as a diagnostic, never as a failed job
                     infos, problem = [], str(error)
                 if problem is not None:
-                    rows.append((package, -1, None, False, 0, 0, None, problem))
+                    rows.append((package, -1, None, False, 0, 0, None, problem, 0))
                     continue
+                seen: Counter[str] = Counter()
                 for ord_, info in enumerate(infos):
                     name = info.orig_filename
                     content = read_error = None
@@ -170,6 +187,7 @@ def explode_packages(
                     elif not with_content and _is_metadata(name):
                         content, read_error = bounded_read(blob, info, metadata_cap)
                     held += len(content or b"")
+                    path = _clean_name(name)
                     rows.append(
                         (
                             package,
@@ -180,8 +198,10 @@ def explode_packages(
                             info.compress_size,
                             content,
                             read_error,
+                            seen[path],
                         )
                     )
+                    seen[path] += 1
                     if held >= _FLUSH_BYTES or len(rows) >= _FLUSH_ROWS:
                         yield _entry_batch(rows)
                         rows, held = [], 0

@@ -183,7 +183,7 @@ def test_slide_titles(spark):
 def _summaries(spark, *named):
     entries = staged(explode_packages(packages(spark, *named), with_content=True), "entries")
     index = I.build_index(entries)
-    contents = summary.readable_parts(I.part_contents(entries, index["collisions"]))
+    contents = summary.readable_parts(I.part_contents(entries))
     errors = contents.filter("read_error is not null").select("package", "path", "read_error")
     tokens = staged(summary.summary_tokens(contents), "tokens")
     return summary.document_summaries(

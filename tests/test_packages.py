@@ -1,3 +1,5 @@
+import random
+import warnings
 import zipfile
 
 from helpers import one, packages, rels_xml, rows, zip_bytes
@@ -65,6 +67,18 @@ def test_archive_limits(spark):
     assert {r["package"] for r in I.archive_limits(entries, limits).collect()} == set(found)
 
 
+def test_copies_are_counted_alike(spark):
+    rng = random.Random(3)
+    names = ["".join(rng.choice(["a", "b", "/", "..", ".", "\\"]) for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        blob = zip_bytes([(n, b"") for n in names])
+    entries = explode_packages(packages(spark, ("p", blob)))
+    named = I.depth_guard(I.named_entries(entries))
+    for pick in (I.first_entries, I.collisions):
+        assert rows(pick(named), "ord") == rows(pick(named.drop("copy")), "ord")
+
+
 def test_names_depth_and_collisions(spark):
     deep = "directory/" * 64 + "file.xml"
     blob = zip_bytes(

@@ -42,3 +42,5 @@ def test_query(spark, db, name):
     want = rows_of(columns, cursor.fetchall())
     assert want
     assert rows_of(df.columns, df.collect()) == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
