@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +88,16 @@ def summary_tokens(contents: DataFrame) -> DataFrame:
     return shred_xml(contents.filter(F.col("read_error").isNull()), names=SUMMARY_NAMES)
 
 
+def bare_lines(main: DataFrame) -> DataFrame:
+    """No report lines: the result of a corpus without any known format."""
+    return main.filter(F.lit(False)).select(
+        "package",
+        F.lit(0).alias("line"),
+        F.lit("").alias("text"),
+        F.lit(None).cast("string").alias("target"),
+    )
+
+
 def document_summaries(
     parts: DataFrame,
     rels: DataFrame,
@@ -98,8 +110,8 @@ def document_summaries(
 
     `events` are the `summary_tokens` of the XML parts, `read_errors` `(package, path,
     read_error)` of parts that could not be read. One bad part fails the summary of its
-    package, never the job. `stage` keeps the lists of main parts, slides and sheets and the
-    failures, which several branches read.
+    package, never the job. `stage` keeps the lists of main parts, slides and sheets, the cells
+    and the failures, which several branches read.
     """
     form = stage(main_parts(parts), "formats")
     main = form.select("package", "path")
@@ -112,27 +124,27 @@ def document_summaries(
         wanted = rows.select("package", "path").distinct()
         return events.join(wanted, ["package", "path"], "left_semi")
 
-    # Slides, notes and sheets are found through the main parts.
+    # At most three rows; branches of absent formats are not planned at all.
+    present = {row["format"] for row in form.select("format").distinct().collect()}
     main_events = of_parts(main)
-    slides = stage(of_format(S.slide_order(main_events, rels, limits), "ppt"), "slides")
-    sheets = stage(of_format(X.workbook_sheets(main_events, rels, limits), "excel"), "sheets")
-    notes = stage(
-        slides.join(S.notes_paths(rels), ["package", "path"]).select(
+    steps = [main.withColumn("step", F.lit(0))]
+
+    # Slides, notes and sheets are found through the main parts.
+    if "ppt" in present:
+        slides = stage(of_format(S.slide_order(main_events, rels, limits), "ppt"), "slides")
+        notes = slides.join(S.notes_paths(rels), ["package", "path"]).select(
             "package", F.col("notes_path").alias("path"), (F.col("slide_no") * 2 + 1).alias("step")
-        ),
-        "notes",
-    )
-    strings = of_format(parts.filter(F.col("path") == X.SHARED_STRINGS), "excel").select(
-        "package", "path", F.lit(1).alias("step")
-    )
-    worksheets = sheets.filter(F.col("path").isNotNull())
-    needed = (
-        main.withColumn("step", F.lit(0))
-        .unionByName(slides.select("package", "path", (F.col("slide_no") * 2).alias("step")))
-        .unionByName(notes)
-        .unionByName(strings)
-        .unionByName(worksheets.select("package", "path", (F.col("ord") + 1).alias("step")))
-    )
+        )
+        steps += [slides.select("package", "path", (F.col("slide_no") * 2).alias("step")), notes]
+    if "excel" in present:
+        sheets = stage(of_format(X.workbook_sheets(main_events, rels, limits), "excel"), "sheets")
+        worksheets = sheets.filter(F.col("path").isNotNull())
+        strings = of_format(parts.filter(F.col("path") == X.SHARED_STRINGS), "excel").select(
+            "package", "path", F.lit(1).alias("step")
+        )
+        steps += [strings, worksheets.select("package", "path", (F.col("ord") + 1).alias("step"))]
+
+    needed = reduce(DataFrame.unionByName, steps)
     failures = stage(summary_failures(needed, parts, read_errors, events), "failures")
     sound = form.join(failures, "package", "left_anti")
 
@@ -140,23 +152,27 @@ def document_summaries(
         chosen = sound.filter(F.col("format") == name).select("package")
         return rows.join(chosen, "package", "left_semi")
 
-    slide_rows = S.ppt_slides(slides, rels, of_parts(slides), of_parts(notes))
-    sheet_events = of_parts(worksheets)
-    cells = stage(X.worksheet_cells(sheet_events), "cells")
-    # Only the cells that are shown need their strings.
-    shown = X.resolve_shared(
-        cells.filter(F.col("ord") <= X.SAMPLE_CELLS), X.shared_strings(of_parts(strings), limits)
-    )
-    document_events = main_events.filter(F.col("path") == D.DOCUMENT)
-    headings = D.heading_outline(document_events, limits)
-    lines = (
-        S.ppt_summary(kept(main, "ppt"), kept(slide_rows, "ppt"))
-        .unionByName(
+    reports = [bare_lines(main)]
+    if "ppt" in present:
+        slide_rows = S.ppt_slides(slides, rels, of_parts(slides), of_parts(notes))
+        reports.append(S.ppt_summary(kept(main, "ppt"), kept(slide_rows, "ppt")))
+    if "word" in present:
+        document_events = main_events.filter(F.col("path") == D.DOCUMENT)
+        headings = D.heading_outline(document_events, limits)
+        reports.append(
             D.word_summary(
                 kept(main, "word"), D.word_counts(document_events), kept(headings, "word"), rels
             )
         )
-        .unionByName(
+    if "excel" in present:
+        sheet_events = of_parts(worksheets)
+        cells = stage(X.worksheet_cells(sheet_events), "cells")
+        # Only the cells that are shown need their strings.
+        shown = X.resolve_shared(
+            cells.filter(F.col("ord") <= X.SAMPLE_CELLS),
+            X.shared_strings(of_parts(strings), limits),
+        )
+        reports.append(
             X.excel_summary(
                 kept(main, "excel"),
                 kept(sheets, "excel"),
@@ -164,7 +180,7 @@ def document_summaries(
                 X.cell_sample(shown),
             )
         )
-    )
+    lines = reduce(DataFrame.unionByName, reports[1:] or reports)
     message = F.concat(F.lit("summary parser rejected package XML: "), F.col("reason"))
     return bounded_lines(lines, limits), diagnostic(
         failures, "Error", "summary", F.lit(None), message
