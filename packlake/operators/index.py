@@ -144,10 +144,26 @@ def dedupe_first_wins(entries: DataFrame, limits: Limits = DEFAULT) -> DataFrame
 
 
 def part_contents(entries: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """Entries with bytes as read parts `(package, ord, path, archive_name, is_dir, content,
-    read_error)`. Row-local: bytes are not shuffled."""
+    """Entries with bytes as read parts `(package, ord, path, archive_name, is_dir, size,
+    content, read_error)`. Row-local: bytes are not shuffled."""
     return first_entries(depth_guard(named_entries(entries), limits)).select(
-        "package", "ord", "path", "archive_name", "is_dir", "content", "read_error"
+        "package", "ord", "path", "archive_name", "is_dir", "size", "content", "read_error"
+    )
+
+
+def _within_metadata_limit(contents: DataFrame, limits: Limits) -> DataFrame:
+    """Metadata parts have a lower read limit, whatever the entries were read with."""
+    cap = limits.metadata_bytes
+    declared = F.when(
+        F.col("size") > cap,
+        F.concat(
+            F.lit("entry declares "), F.col("size").cast("string"), F.lit(f" bytes; limit is {cap}")
+        ),
+    )
+    actual = F.when(F.octet_length("content") > cap, f"entry exceeds {cap} byte read limit")
+    error = F.coalesce(declared, "read_error", actual)
+    return contents.withColumn("read_error", error).withColumn(
+        "content", F.when(F.col("read_error").isNull(), F.col("content"))
     )
 
 
@@ -440,9 +456,8 @@ def build_index(
 
     # Only rows with a metadata name are looked at for bytes.
     lowered = ascii_lower("archive_name")
-    metadata = part_contents(
-        opened.filter(lowered.endswith(".rels") | lowered.contains(CONTENT_TYPES)), limits
-    )
+    named_so = opened.filter(lowered.endswith(".rels") | lowered.contains(CONTENT_TYPES))
+    metadata = _within_metadata_limit(part_contents(named_so, limits), limits)
     type_contents = metadata.filter(_is_content_types())
     rels_contents = metadata.filter(_is_relationships()).withColumn("source", _described_part())
     type_events = stage(

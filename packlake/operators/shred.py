@@ -136,11 +136,12 @@ def _tokenise(data: bytes, keep: frozenset[str] | None, with_text: bool) -> Iter
 def shred_xml(
     parts: DataFrame, names: list[str] | None = None, with_text: bool = True
 ) -> DataFrame:
-    """`(package, path, content)` to tokens Start/Empty/End/Text, or one Error row.
+    """`(package, path, content[, read_error])` to tokens Start/Empty/End/Text, or one Error row.
 
     `names` keeps element tokens with these local names only: the projection a query needs,
     applied while tokenising. Empty elements are told from start tags. CDATA, comments and
-    processing instructions give no row. A null `content` gives no row.
+    processing instructions give no row. A null `content` gives an Unread row with its
+    `read_error`, or none.
     """
     keep = frozenset(names) if names is not None else None
 
@@ -149,9 +150,12 @@ def shred_xml(
         for batch in batches:
             for row in range(batch.num_rows):
                 content = batch.column(2)[row].as_py()
+                key = (batch.column(0)[row].as_py(), batch.column(1)[row].as_py())
                 if content is None:
+                    problem = batch.column(3)[row].as_py()
+                    if problem is not None:
+                        held.append(key + (0, "Unread", None, None, 0, [], problem))
                     continue
-                key = (batch.column(0)[row].as_py(), batch.column(1)[row].as_py())
                 for tokens in _tokenise(content, keep, with_text):
                     held.extend(key + token for token in tokens)
                     if len(held) >= _FLUSH_ROWS:
@@ -160,9 +164,10 @@ def shred_xml(
         if held:
             yield _event_batch(held)
 
-    return parts.select("package", "path", F.col("content").cast("binary")).mapInArrow(
-        shred, EVENT_SCHEMA
-    )
+    known = "read_error" in parts.columns
+    read_error = F.col("read_error") if known else F.lit(None).cast("string").alias("read_error")
+    content = F.col("content").cast("binary").alias("content")
+    return parts.select("package", "path", content, read_error).mapInArrow(shred, EVENT_SCHEMA)
 
 
 def _event_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -175,6 +180,14 @@ def tokens_of(events: DataFrame, *names: str) -> DataFrame:
     return events.filter((F.col("event") == "Text") | F.col("local").isin(*names))
 
 
+def part_failures(events: DataFrame) -> DataFrame:
+    """Parts that could not be read or are not well-formed."""
+    unread = events.filter(F.col("event") == "Unread").select(
+        "package", "path", F.col("text").alias("message")
+    )
+    return unread.unionByName(xml_errors(events))
+
+
 def xml_errors(events: DataFrame) -> DataFrame:
     """Parts that are not well-formed."""
     return events.filter(F.col("event") == "Error").select(

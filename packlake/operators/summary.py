@@ -13,7 +13,7 @@ from packlake.operators import word as D
 from packlake.operators import workbook as X
 from packlake.operators.index import Stage, diagnostic
 from packlake.operators.report import bounded_lines
-from packlake.operators.shred import shred_xml, xml_errors
+from packlake.operators.shred import part_failures, shred_xml
 from packlake.session import staged
 
 # Main part by format, in order of precedence.
@@ -42,50 +42,30 @@ def main_parts(parts: DataFrame) -> DataFrame:
     return detect_format(parts).filter(F.col("format").isNotNull()).withColumn("path", table)
 
 
-def summary_failures(
-    needed: DataFrame, parts: DataFrame, read_errors: DataFrame, events: DataFrame
-) -> DataFrame:
+def summary_failures(needed: DataFrame, parts: DataFrame, events: DataFrame) -> DataFrame:
     """First failure per package: a needed part that is missing, unreadable or malformed.
 
     `needed` is `(package, path, step)`, `step` being the order in which the parts are read.
     """
-    broken = xml_errors(events).withColumnRenamed("message", "broken")
     there = parts.select("package", "path", F.lit(True).alias("there"))
-    reason = F.coalesce(
-        F.when(F.col("there").isNull(), F.concat(F.lit("part not found: "), F.col("path"))),
-        F.col("read_error"),
-        F.col("broken"),
-    )
+    missing = F.when(F.col("there").isNull(), F.concat(F.lit("part not found: "), F.col("path")))
     return (
         needed.join(there, ["package", "path"], "left")
-        .join(read_errors.select("package", "path", "read_error"), ["package", "path"], "left")
-        .join(broken, ["package", "path"], "left")
-        .withColumn("reason", reason)
+        .join(part_failures(events), ["package", "path"], "left")
+        .withColumn("reason", F.coalesce(missing, F.col("message")))
         .filter(F.col("reason").isNotNull())
         .groupBy("package")
         .agg(F.min_by("reason", "step").alias("reason"))
     )
 
 
-def readable_parts(contents: DataFrame) -> DataFrame:
-    """Adds to the `read_error` of `part_contents` that a part cannot be XML at all.
-
-    Media and other bytes are told by their first byte, without leaving the JVM.
-    """
-    first = F.hex(F.substring("content", 1, 1))
-    markup = first.isin("3C", "EF", "FF", "FE", "20", "09", "0A", "0D")
-    none = F.concat(F.col("path"), F.lit(": malformed XML: no element found"))
-    return contents.filter(~F.col("is_dir")).withColumn(
-        "read_error", F.coalesce("read_error", F.when(~F.coalesce(markup, F.lit(False)), none))
-    )
-
-
 def summary_tokens(contents: DataFrame) -> DataFrame:
-    """The tokens summaries need, of all readable parts, in one pass and without moving bytes.
+    """The tokens summaries need, of all parts given, in one pass and without moving bytes.
 
-    They are read by several operators: write or persist them before `document_summaries`.
+    `contents` are `part_contents`, best of entries read with `only_markup`. The tokens are read
+    by several operators: write or persist them before `document_summaries`.
     """
-    return shred_xml(contents.filter(F.col("read_error").isNull()), names=SUMMARY_NAMES)
+    return shred_xml(contents.filter(~F.col("is_dir")), names=SUMMARY_NAMES)
 
 
 def bare_lines(main: DataFrame) -> DataFrame:
@@ -102,14 +82,12 @@ def document_summaries(
     parts: DataFrame,
     rels: DataFrame,
     events: DataFrame,
-    read_errors: DataFrame,
     limits: Limits = DEFAULT,
     stage: Stage = staged,
 ) -> tuple[DataFrame, DataFrame]:
     """`(report lines, diagnostics)` for all packages of a known format.
 
-    `events` are the `summary_tokens` of the XML parts, `read_errors` `(package, path,
-    read_error)` of parts that could not be read. One bad part fails the summary of its
+    `events` are the `summary_tokens` of the packages. One bad part fails the summary of its
     package, never the job. `stage` keeps the lists of main parts, slides and sheets, the cells
     and the failures, which several branches read.
     """
@@ -145,7 +123,7 @@ def document_summaries(
         steps += [strings, worksheets.select("package", "path", (F.col("ord") + 1).alias("step"))]
 
     needed = reduce(DataFrame.unionByName, steps)
-    failures = stage(summary_failures(needed, parts, read_errors, events), "failures")
+    failures = stage(summary_failures(needed, parts, events), "failures")
     sound = form.join(failures, "package", "left_anti")
 
     def kept(rows: DataFrame, name: str) -> DataFrame:

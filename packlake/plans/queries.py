@@ -466,18 +466,18 @@ def ppt_slides(t: Tables) -> DataFrame:
     )
 
 
-def _summary_inputs(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Index tables and tokens of packages made from `files`, through the container."""
-    entries = staged(explode_packages(pack_zip(files), with_content=True), "entries")
-    index = I.build_index(entries)
+def _summary_inputs(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Index tables and tokens of packages made from `files`, through the container.
+
+    Two passes over the packages, so that no inflated part is ever written.
+    """
+    packages = staged(pack_zip(files), "packages")
+    index = I.build_index(staged(explode_packages(packages), "entries"))
     parts = staged(index["parts"], "parts")
     rels = staged(index["relationships"], "relationships")
-    contents = summary.readable_parts(I.part_contents(entries))
-    errors = contents.filter(F.col("read_error").isNotNull()).select(
-        "package", "path", "read_error"
-    )
-    tokens = staged(summary.summary_tokens(contents), "tokens")
-    return parts, rels, tokens, errors
+    opened = explode_packages(packages, with_content=True, only_markup=True)
+    tokens = staged(summary.summary_tokens(I.part_contents(opened)), "tokens")
+    return parts, rels, tokens
 
 
 def _summary_lines(files: DataFrame) -> DataFrame:

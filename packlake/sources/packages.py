@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from packlake.limits import DEFAULT, Limits
 
 PACKAGE_GLOB = "*.{pptx,docx,xlsx}"
-OLE_MAGIC = "D0CF11E0A1B11AE1"
+NO_MARKUP = "malformed XML: no element found"
+MARKUP_STARTS = {bytes([b]) for b in b"<\xef\xff\xfe \t\n\r"}
 
 ENTRY_SCHEMA = (
     "package string, ord int, archive_name string, is_dir boolean, size bigint, "
@@ -42,6 +43,7 @@ _ARROW_ENTRY = pa.schema(
 )
 _FLUSH_BYTES = 16 * 1024 * 1024
 _FLUSH_ROWS = 4096
+_INT64 = 2**63 - 1
 
 
 def scan_packages(
@@ -111,6 +113,17 @@ def bounded_read(
     return data, None
 
 
+def _starts_like_markup(blob: bytes, info: zipfile.ZipInfo) -> bool:
+    """Looks at the first byte only: `<`, white space or a byte order mark."""
+    try:
+        raw = _raw_entry(blob, info)
+        if info.compress_type == zipfile.ZIP_DEFLATED:
+            raw = zlib.decompressobj(-15).decompress(raw, 1)
+        return bytes(raw[:1]) in MARKUP_STARTS
+    except (ValueError, zlib.error, struct.error):
+        return True  # the full read says what is wrong
+
+
 def _is_metadata(name: str) -> bool:
     lowered = name.lower()
     return lowered.endswith(".rels") or "[content_types].xml" in lowered
@@ -138,6 +151,7 @@ def _over_limits(infos: list[zipfile.ZipInfo], limits: Limits) -> str | None:
 def explode_packages(
     packages: DataFrame,
     with_content: bool = False,
+    only_markup: bool = False,
     parts: str | None = None,
     limits: Limits = DEFAULT,
     limit: int | None = None,
@@ -149,6 +163,7 @@ def explode_packages(
 
     `parts` names an `ARRAY<INT>` column of `packages` with the entry positions to inflate;
     without it all entries are inflated if `with_content`, else only the metadata parts.
+    `only_markup` leaves media and other entries that cannot be XML by their first byte packed.
     A container that cannot be opened, or is over the archive limits (tested before anything is
     inflated), gives one row with `ord = -1` and `read_error`. So a package has at most
     `limits.entry_count` entries from here on.
@@ -183,7 +198,10 @@ def explode_packages(
                         if ord_ in wanted:
                             content, read_error = bounded_read(blob, info, cap)
                     elif with_content and not is_dir:
-                        content, read_error = bounded_read(blob, info, cap)
+                        if only_markup and not _starts_like_markup(blob, info):
+                            read_error = NO_MARKUP
+                        else:
+                            content, read_error = bounded_read(blob, info, cap)
                     elif not with_content and _is_metadata(name):
                         content, read_error = bounded_read(blob, info, metadata_cap)
                     held += len(content or b"")
@@ -195,7 +213,7 @@ def explode_packages(
                             name,
                             is_dir,
                             info.file_size,
-                            info.compress_size,
+                            min(info.compress_size, _INT64),
                             content,
                             read_error,
                             seen[path],

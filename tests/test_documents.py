@@ -181,13 +181,12 @@ def test_slide_titles(spark):
 
 
 def _summaries(spark, *named):
-    entries = staged(explode_packages(packages(spark, *named), with_content=True), "entries")
-    index = I.build_index(entries)
-    contents = summary.readable_parts(I.part_contents(entries))
-    errors = contents.filter("read_error is not null").select("package", "path", "read_error")
-    tokens = staged(summary.summary_tokens(contents), "tokens")
+    df = packages(spark, *named)
+    index = I.build_index(staged(explode_packages(df), "entries"))
+    opened = explode_packages(df, with_content=True, only_markup=True)
+    tokens = staged(summary.summary_tokens(I.part_contents(opened)), "tokens")
     return summary.document_summaries(
-        staged(index["parts"], "parts"), staged(index["relationships"], "rels"), tokens, errors
+        staged(index["parts"], "parts"), staged(index["relationships"], "rels"), tokens
     )
 
 
@@ -226,6 +225,7 @@ def test_presentation_report(spark):
     assert set(reasons) == {"bad", "media", "lost"}
     assert "/odd/place.bin: malformed XML" in reasons["bad"]
     assert reasons["lost"].endswith("part not found: /odd/notes")
+    assert reasons["media"].endswith("malformed XML: no element found")
 
 
 def test_word_and_excel_reports(spark):

@@ -161,6 +161,18 @@ def test_malformed_content_types_are_discarded(spark):
     assert one(index["diagnostics"], "stage", "part") == ("content-types", "/[Content_Types].xml")
 
 
+def test_metadata_has_its_own_limit(spark):
+    big = rels_xml(("r1", "main", "x" * 200))
+    blob = zip_bytes([("_rels/.rels", big), ("x.xml", b"<x/>")])
+    limits = Limits(metadata_bytes=100)
+    for with_content in (True, False):
+        entries = explode_packages(packages(spark, ("p", blob)), with_content=with_content, limits=limits)
+        index = I.build_index(entries, limits)
+        assert index["relationships"].count() == 0
+        message = one(index["diagnostics"], "stage", "part", "message")
+        assert message == ("relationships", "/_rels/.rels", f"entry declares {len(big)} bytes; limit is 100")
+
+
 def test_read_part_opens_only_what_is_asked(spark):
     blob = zip_bytes([("a.xml", b"<a/>"), ("b.xml", b"<bb/>")])
     df = packages(spark, ("p", blob), ("q", blob))
