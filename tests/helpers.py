@@ -4,8 +4,6 @@ import io
 import struct
 import zipfile
 
-from pyspark.sql import functions as F
-
 
 def xml_parts(spark, *rows):
     """Rows `(package, path, xml)` as read parts."""
@@ -67,7 +65,3 @@ def rels_xml(*links):
         for i, t, x, *m in links
     )
     return f"<Relationships>{body}</Relationships>".encode()
-
-
-def binary(c):
-    return F.lit(c)

@@ -3,7 +3,6 @@ import warnings
 import zipfile
 
 from helpers import one, packages, rels_xml, rows, zip_bytes
-from pyspark.sql import functions as F
 
 from packlake.limits import Limits
 from packlake.operators import index as I

@@ -1,8 +1,7 @@
-import itertools
 import struct
 
 import pytest
-from helpers import one, packages, rows, zip_bytes
+from helpers import one, rows, zip_bytes
 from pyspark.sql import functions as F
 
 from packlake.functions import media as M
