@@ -10,7 +10,9 @@ sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "tools"))
 
 from check import TABLES, rows_of  # noqa: E402
 
-from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from __spark_entry__ import entry  # noqa: E402
+from packlake.plans.oracles import ORACLES  # noqa: E402
+from packlake.plans.queries import QUERIES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -26,17 +28,17 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
-    df = queries()[name](spark, FOLDER)
-    cursor = db.execute(oracle_sql()[name])
+    df = QUERIES[name](spark, FOLDER)
+    cursor = db.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     want = rows_of(columns, cursor.fetchall())
