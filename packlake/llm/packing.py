@@ -28,28 +28,13 @@ CACHE_ENTRIES = 400_000
 SPECIAL = "<|endoftext|>"
 
 
-class Words(dict):
-    """Encoded words; a word with white space at an end maps to None, as it depends on its neighbours."""
-
-    def __init__(self, encode, lead: str):
-        super().__init__()
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, word: str) -> bytes | None:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        found = self.encode(self.lead + word) if word and word == word.strip() else None
-        self[word] = found
-        return found
-
-
 class Encoder:
     """Text to its ids as little-endian unsigned 32-bit values; None or empty text to none.
 
-    A word boundary is always a boundary of the tokenizer's pre-tokens when single spaces or line
-    feeds stand between what is not white space, so texts are encoded word by word from a cache, other
-    texts whole. Words are encoded by a byte-pair encoder of the same vocabulary, texts with the
-    special token by the tokenizer itself.
+    A text is cut before each space and line feed into words, " word" or "\\nword". Where no other white
+    space stands at a cut, it is always a boundary of the tokenizer's pre-tokens, so each word has its
+    own ids, which are kept in a cache; other texts are encoded whole. Ids come from a byte-pair encoder
+    of the tokenizer's own vocabulary, in texts with the special token from the tokenizer itself.
     """
 
     def __init__(self, tokenizer: str, ranks: str, pattern: str):
@@ -59,9 +44,11 @@ class Encoder:
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.plain = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.sizes = np.zeros(max(table.values(), default=0) + 1, np.int64)
+        for token, k in table.items():
+            self.sizes[k] = len(token)
         self.path, self.full, self.load = tokenizer, None, Tokenizer.from_file
-        self.inner, self.first = Words(self.whole, " "), Words(self.whole, "")
-        self.newline = self.whole("\n")
+        self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         if SPECIAL in text:
@@ -71,20 +58,38 @@ class Encoder:
             ids = self.plain.encode_ordinary(text)
         return np.array(ids, "<u4").tobytes()
 
+    def learn(self, words: list[str]) -> bool:
+        """Puts the ids of words into the cache, unless one of them depends on its neighbours."""
+        for word in words:
+            body = word[1:] if word[:1] == "\n" else word
+            if not body or body != body.strip():
+                return False
+        texts = [word if word[0] == "\n" else " " + word for word in words]
+        ids = np.array(self.plain.encode_ordinary("".join(texts)), "<u4")
+        ends = np.cumsum([len(text.encode()) for text in texts])
+        cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()]
+        raw = ids.tobytes()
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        self.known.update(zip(words, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+        return True
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        out, inner = [], self.inner
-        try:
-            for line in text.split("\n"):
-                words = line.split(" ")
-                out.append(self.first[words[0]])
-                out.extend(map(inner.__getitem__, words[1:]))
-                out.append(self.newline)
-            out.pop()
-            return b"".join(out)
-        except TypeError:  # a word without an encoding of its own
+        if SPECIAL in text or text[0].isspace():
+            return self.whole(text)
+        first, *words = text.replace("\n", " \n").split(" ")
+        found = list(map(self.known.get, words))
+        if None in found:
+            if not self.learn([w for w, ids in zip(words, found) if ids is None]):
+                return self.whole(text)
+            found = list(map(self.known.get, words))
+            if None in found:  # the cache was emptied meanwhile
+                return self.whole(text)
+        if not first or first != first.strip():
             return self.whole(text)
+        return self.whole(first) + b"".join(found)
 
 
 class Packer:
