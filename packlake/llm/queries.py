@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlake.llm import packing, quality, toxicity
-from packlake.llm.common import is_held_out, table
+from packlake.llm import langid, lm_scoring, packing, quality, toxicity
+from packlake.llm.common import is_held_out, remainder, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # Only ids with a remainder are learned from; a null id has none.
+    docs = docs.select("doc_id", "text", is_held_out("doc_id", 10).alias("held_out"))
+    return lm_scoring.score(docs, learn=remainder("doc_id", 10) != 0)
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, *langid.train(docs.where(remainder("doc_id", 4) != 2)))
+    return found.select("doc_id", is_held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.cascade(table(spark, sf_dir, "documents"), features=True)
     return judged.select(
@@ -44,5 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_packing": op4_packing,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_language": op9_language,
     "op10_quality": op10_quality,
 }
