@@ -121,10 +121,11 @@ def identify(docs: DataFrame, langs: list[str], walk: ppm.Walk | None, table: np
     code lengths the first name wins. Repeated rows are judged one by one, a null id stays null.
     """
     docs = docs.select("doc_id", "text")
-    model = docs.sparkSession.sparkContext.broadcast((langs, walk, table))
+    model = docs.sparkSession.sparkContext.broadcast((langs, walk and walk.plain(), table))
 
     def run(batches):
         langs, walk, table = model.value
+        walk = walk and ppm.Walk(*walk)
         for batch in batches:
             texts = utf8(batch, "text")
             real = [k for k, text in enumerate(texts) if langs and text is not None and has_letter(text)]

@@ -83,10 +83,11 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER, nodes: int = NODES
     known = {bytes(w): (math.log10(n + scale) - unit, n) for w, n in words.where(common).collect()}
     rows = ppm.trie_rows(found.where("gram IS NOT NULL").select("gram", "n"), order, nodes).toPandas()
     walk, table = ppm.build(rows["k"].to_numpy(), rows["gram"].to_numpy(), rows["n"].to_numpy(), order)
-    model = spark.sparkContext.broadcast((known, walk, table))
+    model = spark.sparkContext.broadcast((known, walk.plain(), table))
 
     def run(batches):
         known, walk, table = model.value
+        walk = ppm.Walk(*walk)
         number = TaskContext.get().partitionId() << 36
         kind = None
         for batch in batches:

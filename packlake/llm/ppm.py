@@ -110,6 +110,10 @@ class Walk:
     code: np.ndarray  # symbol to code
     child: np.ndarray
 
+    def plain(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """For a broadcast, which tasks read without this package."""
+        return self.order, self.code, self.child
+
     def nodes(self, codes: np.ndarray) -> np.ndarray:
         """The longest known context before each position of `codes`."""
         width = self.child.shape[1]
