@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlake.llm import langid, lm_scoring, packing, quality, toxicity
+from packlake.llm import langid, lm_scoring, neardup, packing, quality, toxicity
 from packlake.llm.common import is_held_out, remainder, table
 
 
@@ -27,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     return packing.pack(
@@ -56,6 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_packing": op4_packing,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_language": op9_language,
