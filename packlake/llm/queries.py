@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlake.llm import langid, lm_scoring, neardup, packing, quality, toxicity
+from packlake.llm import decontaminate, langid, lm_scoring, neardup, packing, quality, secrets, toxicity
 from packlake.llm.common import is_held_out, remainder, table
 
 
@@ -27,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -38,6 +42,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    found = secrets.findings(*secrets.update(docs))
+    named = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [
+        F.size(F.filter("found", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        for kind in ("assign", "access", "hex")
+    ]
+    # All rules are base rules, so the base spans are all spans.
+    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(named, 256).alias("base_sha256"), named.alias("spans"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # Only ids with a remainder are learned from; a null id has none.
@@ -60,8 +76,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_decontamination": op2_decontamination,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_packing": op4_packing,
+    "op7_secrets": op7_secrets,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
