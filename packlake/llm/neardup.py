@@ -323,3 +323,26 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     )
     alone = rows.where("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return grouped.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+#: Rows of (doc_id) up to which a table is sent to all executors.
+BROADCAST_ROWS = 1_000_000
+
+
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, with all their columns, that `groups` keeps; of equal ids and sets one row.
+
+    Rows with a null doc_id, or without words, all stay.
+    """
+    found = staged(groups(docs, size, percent).select("doc_id", "kept"), "groups")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = staged(gone, "gone")
+    marked = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = docs.join(marked, docs["doc_id"].cast("long") == marked["gone"], "left_anti")
+    if again.isEmpty():
+        return kept
+    again = staged(again.select(F.col("doc_id").alias("again")), "again")
+    twice = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    same = kept["doc_id"].cast("long") == twice["again"]
+    return kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
