@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlake.llm import decontaminate, langid, lm_scoring, neardup, packing, quality, secrets, toxicity
+from packlake.llm import decontaminate, langid, lm_scoring, neardup, packing, quality, secrets, toxicity, warc
 from packlake.llm.common import is_held_out, remainder, table
 
 
@@ -43,6 +43,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
     found = secrets.findings(*secrets.update(docs))
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_packing": op4_packing,
+    "op6_warc": op6_warc,
     "op7_secrets": op7_secrets,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_language": op9_language,
