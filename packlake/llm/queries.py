@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlake.llm import decontaminate, langid, lm_scoring, neardup, packing, quality, secrets, toxicity, warc
+from packlake.llm import decontaminate, html_extract, langid, lm_scoring, neardup, packing, quality, secrets, toxicity, warc
 from packlake.llm.common import is_held_out, remainder, table
 
 
@@ -43,6 +43,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_packing": op4_packing,
+    "op5_html": op5_html,
     "op6_warc": op6_warc,
     "op7_secrets": op7_secrets,
     "op8_lm_scoring": op8_lm_scoring,
