@@ -196,7 +196,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
 
 
 #: Members of a bucket in one block; larger buckets are compared block by block. Bounds memory.
-BLOCK = 256
+BLOCK = 512
 
 
 def compare_blocks(members: DataFrame, size: int, percent: int) -> DataFrame:
@@ -303,12 +303,12 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    full = sets.select("rep", "n", "signature").join(texts, "rep")
     members = (
         labelled.join(open_keys.select("key"), "key", "left_semi")
         .select("key", "rep", "label", block.alias("block"), other.alias("other"))
         .select("key", "rep", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(sets.select("rep", "n", "signature"), "rep")
-        .join(texts, "rep")
+        .join(full, "rep")
     )
     more = staged(compare_blocks(members, size, percent), "links")
     # A doc_id with different texts links the groups of all of them.
