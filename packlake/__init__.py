@@ -1,5 +1,5 @@
 """Analytics over corpora of zipped XML document packages, as Spark jobs."""
 
-from packlake.limits import Limits
+from packlake.limits import SCREEN, Limits
 
-__all__ = ["Limits"]
+__all__ = ["SCREEN", "Limits"]

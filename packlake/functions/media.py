@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from packlake.functions.paths import is_image_name, is_xml_content_type, is_xml_name, path_extension
 from packlake.functions.text import ascii_lower, col, is_probably_text, utf8_text
-from packlake.limits import DEFAULT, Limits
+from packlake.limits import DEFAULT, Limits, bound
 
 # Fixed values.
 FONT_EXTENSIONS = ["ttf", "otf", "woff", "woff2", "eot"]
@@ -114,7 +114,7 @@ def binary_info(name, category, content_type, size, compressed_size) -> Column:
 def hex_lines(content, limits: Limits = DEFAULT) -> Column:
     """Array of dump lines: offset, 16 bytes in two groups, printable characters."""
     content = col(content).cast("binary")
-    shown = F.least(F.octet_length(content), F.lit(limits.hex_bytes))
+    shown = F.least(F.octet_length(content), F.lit(min(bound(limits.hex_bytes), 2**31 - 1)))
 
     def dump(at: Column) -> Column:
         chunk = F.substring(content, at + 1, F.least(F.lit(16), shown - at))
@@ -140,7 +140,7 @@ def truncation_notice(content, limits: Limits = DEFAULT) -> Column:
     """Notice for a dump that does not show all bytes; null if it does."""
     size = F.octet_length(col(content).cast("binary"))
     return F.when(
-        size > limits.hex_bytes,
+        size > bound(limits.hex_bytes),
         F.concat(
             F.lit(f"[preview truncated: showing {limits.hex_bytes} of "),
             size.cast("string"),

@@ -7,8 +7,6 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from packlake.limits import DEFAULT
-
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -23,9 +21,14 @@ def equals_ascii_ci(c: Column | str, value: str) -> Column:
     return ascii_lower(c) == F.lit(value.lower())
 
 
-def clean_text(c: Column | str, cap: int = DEFAULT.text_chars) -> Column:
-    """Collapse runs of Unicode whitespace to one space, strip, cap in characters."""
-    return F.substring(F.trim(F.regexp_replace(col(c), r"(?U)\s+", " ")), 1, cap)
+def prefix(c: Column | str, cap: int | None) -> Column:
+    """First `cap` characters; all without a cap."""
+    return col(c) if cap is None else F.substring(col(c), 1, cap)
+
+
+def clean_text(c: Column | str, cap: int | None = None) -> Column:
+    """Collapse runs of Unicode whitespace to one space, strip, cap in characters if asked."""
+    return prefix(F.trim(F.regexp_replace(col(c), r"(?U)\s+", " ")), cap)
 
 
 def compact_text(c: Column | str, n: int) -> Column:

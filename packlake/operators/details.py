@@ -166,14 +166,15 @@ def dangling_relationships(rels: DataFrame, parts: DataFrame) -> DataFrame:
     share is split by the adaptive skew join.
     """
     nodes = tree_nodes(parts).select("package", F.col("node").alias("resolved_target"))
-    linked = rels.filter(F.col("resolved_target").isNotNull())
+    # External targets alone are unresolved; asking for their mode keeps the path fold out of the filter.
+    linked = rels.filter(F.col("target_mode") == "Internal")
     return linked.join(nodes, ["package", "resolved_target"], "left_anti")
 
 
 def relationship_targets(rels: DataFrame) -> DataFrame:
     """Per `(package, source, id)` the first relationship that has a resolved target."""
     return (
-        rels.filter(F.col("resolved_target").isNotNull())
+        rels.filter(F.col("target_mode") == "Internal")
         .groupBy("package", "source", "id")
         .agg(F.min_by("resolved_target", "rel_ord").alias("path"))
     )

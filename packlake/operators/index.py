@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from packlake.functions import paths as P
 from packlake.functions.text import ascii_lower, equals_ascii_ci
 from packlake.functions.xml import is_element, xml_attr
-from packlake.limits import DEFAULT, Limits
+from packlake.limits import DEFAULT, Limits, bound
 from packlake.operators.shred import shred_xml, xml_errors
 from packlake.session import staged
 
@@ -39,19 +39,19 @@ def archive_limits(entries: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     All entries count, also those ignored later. Sizes are clipped just above the limit, so
     the sum cannot overflow and the comparison stays exact.
     """
-    clipped = F.least(F.col("size"), F.lit(limits.total_bytes + 1))
+    clipped = F.least(F.col("size"), F.lit(bound(limits.total_bytes) + 1))
     totals = entries.groupBy("package").agg(
         F.count(F.lit(1)).alias("n_entries"), F.sum(clipped).alias("declared")
     )
     message = F.when(
-        F.col("n_entries") > limits.entry_count,
+        F.col("n_entries") > bound(limits.entry_count),
         F.concat(
             F.lit("archive has "),
             F.col("n_entries").cast("string"),
             F.lit(f" entries; limit is {limits.entry_count}"),
         ),
     ).when(
-        F.col("declared") > limits.total_bytes,
+        F.col("declared") > bound(limits.total_bytes),
         f"declared uncompressed size exceeds {limits.total_bytes} bytes",
     )
     return (
@@ -90,7 +90,7 @@ def _has_path() -> Column:
 
 def _too_deep(limits: Limits) -> Column:
     # `path` has one leading slash, so its slash count is its component count.
-    return P.path_depth("path") - 1 > limits.path_depth
+    return P.path_depth("path") - 1 > bound(limits.path_depth)
 
 
 def collisions(named: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def part_contents(entries: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
 
 def _within_metadata_limit(contents: DataFrame, limits: Limits) -> DataFrame:
     """Metadata parts have a lower read limit, whatever the entries were read with."""
-    cap = limits.metadata_bytes
+    cap = bound(limits.metadata_bytes)
     declared = F.when(
         F.col("size") > cap,
         F.concat(
@@ -348,7 +348,7 @@ def outgoing(rels: DataFrame) -> DataFrame:
 def incoming(rels: DataFrame) -> DataFrame:
     """Number of relationships by resolved target; external ones have none."""
     return (
-        rels.filter(F.col("resolved_target").isNotNull())
+        rels.filter(F.col("target_mode") == "Internal")
         .groupBy("package", F.col("resolved_target").alias("path"))
         .agg(F.count(F.lit(1)).alias("n_in"))
     )

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packlake.functions.text import ascii_lower, clean_text
+from packlake.functions.text import ascii_lower, clean_text, prefix
 from packlake.functions.xml import is_element, xml_attr
-from packlake.limits import DEFAULT, Limits
+from packlake.limits import DEFAULT, Limits, bound
 from packlake.operators.details import relationship_count, relationship_target_for_id
 from packlake.operators.report import line, numbered
 from packlake.operators.shred import joined_text, running, shred_xml, tokens_of
@@ -31,7 +31,7 @@ def slide_order(events: DataFrame, rels: DataFrame, limits: Limits = DEFAULT) ->
         relationship_target_for_id(ids.filter(F.col("id").isNotNull()), rels)
         .filter(F.col("path").isNotNull())
         .withColumn("slide_no", F.row_number().over(w))
-        .filter(F.col("slide_no") <= limits.summary_items)
+        .filter(F.col("slide_no") <= bound(limits.summary_items))
         .select("package", "slide_no", "path")
     )
 
@@ -64,7 +64,7 @@ def slide_title(events: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
         .filter("titled")
         .groupBy("package", "path", "shape")
         .agg(joined_text().alias("text"))
-        .withColumn("title", clean_text(F.substring("text", 1, limits.text_chars)))
+        .withColumn("title", clean_text(prefix("text", limits.text_chars), limits.text_chars))
         .filter("title <> ''")
     )
     return titled.groupBy("package", "path").agg(F.min_by("title", "shape").alias("title"))
@@ -73,8 +73,11 @@ def slide_title(events: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
 def all_text(events: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """All text of a part, concatenated. `events` must hold the Text tokens.
 
-    Pieces beyond the character cap are dropped by a running length before they are gathered.
+    With a character cap, pieces beyond it are dropped by a running length before they are gathered.
     """
+    texts = events.filter(F.col("event") == "Text")
+    if limits.text_chars is None:
+        return texts.groupBy("package", "path").agg(joined_text().alias("text"))
     w = (
         Window.partitionBy("package", "path")
         .orderBy("seq")
@@ -82,8 +85,7 @@ def all_text(events: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     )
     length = F.coalesce(F.sum(F.char_length("text")).over(w), F.lit(0))
     return (
-        events.filter(F.col("event") == "Text")
-        .withColumn("before", length)
+        texts.withColumn("before", length)
         .filter(F.col("before") < limits.text_chars)
         .groupBy("package", "path")
         .agg(joined_text().alias("text"))
@@ -96,19 +98,21 @@ def notes_paths(rels: DataFrame) -> DataFrame:
     return (
         rels.filter(
             F.col("relationship_type").endswith("/notesSlide")
-            & F.col("resolved_target").isNotNull()
+            & (F.col("target_mode") == "Internal")
         )
         .groupBy("package", F.col("source").alias("path"))
         .agg(F.min_by("resolved_target", "rel_ord").alias("notes_path"))
     )
 
 
-def slide_notes(slides: DataFrame, rels: DataFrame, note_events: DataFrame) -> DataFrame:
+def slide_notes(
+    slides: DataFrame, rels: DataFrame, note_events: DataFrame, limits: Limits = DEFAULT
+) -> DataFrame:
     """Adds `notes_path` and `notes_text` (null when empty) to slides."""
-    texts = all_text(note_events).select(
+    texts = all_text(note_events, limits).select(
         "package",
         F.col("path").alias("notes_path"),
-        F.nullif(clean_text("text"), F.lit("")).alias("notes_text"),
+        F.nullif(clean_text("text", limits.text_chars), F.lit("")).alias("notes_text"),
     )
     return (
         slides.select("package", "slide_no", "path")
@@ -119,13 +123,17 @@ def slide_notes(slides: DataFrame, rels: DataFrame, note_events: DataFrame) -> D
 
 
 def ppt_slides(
-    slides: DataFrame, rels: DataFrame, title_events: DataFrame, note_events: DataFrame
+    slides: DataFrame,
+    rels: DataFrame,
+    title_events: DataFrame,
+    note_events: DataFrame,
+    limits: Limits = DEFAULT,
 ) -> DataFrame:
     """One row per slide: number, part, title, images, notes."""
     images = relationship_count(rels, "/image").withColumnRenamed("n", "images")
     return (
-        slide_notes(slides, rels, note_events)
-        .join(slide_title(title_events), ["package", "path"], "left")
+        slide_notes(slides, rels, note_events, limits)
+        .join(slide_title(title_events, limits), ["package", "path"], "left")
         .join(images, ["package", "path"], "left")
         .select(
             "package",
@@ -139,7 +147,9 @@ def ppt_slides(
     )
 
 
-def ppt_summary(packages: DataFrame, slide_rows: DataFrame) -> DataFrame:
+def ppt_summary(
+    packages: DataFrame, slide_rows: DataFrame, limits: Limits = DEFAULT
+) -> DataFrame:
     """Report lines `(package, line, text, target)` for each presentation package."""
     counts = slide_rows.groupBy("package").agg(F.count(F.lit(1)).alias("n"))
     head = packages.select("package").join(counts, "package", "left").select(
@@ -179,4 +189,4 @@ def ppt_summary(packages: DataFrame, slide_rows: DataFrame) -> DataFrame:
             )
         ),
     )
-    return numbered(head.unionByName(body), "key")
+    return numbered(head.unionByName(body), "key", limits=limits)

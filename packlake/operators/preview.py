@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packlake.functions import media as M
 from packlake.functions.text import utf8_text
-from packlake.limits import DEFAULT, Limits
-from packlake.operators.shred import xml_error
+from packlake.limits import DEFAULT, Limits, bound
+from packlake.operators.shred import parse_error
 
 
-def limited_output(text: Column, label: str, limit: int) -> Column:
+def limited_output(text: Column, label: str, limit: int | None) -> Column:
     """Error message if `text` is larger than `limit` bytes, else null."""
-    return F.when(F.octet_length(text) > limit, F.lit(f"{label} exceeds {limit} byte limit"))
+    return F.when(F.octet_length(text) > bound(limit), F.lit(f"{label} exceeds {limit} byte limit"))
 
 
 # Hex ----------------------------------------------------------------------------------------
@@ -128,71 +129,63 @@ def json_pretty(parts: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
 # XML ----------------------------------------------------------------------------------------
 
 # Comments, CDATA, processing instructions, declarations, tags, text.
-XML_TOKEN = (
-    r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>\[]*+(?:\[[^\]]*+\][^>\[]*+)?>"
-    r"|<[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>|[^<]++"
+XML_TOKEN = re.compile(
+    r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>\[]*+(?:\[[^\]]*+\][^>\[]*+)?>"
+    r"|<[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>|[^<]++",
+    re.DOTALL,
 )
 
 
+def _layout(source: str, limit: int) -> str | None:
+    """Tokens re-emitted with two-space indent; none over `limit` bytes, which ends the work."""
+    out: list[str] = []
+    level = used = 0
+    after_text = True
+    for token in XML_TOKEN.findall(source):
+        inline = not token.startswith("<") or token.startswith("<![CDATA[")
+        end = token.startswith("</")
+        start = not inline and not end and not token.startswith(("<!", "<?")) and not token.endswith("/>")
+        level -= end
+        breaks = not inline and not after_text
+        used += len(token.encode()) + (2 * level + 1 if breaks else 0)
+        if used > limit:
+            return None
+        if end:
+            token = re.sub(r"[ \t\n\x0b\f\r]+>\Z", ">", token)
+        out.append("\n" + "  " * level + token if breaks else token)
+        level += start
+        after_text = inline
+    return "".join(out)
+
+
 def xml_pretty(parts: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """`(package, path, text, error)`: tokens re-emitted with two-space indent.
+    """`(package, path, text, error)`: tokens re-emitted with two-space indent. Row-local.
 
-    A token goes on its own line unless text came before it; text is kept as it is. Sizes are
-    summed before anything is indented, so deep nesting cannot blow up: a part over the limit
-    gives an error and its text is never built.
+    A token goes on its own line unless text came before it; text is kept as it is. Bytes that are
+    not UTF-8 are replaced before the part is tested and laid out. Sizes are summed before anything
+    is indented, so deep nesting cannot blow up: a part over the limit gives an error.
     """
-    checked = parts.select("package", "path", "content", xml_error("content").alias("broken"))
-    source = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\A\x{FEFF}", "")
-    # A broken part keeps one row, without token.
-    found = F.when(
-        F.col("broken").isNull(), F.regexp_extract_all(source, F.lit(XML_TOKEN), F.lit(0))
-    )
-    tokens = checked.select(
-        "package", "path", "broken", F.posexplode_outer(found).alias("pos", "raw")
-    )
-    raw = F.col("raw")
-    inline = ~raw.startswith("<") | raw.startswith("<![CDATA[")
-    end = raw.startswith("</")
-    start = ~inline & ~end & ~raw.startswith("<!") & ~raw.startswith("<?") & ~raw.endswith("/>")
-    w = Window.partitionBy("package", "path").orderBy("pos")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    level = F.sum(start.cast("int") - end.cast("int")).over(so_far) - start.cast("int")
-    placed = (
-        tokens.withColumn("inline", inline)
-        .withColumn("level", level)
-        .withColumn("breaks", ~inline & ~F.coalesce(F.lag("inline").over(w), F.lit(True)))
-        .withColumn("raw", F.when(end, F.regexp_replace(raw, r"\s+>\z", ">")).otherwise(raw))
-        .withColumn(
-            "bytes",
-            F.octet_length("raw")
-            + F.when(F.col("breaks"), F.col("level") * 2 + 1).otherwise(0),
-        )
-        .withColumn("used", F.sum("bytes").over(so_far))
-    )
-    fits = F.col("used") <= limits.xml_bytes
-    # Tokens past the limit carry no text, only the fact that they are there.
-    shown = F.when(
-        fits,
-        F.concat(
-            F.when(
-                F.col("breaks"), F.concat(F.lit("\n"), F.repeat(F.lit("  "), F.col("level").cast("int")))
-            ).otherwise(""),
-            F.col("raw"),
-        ),
-    )
-    pieces = F.sort_array(F.collect_list(F.when(shown.isNotNull(), F.struct("pos", shown.alias("t")))))
-    built = placed.groupBy("package", "path").agg(
-        F.max("used").alias("total"),
-        F.max("broken").alias("broken"),
-        F.array_join(F.transform(pieces, lambda p: p["t"]), "").alias("built"),
+    limit = bound(limits.xml_bytes)
+
+    def pretty(contents: pd.Series) -> pd.DataFrame:
+        rows = []
+        for content in contents:
+            source = (content or b"").decode("utf-8", "replace").removeprefix("\ufeff")
+            broken = parse_error(source.encode())
+            text = None if broken is not None else _layout(source, limit)
+            rows.append((text, broken))
+        return pd.DataFrame(rows, columns=["text", "broken"], dtype=object)
+
+    laid = F.pandas_udf(pretty, "text string, broken string")(F.col("content").cast("binary"))
+    failed = F.concat(
+        F.lit("XML preview failed: "), F.col("path"), F.lit(": malformed XML: "), F.col("_laid.broken")
     )
-    failed = F.concat(F.lit("XML preview failed: "), F.col("path"), F.lit(": malformed XML: "), F.col("broken"))
     too_long = F.when(
-        F.col("total") > limits.xml_bytes,
+        F.col("_laid.text").isNull(),
         f"XML preview failed: formatted XML preview exceeds {limits.xml_bytes} byte limit",
     )
-    return built.withColumn("error", F.coalesce(failed, too_long)).select(
-        "package", "path", F.when(F.col("error").isNull(), F.col("built")).alias("text"), "error"
+    return parts.select("package", "path", laid.alias("_laid")).select(
+        "package", "path", "_laid.text", F.coalesce(failed, too_long).alias("error")
     )
 
 
@@ -208,11 +201,11 @@ def image_error(size: Column, limits: Limits = DEFAULT) -> Column:
             "image decode failed: unreadable header",
         )
         .when(
-            (width > limits.image_side) | (height > limits.image_side),
+            (width > bound(limits.image_side)) | (height > bound(limits.image_side)),
             "image decode failed: dimensions exceed the limit",
         )
         .when(
-            width * height > limits.image_pixels,
+            width * height > bound(limits.image_pixels),
             f"image exceeds {limits.image_pixels} pixel limit",
         )
     )

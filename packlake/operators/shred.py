@@ -110,27 +110,38 @@ class _Tokens:
         self.in_cdata = False
 
 
-def _tokenise(data: bytes, keep: frozenset[str] | None, with_text: bool) -> Iterator[list[tuple]]:
+def _at_end(error: expat.ExpatError) -> bool:
+    """Input that just ends, without a root or within one, is no error; a cut tag is."""
+    return error.code == expat.errors.codes[expat.errors.XML_ERROR_NO_ELEMENTS]
+
+
+def _tokenise(
+    data: bytes, keep: frozenset[str] | None, with_text: bool
+) -> Iterator[list[tuple] | str]:
+    """Lists of tokens in document order; then, for a malformed part, why it is."""
     try:
         data = _utf8(data)
-        problem = None
-    except UnicodeError as error:
-        problem = str(error)
-    # First a run without callbacks: a malformed part yields its error and nothing else.
-    problem = problem or _parse_error(data)
-    if problem is not None:
-        yield [(0, "Error", None, None, 0, [], problem)]
-        return
-    tokens = _Tokens(data, keep, with_text)
-    step = 1 << 20
-    view = memoryview(data)
-    for at in range(0, len(data), step):
-        tokens.parser.Parse(bytes(view[at : at + step]), at + step >= len(data))
-        if len(tokens.rows) >= _FLUSH_ROWS:
-            # The last token stays: its own end tag may still turn it into `Empty`.
-            yield tokens.rows[:-1]
-            tokens.rows = tokens.rows[-1:]
-    yield tokens.rows
+        if b"<" not in data:  # no root, only text
+            text = data.decode("utf-8-sig")
+            yield [(0, "Text", None, None, 0, [], text)] if with_text and text else []
+            return
+        tokens = _Tokens(data, keep, with_text)
+        step = 1 << 20
+        view = memoryview(data)
+        for at in range(0, len(data), step):
+            last = at + step >= len(data)
+            try:
+                tokens.parser.Parse(bytes(view[at : at + step]), last)
+            except expat.ExpatError as error:
+                if not (last and _at_end(error)):
+                    raise
+            if len(tokens.rows) >= _FLUSH_ROWS:
+                # The last token stays: its own end tag may still turn it into `Empty`.
+                yield tokens.rows[:-1]
+                tokens.rows = tokens.rows[-1:]
+        yield tokens.rows
+    except (expat.ExpatError, UnicodeError) as error:
+        yield str(error)
 
 
 def shred_xml(
@@ -140,8 +151,8 @@ def shred_xml(
 
     `names` keeps element tokens with these local names only: the projection a query needs,
     applied while tokenising. Empty elements are told from start tags. CDATA, comments and
-    processing instructions give no row. A null `content` gives an Unread row with its
-    `read_error`, or none.
+    processing instructions give no row. A part that ends before its root does, or has none, keeps
+    the tokens up to there. A null `content` gives an Unread row with its `read_error`, or none.
     """
     keep = frozenset(names) if names is not None else None
 
@@ -156,11 +167,22 @@ def shred_xml(
                     if problem is not None:
                         held.append(key + (0, "Unread", None, None, 0, [], problem))
                     continue
+                # What a part gives is kept back, as Arrow batches, until the part is known to be sound.
+                start, parked = len(held), []
                 for tokens in _tokenise(content, keep, with_text):
+                    if isinstance(tokens, str):
+                        del held[start:]
+                        parked = []
+                        held.append(key + (0, "Error", None, None, 0, [], tokens))
+                        continue
                     held.extend(key + token for token in tokens)
                     if len(held) >= _FLUSH_ROWS:
-                        yield _event_batch(held)
-                        held = []
+                        if start:
+                            yield _event_batch(held[:start])
+                        if len(held) > start:
+                            parked.append(_event_batch(held[start:]))
+                        held, start = [], 0
+                yield from parked
         if held:
             yield _event_batch(held)
 
@@ -183,7 +205,7 @@ def tokens_of(events: DataFrame, *names: str) -> DataFrame:
 def part_failures(events: DataFrame) -> DataFrame:
     """Parts that could not be read or are not well-formed."""
     unread = events.filter(F.col("event") == "Unread").select(
-        "package", "path", F.col("text").alias("message")
+        "package", "path", F.concat(F.col("path"), F.lit(": "), F.col("text")).alias("message")
     )
     return unread.unionByName(xml_errors(events))
 
@@ -197,16 +219,23 @@ def xml_errors(events: DataFrame) -> DataFrame:
     )
 
 
-def _parse_error(data: bytes) -> str | None:
+def parse_error(data: bytes) -> str | None:
+    """Why `data` is malformed, by the rules of `shred_xml`; null if it is not."""
     try:
-        _new_parser().Parse(_utf8(data), True)
-    except (expat.ExpatError, UnicodeError) as error:
+        data = _utf8(data)
+        if b"<" in data:
+            _new_parser().Parse(data, True)
+        else:
+            data.decode("utf-8")
+    except expat.ExpatError as error:
+        return None if _at_end(error) else str(error)
+    except UnicodeError as error:
         return str(error)
     return None
 
 
 def _parse_errors(contents: pd.Series) -> pd.Series:
-    return contents.map(lambda data: None if data is None else _parse_error(data))
+    return contents.map(lambda data: None if data is None else parse_error(data))
 
 
 def xml_error(content: Column | str) -> Column:

@@ -132,19 +132,23 @@ def document_summaries(
 
     reports = [bare_lines(main)]
     if "ppt" in present:
-        slide_rows = S.ppt_slides(slides, rels, of_parts(slides), of_parts(notes))
-        reports.append(S.ppt_summary(kept(main, "ppt"), kept(slide_rows, "ppt")))
+        slide_rows = S.ppt_slides(slides, rels, of_parts(slides), of_parts(notes), limits)
+        reports.append(S.ppt_summary(kept(main, "ppt"), kept(slide_rows, "ppt"), limits))
     if "word" in present:
         document_events = main_events.filter(F.col("path") == D.DOCUMENT)
         headings = D.heading_outline(document_events, limits)
         reports.append(
             D.word_summary(
-                kept(main, "word"), D.word_counts(document_events), kept(headings, "word"), rels
+                kept(main, "word"),
+                D.word_counts(document_events),
+                kept(headings, "word"),
+                rels,
+                limits,
             )
         )
     if "excel" in present:
         sheet_events = of_parts(worksheets)
-        cells = stage(X.worksheet_cells(sheet_events), "cells")
+        cells = stage(X.worksheet_cells(sheet_events, limits), "cells")
         # Only the cells that are shown need their strings.
         shown = X.resolve_shared(
             cells.filter(F.col("ord") <= X.SAMPLE_CELLS),
@@ -156,6 +160,7 @@ def document_summaries(
                 kept(sheets, "excel"),
                 X.sheet_stats(sheet_events, cells, limits),
                 X.cell_sample(shown),
+                limits,
             )
         )
     lines = reduce(DataFrame.unionByName, reports[1:] or reports)

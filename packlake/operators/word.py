@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packlake.functions.text import clean_text
+from packlake.functions.text import clean_text, prefix
 from packlake.functions.xml import is_element, xml_attr
-from packlake.limits import DEFAULT, Limits
+from packlake.limits import DEFAULT, Limits, bound
 from packlake.operators.details import relationship_count
 from packlake.operators.report import line, numbered
 from packlake.operators.shred import joined_text, latest, running, shred_xml, tokens_of
 
 DOCUMENT = "/word/document.xml"
+# Levels by which a heading is indented, at most; the level itself is in `heading_outline`.
+INDENT_LEVELS = 1000
 
 
 def word_tokens(contents: DataFrame) -> DataFrame:
@@ -33,11 +35,11 @@ def heading_outline(events: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     A stretch runs between two paragraph boundaries; only one that a paragraph start opens and
     a paragraph end closes can be a heading, so text around a nested paragraph is dropped.
     """
-    bound = is_element("p", "Start", "End")
+    edge = is_element("p", "Start", "End")
     tokens = (
         tokens_of(events, "p", "pStyle", "t")
-        .withColumn("stretch", running(bound.cast("int")) - bound.cast("int"))
-        .withColumn("inside", F.coalesce(latest(F.when(bound, F.col("event") == "Start"), before=True), F.lit(False)))
+        .withColumn("stretch", running(edge.cast("int")) - edge.cast("int"))
+        .withColumn("inside", F.coalesce(latest(F.when(edge, F.col("event") == "Start"), before=True), F.lit(False)))
     )
     in_text = latest(
         F.when(is_element("t", "Start") & F.col("inside"), F.lit(True)).when(
@@ -58,16 +60,20 @@ def heading_outline(events: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     return (
         stretches.filter("closed")
         .withColumn("level", level)
-        .withColumn("text", clean_text(F.substring("raw", 1, limits.text_chars)))
+        .withColumn("text", clean_text(prefix("raw", limits.text_chars), limits.text_chars))
         .filter("level is not null and text <> ''")
         .withColumn("ord", F.row_number().over(w))
-        .filter(F.col("ord") <= limits.summary_items)
+        .filter(F.col("ord") <= bound(limits.summary_items))
         .select("package", "path", "ord", "level", "text")
     )
 
 
 def word_summary(
-    documents: DataFrame, counts: DataFrame, headings: DataFrame, rels: DataFrame
+    documents: DataFrame,
+    counts: DataFrame,
+    headings: DataFrame,
+    rels: DataFrame,
+    limits: Limits = DEFAULT,
 ) -> DataFrame:
     """Report lines for each package of `documents` (its main part read and well-formed)."""
     main = F.col("path") == DOCUMENT
@@ -105,8 +111,10 @@ def word_summary(
             )
         ),
     )
-    # Indents wider than the report limit are cut by it anyway.
-    indent = F.least("level", F.lit(DEFAULT.summary_bytes)).cast("int")
+    # A report with a byte limit cuts wider indents anyway; without one, a level of any number of digits
+    # must not make a line of that many spaces.
+    widest = INDENT_LEVELS if limits.summary_bytes is None else limits.summary_bytes // 2 + 1
+    indent = F.least("level", F.lit(widest)).cast("int")
     body = headings.filter(main).select(
         "package",
         F.inline(
@@ -118,4 +126,4 @@ def word_summary(
             )
         ),
     )
-    return numbered(head.unionByName(body), "key")
+    return numbered(head.unionByName(body), "key", limits=limits)

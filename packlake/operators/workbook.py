@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packlake.functions.text import prefix
 from packlake.functions.xml import is_element, xml_attr
-from packlake.limits import DEFAULT, Limits
+from packlake.limits import DEFAULT, Limits, bound
 from packlake.operators.details import relationship_target_for_id
 from packlake.operators.report import line, numbered
 from packlake.operators.shred import joined_text, latest, running, shred_xml, tokens_of
@@ -31,7 +32,7 @@ def workbook_sheets(events: DataFrame, rels: DataFrame, limits: Limits = DEFAULT
     )
     w = Window.partitionBy("package").orderBy("seq")
     kept = named.withColumn("ord", F.row_number().over(w)).filter(
-        F.col("ord") <= limits.summary_items
+        F.col("ord") <= bound(limits.summary_items)
     )
     return relationship_target_for_id(kept, rels).select(
         "package", "ord", "name", F.col("id").alias("rel_id"), "path"
@@ -72,9 +73,9 @@ def shared_strings(events: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
         items.select(
             "package",
             F.explode("idxs").alias("idx"),
-            F.substring("raw", 1, limits.text_chars).alias("value"),
+            prefix("raw", limits.text_chars).alias("value"),
         )
-        .filter(F.col("idx") < limits.shared_strings)
+        .filter(F.col("idx") < bound(limits.shared_strings))
         .withColumn("idx", F.col("idx").cast("int"))
     )
 
@@ -83,17 +84,17 @@ def cell_tokens(contents: DataFrame) -> DataFrame:
     return shred_xml(contents, names=["dimension", "c", "v", "f", "t"])
 
 
-def worksheet_cells(events: DataFrame) -> DataFrame:
-    """All cells: `(package, path, ord, reference, cell_type, value, formula)`, uncapped.
+def worksheet_cells(events: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """All cells: `(package, path, ord, reference, cell_type, value, formula)`.
 
     Text belongs to the last of `v`, `f`, `t` opened inside a cell and not closed since.
     """
-    bound = is_element("c", "Start", "End")
+    edge = is_element("c", "Start", "End")
     tokens = (
         tokens_of(events, "c", "v", "f", "t")
         .withColumn("cell", running(is_element("c", "Start").cast("int")))
-        .withColumn("inside", F.coalesce(latest(F.when(bound, F.col("event") == "Start")), F.lit(False)))
-        .withColumn("was_inside", F.coalesce(latest(F.when(bound, F.col("event") == "Start"), before=True), F.lit(False)))
+        .withColumn("inside", F.coalesce(latest(F.when(edge, F.col("event") == "Start")), F.lit(False)))
+        .withColumn("was_inside", F.coalesce(latest(F.when(edge, F.col("event") == "Start"), before=True), F.lit(False)))
     )
     opened = (F.col("event") == "Start") & F.col("inside")
     field = latest(
@@ -128,15 +129,15 @@ def worksheet_cells(events: DataFrame) -> DataFrame:
         F.count_if(text & (F.col("field") == "f")).alias("n_formula"),
     )
     w = Window.partitionBy("package", "path").orderBy("at")
-    cap = DEFAULT.text_chars
+    cap = limits.text_chars
     return cells.filter(F.col("at").isNotNull()).select(
         "package",
         "path",
         F.row_number().over(w).alias("ord"),
         F.col("a.r").alias("reference"),
         F.col("a.t").alias("cell_type"),
-        F.substring("value", 1, cap).alias("value"),
-        F.when(F.col("n_formula") > 0, F.substring("formula", 1, cap)).alias("formula"),
+        prefix("value", cap).alias("value"),
+        F.when(F.col("n_formula") > 0, prefix("formula", cap)).alias("formula"),
     )
 
 
@@ -166,14 +167,14 @@ def resolve_shared(cells: DataFrame, strings: DataFrame) -> DataFrame:
 
 
 def sheet_stats(events: DataFrame, cells: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """Per worksheet: declared range (last one), capped cell count, uncapped formula count."""
+    """Per worksheet: declared range (last one), cell count (up to the items limit, if any), formula count."""
     ranges = (
         events.filter(is_element("dimension", "Start", "Empty"))
         .groupBy("package", "path")
         .agg(F.max_by(F.struct(xml_attr("attrs", "ref").alias("v")), "seq")["v"].alias("range"))
     )
     counts = cells.groupBy("package", "path").agg(
-        F.least(F.count(F.lit(1)), F.lit(limits.summary_items)).alias("n_cells"),
+        F.least(F.count(F.lit(1)), F.lit(bound(limits.summary_items))).alias("n_cells"),
         F.count("formula").alias("formula_count"),
     )
     return ranges.join(counts, ["package", "path"], "full").select(
@@ -203,7 +204,11 @@ def cell_sample(cells: DataFrame, n: int = SAMPLE_CELLS) -> DataFrame:
 
 
 def excel_summary(
-    workbooks: DataFrame, sheets: DataFrame, stats: DataFrame, sample: DataFrame
+    workbooks: DataFrame,
+    sheets: DataFrame,
+    stats: DataFrame,
+    sample: DataFrame,
+    limits: Limits = DEFAULT,
 ) -> DataFrame:
     """Report lines for each package of `workbooks`."""
     counts = sheets.groupBy("package").agg(F.count(F.lit(1)).alias("n"))
@@ -253,4 +258,4 @@ def excel_summary(
             F.inline(F.array(line([F.col("sheet_no"), 6, F.col("ord")], F.col("line")))),
         )
     )
-    return numbered(head.unionByName(blocks).unionByName(samples), "key")
+    return numbered(head.unionByName(blocks).unionByName(samples), "key", limits=limits)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from packlake.functions import paths as P
 from packlake.operators import index as I
-from packlake.session import spread
 
 
 class Tables:
@@ -26,6 +25,15 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores, for adapters that make packages of the rows of one file.
+
+    Tables of as many files as there are cores stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def escaped(sql: str) -> str:
     """SQL text that XML-escapes the value of `sql`."""
     return f"replace(replace(replace({sql}, '&', '&amp;'), '<', '&lt;'), '\"', '&quot;')"
@@ -270,7 +278,7 @@ def page_rels(t: Tables) -> DataFrame:
         f"array_join(transform(hrefs, (h, i) -> {element}), ''), "
         "CASE WHEN page_id % 17 = 0 THEN '<r:Relationship Id=\"x\" Type=\"y\" Target=\"\"/>' ELSE '' END, "
         "if(page_id % 13 = 0, '</r:Broken>', '</r:Relationships>')) AS content",
-    ).withColumn("archive_name", F.substring("path", 2, 10_000))
+    ).withColumn("archive_name", F.substring("path", 2, 2**31 - 1))
 
 
 def page_content_types(t: Tables) -> DataFrame:
@@ -286,7 +294,7 @@ def page_content_types(t: Tables) -> DataFrame:
         "concat('<Types>', "
         f"array_join(transform(hrefs, (h, i) -> concat({default}, {override})), ''), "
         "'<Default Extension=\"lost\"/><Override PartName=\"/lost\"/>', "
-        "if(page_id % 13 = 0, '<Types>', '</Types>')) AS content",
+        "CASE WHEN page_id % 13 = 0 THEN '</Broken>' WHEN page_id % 11 = 0 THEN '' ELSE '</Types>' END) AS content",
     )
 
 

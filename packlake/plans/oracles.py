@@ -36,7 +36,7 @@ SPACES = "[\\t\\n\\x0b\\f\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}
 
 
 def clean(x: str) -> str:
-    return f"left(trim(regexp_replace({x}, '{SPACES}', ' ', 'g'), ' '), 16384)"
+    return f"trim(regexp_replace({x}, '{SPACES}', ' ', 'g'), ' ')"
 
 
 def nodes_of(path: str) -> str:
@@ -342,7 +342,7 @@ SELECT package, line, text,
        CASE WHEN target IS NOT NULL THEN strpos(text, target) - 1 END AS link_start,
        CASE WHEN target IS NOT NULL THEN strpos(text, target) - 1 + length(target) END AS link_end,
        target AS link_target
-FROM numbered WHERE line < 4096"""
+FROM numbered"""
 
 
 def pages_query(select: str) -> str:
@@ -404,7 +404,9 @@ ORACLES: dict[str, str] = {
         SELECT package, '/word/document.xml' AS path, md5(xml) AS digest, {SIZE('xml')} AS size,
                NULL::VARCHAR AS read_error FROM docs
         UNION ALL SELECT package, '/lost.xml', NULL, NULL, 'part not found: /lost.xml' FROM docs""",
-    "write_index": pages_query("SELECT package, path, kind, size FROM parts"),
+    "write_index": pages_query("""SELECT 'parts' AS name, package, path AS item, kind AS value FROM parts
+        UNION ALL SELECT 'directories', package, path, NULL FROM folders
+        UNION ALL SELECT 'types', package, path, content_type FROM typed"""),
     "stream_packages": f"""WITH {BOOKS}
         SELECT package, '/' || unnest(['[Content_Types].xml', '_rels/.rels', 'xl/workbook.xml',
                  'xl/_rels/workbook.xml.rels', 'xl/sharedStrings.xml', 'xl/worksheets/sheet1.xml',
@@ -490,10 +492,9 @@ ORACLES: dict[str, str] = {
         row_number() OVER (PARTITION BY package ORDER BY path) - 1 AS rank
         FROM parts WHERE contains({lower('path')}, 'media/1')"""),
     "search_content": f"""WITH {DOCS}
-        SELECT package, needle, path FROM (
-          SELECT package, needle, path, row_number() OVER (PARTITION BY package, needle ORDER BY path) AS r
-          FROM (SELECT package, path, text, unnest(['the ', 'queue', chr(10) || 'E', 'Ch', 'ü']) AS needle FROM docs)
-          WHERE contains(text, needle)) WHERE r <= 25""",
+        SELECT package, needle, path
+        FROM (SELECT package, path, text, unnest(['the ', 'queue', chr(10) || 'E', 'Ch', 'ü']) AS needle FROM docs)
+        WHERE contains(text, needle)""",
     # Details.
     "part_details": graph_query("""
         SELECT 'sales' AS package, n.path, substr(n.path, 2) AS display_name,
@@ -577,14 +578,14 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'd' || doc_id, 'word' FROM documents
         UNION ALL SELECT 'w' || c_custkey, 'excel' FROM customer""",
     "append_text": f"""WITH {WORDS}
-        SELECT package, '/word/document.xml' AS path, left(string_agg(x || 'skip', '' ORDER BY i), 200) AS text
+        SELECT package, '/word/document.xml' AS path, string_agg(x || 'skip', '' ORDER BY i) AS text
         FROM lines GROUP BY package""",
     "clean_text": f"SELECT doc_id, {clean('text')} AS text FROM documents",
     # Presentations.
     "slide_order": f"WITH {DECKS} SELECT package, slide_no, path FROM slides",
     "slide_title": f"""WITH {DECKS} SELECT package, path, title FROM slides
         WHERE title IS NOT NULL AND NOT (broken AND i = 1)""",
-    "all_text": f"""WITH {DECKS} SELECT package, path, left('noise' || x, 16384) AS text FROM slides
+    "all_text": f"""WITH {DECKS} SELECT package, path, 'noise' || x AS text FROM slides
         WHERE NOT (broken AND i = 1)""",
     "slide_notes": f"WITH {DECKS} SELECT package, slide_no, path, notes_path, notes_text FROM slides",
     "ppt_slides": f"""WITH {DECKS} SELECT package, slide_no, path,
@@ -610,7 +611,7 @@ ORACLES: dict[str, str] = {
         len(string_split(text, chr(10))) AS paragraphs, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS tables
         FROM documents""",
     "heading_outline": f"""WITH {WORDS}
-        SELECT package, '/word/document.xml' AS path, ord, level, heading AS text FROM headings WHERE ord <= 4096""",
+        SELECT package, '/word/document.xml' AS path, ord, level, heading AS text FROM headings""",
     "word_summary": f"""WITH {WORDS}, raw AS (
           SELECT 'd' || doc_id AS package, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS a, 0 AS b,
             unnest(['Word summary', '', 'Document: /word/document.xml',
@@ -637,10 +638,10 @@ ORACLES: dict[str, str] = {
         FROM lineitem LEFT JOIN part ON p_partkey = l_partkey""",
     "sheet_stats": f"""WITH {BOOKS}
         SELECT package, path, CASE WHEN path LIKE '%sheet1%' THEN 'A1:G1' END AS range,
-               least(count(*), 20) AS n_cells, count(formula) AS formula_count FROM cells GROUP BY package, path""",
+               count(*) AS n_cells, count(formula) AS formula_count FROM cells GROUP BY package, path""",
     "cell_sample": f"""WITH {BOOKS}
         SELECT package, path, ord, '  ' || reference || ' = ' || coalesce(formula, value) AS line
-        FROM cells WHERE ord <= 5 AND coalesce(formula, value) <> ''""",
+        FROM cells WHERE ord <= 20 AND coalesce(formula, value) <> ''""",
     "excel_summary": f"""WITH {BOOKS}, sizes AS (
           SELECT package, path, count(*) AS n, count(formula) AS f FROM cells GROUP BY ALL),
         raw AS (

@@ -19,8 +19,8 @@ from packlake.operators import shred as X
 from packlake.operators import word as D
 from packlake.operators import workbook as W
 from packlake.plans import adapters as A
-from packlake.plans.adapters import Tables
-from packlake.session import configure, shared_dir, spread, staged
+from packlake.plans.adapters import Tables, spread
+from packlake.session import configure, shared_dir, staged
 from packlake.sources.packages import explode_packages, pack_zip, read_part, scan_packages
 from packlake.sources.sinks import read_index, write_index
 from packlake.streaming.packages import index_stream, stream_packages
@@ -87,8 +87,23 @@ def bounded_read(t: Tables) -> DataFrame:
 @query
 def write_index_query(t: Tables) -> DataFrame:
     path = shared_dir(t.spark, "index")
-    write_index({"parts": A.page_parts(t)}, path, buckets=8)
-    return read_index(t.spark, path, "parts").select("package", "path", "kind", "size")
+    parts = A.page_parts(t)
+    typed = I.resolve_content_type(
+        I.dedupe_first_wins(I.accept_packages(A.page_entries(t))), *A.page_type_tables(t)
+    )
+    values = {
+        "parts": (parts, "kind"),
+        "directories": (I.directories(parts), "CAST(NULL AS string)"),
+        "types": (typed.select("package", "path", "content_type"), "content_type"),
+    }
+    write_index({name: df for name, (df, _) in values.items()}, path, buckets=8)
+    read = [
+        read_index(t.spark, path, name).selectExpr(
+            f"'{name}' AS name", "package", "path AS item", f"{value} AS value"
+        )
+        for name, (_, value) in values.items()
+    ]
+    return read[0].unionByName(read[1]).unionByName(read[2])
 
 
 @query
@@ -187,7 +202,7 @@ def relationship_source(t: Tables) -> DataFrame:
     return A.page_rels(t).select(
         "package",
         "path",
-        P.relationship_source(F.substring("path", 2, 10_000)).alias("source"),
+        P.relationship_source(F.substring("path", 2, 2**31 - 1)).alias("source"),
     )
 
 
@@ -296,7 +311,7 @@ NEEDLES = ["the ", "queue", "\nE", "Ch", "ü"]
 
 @query
 def search_content(t: Tables) -> DataFrame:
-    return search.search_content(A.document_parts(t), NEEDLES, Limits(search_hits=25))
+    return search.search_content(A.document_parts(t), NEEDLES)
 
 
 # Details ------------------------------------------------------------------------------------
@@ -411,7 +426,7 @@ def detect_format(t: Tables) -> DataFrame:
 @query
 def append_text(t: Tables) -> DataFrame:
     events = X.shred_xml(A.file_parts(A.word_files(t), "document.xml"), names=["w"])
-    return S.all_text(events, Limits(text_chars=200))
+    return S.all_text(events)
 
 
 @query
@@ -553,13 +568,13 @@ def resolve_shared(t: Tables) -> DataFrame:
 @query
 def sheet_stats(t: Tables) -> DataFrame:
     events = _sheet_events(t)
-    return W.sheet_stats(events, W.worksheet_cells(events), Limits(summary_items=20))
+    return W.sheet_stats(events, W.worksheet_cells(events))
 
 
 @query
 def cell_sample(t: Tables) -> DataFrame:
     cells = W.worksheet_cells(_sheet_events(t))
-    return W.cell_sample(W.resolve_shared(cells, _strings(t)), n=5)
+    return W.cell_sample(W.resolve_shared(cells, _strings(t)))
 
 
 @query

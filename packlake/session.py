@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -16,6 +17,10 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot join key is split even when that costs one more shuffle above the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Estimates say nothing about what a container or a tokeniser emits: only sizes measured at run
+    # time decide about a broadcast.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10485760",
     # Per-package caps go up to 16,384 rows: keep the map-side top-k for all of them.
     "spark.sql.optimizer.windowGroupLimitThreshold": "16384",
     # Package rows can hold megabytes each: bound batches by bytes as well as by rows.
@@ -39,6 +44,8 @@ def local_session(cores: int | str = "*", memory: str = "12g") -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": "8",
+        # One machine: its temporary folder is shared by all there is.
+        "spark.checkpoint.dir": os.environ.get("SPARK_CHECKPOINT_DIR", f"{tempfile.gettempdir()}/spark-checkpoints"),
     }
     for key, value in (START | RUNTIME | settings).items():
         builder = builder.config(key, value)
@@ -57,17 +64,29 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for `purpose` in the cluster's shared checkpoint folder.
+    """A fresh folder for `purpose` in the checkpoint folder that all machines of the cluster share.
 
-    A local temporary folder is used only where the cluster names none (tests).
+    There is no other place that tasks could read back from, so a session without one is an error. The
+    folder is removed when the session ends, or before that by `discard`.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-packlake-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder, where there is one."""
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
@@ -81,10 +100,21 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Uses all cores for row-local work on an input of fewer splits than cores.
+class Scratch:
+    """Tables staged within a `with` block, removed at its end; for results written before that."""
 
-    Large inputs have more splits than that and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        for path in self.paths:
+            discard(self.spark, path)
+
+    def staged(self, df: DataFrame, purpose: str) -> DataFrame:
+        path = shared_dir(self.spark, purpose)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)

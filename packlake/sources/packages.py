@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlake.limits import DEFAULT, Limits
+from packlake.limits import DEFAULT, Limits, bound
 
 PACKAGE_GLOB = "*.{pptx,docx,xlsx}"
 NO_MARKUP = "malformed XML: no element found"
@@ -114,12 +114,12 @@ def bounded_read(
 
 
 def _starts_like_markup(blob: bytes, info: zipfile.ZipInfo) -> bool:
-    """Looks at the first byte only: `<`, white space or a byte order mark."""
+    """Looks at the first byte only: none, `<`, white space or a byte order mark."""
     try:
         raw = _raw_entry(blob, info)
         if info.compress_type == zipfile.ZIP_DEFLATED:
             raw = zlib.decompressobj(-15).decompress(raw, 1)
-        return bytes(raw[:1]) in MARKUP_STARTS
+        return not raw or bytes(raw[:1]) in MARKUP_STARTS
     except (ValueError, zlib.error, struct.error):
         return True  # the full read says what is wrong
 
@@ -141,9 +141,9 @@ def _clean_name(name: str) -> str:
 
 
 def _over_limits(infos: list[zipfile.ZipInfo], limits: Limits) -> str | None:
-    if len(infos) > limits.entry_count:
+    if len(infos) > bound(limits.entry_count):
         return f"archive has {len(infos)} entries; limit is {limits.entry_count}"
-    if sum(info.file_size for info in infos) > limits.total_bytes:
+    if sum(info.file_size for info in infos) > bound(limits.total_bytes):
         return f"declared uncompressed size exceeds {limits.total_bytes} bytes"
     return None
 
@@ -168,8 +168,8 @@ def explode_packages(
     inflated), gives one row with `ord = -1` and `read_error`. So a package has at most
     `limits.entry_count` entries from here on.
     """
-    cap = min(limit if limit is not None else limits.entry_bytes, limits.entry_bytes)
-    metadata_cap = min(limits.metadata_bytes, limits.entry_bytes)
+    cap = min(bound(limit), bound(limits.entry_bytes))
+    metadata_cap = min(bound(limits.metadata_bytes), bound(limits.entry_bytes))
     columns = ["package", "content"] + ([parts] if parts else [])
 
     def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

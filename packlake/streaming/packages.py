@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from packlake.limits import DEFAULT, Limits
 from packlake.operators.index import build_index
+from packlake.session import Scratch, discard
 from packlake.sources.packages import PACKAGE_GLOB, explode_packages
 
 BLOB_SCHEMA = "package string, content binary"
@@ -43,7 +44,7 @@ def index_stream(
     """Indexes each arriving package once; tables go to `out/<table>/batch=<n>`.
 
     A batch writes its own folder with overwrite, so one that is repeated after a failure
-    replaces itself.
+    replaces itself. What it staged on the way is removed when its tables are written.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -52,8 +53,10 @@ def index_stream(
         # Each package is opened once per batch; the tables read what that wrote.
         explode_packages(batch, limits=limits).write.mode("overwrite").parquet(base)
         entries = spark.read.parquet(base)
-        for name, df in build_index(entries, limits).items():
-            df.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}/batch={batch_id}")
+        with Scratch(spark) as scratch:
+            for name, df in build_index(entries, limits, scratch.staged).items():
+                df.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}/batch={batch_id}")
+        discard(spark, base)
 
     return (
         packages.writeStream.foreachBatch(write)

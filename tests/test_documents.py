@@ -2,14 +2,14 @@ from helpers import one, packages, rels_xml, rows, xml_parts, zip_bytes
 from pyspark.sql import functions as F
 
 from packlake.functions.xml import xml_attr
-from packlake.limits import Limits
+from packlake.limits import SCREEN, Limits
 from packlake.operators import index as I
 from packlake.operators import presentation as S
 from packlake.operators import shred as X
 from packlake.operators import summary
 from packlake.operators import word as D
 from packlake.operators import workbook as W
-from packlake.operators.report import bounded_lines
+from packlake.operators.report import bounded_lines, numbered
 from packlake.session import staged
 from packlake.sources.packages import explode_packages
 
@@ -208,9 +208,12 @@ TITLE = b'<s xmlns:p="p"><p:sp><ph type="title"/><t>Hi</t></p:sp></s>'
 
 def test_presentation_report(spark):
     lines, failed = _summaries(
-        spark, ("good", _deck(TITLE)), ("bad", _deck(b"<s>")), ("media", _deck(b"\x89PNG")), ("lost", _deck(TITLE, extra=()).replace(b"odd/notes", b"odd/nopes"))
+        spark, ("good", _deck(TITLE)), ("bad", _deck(b"<s></t>")), ("ends", _deck(b"<s>")), ("media", _deck(b"\x89PNG")), ("lost", _deck(TITLE, extra=()).replace(b"odd/notes", b"odd/nopes"))
     )
-    got = [(r["text"], r["link_start"], r["link_target"]) for r in lines.orderBy("line").collect()]
+    # A part that just ends is read as far as it goes.
+    assert [r["text"] for r in lines.filter("package = 'ends'").orderBy("line").collect()][4] == "1. (untitled)"
+    good = lines.filter("package = 'good'").orderBy("line")
+    got = [(r["text"], r["link_start"], r["link_target"]) for r in good.collect()]
     assert got == [
         ("PowerPoint summary", None, None),
         ("", None, None),
@@ -225,7 +228,7 @@ def test_presentation_report(spark):
     assert set(reasons) == {"bad", "media", "lost"}
     assert "/odd/place.bin: malformed XML" in reasons["bad"]
     assert reasons["lost"].endswith("part not found: /odd/notes")
-    assert reasons["media"].endswith("malformed XML: no element found")
+    assert reasons["media"].endswith("/odd/place.bin: malformed XML: no element found")
 
 
 def test_word_and_excel_reports(spark):
@@ -259,8 +262,10 @@ def test_word_and_excel_reports(spark):
 
 def test_bounded_lines(spark):
     many = spark.range(8192).select(F.lit("p").alias("package"), F.col("id").alias("line"), F.lit("summary line").alias("text"))
-    kept = bounded_lines(many)
-    assert kept.count() == 4096
+    assert bounded_lines(many).count() == 8192
+    assert bounded_lines(many, SCREEN).count() == 4096
+    numbers = numbered(many.withColumn("target", F.lit(None).cast("string")), "line", limits=Limits(summary_lines=6000))
+    assert bounded_lines(numbers, Limits(summary_lines=10_000)).count() == 6000
     lines = spark.createDataFrame(
         [("p", 0, "two\nlines", None), ("p", 1, "say abc", "abc"), ("p", 2, "ééé", "é"), ("p", 3, "gone", None)],
         "package string, line int, text string, target string",
@@ -272,3 +277,46 @@ def test_bounded_lines(spark):
         (3, "éé…", 0, 1),
     ]
     assert len(bounded_lines(lines, Limits(summary_lines=2)).collect()) == 1
+
+
+def test_nothing_is_cut_without_a_limit(spark):
+    n = 16_500
+    strings = "<sst>" + "".join(f"<si><t>s{k}</t></si>" for k in range(n)) + "</sst>"
+    sheet = "<s>" + "".join(f'<c r="A{k}" t="s"><v>{n - 1}</v></c>' for k in range(4200)) + "</s>"
+    found = W.shared_strings(W.string_tokens(xml_parts(spark, ("p", "/xl/sharedStrings.xml", strings))))
+    events = W.cell_tokens(xml_parts(spark, ("p", "/s", sheet)))
+    cells = W.worksheet_cells(events)
+    assert one(W.sheet_stats(events, cells), "n_cells") == (4200,)
+    assert one(W.sheet_stats(events, cells, SCREEN), "n_cells") == (4096,)
+    assert rows(W.resolve_shared(cells, found).select("value").distinct()) == [(f"s{n - 1}",)]
+    assert W.shared_strings(W.string_tokens(xml_parts(spark, ("p", "/x", strings))), SCREEN).count() == 16_384
+    long = "x " * 20_000
+    text = S.all_text(X.shred_xml(xml_parts(spark, ("p", "/t", f"<t>{long}</t>"))))
+    assert one(text.select(F.char_length("text").alias("n")), "n") == (40_000,)
+    heading = f'<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:t>{long}</w:t></w:p>'
+    outline = D.heading_outline(D.word_tokens(xml_parts(spark, ("p", "/word/document.xml", WORD.format(more=heading * 4100)))))
+    assert outline.count() == 4101 and outline.agg(F.max(F.char_length("text"))).first()[0] == 39_999
+
+
+def test_input_that_just_ends(spark):
+    parts = xml_parts(spark, ("p", "/empty", b""), ("p", "/open", "<a><b>x</b>"), ("p", "/note", "<!-- c -->"), ("p", "/text", "only text"), ("p", "/cut", "<a><b"), ("p", "/wrong", "<a></b>"))
+    assert {r["path"]: r["valid"] for r in X.validate_xml(parts).collect()} == {
+        "/empty": True, "/open": True, "/note": True, "/text": True, "/cut": False, "/wrong": False,
+    }
+    events = X.shred_xml(parts)
+    assert rows(events.filter("path = '/open'"), "seq", "event") == [(0, "Start"), (1, "Start"), (2, "Text"), (3, "End")]
+    assert rows(events.filter("event = 'Error'"), "path") == [("/cut",), ("/wrong",)]
+    book = zip_bytes([
+        ("xl/workbook.xml", b'<w xmlns:r="r"><sheet name="One" r:id="r1"/></w>'),
+        ("xl/_rels/workbook.xml.rels", rels_xml(("r1", "sheet", "s.xml"))),
+        ("xl/sharedStrings.xml", b""),
+        ("xl/s.xml", b'<s><c r="A1"><v>7</v></c>'),
+    ])
+    lines, failed = _summaries(spark, ("book", book))
+    assert failed.count() == 0 and "  A1 = 7" in [r["text"] for r in lines.collect()]
+
+
+def test_a_malformed_part_gives_nothing_else(spark):
+    broken = "<r>" + "<e>x</e>" * 15_000 + "</wrong>"
+    parts = xml_parts(spark, ("p", "/a", "<a/>"), ("p", "/b", broken), ("p", "/c", "<c/>")).coalesce(1)
+    assert rows(X.shred_xml(parts), "path", "event") == [("/a", "Empty"), ("/b", "Error"), ("/c", "Empty")]

@@ -106,7 +106,7 @@ def test_index_of_a_package(spark):
             ("_rels/.rels", rels_xml(("r1", "main", "b/doc.dat"), ("r2", "web", "http://x", "external"))),
             ("b/_rels/doc.dat.rels", rels_xml(("r1", "image", "pic"), ("r2", "lost", "none.xml"), ("r3", "up", "../b"))),
             ("b/_rels/broken.xml.rels", b'<Relationships><Relationship Id="rId1" Type="type"/></Relationships>'),
-            ("b/_rels/cut.xml.rels", b"<Relationships>"),
+            ("b/_rels/cut.xml.rels", b"<Relationships></x>"), ("b/_rels/end.xml.rels", b"<Relationships>"),
             ("odd/x.RELS", b"<Relationships/>"),
             ("b/doc.dat", b"<x/>"),
             ("b/pic", b"?"),

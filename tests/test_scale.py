@@ -1,10 +1,14 @@
 """Hot keys: one part, path or package holds a third of all rows."""
 
 import collections
+import os
 
+import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+from packlake import session
+from packlake.functions import paths as P
 from packlake.limits import Limits
 from packlake.operators import details, search, tree
 from packlake.operators import index as I
@@ -117,3 +121,35 @@ def test_bytes_stay_where_they_are(spark):
     )
     assert "Exchange" not in plan_of(I.part_contents(entries))
     assert "Exchange" not in plan_of(I.dedupe_first_wins(entries))
+
+
+def test_static_broadcasts_are_off(spark):
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+    assert int(spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold").rstrip("b")) == 10485760
+
+
+def test_a_session_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    class Bare:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Bare, "x")
+
+
+def test_scratch_tables_are_removed(spark, tmp_path):
+    with session.Scratch(spark) as scratch:
+        kept = scratch.staged(spark.range(3), "numbers")
+        path = scratch.paths[0].removeprefix("file:")
+        assert kept.count() == 3 and os.path.isdir(path)
+    assert not os.path.exists(path)
+
+
+def test_path_fold_is_not_in_a_filter(spark):
+    rels = hot_rels(spark).withColumn("resolved_target", P.resolve_target("source", "target"))
+    for found in (details.relationship_targets(rels), I.incoming(rels)):
+        filters = [x for x in plan_of(found).split("\n") if " Filter " in x]
+        assert not any("aggregate(" in x for x in filters)

@@ -5,7 +5,7 @@ from helpers import one, rows, zip_bytes
 from pyspark.sql import functions as F
 
 from packlake.functions import media as M
-from packlake.limits import Limits
+from packlake.limits import SCREEN, Limits
 from packlake.operators import details, preview, search, tree
 from packlake.streaming.packages import index_stream, stream_packages
 from packlake.streaming.requests import current_requests, latest_wins
@@ -61,13 +61,17 @@ def test_content_search(spark):
     capped = search.search_content(parts, ["needle"], Limits(search_hits=2))
     assert rows(capped, "path") == [("/a",), ("/b",)]
     assert search.search_content(parts, [""]).count() == 0
+    whole = "n" * 300
+    assert search.search_content(contents_of(spark, ("/a", "Xml", b"n" * 299)), [whole]).count() == 0
+    with pytest.raises(ValueError):
+        search.search_content(parts, [whole], SCREEN)
     assert rows(search.search_paths(parts, "/A"), "path", "rank") == [("/a", 0)]
     assert search.search_paths(parts, "").count() == 0
 
 
 def test_search_cap_is_applied_before_the_shuffle(spark):
     parts = contents_of(spark, ("/a", "Xml", b"x"))
-    plan = search.search_content(parts, ["x"])._jdf.queryExecution().executedPlan().toString()
+    plan = search.search_content(parts, ["x"], SCREEN)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
 
 
@@ -142,6 +146,22 @@ def test_xml_indentation(spark):
     )
 
 
+def test_xml_of_other_bytes(spark):
+    def pretty(xml):
+        df = spark.createDataFrame([("p", "/x", bytearray(xml))], "package string, path string, content binary")
+        return one(preview.xml_pretty(df), "text", "error")
+
+    assert pretty(b"<a>\xe9<b/></a>") == ("<a>\ufffd<b/>\n</a>", None)
+    assert pretty(b"") == ("", None) and pretty(b"<!-- c -->") == ("<!-- c -->", None)
+    assert pretty(b"<a><b>") == ("<a>\n  <b>", None)
+    assert pretty(b"<a></b>")[1].startswith("XML preview failed: /x: malformed XML")
+
+
+def test_xml_pretty_moves_nothing(spark):
+    parts = contents_of(spark, ("/a", "Xml", b"<a/>"))
+    assert "Exchange" not in preview.xml_pretty(parts)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_xml_amplification_is_refused(spark):
     depth = 4096
     text, error = xml_pretty(spark, "<root>" + "<item>" * depth + "</item>" * depth + "</root>")
