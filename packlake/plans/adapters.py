@@ -349,7 +349,7 @@ def deck_files(t: Tables) -> DataFrame:
     )
     slide = (
         "concat('<p:sld xmlns:p=\"p\" xmlns:a=\"a\"><p:sp><a:t>noise</a:t></p:sp>', "
-        f"{shape}, if(broken AND {{i}} = 1, '', '</p:sld>'))"
+        f"{shape}, if(broken AND {{i}} = 1, '</p:lost>', '</p:sld>'))"
     )
     notes = "concat('<p:notes xmlns:p=\"p\"><t>Notes  on</t> <t>', " + escaped("x") + ", '</t></p:notes>')"
     images = (
