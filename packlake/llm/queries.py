@@ -55,10 +55,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
     found = secrets.findings(*secrets.update(docs))
     named = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [
-        F.size(F.filter("found", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-        for kind in ("assign", "access", "hex")
-    ]
+
+    def count(kind: str):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
     # All rules are base rules, so the base spans are all spans.
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(named, 256).alias("base_sha256"), named.alias("spans"))
 
