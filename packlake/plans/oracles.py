@@ -400,6 +400,10 @@ ORACLES: dict[str, str] = {
         FROM files""",
     "explode_packages": f"""WITH {WORDS}, {WORD_FILES}
         SELECT package, ord, archive_name, false AS is_dir, size, NULL::VARCHAR AS read_error FROM files""",
+    "search_packages": f"""WITH {WORDS}, docs AS (SELECT package, {WORD_XML} AS xml FROM lines GROUP BY doc_id, package)
+        SELECT package, needle, '/word/document.xml' AS path
+        FROM (SELECT package, xml, unnest(['the ', 'queue', chr(10) || 'E', 'Ch', 'ü']) AS needle FROM docs)
+        WHERE contains(xml, needle)""",
     "read_part": f"""WITH {WORDS}, docs AS (SELECT package, {WORD_XML} AS xml FROM lines GROUP BY doc_id, package)
         SELECT package, '/word/document.xml' AS path, md5(xml) AS digest, {SIZE('xml')} AS size,
                NULL::VARCHAR AS read_error FROM docs

@@ -21,7 +21,13 @@ from packlake.operators import workbook as W
 from packlake.plans import adapters as A
 from packlake.plans.adapters import Tables, spread
 from packlake.session import configure, shared_dir, staged
-from packlake.sources.packages import explode_packages, pack_zip, read_part, scan_packages
+from packlake.sources.packages import (
+    explode_packages,
+    pack_zip,
+    read_part,
+    scan_packages,
+    search_packages,
+)
 from packlake.sources.sinks import read_index, write_index
 from packlake.streaming.packages import index_stream, stream_packages
 from packlake.streaming.requests import current_requests, latest_wins
@@ -314,6 +320,11 @@ def search_content(t: Tables) -> DataFrame:
     return search.search_content(A.document_parts(t), NEEDLES)
 
 
+@query
+def search_packages_query(t: Tables) -> DataFrame:
+    return search_packages(_zips(A.word_files(t)), NEEDLES)
+
+
 # Details ------------------------------------------------------------------------------------
 
 

@@ -15,13 +15,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packlake.limits import DEFAULT, Limits, bound
 
 PACKAGE_GLOB = "*.{pptx,docx,xlsx}"
+# Fixed value: the largest file that the scan can hand on as one row.
+MAX_FILE_BYTES = 2**31 - 1 - 1024
 NO_MARKUP = "malformed XML: no element found"
+TOO_LARGE = "package is too large to open"
 MARKUP_STARTS = {bytes([b]) for b in b"<\xef\xff\xfe \t\n\r"}
 
 ENTRY_SCHEMA = (
@@ -49,15 +52,16 @@ _INT64 = 2**63 - 1
 def scan_packages(
     spark: SparkSession,
     path: str,
-    max_bytes: int | None = None,
+    max_bytes: int | None = MAX_FILE_BYTES,
     glob: str = PACKAGE_GLOB,
     fmt: str = "binaryFile",
 ) -> DataFrame:
     """Package files as rows `(package, length, content)`.
 
     `fmt="binaryFile"` reads a folder tree of files; `fmt="parquet"` reads a dataset of
-    `(package, content)` rows, the better container for very many small packages.
-    `max_bytes` is pushed to the file scan.
+    `(package, content)` rows, the better container for very many small packages. A package of
+    more than `max_bytes` has a row without content, which `explode_packages` reports; by default
+    that is what one row can hold.
     """
     if fmt == "parquet":
         df = spark.read.parquet(path).withColumn("length", F.octet_length("content").cast("bigint"))
@@ -69,9 +73,14 @@ def scan_packages(
             .load(path)
             .withColumnRenamed("path", "package")
         )
-    if max_bytes is not None:
-        df = df.filter(F.col("length") <= max_bytes)
-    return df.select("package", "length", "content")
+    df = df.select("package", "length", "content")
+    if max_bytes is None:
+        return df
+    # The content of large files is not even read: that column is pruned from their scan.
+    large = df.filter(F.col("length") > max_bytes).select(
+        "package", "length", F.lit(None).cast("binary").alias("content")
+    )
+    return df.filter(F.col("length") <= max_bytes).unionByName(large)
 
 
 def _raw_entry(blob: bytes, info: zipfile.ZipInfo) -> memoryview:
@@ -83,6 +92,21 @@ def _raw_entry(blob: bytes, info: zipfile.ZipInfo) -> memoryview:
     return memoryview(blob)[start : start + info.compress_size]
 
 
+def read_prefix(blob: bytes, info: zipfile.ZipInfo, limit: int) -> bytes | None:
+    """The first `limit` bytes of an entry, as far as they can be had; for searching."""
+    if info.flag_bits & 1:
+        return None
+    try:
+        raw = _raw_entry(blob, info)
+        if info.compress_type == zipfile.ZIP_STORED:
+            return bytes(raw[:limit])
+        if info.compress_type == zipfile.ZIP_DEFLATED:
+            return zlib.decompressobj(-15).decompress(raw, limit)
+    except (ValueError, zlib.error, struct.error):
+        pass
+    return None
+
+
 def bounded_read(
     blob: bytes, info: zipfile.ZipInfo, limit: int
 ) -> tuple[bytes | None, str | None]:
@@ -164,7 +188,7 @@ def explode_packages(
     `parts` names an `ARRAY<INT>` column of `packages` with the entry positions to inflate;
     without it all entries are inflated if `with_content`, else only the metadata parts.
     `only_markup` leaves media and other entries that cannot be XML by their first byte packed.
-    A container that cannot be opened, or is over the archive limits (tested before anything is
+    A container that cannot be opened, has no content, or is over the archive limits (tested before anything is
     inflated), gives one row with `ord = -1` and `read_error`. So a package has at most
     `limits.entry_count` entries from here on.
     """
@@ -179,7 +203,10 @@ def explode_packages(
             wanted_column = batch.column(2) if parts else None
             for row in range(batch.num_rows):
                 package = batch.column(0)[row].as_py()
-                blob = batch.column(1)[row].as_py() or b""
+                blob = batch.column(1)[row].as_py()
+                if blob is None:
+                    rows.append((package, -1, None, False, 0, 0, None, TOO_LARGE, 0))
+                    continue
                 wanted = set(wanted_column[row].as_py() or ()) if parts else None
                 try:
                     infos = zipfile.ZipFile(io.BytesIO(blob)).infolist()
@@ -236,6 +263,63 @@ def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_ENTRY)
 
 
+def search_packages(
+    packages: DataFrame, needles: list[str], limits: Limits = DEFAULT
+) -> DataFrame:
+    """`(package, needle, path)`: the parts of packages that hold a needle, byte for byte.
+
+    Entries are inflated one at a time in the task that has the package, the first entry of a path
+    counts, and only hits leave the task. An entry that declares more than `limits.entry_bytes` is not
+    read; of one that turns out larger, the bytes up to that limit are searched.
+    """
+    usable = list(dict.fromkeys(n for n in needles if n))
+    if too_long := [n for n in usable if len(n) > bound(limits.search_chars)]:
+        raise ValueError(f"needle of {len(too_long[0])} characters; limit is {limits.search_chars}")
+    wanted = [(n, n.encode()) for n in usable]
+    cap = bound(limits.entry_bytes)
+
+    def hits(blob: bytes) -> Iterator[tuple[str, str]]:
+        try:
+            infos = zipfile.ZipFile(io.BytesIO(blob)).infolist()
+        except Exception:  # the index reports it
+            return
+        if _over_limits(infos, limits) is not None:
+            return
+        seen: set[str] = set()
+        for info in infos:
+            name = info.orig_filename
+            path = _clean_name(name)
+            if not path or path in seen or path.count("/") > bound(limits.path_depth):
+                continue
+            seen.add(path)
+            if name.endswith(("/", "\\")) or info.file_size > cap:
+                continue
+            content = read_prefix(blob, info, cap)
+            for needle, raw in wanted:
+                if content is not None and raw in content:
+                    yield needle, f"/{path}"
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in range(batch.num_rows):
+                package = batch.column(0)[row].as_py()
+                found += [(package, *hit) for hit in hits(batch.column(1)[row].as_py() or b"")]
+            columns = list(zip(*found)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.string()) for c in columns], ["package", "needle", "path"]
+            )
+
+    found = packages.select("package", "content").mapInArrow(
+        search, "package string, needle string, path string"
+    )
+    if limits.search_hits is None:
+        return found
+    w = Window.partitionBy("package", "needle").orderBy("path")
+    ranked = found.withColumn("_rank", F.row_number().over(w))
+    return ranked.filter(F.col("_rank") <= limits.search_hits).drop("_rank")
+
+
 def package_errors(entries: DataFrame) -> DataFrame:
     """Containers that could not be opened or are over the limits."""
     return entries.filter(F.col("ord") < 0).select(

@@ -14,6 +14,7 @@ from packlake.sources.packages import (
     package_errors,
     read_part,
     scan_packages,
+    search_packages,
 )
 from packlake.sources.sinks import read_index, write_index
 
@@ -209,3 +210,28 @@ def test_format_precedence(spark):
     )
     assert rows(summary.detect_format(parts).filter("format is not null")) == [("a", "ppt"), ("b", "excel")]
     assert summary.detect_format(parts).filter("format is null").count() == 1
+
+
+def test_search_packages(spark):
+    big = b"needle" + b"." * 9000 + b"Late"
+    files = [("b/x.bin", big), ("b//x.bin", b"other"), ("a.xml", b"<a>needle \xff</a>"), ("d/", b""), ("c", b"none"), ("../e", b"other")]
+    df = packages(spark, ("p", zip_bytes(files)), ("damaged", b"PK"), ("lying", zip_bytes(files[:1], declared=5)))
+    found = search_packages(df, ["needle", "other", "Late", ""])
+    assert rows(found, "package", "needle", "path") == [
+        ("lying", "Late", "/b/x.bin"), ("lying", "needle", "/b/x.bin"),
+        ("p", "Late", "/b/x.bin"), ("p", "needle", "/a.xml"), ("p", "needle", "/b/x.bin"), ("p", "other", "/e"),
+    ]
+    # An entry that is larger than it says is searched up to the limit, one that says so is not read.
+    limited = search_packages(df, ["needle", "Late"], Limits(entry_bytes=100))
+    assert rows(limited, "package", "needle", "path") == [("lying", "needle", "/b/x.bin"), ("p", "needle", "/a.xml")]
+    assert rows(search_packages(df, ["needle"], Limits(search_hits=1)), "package", "path") == [("lying", "/b/x.bin"), ("p", "/a.xml")]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packages_over_the_size_limit_are_reported(spark, tmp_path):
+    small, large = zip_bytes([("a", b"x")]), zip_bytes([("a", b"x" * 5000)], stored=True)
+    (tmp_path / "small.docx").write_bytes(small)
+    (tmp_path / "large.docx").write_bytes(large)
+    found = explode_packages(scan_packages(spark, str(tmp_path), max_bytes=1000))
+    assert sorted((r["package"].rsplit("/", 1)[1], r["ord"]) for r in found.collect()) == [("large.docx", -1), ("small.docx", 0)]
+    assert [r["message"] for r in package_errors(found).collect()] == ["package is too large to open"]
