@@ -18,9 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from packlake.functions.paths import normalize_path
 from packlake.limits import DEFAULT, Limits, bound
+from packlake.session import staged
 
 PACKAGE_GLOB = "*.{pptx,docx,xlsx}"
+# Requests up to which they are sent to all tasks: some 100 MB.
+BROADCAST_PACKAGES, BROADCAST_REQUESTS = 500_000, 5_000_000
 # Fixed value: the largest file that the scan can hand on as one row.
 MAX_FILE_BYTES = 2**31 - 1 - 1024
 NO_MARKUP = "malformed XML: no element found"
@@ -336,31 +340,36 @@ def read_part(
 ) -> DataFrame:
     """Bytes of the requested `(package, path)` parts; an unknown part gives an error row.
 
-    Requests of one package are grouped (an archive has at most 100,000 entries), so each
-    package is opened once and only the asked entries are inflated.
+    Requests of one package are grouped (an archive has at most `limits.entry_count` entries), so
+    each package is opened once and only the asked entries are inflated, where the package is read.
+    The groups are sent to the packages when counted to be few enough; only a larger number of
+    packages is joined by a shuffle. Inflated bytes are not moved: their path is that of the entry.
     """
     asked = requests.select("package", "path").distinct()
-    located = asked.join(parts.select("package", "path", "ord"), ["package", "path"], "left")
-    wanted = (
+    at = asked.join(parts.select("package", "path", "ord"), ["package", "path"], "left")
+    located = staged(at, "requests")
+    wanted = staged(
         located.filter(F.col("ord").isNotNull())
         .groupBy("package")
-        .agg(F.collect_list(F.col("ord").cast("int")).alias("wanted"))
+        .agg(F.collect_list(F.col("ord").cast("int")).alias("wanted")),
+        "requests",
     )
+    if wanted.count() <= BROADCAST_PACKAGES and located.count() <= BROADCAST_REQUESTS:
+        wanted = F.broadcast(wanted)
     found = explode_packages(
         packages.select("package", "content").join(wanted, "package"),
         parts="wanted",
         limits=limits,
         limit=limit,
-    ).select("package", "ord", "content", "read_error")
-    missing = F.when(
-        F.col("ord").isNull(), F.concat(F.lit("part not found: "), F.col("path"))
-    )
-    return located.join(found, ["package", "ord"], "left").select(
+    ).filter((F.col("ord") >= 0) & (F.col("content").isNotNull() | F.col("read_error").isNotNull()))
+    missing = located.filter(F.col("ord").isNull()).select(
         "package",
         "path",
-        "content",
-        F.coalesce("read_error", missing).alias("read_error"),
+        F.lit(None).cast("binary").alias("content"),
+        F.concat(F.lit("part not found: "), F.col("path")).alias("read_error"),
     )
+    path = F.concat(F.lit("/"), normalize_path("archive_name")).alias("path")
+    return found.select("package", path, "content", "read_error").unionByName(missing)
 
 
 def pack_zip(files: DataFrame) -> DataFrame:

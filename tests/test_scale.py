@@ -4,7 +4,7 @@ import collections
 import os
 
 import pytest
-from helpers import rows
+from helpers import packages, rows, zip_bytes
 from pyspark.sql import functions as F
 
 from packlake import session
@@ -13,6 +13,7 @@ from packlake.limits import Limits
 from packlake.operators import details, search, tree
 from packlake.operators import index as I
 from packlake.operators import workbook as W
+from packlake.sources.packages import explode_packages, read_part
 
 N = 60_000
 
@@ -153,3 +154,15 @@ def test_path_fold_is_not_in_a_filter(spark):
     for found in (details.relationship_targets(rels), I.incoming(rels)):
         filters = [x for x in plan_of(found).split("\n") if " Filter " in x]
         assert not any("aggregate(" in x for x in filters)
+
+
+def test_read_part_does_not_move_bytes(spark):
+    blob = zip_bytes([("a.xml", b"<a/>"), ("b", b"x")])
+    df = packages(spark, ("p", blob), ("q", blob))
+    parts = I.dedupe_first_wins(explode_packages(df))
+    asked = spark.createDataFrame([("p", "/b"), ("q", "/lost"), ("q", "/a.xml")], "package string, path string")
+    found = read_part(df, parts, asked)
+    assert rows(found, "package", "path", "read_error", "content") == [
+        ("p", "/b", None, bytearray(b"x")), ("q", "/a.xml", None, bytearray(b"<a/>")), ("q", "/lost", "part not found: /lost", None),
+    ]
+    assert "Exchange hashpartitioning" not in plan_of(found)
