@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packlake.functions.text import ascii_lower, clean_text, prefix
+from packlake.functions.text import clean_text, prefix
 from packlake.functions.xml import is_element, xml_attr
 from packlake.limits import DEFAULT, Limits, bound
 from packlake.operators.details import relationship_count, relationship_target_for_id
 from packlake.operators.report import line, numbered
-from packlake.operators.shred import joined_text, running, shred_xml, tokens_of
+from packlake.operators.shred import found_rows, shred_xml
 
 PRESENTATION = "/ppt/presentation.xml"
 UNTITLED = "(untitled)"
@@ -37,59 +37,31 @@ def slide_order(events: DataFrame, rels: DataFrame, limits: Limits = DEFAULT) ->
 
 
 def title_tokens(contents: DataFrame) -> DataFrame:
-    return shred_xml(contents, names=["sp", "ph"])
+    return shred_xml(contents, names=[], with_text=False, folds=("titles",))
 
 
 def slide_title(events: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """First top-level shape with a title placeholder and text after it.
+    """First top-level shape with a title placeholder and text after it; of `title_tokens`.
 
     Text runs are joined without separator. Parts without a title give no row.
     """
-    is_title = ascii_lower(xml_attr("attrs", "type")).isin("title", "ctrtitle")
-    start = is_element("sp", "Start").cast("int")
-    end = is_element("sp", "End").cast("int")
-    tokens = tokens_of(events, "sp", "ph").withColumn("inside", running(start) - running(end))
-    opens = is_element("sp", "Start") & (F.col("inside") == 1)
-    marks = is_element("ph", "Start", "Empty") & is_title & (F.col("inside") > 0)
-    shapes = tokens.withColumn("shape", running(opens.cast("int"))).filter(
-        (F.col("inside") > 0) & (F.col("shape") > 0)
-    )
-    in_shape = (
-        Window.partitionBy("package", "path", "shape")
-        .orderBy("seq")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    cap = limits.text_chars
     titled = (
-        shapes.withColumn("titled", F.max(F.coalesce(marks, F.lit(False))).over(in_shape))
-        .filter("titled")
-        .groupBy("package", "path", "shape")
-        .agg(joined_text().alias("text"))
-        .withColumn("title", clean_text(prefix("text", limits.text_chars), limits.text_chars))
+        found_rows(events, "Title")
+        .select("package", "path", "seq", clean_text(prefix("text", cap), cap).alias("title"))
         .filter("title <> ''")
     )
-    return titled.groupBy("package", "path").agg(F.min_by("title", "shape").alias("title"))
+    return titled.groupBy("package", "path").agg(F.min_by("title", "seq").alias("title"))
 
 
-def all_text(events: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """All text of a part, concatenated. `events` must hold the Text tokens.
+def text_tokens(contents: DataFrame) -> DataFrame:
+    return shred_xml(contents, names=[], with_text=False, folds=("whole",))
 
-    With a character cap, pieces beyond it are dropped by a running length before they are gathered.
-    """
-    texts = events.filter(F.col("event") == "Text")
-    if limits.text_chars is None:
-        return texts.groupBy("package", "path").agg(joined_text().alias("text"))
-    w = (
-        Window.partitionBy("package", "path")
-        .orderBy("seq")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    length = F.coalesce(F.sum(F.char_length("text")).over(w), F.lit(0))
-    return (
-        texts.withColumn("before", length)
-        .filter(F.col("before") < limits.text_chars)
-        .groupBy("package", "path")
-        .agg(joined_text().alias("text"))
-        .withColumn("text", F.substring("text", 1, limits.text_chars))
+
+def all_text(events: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """All text of a part, concatenated; of `text_tokens`. Row-local."""
+    return found_rows(events, "Whole").select(
+        "package", "path", prefix("text", limits.text_chars).alias("text")
     )
 
 

@@ -1,7 +1,7 @@
 """XML parts to a table of tokens, and its validity test.
 
-Everything that reads a document walks the same token table with joins, filters and windows
-over `(package, path)`. A part holds at most 32 MiB, which bounds each of those groups.
+What needs the order of a document is folded while its part is tokenised (`operators.folds`); the rest
+is filters over single tokens. So tokens are not brought together again after they have left the task.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from xml.parsers import expat
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packlake.operators.folds import FOLDS
+
 EVENT_SCHEMA = (
     "package string, path string, seq int, event string, qname string, local string, "
     "depth int, attrs array<struct<name:string,value:string>>, text string"
@@ -52,10 +54,18 @@ def _utf8(data: bytes) -> bytes:
 
 
 class _Tokens:
-    """Collects the tokens of one part; `keep` limits Start/Empty/End to some local names."""
+    """Collects the tokens of one part; `keep` limits Start/Empty/End to some local names.
+
+    Folds see each token when it is certain: a start tag waits for what follows, which may be the end
+    of an empty element.
+    """
 
-    def __init__(self, data: bytes, keep: frozenset[str] | None, with_text: bool):
-        self.data, self.keep = data, keep
+    def __init__(
+        self, data: bytes, keep: frozenset[str] | None, with_text: bool, folds: tuple[str, ...]
+    ):
+        self.data, self.keep, self.with_text = data, keep, with_text
+        self.folds = [FOLDS[name](self.found) for name in folds]
+        self.waiting: tuple[str, list[str]] | None = None
         self.rows: list[tuple] = []
         self.seq = self.depth = 0
         self.opened = False  # the last callback was a start tag
@@ -64,7 +74,7 @@ class _Tokens:
         parser.StartElementHandler = self.start
         parser.EndElementHandler = self.end
         # Text is always watched, to tell `<a></a>` from `<a>x</a>`.
-        parser.CharacterDataHandler = self.text if with_text else self.touch
+        parser.CharacterDataHandler = self.text if with_text or folds else self.touch
         parser.StartCdataSectionHandler = self.cdata_start
         parser.EndCdataSectionHandler = self.cdata_end
 
@@ -74,7 +84,25 @@ class _Tokens:
             self.rows.append((self.seq, event, qname, local, self.depth, attrs, text))
         self.seq += 1
 
+    def found(self, event: str, number: int, fields: list[tuple[str, str]], text: str | None):
+        pairs = [{"name": name, "value": value} for name, value in fields]
+        self.rows.append((number, event, None, None, 0, pairs, text))
+
+    def tell(self, event, qname, attrs=()):
+        local = qname.rsplit(":", 1)[-1]
+        for fold in self.folds:
+            if local in fold.names:
+                fold.element(event, local, attrs)
+
+    def told(self):
+        if self.waiting is not None:
+            self.tell("Start", *self.waiting)
+            self.waiting = None
+
     def start(self, qname, attrs):
+        if self.folds:
+            self.told()
+            self.waiting = (qname, attrs)
         pairs = [
             {"name": attrs[i], "value": attrs[i + 1]} for i in range(0, len(attrs), 2)
         ]
@@ -90,14 +118,31 @@ class _Tokens:
             if self.keep is None or local in self.keep:
                 row = self.rows.pop()
                 self.rows.append((row[0], "Empty", *row[2:]))
+            if self.folds:
+                self.tell("Empty", *self.waiting)
+                self.waiting = None
         else:
             self.add("End", qname, [], None)
+            if self.folds:
+                self.told()
+                self.tell("End", qname)
         self.opened = False
 
     def text(self, data):
         self.opened = False
         if not self.in_cdata:
-            self.add("Text", None, [], data)
+            self.told()
+            for fold in self.folds:
+                fold.text(data)
+            if self.with_text:
+                self.add("Text", None, [], data)
+            else:
+                self.seq += 1
+
+    def done(self):
+        self.told()
+        for fold in self.folds:
+            fold.done()
 
     def touch(self, data):
         self.opened = False
@@ -116,16 +161,18 @@ def _at_end(error: expat.ExpatError) -> bool:
 
 
 def _tokenise(
-    data: bytes, keep: frozenset[str] | None, with_text: bool
+    data: bytes, keep: frozenset[str] | None, with_text: bool, folds: tuple[str, ...]
 ) -> Iterator[list[tuple] | str]:
     """Lists of tokens in document order; then, for a malformed part, why it is."""
     try:
         data = _utf8(data)
+        tokens = _Tokens(data, keep, with_text, folds)
         if b"<" not in data:  # no root, only text
-            text = data.decode("utf-8-sig")
-            yield [(0, "Text", None, None, 0, [], text)] if with_text and text else []
+            if text := data.decode("utf-8-sig"):
+                tokens.text(text)
+            tokens.done()
+            yield tokens.rows
             return
-        tokens = _Tokens(data, keep, with_text)
         step = 1 << 20
         view = memoryview(data)
         for at in range(0, len(data), step):
@@ -139,18 +186,22 @@ def _tokenise(
                 # The last token stays: its own end tag may still turn it into `Empty`.
                 yield tokens.rows[:-1]
                 tokens.rows = tokens.rows[-1:]
+        tokens.done()
         yield tokens.rows
     except (expat.ExpatError, UnicodeError) as error:
         yield str(error)
 
 
 def shred_xml(
-    parts: DataFrame, names: list[str] | None = None, with_text: bool = True
+    parts: DataFrame,
+    names: list[str] | None = None,
+    with_text: bool = True,
+    folds: tuple[str, ...] = (),
 ) -> DataFrame:
     """`(package, path, content[, read_error])` to tokens Start/Empty/End/Text, or one Error row.
 
     `names` keeps element tokens with these local names only: the projection a query needs,
-    applied while tokenising. Empty elements are told from start tags. CDATA, comments and
+    applied while tokenising. `folds` add the rows of these `operators.folds`. Empty elements are told from start tags. CDATA, comments and
     processing instructions give no row. A part that ends before its root does, or has none, keeps
     the tokens up to there. A null `content` gives an Unread row with its `read_error`, or none.
     """
@@ -169,7 +220,7 @@ def shred_xml(
                     continue
                 # What a part gives is kept back, as Arrow batches, until the part is known to be sound.
                 start, parked = len(held), []
-                for tokens in _tokenise(content, keep, with_text):
+                for tokens in _tokenise(content, keep, with_text, folds):
                     if isinstance(tokens, str):
                         del held[start:]
                         parked = []
@@ -197,9 +248,9 @@ def _event_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_EVENT)
 
 
-def tokens_of(events: DataFrame, *names: str) -> DataFrame:
-    """Text tokens, and element tokens with these local names."""
-    return events.filter((F.col("event") == "Text") | F.col("local").isin(*names))
+def found_rows(events: DataFrame, event: str) -> DataFrame:
+    """Rows of one fold."""
+    return events.filter(F.col("event") == event)
 
 
 def part_failures(events: DataFrame) -> DataFrame:
@@ -252,28 +303,3 @@ def validate_xml(parts: DataFrame) -> DataFrame:
         F.col("_error").isNull().alias("valid"),
         F.concat(F.col("path"), F.lit(": malformed XML: "), F.col("_error")).alias("message"),
     )
-
-
-def document_order() -> Window:
-    """Tokens of one part in document order."""
-    return Window.partitionBy("package", "path").orderBy("seq")
-
-
-def running(c: Column) -> Column:
-    """Running sum in document order, current token included."""
-    return F.sum(c).over(document_order().rowsBetween(Window.unboundedPreceding, 0))
-
-
-def latest(c: Column, before: bool = False) -> Column:
-    """Last non-null value in document order, up to (or strictly before) this token."""
-    last_row = -1 if before else 0
-    return F.last(c, ignorenulls=True).over(
-        document_order().rowsBetween(Window.unboundedPreceding, last_row)
-    )
-
-
-def joined_text(seq: str = "seq", text: Column | str = "text") -> Column:
-    """Aggregate: text pieces of a group in document order, without separator."""
-    piece = F.col(text) if isinstance(text, str) else text
-    ordered = F.sort_array(F.collect_list(F.when(piece.isNotNull(), F.struct(F.col(seq), piece.alias("t")))))
-    return F.array_join(F.transform(ordered, lambda s: s["t"]), "")

@@ -20,9 +20,8 @@ from packlake.session import staged
 MAIN_PARTS = {"ppt": S.PRESENTATION, "word": D.DOCUMENT, "excel": X.WORKBOOK}
 
 
-SUMMARY_NAMES = [
-    "sldId", "sp", "ph", "p", "tbl", "pStyle", "t", "sheet", "si", "dimension", "c", "v", "f",
-]
+SUMMARY_NAMES = ["sldId", "sheet", "dimension"]
+SUMMARY_FOLDS = ("titles", "whole", "paragraphs", "headings", "strings", "cells")
 
 
 def detect_format(parts: DataFrame) -> DataFrame:
@@ -65,7 +64,9 @@ def summary_tokens(contents: DataFrame) -> DataFrame:
     `contents` are `part_contents`, best of entries read with `only_markup`. The tokens are read
     by several operators: write or persist them before `document_summaries`.
     """
-    return shred_xml(contents.filter(~F.col("is_dir")), names=SUMMARY_NAMES)
+    return shred_xml(
+        contents.filter(~F.col("is_dir")), names=SUMMARY_NAMES, with_text=False, folds=SUMMARY_FOLDS
+    )
 
 
 def bare_lines(main: DataFrame) -> DataFrame:

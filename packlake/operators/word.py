@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packlake.functions.text import clean_text, prefix
-from packlake.functions.xml import is_element, xml_attr
+from packlake.functions.xml import xml_attr
 from packlake.limits import DEFAULT, Limits, bound
 from packlake.operators.details import relationship_count
 from packlake.operators.report import line, numbered
-from packlake.operators.shred import joined_text, latest, running, shred_xml, tokens_of
+from packlake.operators.shred import found_rows, shred_xml
 
 DOCUMENT = "/word/document.xml"
 # Levels by which a heading is indented, at most; the level itself is in `heading_outline`.
@@ -18,49 +18,34 @@ INDENT_LEVELS = 1000
 
 
 def word_tokens(contents: DataFrame) -> DataFrame:
-    return shred_xml(contents, names=["p", "tbl", "pStyle", "t"])
+    return shred_xml(contents, names=[], with_text=False, folds=("paragraphs", "headings"))
 
 
 def word_counts(events: DataFrame) -> DataFrame:
-    """Paragraphs (start tags only; `<p/>` is none) and tables by part."""
-    return events.groupBy("package", "path").agg(
-        F.count_if(is_element("p", "Start")).alias("paragraphs"),
-        F.count_if(is_element("tbl", "Start", "Empty")).alias("tables"),
+    """Paragraphs (start tags only; `<p/>` is none) and tables by part; of `word_tokens`."""
+    return found_rows(events, "Counts").select(
+        "package",
+        "path",
+        xml_attr("attrs", "paragraphs").cast("bigint").alias("paragraphs"),
+        xml_attr("attrs", "tables").cast("bigint").alias("tables"),
     )
 
 
 def heading_outline(events: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """Headings in document order: `(package, path, ord, level, text)`.
+    """Headings in document order: `(package, path, ord, level, text)`; of `word_tokens`.
 
     A stretch runs between two paragraph boundaries; only one that a paragraph start opens and
-    a paragraph end closes can be a heading, so text around a nested paragraph is dropped.
+    a paragraph end closes can be a heading, so text around a nested paragraph is dropped. Only
+    headings are brought together, to be numbered.
     """
-    edge = is_element("p", "Start", "End")
-    tokens = (
-        tokens_of(events, "p", "pStyle", "t")
-        .withColumn("stretch", running(edge.cast("int")) - edge.cast("int"))
-        .withColumn("inside", F.coalesce(latest(F.when(edge, F.col("event") == "Start"), before=True), F.lit(False)))
-    )
-    in_text = latest(
-        F.when(is_element("t", "Start") & F.col("inside"), F.lit(True)).when(
-            is_element("t", "End"), F.lit(False)
-        )
-    )
-    marked = tokens.withColumn("in_text", F.coalesce(in_text, F.lit(False))).filter("inside")
-    styled = is_element("pStyle", "Start", "Empty")
-    closes = is_element("p", "End")
-    stretches = marked.groupBy("package", "path", "stretch").agg(
-        F.max_by(F.when(styled, F.struct(xml_attr("attrs", "w:val").alias("v"))), F.when(styled, F.col("seq")))["v"].alias("style"),
-        F.max(closes).alias("closed"),
-        joined_text(text=F.when((F.col("event") == "Text") & F.col("in_text"), F.col("text"))).alias("raw"),
-    )
-    number = F.regexp_extract("style", r"\AHeading\+?([0-9]+)\z", 1)
+    number = F.regexp_extract(xml_attr("attrs", "style"), r"\AHeading\+?([0-9]+)\z", 1)
     level = F.nullif(number, F.lit("")).try_cast("bigint")
-    w = Window.partitionBy("package", "path").orderBy("stretch")
+    cap = limits.text_chars
+    w = Window.partitionBy("package", "path").orderBy("seq")
     return (
-        stretches.filter("closed")
+        found_rows(events, "Heading")
         .withColumn("level", level)
-        .withColumn("text", clean_text(prefix("raw", limits.text_chars), limits.text_chars))
+        .withColumn("text", clean_text(prefix("text", cap), cap))
         .filter("level is not null and text <> ''")
         .withColumn("ord", F.row_number().over(w))
         .filter(F.col("ord") <= bound(limits.summary_items))

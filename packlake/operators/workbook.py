@@ -10,7 +10,7 @@ from packlake.functions.xml import is_element, xml_attr
 from packlake.limits import DEFAULT, Limits, bound
 from packlake.operators.details import relationship_target_for_id
 from packlake.operators.report import line, numbered
-from packlake.operators.shred import joined_text, latest, running, shred_xml, tokens_of
+from packlake.operators.shred import found_rows, shred_xml
 
 WORKBOOK = "/xl/workbook.xml"
 SHARED_STRINGS = "/xl/sharedStrings.xml"
@@ -40,104 +40,36 @@ def workbook_sheets(events: DataFrame, rels: DataFrame, limits: Limits = DEFAULT
 
 
 def string_tokens(contents: DataFrame) -> DataFrame:
-    return shred_xml(contents, names=["si", "t"])
+    return shred_xml(contents, names=[], with_text=False, folds=("strings",))
 
 
 def shared_strings(events: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """`(package, idx, value)`: one entry per closed `si`, text of its `t` elements joined.
 
-    A self-closing `<si/>` is no entry.
+    Of `string_tokens`. A self-closing `<si/>` is no entry.
     """
-    tokens = (
-        tokens_of(events, "si", "t")
-        .withColumn("item", running(is_element("si", "Start").cast("int")))
-        .withColumn("inside", latest(F.when(is_element("si", "Start", "End"), F.col("event") == "Start")))
-    )
-    in_text = latest(
-        F.when(is_element("t", "Start") & F.col("inside"), F.lit(True)).when(
-            is_element("t", "End"), F.lit(False)
-        )
-    )
-    ends = is_element("si", "End")
-    marked = (
-        tokens.withColumn("in_text", F.coalesce(in_text, F.lit(False)))
-        .withColumn("idx", running(ends.cast("int")) - 1)
-        .filter(ends | ((F.col("event") == "Text") & F.col("in_text")))
-    )
-    # An item is closed once in a sane file; a nested one repeats the inner text.
-    items = marked.groupBy("package", "path", "item").agg(
-        F.array_compact(F.collect_list(F.when(ends, F.col("idx")))).alias("idxs"),
-        joined_text(text=F.when(~ends, F.col("text"))).alias("raw"),
-    )
     return (
-        items.select(
-            "package",
-            F.explode("idxs").alias("idx"),
-            prefix("raw", limits.text_chars).alias("value"),
-        )
-        .filter(F.col("idx") < bound(limits.shared_strings))
-        .withColumn("idx", F.col("idx").cast("int"))
+        found_rows(events, "String")
+        .filter(F.col("seq") < bound(limits.shared_strings))
+        .select("package", F.col("seq").alias("idx"), prefix("text", limits.text_chars).alias("value"))
     )
 
 
 def cell_tokens(contents: DataFrame) -> DataFrame:
-    return shred_xml(contents, names=["dimension", "c", "v", "f", "t"])
+    return shred_xml(contents, names=["dimension"], with_text=False, folds=("cells",))
 
 
 def worksheet_cells(events: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """All cells: `(package, path, ord, reference, cell_type, value, formula)`.
-
-    Text belongs to the last of `v`, `f`, `t` opened inside a cell and not closed since.
-    """
-    edge = is_element("c", "Start", "End")
-    tokens = (
-        tokens_of(events, "c", "v", "f", "t")
-        .withColumn("cell", running(is_element("c", "Start").cast("int")))
-        .withColumn("inside", F.coalesce(latest(F.when(edge, F.col("event") == "Start")), F.lit(False)))
-        .withColumn("was_inside", F.coalesce(latest(F.when(edge, F.col("event") == "Start"), before=True), F.lit(False)))
-    )
-    opened = (F.col("event") == "Start") & F.col("inside")
-    field = latest(
-        F.when(opened & F.col("local").isin("v", "t"), F.lit("v"))
-        .when(opened & (F.col("local") == "f"), F.lit("f"))
-        .when((F.col("event") == "End") & F.col("local").isin("v", "f", "t"), F.lit(""))
-    )
-    closes = is_element("c", "End") & F.col("was_inside")
-    empty = is_element("c", "Empty")
-    marked = (
-        tokens.withColumn("field", field)
-        .withColumn(
-            # An empty cell is a cell of its own, also inside another one.
-            "part_cell",
-            F.when(empty, -F.col("seq") - 1).otherwise(F.col("cell")),
-        )
-        .filter(
-            is_element("c", "Start", "Empty")
-            | closes
-            | ((F.col("event") == "Text") & F.col("inside") & F.col("field").isin("v", "f"))
-        )
-    )
-    attrs = F.when(is_element("c", "Start", "Empty"), F.struct(
-        F.coalesce(xml_attr("attrs", "r"), F.lit("")).alias("r"), xml_attr("attrs", "t").alias("t")
-    ))
-    text = F.col("event") == "Text"
-    cells = marked.groupBy("package", "path", "part_cell").agg(
-        F.max(attrs).alias("a"),
-        F.max(F.when(closes | empty, F.col("seq"))).alias("at"),
-        joined_text(text=F.when(text & (F.col("field") == "v"), F.col("text"))).alias("value"),
-        joined_text(text=F.when(text & (F.col("field") == "f"), F.col("text"))).alias("formula"),
-        F.count_if(text & (F.col("field") == "f")).alias("n_formula"),
-    )
-    w = Window.partitionBy("package", "path").orderBy("at")
+    """All cells: `(package, path, ord, reference, cell_type, value, formula)`; of `cell_tokens`."""
     cap = limits.text_chars
-    return cells.filter(F.col("at").isNotNull()).select(
+    return found_rows(events, "Cell").select(
         "package",
         "path",
-        F.row_number().over(w).alias("ord"),
-        F.col("a.r").alias("reference"),
-        F.col("a.t").alias("cell_type"),
-        prefix("value", cap).alias("value"),
-        F.when(F.col("n_formula") > 0, prefix("formula", cap)).alias("formula"),
+        F.col("seq").alias("ord"),
+        xml_attr("attrs", "r").alias("reference"),
+        xml_attr("attrs", "t").alias("cell_type"),
+        prefix("text", cap).alias("value"),
+        prefix(xml_attr("attrs", "f"), cap).alias("formula"),
     )
 
 

@@ -436,8 +436,7 @@ def detect_format(t: Tables) -> DataFrame:
 
 @query
 def append_text(t: Tables) -> DataFrame:
-    events = X.shred_xml(A.file_parts(A.word_files(t), "document.xml"), names=["w"])
-    return S.all_text(events)
+    return S.all_text(S.text_tokens(A.file_parts(A.word_files(t), "document.xml")))
 
 
 @query
@@ -472,13 +471,13 @@ def _note_parts(files: DataFrame) -> DataFrame:
 
 @query
 def all_text(t: Tables) -> DataFrame:
-    return S.all_text(X.shred_xml(_slide_parts(A.deck_files(t)), names=[]))
+    return S.all_text(S.text_tokens(_slide_parts(A.deck_files(t))))
 
 
 @query
 def slide_notes(t: Tables) -> DataFrame:
     files, rels, slides = _slides(t)
-    return S.slide_notes(slides, rels, X.shred_xml(_note_parts(files), names=[]))
+    return S.slide_notes(slides, rels, S.text_tokens(_note_parts(files)))
 
 
 @query
@@ -488,7 +487,7 @@ def ppt_slides(t: Tables) -> DataFrame:
         slides,
         rels,
         S.title_tokens(_slide_parts(files)),
-        X.shred_xml(_note_parts(files), names=[]),
+        S.text_tokens(_note_parts(files)),
     )
 
 

@@ -80,7 +80,7 @@ def test_malformed_parts_are_named(spark):
 
 
 def test_all_text(spark):
-    events = X.shred_xml(xml_parts(spark, ("p", "/x", "<root>one &amp; &lt;two&gt;</root>")))
+    events = S.text_tokens(xml_parts(spark, ("p", "/x", "<root>one &amp; &lt;two&gt;</root>")))
     assert one(S.all_text(events), "text") == ("one & <two>",)
     assert one(S.all_text(events, Limits(text_chars=5)), "text") == ("one &",)
 
@@ -291,7 +291,7 @@ def test_nothing_is_cut_without_a_limit(spark):
     assert rows(W.resolve_shared(cells, found).select("value").distinct()) == [(f"s{n - 1}",)]
     assert W.shared_strings(W.string_tokens(xml_parts(spark, ("p", "/x", strings))), SCREEN).count() == 16_384
     long = "x " * 20_000
-    text = S.all_text(X.shred_xml(xml_parts(spark, ("p", "/t", f"<t>{long}</t>"))))
+    text = S.all_text(S.text_tokens(xml_parts(spark, ("p", "/t", f"<t>{long}</t>"))))
     assert one(text.select(F.char_length("text").alias("n")), "n") == (40_000,)
     heading = f'<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:t>{long}</w:t></w:p>'
     outline = D.heading_outline(D.word_tokens(xml_parts(spark, ("p", "/word/document.xml", WORD.format(more=heading * 4100)))))
