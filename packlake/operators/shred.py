@@ -85,8 +85,7 @@ class _Tokens:
         self.seq += 1
 
     def found(self, event: str, number: int, fields: list[tuple[str, str]], text: str | None):
-        pairs = [{"name": name, "value": value} for name, value in fields]
-        self.rows.append((number, event, None, None, 0, pairs, text))
+        self.rows.append((number, event, None, None, 0, fields, text))
 
     def tell(self, event, qname, attrs=()):
         local = qname.rsplit(":", 1)[-1]
@@ -103,9 +102,7 @@ class _Tokens:
         if self.folds:
             self.told()
             self.waiting = (qname, attrs)
-        pairs = [
-            {"name": attrs[i], "value": attrs[i + 1]} for i in range(0, len(attrs), 2)
-        ]
+        pairs = list(zip(attrs[::2], attrs[1::2]))
         self.add("Start", qname, pairs, None)
         self.depth += 1
         self.opened = True
