@@ -1,9 +1,9 @@
 """Language-model scores: a pretrained byte model (prediction by partial matching) and a word unigram.
 
 All statistics are counted in one pass over the training texts. A second pass scores every text by the
-byte model and sums up the log probabilities of frequent words; the counts of the other words come by a
-shuffled join. Frequent are words of a fixed share of all tokens, so their number is bounded whatever the
-size of the corpus, and only they are sent to all tasks.
+frequent grams and words; the values of the other grams and the counts of the other words come by shuffled
+joins. Frequent are words of a fixed share of all tokens and grams of a fixed share of all positions, so
+their number is bounded whatever the size of the corpus, and only they are sent to all tasks.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from packlake.llm.common import lower_words, utf8
 from packlake.session import staged
 
 ORDER = 4
-#: Contexts of each length that are nodes of the trie, at most.
-NODES = 1 << 14
+#: Grams of 1 / GRAMS of all positions or more are looked up in the tasks, so many at most.
+GRAMS = 1 << 22
 #: Words of 1 / FREQUENT of all tokens or more are looked up in the tasks: so many at most, and none
 #: longer than LONGEST bytes.
 FREQUENT, LONGEST = 1 << 20, 64
@@ -63,7 +63,7 @@ def counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, learn: Column, order: int = ORDER, nodes: int = NODES, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, learn: Column, order: int = ORDER, frequent: int = FREQUENT, grams: int = GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs`.
 
     Learns from the rows where `learn` is true; reads `doc_id`, `text` and `held_out` only. A null
@@ -81,13 +81,14 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER, nodes: int = NODES
     common = F.expr(f"n >= {least} AND octet_length(word) <= {LONGEST}")
     # At most `frequent` words of at most LONGEST bytes.
     known = {bytes(w): (math.log10(n + scale) - unit, n) for w, n in words.where(common).collect()}
-    rows = ppm.trie_rows(found.where("gram IS NOT NULL").select("gram", "n"), order, nodes).toPandas()
-    walk, table = ppm.build(rows["k"].to_numpy(), rows["gram"].to_numpy(), rows["n"].to_numpy(), order)
-    model = spark.sparkContext.broadcast((known, walk.plain(), table))
+    counted = found.where("gram IS NOT NULL").select(F.lit(0).alias("model"), "gram", "n")
+    model = ppm.model_of(counted, order)
+    # At most `grams` of them.
+    frequent_values = model.lookup(ppm.frequent_grams(counted, grams))
+    sent = spark.sparkContext.broadcast((known, *frequent_values))
 
     def run(batches):
-        known, walk, table = model.value
-        walk = ppm.Walk(*walk)
+        known, keys, values = sent.value
         number = TaskContext.get().partitionId() << 36
         kind = None
         for batch in batches:
@@ -109,22 +110,23 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER, nodes: int = NODES
                 tokens.append(own.total())
                 base.append(math.fsum(part))
                 sure.append(seen)
-            scores = ppm.log_probabilities(texts, walk, table)
-            n, m = len(texts), len(owner)
+            scores, gram_owner, gram, gram_times = ppm.look_up(texts, order, keys, values)
+            n, m, g = len(texts), len(owner), len(gram)
             ids = np.arange(number, number + n)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([ids, np.array(owner, np.int64)]), pa.int64()),
-                    pa.concat_arrays([batch.column("doc_id"), pa.nulls(m, kind)]),
-                    pa.concat_arrays([batch.column("held_out"), pa.nulls(m, pa.bool_())]),
-                    pa.array(tokens + [None] * m, pa.int64()),
-                    pa.array(sure + [None] * m, pa.int64()),
-                    pa.array(base + [None] * m, pa.float64()),
-                    pa.array([*scores.tolist(), *[None] * m], pa.float64()),
-                    pa.array([None] * n + rare, pa.binary()),
-                    pa.array([None] * n + times, pa.int64()),
+                    pa.array(np.concatenate([ids, np.array(owner, np.int64), number + gram_owner]), pa.int64()),
+                    pa.concat_arrays([batch.column("doc_id"), pa.nulls(m + g, kind)]),
+                    pa.concat_arrays([batch.column("held_out"), pa.nulls(m + g, pa.bool_())]),
+                    pa.concat_arrays([pa.array(tokens, pa.int64()), pa.nulls(m + g, pa.int64())]),
+                    pa.concat_arrays([pa.array(sure, pa.int64()), pa.nulls(m + g, pa.int64())]),
+                    pa.concat_arrays([pa.array(base, pa.float64()), pa.nulls(m + g, pa.float64())]),
+                    pa.concat_arrays([pa.array(scores[:, 0]), pa.nulls(m + g, pa.float64())]),
+                    pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(rare, pa.binary()), pa.nulls(g, pa.binary())]),
+                    pa.concat_arrays([pa.nulls(n + m, pa.int64()), pa.array(gram)]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times, pa.int64()), pa.array(gram_times)]),
                 ],
-                ["row", "doc_id", "held_out", "n_tokens", "n_sure", "sure", "score", "word", "times"],
+                ["row", "doc_id", "held_out", "n_tokens", "n_sure", "sure", "score", "word", "gram", "times"],
             )
             number += n
 
@@ -133,7 +135,7 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER, nodes: int = NODES
         docs.mapInArrow(
             run,
             f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_sure long, sure double, score double, "
-            "word binary, times long",
+            "word binary, gram long, times long",
         ),
         "scores",
     )
@@ -147,10 +149,14 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER, nodes: int = NODES
             F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_rest"),
         )
     )
+    rare_grams = both.where("gram IS NOT NULL").select("row", "gram", "times")
+    values = model.values(rare_grams.select("gram").distinct()).select("gram", "value")
+    escaped = rare_grams.join(values, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("rest_score"))
     return (
-        both.where("word IS NULL")
-        .drop("word", "times")
+        both.where("word IS NULL AND gram IS NULL")
+        .drop("word", "gram", "times")
         .join(others, "row", "left")
+        .join(escaped, "row", "left")
         .select(
             "doc_id",
             "held_out",
@@ -158,6 +164,6 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER, nodes: int = NODES
             (F.col("n_sure") + F.coalesce("n_rest", F.lit(0))).alias("n_known"),
             F.lit(total).cast("long").alias("train_tokens"),
             (F.col("sure") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-            "score",
+            (F.col("score") + F.coalesce("rest_score", F.lit(0.0))).alias("score"),
         )
     )

@@ -146,3 +146,17 @@ def test_languages(spark):
     assert all(0 <= s <= 1 for _, s in got.values())
     none = langid.identify(asked, *langid.train(docs.limit(0))).collect()
     assert {r.lang_pred for r in none} == {"und"}
+
+
+@pytest.mark.parametrize("grams", [1, 20, 1 << 22])
+def test_scores_are_those_of_the_whole_trie(spark, grams):
+    """However many grams are looked up in the tasks, no context is left out."""
+    # More than 16,384 positions to a context, so a trie of as many nodes would lack those of the first text.
+    train = [*(t.decode() for t in TRAIN), "tab " * 8000]
+    asked = [t.decode() for t in SCORED]
+    rows = [(k, t, False) for k, t in enumerate(train)] + [(100 + k, t, True) for k, t in enumerate(asked)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs, ~F.col("held_out"), grams=grams).collect()}
+    trie = trie_of([t.encode() for t in train], lm_scoring.ORDER, 1 << 40)
+    want = {k: log_of(trie, t.encode(), lm_scoring.ORDER) for k, t, _ in rows}
+    assert got == pytest.approx(want, rel=1e-5)
