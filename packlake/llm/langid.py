@@ -1,9 +1,8 @@
 """Language identification: one byte-context tree for each language, and the shortest code wins.
 
-The trees have their own contexts (a fixed share of the language's positions, so their number is
-bounded) and their own escape probabilities. They are laid over one common trie, whose nodes hold for
-each language the code lengths at the longest context that the language's own tree has there; one walk
-over a text then scores it in all languages.
+The trees have their own contexts, all that were seen, and their own escape probabilities. Tasks look up
+frequent grams, which have a value for each language; the other grams of a text get theirs by a shuffled
+join. How many are looked up depends on the number of languages, what their values are does not.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +20,7 @@ from packlake.llm.common import utf8
 from packlake.session import staged
 
 ORDER = 3
-#: Values of the common table (nodes, symbols and languages), at most; with more languages each has
-#: fewer contexts.
+#: Values (grams and languages) that are looked up in the tasks, at most; the others are joined.
 TABLE_VALUES = 1 << 24
 UNKNOWN = "und"
 MAYBE_LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
@@ -96,24 +95,24 @@ def has_letter(text: bytes) -> bool:
     return bool(MAYBE_LETTER.search(text)) and any(map(str.isalpha, text.decode()))
 
 
-def train(texts: DataFrame, order: int = ORDER) -> tuple[list[str], ppm.Walk | None, np.ndarray | None]:
-    """The languages in order of name, the common trie and its table. `texts` has lang and text."""
+def train(texts: DataFrame, order: int = ORDER) -> tuple[list[str], ppm.Model | None, tuple[np.ndarray, np.ndarray] | None]:
+    """The languages in order of name, their trees, and the frequent grams with their values.
+
+    `texts` has lang and text.
+    """
     found = staged(counts(texts, order), "grams")
     langs = sorted(r[0] for r in found.select("lang").distinct().collect())  # a row for each language
     if not langs:
         return [], None, None
-    nodes = max(2, TABLE_VALUES // (order * (ppm.SYMBOLS + 1) * len(langs) ** 2))
-    # At most `nodes` contexts of each length for each language, with at most 257 symbols each.
-    rows = ppm.trie_rows(found, order, nodes, ("lang",)).toPandas()
-    trees = []
-    for lang in langs:
-        own = rows[rows["lang"] == lang]
-        trees.append(ppm.build(own["k"].to_numpy(), own["gram"].to_numpy(), own["n"].to_numpy(), order))
-    walk, table = overlay(trees, order)
-    return langs, walk, table
-
-
-def identify(docs: DataFrame, langs: list[str], walk: ppm.Walk | None, table: np.ndarray | None) -> DataFrame:
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
+    grams = found.select(number.alias("model"), "gram", "n")
+    model = ppm.model_of(grams, order, len(langs))
+    return langs, model, model.lookup(ppm.frequent_grams(grams, max(1, TABLE_VALUES // len(langs))))
+
+
+def identify(
+    docs: DataFrame, langs: list[str], model: ppm.Model | None, frequent: tuple[np.ndarray, np.ndarray] | None
+) -> DataFrame:
     """doc_id, lang_pred, score for each row of `docs`; reads `doc_id` and `text` only.
 
     The score is the share of the winner's probability among those of all languages. A null text, one
@@ -121,24 +120,53 @@ def identify(docs: DataFrame, langs: list[str], walk: ppm.Walk | None, table: np
     code lengths the first name wins. Repeated rows are judged one by one, a null id stays null.
     """
     docs = docs.select("doc_id", "text")
-    model = docs.sparkSession.sparkContext.broadcast((langs, walk and walk.plain(), table))
+    if not langs:
+        return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    order = model.order
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        langs, walk, table = model.value
-        walk = walk and ppm.Walk(*walk)
+        keys, values = sent.value
+        number = TaskContext.get().partitionId() << 36
         for batch in batches:
             texts = utf8(batch, "text")
-            real = [k for k, text in enumerate(texts) if langs and text is not None and has_letter(text)]
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            if real:
-                logs = ppm.log_probabilities([texts[k] for k in real], walk, table)
-                best = logs.argmax(1)
-                share = 1 / (10.0 ** np.clip(logs - logs.max(1, keepdims=True), -300, 0)).sum(1)
-                for k, b, s in zip(real, best.tolist(), share.tolist(), strict=True):
-                    names[k], scores[k] = langs[b], s
+            n = len(texts)
+            real = [k for k, text in enumerate(texts) if text is not None and has_letter(text)]
+            logs, owner, gram, times = ppm.look_up([texts[k] for k in real], order, keys, values)
+            rows: list[list[float] | None] = [None] * n
+            for k, own in zip(real, logs.tolist(), strict=True):
+                rows[k] = own
+            g = len(gram)
+            owner = np.array(real, np.int64)[owner] if g else owner
+            kind = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                ["doc_id", "lang_pred", "score"],
+                [
+                    pa.array(np.concatenate([np.arange(number, number + n), number + owner])),
+                    pa.concat_arrays([batch.column("doc_id"), pa.nulls(g, batch.column("doc_id").type)]),
+                    pa.concat_arrays([pa.array(rows, kind), pa.nulls(g, kind)]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(gram)]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times)]),
+                ],
+                ["row", "doc_id", "logs", "gram", "times"],
             )
-
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+            number += n
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    both = staged(docs.mapInArrow(run, f"row long, doc_id {kind}, logs array<double>, gram long, times long"), "scores")
+    rare = both.where("gram IS NOT NULL").select("row", "gram", "times")
+    values = model.values(rare.select("gram").distinct())
+    each = rare.join(values, "gram").groupBy("row", "model").agg(F.sum(F.col("times") * F.col("value")).alias("value"))
+    # A row for each language.
+    rest = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("model", "value"))).alias("rest"))
+    logs = F.zip_with("logs", "rest", lambda sure, x: sure + F.coalesce(x["value"], F.lit(0.0)))
+    logs = F.when(F.col("rest").isNull(), F.col("logs")).otherwise(logs)
+    scored = both.where("gram IS NULL").select("row", "doc_id", "logs").join(rest, "row", "left").select("doc_id", logs.alias("logs"))
+    best = F.array_max("logs")
+    share = F.aggregate("logs", F.lit(0.0), lambda sum_, x: sum_ + F.pow(F.lit(10.0), F.greatest(x - best, F.lit(-300.0))))
+    name = F.get(F.array(*map(F.lit, langs)), F.array_position("logs", best).cast("int") - 1)
+    known = F.col("logs").isNotNull()
+    return scored.select(
+        "doc_id",
+        F.when(known, name).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(known, 1 / share).otherwise(0.0).alias("score"),
+    )

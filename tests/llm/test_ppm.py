@@ -160,3 +160,25 @@ def test_scores_are_those_of_the_whole_trie(spark, grams):
     trie = trie_of([t.encode() for t in train], lm_scoring.ORDER, 1 << 40)
     want = {k: log_of(trie, t.encode(), lm_scoring.ORDER) for k, t, _ in rows}
     assert got == pytest.approx(want, rel=1e-5)
+
+
+@pytest.mark.parametrize("values", [1, 1 << 24])
+def test_many_languages_keep_their_contexts(spark, monkeypatch, values):
+    """With sixty languages, and whatever is looked up in the tasks, each tree is whole."""
+    monkeypatch.setattr(langid, "TABLE_VALUES", values)
+    words = ["".join(sorted("abcde", key=lambda c: hash_of(k, c))) for k in range(60)]
+    train = {f"l{k:02}": f"{w} {w[::-1]} {w}{w}" for k, w in enumerate(words)}
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(train.items())], "doc_id long, text string, lang string")
+    asked = [(k, f"{w}{w[::-1]} {w}") for k, w in enumerate(words)] + [(100, "the zebra"), (101, "é")]
+    found = langid.identify(spark.createDataFrame(asked, "doc_id long, text string"), *langid.train(docs)).collect()
+    got = {r.doc_id: (r.lang_pred, r.score) for r in found}
+    tries = {lang: trie_of([t.encode()], langid.ORDER, 1 << 40) for lang, t in train.items()}
+    for k, text in asked:
+        logs = {lang: log_of(trie, text.encode(), langid.ORDER) for lang, trie in tries.items()}
+        best = max(logs.values())
+        assert logs[got[k][0]] == pytest.approx(best, rel=1e-5)
+        assert got[k][1] == pytest.approx(1 / sum(10 ** (x - best) for x in logs.values()), rel=1e-3)
+
+
+def hash_of(k, c):
+    return (k * 7919 + 1) * (ord(c) * ord(c) + 13) % 1009
