@@ -29,6 +29,7 @@ REPEATED_PERCENT = 30
 
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
 LOWER = bytes(range(ord("a"), ord("z") + 1))
+ASCII = bytes(range(128))
 #: Documents on which cost and selectivity are measured, about.
 SAMPLE_ROWS = 400
 
@@ -63,13 +64,19 @@ class Doc:
     def n_dup_lines(self) -> int:
         return len(self.lines) - len(set(self.lines))
 
+    @cached_property
+    def other_letters(self) -> list[str]:
+        """The letters that are not ASCII."""
+        return [] if self.raw.isascii() else [c for c in self.raw.translate(None, ASCII).decode() if c.isalpha()]
+
     @cached_property
     def n_upper(self) -> int:
-        return len(self.raw) - len(self.raw.translate(None, UPPER))
+        return len(self.raw) - len(self.raw.translate(None, UPPER)) + sum(map(str.isupper, self.other_letters))
 
     @cached_property
-    def n_lower(self) -> int:
-        return len(self.raw) - len(self.raw.translate(None, LOWER))
+    def n_letters(self) -> int:
+        """With those of scripts that have no case."""
+        return len(self.raw) - len(self.raw.translate(None, UPPER + LOWER)) + len(self.other_letters)
 
     @cached_property
     def n_repeat_words(self) -> int:
@@ -121,7 +128,7 @@ RULES = (
     Rule("few_words", lambda d: d.n_words < MIN_WORDS),
     Rule("repeated_windows", lambda d: 100 * d.n_repeat_words > REPEATED_PERCENT * d.n_words),
     Rule("symbols", lambda d: 10 * d.n_symbols > d.n_words),
-    Rule("shouting", lambda d: d.n_upper > d.n_lower),
+    Rule("shouting", lambda d: 2 * d.n_upper > d.n_letters),
     Rule("repeated_lines", lambda d: 2 * d.n_dup_lines > len(d.lines)),
     Rule("word_length", lambda d: d.word_chars > 40 * d.n_words),
 )

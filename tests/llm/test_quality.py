@@ -72,3 +72,11 @@ def test_a_rejected_document_meets_no_further_rule(spark):
     assert [r.name for r in ordered] == ["all", "never"]
     doc = quality.Doc(b"x")
     assert next(r.name for r in (ordered[0], quality.Rule("bad", fails)) if r.rejects(doc)) == "all"
+
+
+def test_shouting_is_about_all_scripts():
+    shouting = {r.name: r for r in quality.RULES}["shouting"].rejects
+    clean = ["страны НАТО и формат A4", "το NATO και η χώρα", "नाटो NATO के सदस्य देश और उनके लोग", "나토 A4 회원국", "دول NATO والعالم كله", "plain NATO text here", "12 !?", ""]
+    loud = ["КУПИ СЕЙЧАС", "ΑΓΟΡΑΣΕ ΤΩΡΑ", "BUY NOW", "ÉTÉ à"]
+    assert not any(shouting(quality.Doc(t.encode())) for t in clean)
+    assert all(shouting(quality.Doc(t.encode())) for t in loud)
