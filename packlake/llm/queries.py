@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlake.llm import decontaminate, html_extract, langid, lm_scoring, neardup, packing, quality, secrets, toxicity, warc
+from packlake.llm import (
+    conversations,
+    decontaminate,
+    hard_negatives,
+    html_extract,
+    langid,
+    lm_scoring,
+    neardup,
+    packing,
+    pieces,
+    quality,
+    secrets,
+    toxicity,
+    warc,
+)
 from packlake.llm.common import is_held_out, remainder, table
 
 
@@ -84,6 +98,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit(table(spark, sf_dir, "conversations"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.noisy(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_toxicity": op1_toxicity,
@@ -96,4 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
+    "op11_conversations": op11_conversations,
+    "op12_pieces": op12_pieces,
+    "op13_hard_negatives": op13_hard_negatives,
 }
