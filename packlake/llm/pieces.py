@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, filterfalse
 from operator import add
 
 import numpy as np
@@ -94,13 +94,15 @@ class Vocabulary:
     def merge(self, segments: list[str]) -> list[tuple[int, ...]]:
         """The ids of segments."""
         found: list = [None] * len(segments)
-        order = sorted((len(s), k) for k, s in enumerate(segments))
-        short = [k for size, k in order if size <= SHORT]
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        order = np.argsort(sizes, kind="stable")
+        n_short = int((sizes <= SHORT).sum())
+        short = order[:n_short].tolist()
         for start in range(0, len(short), TOGETHER):
             chosen = short[start : start + TOGETHER]
             for k, ids in zip(chosen, self.together([segments[k] for k in chosen]), strict=True):
                 found[k] = ids
-        for _, k in order[len(short) :]:
+        for k in order[n_short:].tolist():
             found[k] = tuple(self.spelled([self.ids.get(s, -1 - ord(s[0])) for s in self.queued(segments[k])]))
         return found
 
@@ -178,16 +180,18 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        #: segment to its ids, and these as text
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        #: segment to its ids, and to these as text
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.listed: dict[str, str] = {}
         #: segments of which the library has other ids
         self.wrong: set[str] = set()
 
-    def learn(self, segments: list[str]) -> dict[str, tuple[tuple[int, ...], str]]:
+    def learn(self, segments: list[str]) -> None:
         own = self.vocabulary.merge(segments)
         expected = self.vocabulary.bare_library.encode(segments, num_threads=1)
-        self.wrong.update(s for s, a, b in zip(segments, own, expected, strict=True) if list(a) != b)
-        return {s: (ids, ",".join(map(str, ids))) for s, ids in zip(segments, own, strict=True)}
+        self.wrong.update(s for s, a, b in zip(segments, own, expected, strict=True) if a != tuple(b))
+        self.known.update(zip(segments, own, strict=True))
+        self.listed.update(zip(segments, [",".join(map(str, ids)) for ids in own], strict=True))
 
     def __call__(self, texts: list[str]) -> list[tuple[list[int], str, bool]]:
         """Ids, ids as text joined by commas, and whether the library has the same, of each text."""
@@ -195,17 +199,16 @@ class Encoder:
         segments = [cut(prefix + text.replace(" ", SPACE)) if text else [] for text in texts]
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        known = self.known
-        new = self.learn(list(set(chain.from_iterable(segments)).difference(known)))
-        known.update(new)
-        found = []
+            self.listed.clear()
+        new = list(set(filterfalse(self.known.__contains__, chain.from_iterable(segments))))
+        self.learn(new)
+        ids_of, listed_of, found = self.known.__getitem__, self.listed.__getitem__, []
         for these in segments:
-            parts = [known[s] for s in these]
-            ids = list(chain.from_iterable([p[0] for p in parts]))
-            found.append((ids, ",".join([p[1] for p in parts]), not self.wrong or self.wrong.isdisjoint(these)))
+            ids = list(chain.from_iterable(map(ids_of, these)))
+            found.append((ids, ",".join(map(listed_of, these)), not self.wrong or self.wrong.isdisjoint(these)))
         for segment in new:
             if len(segment) > CACHE_CHARS:
-                del known[segment]
+                del self.known[segment], self.listed[segment]
         return found
 
 

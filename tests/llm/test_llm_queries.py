@@ -14,7 +14,9 @@ from packlake.llm.oracles import ORACLES  # noqa: E402
 from packlake.llm.queries import QUERIES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-ROWS = {"op2_decontamination": None, "op4_packing": None, "pipeline": None, "op5_html": "pages", "op6_warc": "pages"}
+ROWS = {"op5_html": "pages", "op6_warc": "pages"} | dict.fromkeys(
+    ("op2_decontamination", "op4_packing", "pipeline", "op11_conversations", "op13_hard_negatives")
+)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
