@@ -45,7 +45,7 @@ class Fold:
 
 
 class Titles(Fold):
-    """Title: text after the title mark of each top-level shape that has one, with the shape's number."""
+    """Title: text after the title mark of each closed top-level shape that has one, with the shape's number."""
 
     names = frozenset(("sp", "ph"))
     inside = shape = 0
@@ -63,18 +63,14 @@ class Titles(Fold):
                 self.shape, self.marked, self.pieces = self.shape + 1, False, []
         elif event == "End":
             self.inside -= 1
-            if self.inside == 0:
-                self.done()
+            if self.inside == 0 and self.marked:
+                self.emit("Title", self.shape, [], "".join(self.pieces))
+                self.marked = False
 
     def text(self, data):
         if self.marked:
             self.pieces.append(data)
 
-    def done(self):
-        if self.marked:
-            self.emit("Title", self.shape, [], "".join(self.pieces))
-        self.marked = False
-
 
 class Whole(Fold):
     """Whole: all text of the part; parts without text give no row."""
@@ -220,6 +216,148 @@ class Cells(Fold):
             self.formulas.append(data)
 
 
+class Names(Fold):
+    """Name: attributes and text of each closed defined name, numbered from 1."""
+
+    names = frozenset(("definedName",))
+    inside = False
+    number = 0
+    attrs: list[str] = []
+    pieces: list[str] = []
+
+    def element(self, event, local, attrs):
+        if event == "Start":
+            self.inside, self.attrs, self.pieces = True, attrs, []
+        elif event == "End" and self.inside:
+            self.inside = False
+            self.number += 1
+            known = [(name, attribute(self.attrs, name)) for name in ("name", "localSheetId")]
+            self.emit("Name", self.number, [pair for pair in known if pair[1] is not None], "".join(self.pieces))
+
+    def text(self, data):
+        if self.inside:
+            self.pieces.append(data)
+
+
+class Styles(Fold):
+    """Style: id, parent and own outline level of each closed style, numbered from 1; the text is its name."""
+
+    names = frozenset(("style", "basedOn", "outlineLvl", "name"))
+    number = 0
+    fields: dict[str, str | None] | None = None
+
+    def element(self, event, local, attrs):
+        if local == "style":
+            if event != "End":
+                self.fields = {"styleId": attribute(attrs, "w:styleId")}
+            if event != "Start" and self.fields is not None:
+                self.number += 1
+                name = self.fields.pop("name", None)
+                self.emit("Style", self.number, [(k, v) for k, v in self.fields.items() if v is not None], name)
+                self.fields = None
+        elif self.fields is not None and event != "End":
+            self.fields[local] = attribute(attrs, "w:val")
+
+
+class Outlines(Headings):
+    """Outline: as Heading, of every paragraph with a style or an outline level of its own."""
+
+    names = frozenset(("p", "pStyle", "outlineLvl", "t"))
+    outline: str | None = None
+
+    def element(self, event, local, attrs):
+        if local == "outlineLvl":
+            if event != "End":
+                self.outline = attribute(attrs, "w:val")
+            return
+        if local == "p" and event == "End" and self.inside:
+            fields = [(k, v) for k, v in (("style", self.style), ("outlineLvl", self.outline)) if v is not None]
+            if fields:
+                self.emit("Outline", self.stretch, fields, "".join(self.pieces))
+            self.style = None  # so that the heading is not told as well
+        if local == "p" and event != "Empty":
+            self.outline = None
+        super().element(event, local, attrs)
+
+
+class Links(Fold):
+    """Link: each hyperlink and field, numbered by where it starts; `depth` counts those open around it.
+
+    A field's instruction lies between its begin and separate marks, its text between separate and end;
+    text of an inner link belongs to all around it. A field may end outside of the element it began in, so
+    ends close the last open one of their kind; what is not closed in the part has `closed` 0, marks
+    without a field are nothing.
+    """
+
+    names = frozenset(("hyperlink", "fldSimple", "fldChar", "instrText", "t"))
+    number = 0
+    reading: str | None = None
+
+    def __init__(self, emit):
+        super().__init__(emit)
+        self.open: list[dict] = []
+
+    def begin(self, kind: str, in_text: bool, **fields: str | None) -> None:
+        self.number += 1
+        self.open.append(
+            {"kind": kind, "number": self.number, "depth": len(self.open) + 1, "in_text": in_text}
+            | {"fields": fields, "instruction": [], "text": []}
+        )
+
+    def last(self, kind: str) -> dict | None:
+        return next((link for link in reversed(self.open) if link["kind"] == kind), None)
+
+    def close(self, link: dict, closed: bool = True) -> None:
+        instruction = "".join(link["instruction"])
+        fields = {"kind": link["kind"].lower(), "depth": str(link["depth"]), "closed": str(int(closed))} | link["fields"]
+        if instruction:
+            fields["instruction"] = instruction
+        text = "".join(link["text"])
+        self.emit("Link", link["number"], [(k, v) for k, v in fields.items() if v is not None], text)
+
+    def end(self, kind: str) -> None:
+        if link := self.last(kind):
+            self.open.remove(link)
+            self.close(link)
+
+    def element(self, event, local, attrs):
+        if local in ("t", "instrText"):
+            self.reading = local if event == "Start" else None
+        elif local == "hyperlink":
+            if event != "End":
+                self.begin("Hyperlink", True, id=attribute(attrs, "r:id"), anchor=attribute(attrs, "w:anchor"))
+            if event != "Start":
+                self.end("Hyperlink")
+        elif local == "fldSimple":
+            if event != "End":
+                self.begin("Simple", True, instruction=attribute(attrs, "w:instr"))
+            if event != "Start":
+                self.end("Simple")
+        elif event != "End":
+            mark = attribute(attrs, "w:fldCharType")
+            if mark == "begin":
+                self.begin("Field", False)
+            elif mark == "separate" and (link := self.last("Field")):
+                link["in_text"] = True
+            elif mark == "end":
+                self.end("Field")
+
+    def text(self, data):
+        if self.reading == "t":
+            for link in self.open:
+                if link["in_text"]:
+                    link["text"].append(data)
+        elif self.reading == "instrText":
+            field = self.last("Field")
+            if field and not field["in_text"]:
+                field["instruction"].append(data)
+
+    def done(self):
+        for link in self.open:
+            self.close(link, closed=False)
+        self.open = []
+
+
 FOLDS: dict[str, type[Fold]] = {
     "titles": Titles,
     "whole": Whole,
@@ -227,4 +365,8 @@ FOLDS: dict[str, type[Fold]] = {
     "headings": Headings,
     "strings": Strings,
     "cells": Cells,
+    "names": Names,
+    "styles": Styles,
+    "outlines": Outlines,
+    "links": Links,
 }

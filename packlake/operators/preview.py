@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packlake.functions import media as M
+from packlake.functions.paths import normalize_path
 from packlake.functions.text import utf8_text
 from packlake.limits import DEFAULT, Limits, bound
 from packlake.operators.shred import parse_error
+from packlake.sources.packages import explode_packages
 
 
 def limited_output(text: Column, label: str, limit: int | None) -> Column:
@@ -240,12 +242,17 @@ def build_previews(parts: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     XML takes a second pass over the rows that are XML by name or type.
     """
     name, typ = F.col("archive_name"), F.col("content_type")
-    by_kind = F.col("preview_kind")
     is_xml = ~M.is_image_name(name) & M.is_xml(name, typ)
+    return previews_of(parts.filter(~is_xml), parts.filter(is_xml), limits)
+
+
+def previews_of(others: DataFrame, markup: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """Previews of parts that are XML by name or type, and of others."""
+    name, typ = F.col("archive_name"), F.col("content_type")
+    by_kind = F.col("preview_kind")
 
     pass_one = (
-        parts.filter(~is_xml)
-        .select(
+        others.select(
             "package", "path", "archive_name", "content_type", "size", "compressed_size",
             F.col("content").cast("binary").alias("content"),
         )
@@ -275,7 +282,7 @@ def build_previews(parts: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     )
     shown = pass_one.withColumn("error", error).withColumn("text", text)
     rendered = shown.unionByName(
-        xml_pretty(parts.filter(is_xml), limits).withColumn("preview_kind", F.lit("Xml")),
+        xml_pretty(markup, limits).withColumn("preview_kind", F.lit("Xml")),
         allowMissingColumns=True,
     )
     failed = F.col("error").isNotNull()
@@ -286,3 +293,32 @@ def build_previews(parts: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
         F.when(~failed, F.col("text")).alias("preview_text"),
         F.col("error").alias("preview_error"),
     )
+
+
+def preview_packages(packages: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """`build_previews` of the parts of packages, opened where they are read.
+
+    Content types are resolved in the task that has the package, and a part's bytes become its preview in
+    that task, so nothing but previews leaves it. XML parts and the others are two passes over the packages,
+    each of which inflates its own. The first entry of a path counts; directories and entries without a path
+    have no preview. An entry that cannot be read shows why; a package that cannot be opened has no parts.
+    """
+
+    def opened(typed: str) -> DataFrame:
+        entries = explode_packages(packages, with_content=True, limits=limits, typed=typed)
+        named = entries.filter((F.col("ord") >= 0) & ~F.col("is_dir") & (F.col("copy") == 0))
+        path = F.concat(F.lit("/"), normalize_path("archive_name"))
+        deep = F.size(F.split("path", "/")) - 1 > bound(limits.path_depth)
+        return named.withColumn("path", path).filter((F.col("path") != "/") & ~deep)
+
+    readable = F.col("content").isNotNull()
+    rest, markup = opened("other"), opened("markup")
+    shown = previews_of(rest.filter(readable), markup.filter(readable), limits)
+    unread = rest.filter(~readable).unionByName(markup.filter(~readable)).select(
+        "package",
+        "path",
+        F.lit("Error").alias("preview_kind"),
+        F.lit(None).cast("string").alias("preview_text"),
+        F.col("read_error").alias("preview_error"),
+    )
+    return shown.unionByName(unread)

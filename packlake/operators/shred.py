@@ -173,22 +173,36 @@ def _tokenise(
         step = 1 << 20
         view = memoryview(data)
         for at in range(0, len(data), step):
-            last = at + step >= len(data)
-            try:
-                tokens.parser.Parse(bytes(view[at : at + step]), last)
-            except expat.ExpatError as error:
-                if not (last and _at_end(error)):
-                    raise
+            tokens.parser.Parse(bytes(view[at : at + step]), False)
             if len(tokens.rows) >= _FLUSH_ROWS:
                 # The last token stays: its own end tag may still turn it into `Empty`.
                 yield tokens.rows[:-1]
                 tokens.rows = tokens.rows[-1:]
+        # What is still held back goes to the handlers at once: held text would be lost where the part just ends.
+        tokens.parser.buffer_text = False
+        try:
+            tokens.parser.Parse(b"", True)
+        except expat.ExpatError as error:
+            if not _at_end(error):
+                raise
         tokens.done()
         yield tokens.rows
     except (expat.ExpatError, UnicodeError) as error:
         yield str(error)
 
 
+def tokens_of(data: bytes, names: tuple[str, ...]) -> list[tuple[str, list[str]]]:
+    """`(local name, alternating names and values)` of the elements of one small part, none if it is malformed."""
+    found: list[tuple[str, list[str]]] = []
+    for tokens in _tokenise(data, frozenset(names), False, ()):
+        if isinstance(tokens, str):
+            return []
+        for _, event, _, local, _, attrs, _ in tokens:
+            if event in ("Start", "Empty"):
+                found.append((local, [x for pair in attrs for x in pair]))
+    return found
+
+
 def shred_xml(
     parts: DataFrame,
     names: list[str] | None = None,

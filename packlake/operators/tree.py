@@ -77,3 +77,51 @@ def filter_tree_matches(tree: DataFrame, matches: DataFrame) -> DataFrame:
         .select("package", "node", "is_leaf")
     )
     return _described(_climbed_with_leaf(below))
+
+
+KINDS = ("Xml", "Image", "Binary")
+
+
+def directory_totals(parts: DataFrame) -> DataFrame:
+    """`(package, node, n_children, n_parts, size, compressed_size, n_xml, n_image, n_binary)` of each directory.
+
+    A directory is what parts lie below, or an entry of that kind, and `/` of every package; `n_children`
+    counts what lies directly in it, the rest all parts below it. Parts are summed up by their own directory
+    first, so only sums of directories are handed on to all above them: a directory of very many parts
+    gives one row, merged per task before it is moved.
+    """
+    named = parts.select("package", F.col("path").alias("node"), "kind", "size", "compressed_size")
+    up = F.regexp_extract("node", r"(?s)\A(.*)/", 1)
+    is_dir = F.col("kind") == "Directory"
+    own = named.select(
+        "package",
+        F.when(is_dir, F.col("node")).otherwise(F.when(up == "", F.lit("/")).otherwise(up)).alias("node"),
+        is_dir.alias("is_dir"),
+        F.when(~is_dir, 1).otherwise(0).alias("n"),
+        F.when(~is_dir, F.coalesce("size", F.lit(0))).otherwise(0).alias("size"),
+        F.when(~is_dir, F.coalesce("compressed_size", F.lit(0))).otherwise(0).alias("compressed_size"),
+        *((F.col("kind") == kind).cast("int").alias(kind) for kind in KINDS),
+    )
+    sums = ["n", "size", "compressed_size", *KINDS]
+    by_directory = own.groupBy("package", "node").agg(*(F.sum(c).alias(c) for c in sums))
+    above = F.when(F.col("node") == "/", F.array(F.lit("/"))).otherwise(F.concat(F.array(F.lit("/")), ancestors("node")))
+    totals = (
+        by_directory.select("package", F.explode(above).alias("node"), *sums)
+        .groupBy("package", "node")
+        .agg(*(F.sum(c).alias(c) for c in sums))
+    )
+    # A path that is both a part and a directory is one node, so paths are counted once.
+    below = totals.filter(F.col("node") != "/").select("package", "node").unionByName(named.select("package", "node"))
+    parent = F.when(up == "", F.lit("/")).otherwise(up)
+    children = (
+        below.distinct().select("package", parent.alias("node")).groupBy("package", "node").agg(F.count(F.lit(1)).alias("n_children"))
+    )
+    return totals.join(children, ["package", "node"], "left").select(
+        "package",
+        "node",
+        F.coalesce("n_children", F.lit(0)).alias("n_children"),
+        F.col("n").alias("n_parts"),
+        "size",
+        "compressed_size",
+        *(F.col(kind).alias(f"n_{kind.lower()}") for kind in KINDS),
+    )

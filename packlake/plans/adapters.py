@@ -484,6 +484,217 @@ def workbook_files(t: Tables) -> DataFrame:
     return spread(t.customer).selectExpr("concat('w', c_custkey) AS package", f"array({files}) AS files")
 
 
+# Workbooks with formulas, merged ranges and names -------------------------------------------
+
+
+def ledger_files(t: Tables) -> DataFrame:
+    """Customers as workbooks whose first sheet has `c_nationkey + 2` rows of formulas.
+
+    Column B adds up column A row by row, column C sums up column B so far, E1 reads a defined name. Every
+    fourth customer's D1 and D2 read each other; the others' read another sheet, and a text that looks like
+    a range. Below the rows lie two merged ranges, one of them with cells in it.
+    """
+    n = "(c_nationkey + 2)"
+    rows = (
+        f"array_join(transform(sequence(1, {n}), i -> concat('<c r=\"A', i, '\"><v>', i * c_custkey, '</v></c>', "
+        "'<c r=\"B', i, '\"><f>', if(i = 1, 'A1+1', concat('B', i - 1, '+A', i)), '</f></c>', "
+        "'<c r=\"C', i, '\"><f>SUM($B$1:B', i, ')</f></c>')), '')"
+    )
+    looped = "concat('<c r=\"D1\"><f>D2*2</f></c><c r=\"D2\"><f>D1+$A$1</f></c>')"
+    plain = (
+        "concat('<c r=\"D1\"><f>LOG10(''List &amp; more''!A1)+[1]Other!B2</f></c>"
+        "<c r=\"D2\"><f>\"A1:B2\"&amp;\"\"\"C1\"</f></c>')"
+    )
+    sheet = (
+        f"concat('<worksheet><sheetData>', {rows}, if(c_custkey % 4 = 0, {looped}, {plain}), "
+        "'<c r=\"E1\"><f>MAX(totals)*Rate</f></c><c r=\"F3\"><v>1</v></c>', "
+        f"'<c r=\"A', {n} + 1, '\"><v>x</v></c><c r=\"B', {n} + 1, '\"><v>y</v></c></sheetData>', "
+        f"'<mergeCells><mergeCell ref=\"A', {n} + 1, ':C', {n} + 2, '\"/><mergeCell ref=\"E2:F3\"/>"
+        "<mergeCell ref=\"lost\"/></mergeCells></worksheet>')"
+    )
+    workbook = (
+        "concat('<workbook xmlns:r=\"r\"><sheets><sheet name=\"Main\" r:id=\"rId1\"/>"
+        "<sheet name=\"List &amp;amp; more\" r:id=\"rId2\"/></sheets><definedNames>"
+        f"<definedName name=\"Totals\">Main!$B$1:$B$', {n}, '</definedName>"
+        "<definedName name=\"Local\" localSheetId=\"0\">''List &amp;amp; more''!$A:$A</definedName>"
+        "<definedName name=\"Rate\">0.2</definedName></definedNames></workbook>')"
+    ).replace("&amp;amp;", "&amp;")
+    lists = "'<worksheet><sheetData><c r=\"A1\"><v>1</v></c><c r=\"A2\"/><c r=\"B2\"><v>2</v></c></sheetData></worksheet>'"
+    links = _rels(
+        _relationship("'rId1'", "worksheet", "'worksheets/sheet1.xml'"),
+        _relationship("'rId2'", "worksheet", "'worksheets/sheet2.xml'"),
+    )
+    files = ", ".join(
+        [
+            _file("'[Content_Types].xml'", TYPES_XML),
+            _file("'xl/workbook.xml'", workbook),
+            _file("'xl/_rels/workbook.xml.rels'", links),
+            _file("'xl/worksheets/sheet1.xml'", sheet),
+            _file("'xl/worksheets/sheet2.xml'", lists),
+        ]
+    )
+    return spread(t.customer).selectExpr("concat('w', c_custkey) AS package", f"array({files}) AS files")
+
+
+# Text documents with styles and links -------------------------------------------------------
+
+
+def styled_files(t: Tables) -> DataFrame:
+    """Documents as text documents whose headings are known by styles alone.
+
+    Style S0 has the level `doc_id % 3`, S1 is based on it, and so on up to S`m` with `m = doc_id % 6`.
+    Paragraphs use S`m`, a style of a loop, no style, or a level of their own, in turns.
+    """
+    styles = (
+        "concat('<w:styles xmlns:w=\"w\"><w:style w:styleId=\"S0\"><w:name w:val=\"zero\"/><w:pPr><w:outlineLvl w:val=\"', "
+        "doc_id % 3, '\"/></w:pPr></w:style>', array_join(transform(sequence(0, CAST(doc_id % 6 AS int)), m -> if(m = 0, '', concat("
+        "'<w:style w:styleId=\"S', m, '\"><w:basedOn w:val=\"S', m - 1, '\"/></w:style>'))), ''), "
+        "'<w:style w:styleId=\"Loop1\"><w:basedOn w:val=\"Loop2\"/></w:style>"
+        "<w:style w:styleId=\"Loop2\"><w:basedOn w:val=\"Loop1\"/></w:style>"
+        "<w:style w:styleId=\"Body\"><w:basedOn w:val=\"Lost\"/><w:pPr><w:outlineLvl w:val=\"9\"/></w:pPr></w:style></w:styles>')"
+    )
+    style = (
+        "CASE {i} % 5 WHEN 0 THEN concat('<w:pPr><w:pStyle w:val=\"S', doc_id % 6, '\"/></w:pPr>') "
+        "WHEN 1 THEN '<w:pPr><w:pStyle w:val=\"Loop1\"/></w:pPr>' "
+        "WHEN 2 THEN '<w:pPr><w:pStyle w:val=\"Body\"/><w:outlineLvl w:val=\"1\"/></w:pPr>' "
+        "WHEN 3 THEN '<w:pPr><w:pStyle w:val=\"Body\"/></w:pPr>' ELSE '' END"
+    )
+    paragraph = f"concat('<w:p>', {style}, '<w:r><w:t>', {escaped('x')}, '</w:t></w:r></w:p>')"
+    document = f"concat('<w:document xmlns:w=\"w\"><w:body>', {_each('lines', paragraph)}, '</w:body></w:document>')"
+    files = ", ".join([_file("'word/document.xml'", document), _file("'word/styles.xml'", styles)])
+    return spread(t.documents).selectExpr("doc_id", "split(text, '\\n') AS lines").selectExpr(
+        "concat('d', doc_id) AS package", f"array({files}) AS files"
+    )
+
+
+def linked_files(t: Tables) -> DataFrame:
+    """Documents as text documents: odd lines are hyperlinks, even ones fields with a field inside.
+
+    Hyperlinks with a number divisible by 3 have an anchor, the others a relationship; every fifth
+    document ends within a field.
+    """
+    link = (
+        "concat('<w:p><w:hyperlink ', if({i} % 3 = 0, concat('w:anchor=\"a', {i}, '\"'), concat('r:id=\"r', {i}, '\"')), "
+        f"'><w:r><w:t>', {escaped('x')}, '</w:t></w:r></w:hyperlink></w:p>')"
+    )
+    mark = "<w:r><w:fldChar w:fldCharType=\"{}\"/></w:r>".format
+    field = (
+        f"concat('<w:p>{mark('begin')}<w:r><w:instrText> HYPERLINK </w:instrText></w:r>', "
+        "'<w:r><w:instrText>\"http://y/', {i}, '\" </w:instrText></w:r>', "
+        f"'{mark('separate')}<w:r><w:t>', {escaped('x')}, '</w:t></w:r>{mark('begin')}<w:r><w:instrText>PAGE</w:instrText></w:r>"
+        f"{mark('separate')}<w:r><w:t>7</w:t></w:r>{mark('end')}</w:p><w:p>{mark('end')}</w:p>')"
+    )
+    paragraph = f"if({{i}} % 2 = 1, {link}, {field})"
+    document = (
+        f"concat('<w:document xmlns:w=\"w\" xmlns:r=\"r\"><w:body>', {_each('lines', paragraph)}, "
+        f"if(doc_id % 5 = 0, '<w:p>{mark('begin')}<w:r><w:instrText>REF x</w:instrText></w:r></w:p>', ''), "
+        "'</w:body></w:document>')"
+    )
+    element = (
+        "concat('<Relationship Id=\"r', {i}, '\" Type=\"http://example.org/rel/hyperlink\" TargetMode=\"External\" "
+        "Target=\"http://x/', doc_id, '/', {i}, '\"/>')"
+    )
+    files = ", ".join(
+        [
+            _file("'word/document.xml'", document),
+            _file("'word/_rels/document.xml.rels'", _rels(_each("lines", element))),
+        ]
+    )
+    return spread(t.documents).selectExpr("doc_id", "split(text, '\\n') AS lines").selectExpr(
+        "concat('d', doc_id) AS package", f"array({files}) AS files"
+    )
+
+
+def themed_files(t: Tables) -> DataFrame:
+    """Conversation turns as presentations: a slide per line, on two layouts of a master with a theme.
+
+    Slides with a number divisible by 4 have no layout; the second layout has no master.
+    """
+
+    def many(name: str, content: str) -> str:
+        entry = f"named_struct('name', {name}, 'content', {content})".replace("{i}", "(j + 1)")
+        return f"transform(lines, (x, j) -> {entry})"
+
+    links = (
+        "concat('<Relationships>', if({i} % 4 = 0, '', concat('<Relationship Id=\"r1\" Type=\"http://example.org/rel/slideLayout\" "
+        "Target=\"../slideLayouts/slideLayout', {i} % 2 + 1, '.xml\"/>')), '</Relationships>')"
+    )
+    layout = _relationship("'r1'", "slideMaster", "'../slideMasters/slideMaster1.xml'")
+    files = ", ".join(
+        [
+            _file("'ppt/presentation.xml'", "'<p:presentation/>'"),
+            _file("'ppt/slideLayouts/slideLayout1.xml'", "'<p:sldLayout/>'"),
+            _file("'ppt/slideLayouts/_rels/slideLayout1.xml.rels'", _rels(layout)),
+            _file("'ppt/slideLayouts/slideLayout2.xml'", "'<p:sldLayout/>'"),
+            _file("'ppt/slideMasters/slideMaster1.xml'", "'<p:sldMaster/>'"),
+            _file(
+                "'ppt/slideMasters/_rels/slideMaster1.xml.rels'",
+                _rels(
+                    _relationship("'r1'", "slideLayout", "'../slideLayouts/slideLayout1.xml'"),
+                    _relationship("'r2'", "theme", "'../theme/theme1.xml'"),
+                ),
+            ),
+            _file("'ppt/theme/theme1.xml'", "'<a:theme/>'"),
+        ]
+    )
+    base = spread(t.conversations).selectExpr("concat('c', conv_id, '-', turn) AS package", "split(text, '\\n') AS lines")
+    return base.selectExpr(
+        "package",
+        f"concat(array({files}), {many('concat(' + repr('ppt/slides/slide') + ', {i}, ' + repr('.xml') + ')', repr('<p:sld/>'))}, "
+        f"{many('concat(' + repr('ppt/slides/_rels/slide') + ', {i}, ' + repr('.xml.rels') + ')', links)}) AS files",
+    )
+
+
+def media_files(t: Tables) -> DataFrame:
+    """Parts as packages with something of each kind that has a preview, and of each that fails."""
+    be = lambda n: f"unhex(lpad(hex({n}), 8, '0'))"
+    le = lambda n: f"unhex(concat_ws('', lpad(hex({n} % 256), 2, '0'), lpad(hex({n} div 256), 2, '0'), '00'))"
+    side = "(p_partkey * 13 % 9000 + 1)"
+    types = (
+        "'<Types><Default Extension=\"xml\" ContentType=\"application/xml\"/><Default Extension=\"DAT\" "
+        "ContentType=\"image/svg+xml; charset=x\"/><Override PartName=\"/o/./typed.bin\" ContentType=\"application/x+json\"/></Types>'"
+    )
+
+    def binary(name: str, content: str) -> str:
+        return _file(f"'{name}'", f"CAST({content} AS binary)")
+
+    files = ", ".join(
+        [
+            binary("[Content_Types].xml", types),
+            binary("a.xml", "concat('<?xml version=\"1.0\"?><p><n>', p_partkey, '</n><![CDATA[<]]></p>')"),
+            binary("b.xml", "concat('<p>', p_partkey, '</q>')"),
+            binary("t.dat", "'<svg/>'"),
+            binary("c.json", "concat('{\"b\": [', p_partkey, '], \"a\": null}')"),
+            binary("d.json", "X'7BFF'"),
+            binary("o/typed.bin", "concat('[', p_size, ']')"),
+            binary("i.png", f"concat(X'89504E470D0A1A0A0000000D49484452', {be(side)}, {be('p_size')}, X'0802000000')"),
+            binary("w.webp", f"concat(CAST('RIFF----WEBPVP8X' AS binary), X'0A00000000000000', {le(side)}, {le('p_size')})"),
+            binary("x.webp", "'no image'"),
+            binary("r.bin", "'AB'"),
+            binary("s.txt", "p_name"),
+        ]
+    )
+    return spread(t.part).selectExpr("concat('m', p_partkey) AS package", f"array({files}) AS files")
+
+
+def damaged_packages(t: Tables, packed: DataFrame) -> DataFrame:
+    """Of packages `c<key>`, those with a key of 1 more than a fifth multiple have lost their end."""
+    key = F.substring("package", 2, 20).cast("long")
+    return packed.withColumn("content", F.expr("if(CAST(substring(package, 2) AS bigint) % 5 = 1, substring(content, 1, 60), content)")).where(key.isNotNull())
+
+
+def faulty_files(t: Tables) -> DataFrame:
+    """Customers as packages with faults: by `c_custkey % 5`, none, none yet, malformed content types, a
+    relationships part that is too long to be read, or too many entries."""
+    long_rels = "concat('<Relationships>', repeat(' ', if(c_custkey % 5 = 3, 1000, 0)), '</Relationships>')"
+    types = f"if(c_custkey % 5 = 2, '<Types></Broken>', {TYPES_XML})"
+    files = ", ".join([_file("'[Content_Types].xml'", types), _file("'_rels/.rels'", long_rels), _file("'a.xml'", "'<a/>'")])
+    more = "transform(sequence(1, 9), n -> named_struct('name', concat('x', n), 'content', ''))"
+    return spread(t.customer).selectExpr(
+        "concat('c', c_custkey) AS package", f"if(c_custkey % 5 = 4, concat(array({files}), {more}), array({files})) AS files"
+    )
+
+
 def file_parts(files: DataFrame, *endings: str) -> DataFrame:
     """The files as read parts `(package, ord, path, archive_name, content)`, unzipped from the
     start; `endings` keeps only paths that end so."""

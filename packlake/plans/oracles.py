@@ -292,6 +292,36 @@ sheets AS (
   UNION ALL SELECT package, 3, 'Lost', 'rId9', NULL FROM books WHERE k % 5 = 0)"""
 
 
+LEDGERS = """
+ledgers AS (
+  SELECT c_custkey AS k, 'w' || c_custkey AS package, c_nationkey + 2 AS n, c_custkey % 4 = 0 AS looped FROM customer),
+rows AS (SELECT *, unnest(range(1, n + 1)) AS i FROM ledgers),
+cells AS (
+  SELECT package, 1 AS sheet, 'A' || i AS reference, 1 AS col, i AS row FROM rows
+  UNION ALL SELECT package, 1, 'B' || i, 2, i FROM rows
+  UNION ALL SELECT package, 1, 'C' || i, 3, i FROM rows
+  UNION ALL SELECT package, 1, unnest(['D1', 'D2', 'E1', 'F3', 'A' || (n + 1), 'B' || (n + 1)]),
+                   unnest([4, 4, 5, 6, 1, 2]), unnest([1, 2, 1, 3, n + 1, n + 1]) FROM ledgers
+  UNION ALL SELECT package, 2, unnest(['A1', 'A2', 'B2']), unnest([1, 1, 2]), unnest([1, 2, 2]) FROM ledgers),
+areas AS (
+  SELECT package, 1 AS sheet, 'merge' AS kind, 'A' || (n + 1) || ':C' || (n + 2) AS ref, 'A' || (n + 1) AS anchor,
+         n + 1 AS top, 1 AS first, n + 2 AS bottom, 3 AS last FROM ledgers
+  UNION ALL SELECT package, 1, 'merge', 'E2:F3', 'E2', 2, 5, 3, 6 FROM ledgers
+  UNION ALL SELECT package, 1, 'Totals', '$B$1:$B$' || n, NULL, 1, 2, n, 2 FROM ledgers
+  UNION ALL SELECT package, 2, 'Local', '$A:$A', NULL, 1, 1, 1048576, 1 FROM ledgers),
+covered AS (
+  SELECT c.*, a.kind, a.ref, a.anchor FROM cells c JOIN areas a
+  ON c.package = a.package AND c.sheet = a.sheet AND c.row BETWEEN a.top AND a.bottom AND c.col BETWEEN a.first AND a.last),
+refs AS (
+  SELECT package, 'B' || i AS reference, 1 AS sheet, i AS top, 1 AS first, i AS bottom, 1 AS last FROM rows
+  UNION ALL SELECT package, 'B' || i, 1, i - 1, 2, i - 1, 2 FROM rows WHERE i > 1
+  UNION ALL SELECT package, 'C' || i, 1, 1, 2, i, 2 FROM rows
+  UNION ALL SELECT package, 'E1', 1, 1, 2, n, 2 FROM ledgers
+  UNION ALL SELECT package, 'D1', 1, 2, 4, 2, 4 FROM ledgers WHERE looped
+  UNION ALL SELECT package, 'D2', 1, 1, unnest([1, 4]), 1, unnest([1, 4]) FROM ledgers WHERE looped
+  UNION ALL SELECT package, 'D1', 2, 1, 1, 1, 1 FROM ledgers WHERE NOT looped)"""
+
+
 def _sheet_events() -> str:
     """Tokens of the first sheet of a workbook, with the text of each value."""
     rows: list[str] = []
@@ -423,6 +453,105 @@ ORACLES: dict[str, str] = {
                unnest(['rId1', 'rId1', 'rId2']) AS id,
                unnest(['/xl/workbook.xml', '/xl/worksheets/sheet1.xml', '/xl/worksheets/sheet2.xml']) AS resolved_target,
                'Internal' AS target_mode FROM books""",
+    "package_source": f"""WITH {WORDS}, {WORD_FILES}
+        SELECT package, ord, archive_name, false AS is_dir, size, NULL::VARCHAR AS read_error FROM files""",
+    "package_source_parts": f"""WITH {WORDS}, docs AS (SELECT package, {WORD_XML} AS xml FROM lines GROUP BY doc_id, package)
+        SELECT package, md5(xml) AS digest, {SIZE('xml')} AS size FROM docs""",
+    "preview_packages": """WITH m AS (SELECT p_partkey AS k, p_size AS h, p_name, 'm' || p_partkey AS package FROM part),
+        shown AS (
+          SELECT package, unnest(['/[Content_Types].xml', '/a.xml', '/b.xml', '/t.dat', '/c.json', '/d.json', '/o/typed.bin',
+                                  '/i.png', '/w.webp', '/x.webp', '/r.bin', '/s.txt']) AS path,
+                 unnest(['Xml', 'Xml', 'Error', 'Xml', 'Json', 'Error', 'Json',
+                         CASE WHEN k * 13 % 9000 + 1 > 8192 THEN 'Error' ELSE 'Image' END,
+                         CASE WHEN k * 13 % 9000 + 1 > 8192 THEN 'Error' ELSE 'Image' END, 'Error', 'Hex', 'PlainText']) AS preview_kind,
+                 unnest(['<Types>' || chr(10) || '  <Default Extension="xml" ContentType="application/xml"/>' || chr(10)
+                         || '  <Default Extension="DAT" ContentType="image/svg+xml; charset=x"/>' || chr(10)
+                         || '  <Override PartName="/o/./typed.bin" ContentType="application/x+json"/>' || chr(10) || '</Types>',
+                         '<?xml version="1.0"?>' || chr(10) || '<p>' || chr(10) || '  <n>' || k || '</n><![CDATA[<]]></p>', NULL, '<svg/>',
+                         '{' || chr(10) || '  "a": null,' || chr(10) || '  "b": [' || chr(10) || '    ' || k || chr(10) || '  ]' || chr(10) || '}',
+                         NULL, '[' || chr(10) || '  ' || h || chr(10) || ']', NULL, NULL, NULL,
+                         '00000000  41 42' || repeat(' ', 44) || ' |AB|' || chr(10), p_name]) AS text
+          FROM m)
+        SELECT package, path, preview_kind, md5(text) AS digest, preview_kind = 'Error' AS failed FROM shown""",
+    "container_diagnostics": """SELECT 'c' || c_custkey AS package, 'Error' AS severity,
+          CASE c_custkey % 5 WHEN 2 THEN 'content-types' WHEN 3 THEN 'relationships' ELSE 'index' END AS stage,
+          CASE c_custkey % 5 WHEN 2 THEN '/[Content_Types].xml' WHEN 3 THEN '/_rels/.rels' END AS part,
+          CASE c_custkey % 5 WHEN 1 THEN 'File is not a zip file' WHEN 2 THEN 'mismatched tag'
+               WHEN 3 THEN 'entry declares 1031 bytes; limit is 1000' ELSE 'archive has 12 entries; limit is 9' END AS message
+        FROM customer WHERE c_custkey % 5 <> 0""",
+    "search_many_needles": f"""WITH {WORDS}, docs AS (SELECT package, {WORD_XML} AS xml FROM lines GROUP BY doc_id, package),
+        words AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM benchmark),
+        hits AS (SELECT package, w FROM docs, words WHERE w <> '' AND contains(xml, w))
+        SELECT package, '/word/document.xml' AS path, count(*) AS n_needles, md5(array_to_string(list_sort(list(w)), ' ')) AS digest
+        FROM hits GROUP BY package""",
+    # Facts of documents.
+    "merged_anchors": f"""WITH {LEDGERS}
+        SELECT c.package, '/xl/worksheets/sheet' || c.sheet || '.xml' AS path, c.reference, m.ref, m.anchor,
+               c.reference = m.anchor AS is_anchor
+        FROM cells c LEFT JOIN (SELECT * FROM covered WHERE kind = 'merge') m
+        ON c.package = m.package AND c.sheet = m.sheet AND c.reference = m.reference""",
+    "named_cells": f"""WITH {LEDGERS}
+        SELECT package, '/xl/worksheets/sheet' || sheet || '.xml' AS path, reference, kind AS name, ref
+        FROM covered WHERE kind <> 'merge'""",
+    "formula_references": f"""WITH {LEDGERS}
+        SELECT package, '/xl/worksheets/sheet1.xml' AS path, reference, '/xl/worksheets/sheet' || sheet || '.xml' AS ref_path,
+               top, first AS first_column, bottom, last AS last_column FROM refs""",
+    "formula_levels": f"""WITH {LEDGERS}, levels AS (
+          SELECT package, unnest(['B' || i, 'C' || i]) AS reference, unnest([i, i + 1]) AS level, false AS in_cycle FROM rows
+          UNION ALL SELECT package, 'E1', n + 1, false FROM ledgers
+          UNION ALL SELECT package, unnest(['D1', 'D2']), CASE WHEN looped THEN NULL ELSE 1 END, looped FROM ledgers)
+        SELECT package, '/xl/worksheets/sheet1.xml' AS path, reference, level, in_cycle FROM levels""",
+    "styled_outline": f"""WITH {WORDS}
+        SELECT package, style, level, inherited_from, heading AS text FROM (
+          SELECT package, heading, CASE i % 5 WHEN 0 THEN 'S' || (doc_id % 6) WHEN 2 THEN 'Body' END AS style,
+                 CASE i % 5 WHEN 0 THEN doc_id % 3 + 1 WHEN 2 THEN 2 END AS level,
+                 CASE i % 5 WHEN 0 THEN 'S0' END AS inherited_from
+          FROM styled) WHERE level IS NOT NULL AND text <> ''""",
+    "style_inheritance": """SELECT 'd' || doc_id AS package, 'S' || m AS id, doc_id % 3 AS outline, m AS depth, false AS in_cycle
+        FROM (SELECT doc_id, unnest(range(0, doc_id % 6 + 1)) AS m FROM documents)
+        UNION ALL SELECT 'd' || doc_id, unnest(['Loop1', 'Loop2']), NULL, NULL, true FROM documents
+        UNION ALL SELECT 'd' || doc_id, 'Body', 9, 0, false FROM documents""",
+    "slide_chain": """SELECT package, '/ppt/slides/slide' || i || '.xml' AS path,
+          CASE WHEN i % 4 <> 0 THEN '/ppt/slideLayouts/slideLayout' || (i % 2 + 1) || '.xml' END AS layout,
+          CASE WHEN i % 4 = 2 THEN '/ppt/slideMasters/slideMaster1.xml' END AS master,
+          CASE WHEN i % 4 = 2 THEN '/ppt/theme/theme1.xml' END AS theme,
+          CASE i % 4 WHEN 0 THEN 0 WHEN 2 THEN 3 ELSE 1 END AS depth
+        FROM (SELECT 'c' || conv_id || '-' || turn AS package, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+              FROM conversations)""",
+    "document_links": f"""WITH {WORDS}, numbered AS (
+          SELECT *, i + (i - 1) // 2 AS nth, count(*) OVER (PARTITION BY doc_id) AS n FROM styled)
+        SELECT package, '/word/document.xml' AS path, nth AS ord, CASE WHEN i % 2 = 1 THEN 'hyperlink' ELSE 'field' END AS kind,
+               1 AS depth, true AS closed, CASE WHEN i % 2 = 0 THEN 'HYPERLINK' END AS code,
+               CASE WHEN i % 2 = 0 THEN 'http://y/' || i WHEN i % 3 = 0 THEN '#a' || i ELSE 'http://x/' || doc_id || '/' || i END AS target,
+               CASE WHEN i % 2 = 1 THEN heading ELSE {clean("x || '7'")} END AS text FROM numbered
+        UNION ALL SELECT package, '/word/document.xml', nth + 1, 'field', 2, true, 'PAGE', NULL, '7' FROM numbered WHERE i % 2 = 0
+        UNION ALL SELECT DISTINCT package, '/word/document.xml', n + n // 2 + 1, 'field', 1, false, 'REF', NULL, ''
+        FROM numbered WHERE doc_id % 5 = 0""",
+    "reachable_parts": f"""WITH RECURSIVE {GRAPH}, walked AS (
+          SELECT path, 0 AS hops FROM parts WHERE path LIKE '/orders/%'
+          UNION SELECT p.path, hops + 1 FROM walked w JOIN rels r ON r.source = w.path
+          JOIN parts p ON p.path = r.resolved_target WHERE hops < 9)
+        SELECT 'sales' AS package, path, min(hops)::INT AS hops FROM walked GROUP BY path""",
+    "orphan_parts": f"""WITH RECURSIVE {GRAPH}, walked AS (
+          SELECT path, 0 AS hops FROM parts WHERE path LIKE '/orders/%'
+          UNION SELECT p.path, hops + 1 FROM walked w JOIN rels r ON r.source = w.path
+          JOIN parts p ON p.path = r.resolved_target WHERE hops < 9)
+        SELECT 'sales' AS package, path FROM parts WHERE path NOT IN (SELECT path FROM walked)""",
+    "unreached_slide_parts": f"""WITH {DECKS}
+        SELECT package, '/ppt/presentation.xml' AS path, 1 AS hops FROM turns
+        UNION ALL SELECT package, path, 2 FROM slides
+        UNION ALL SELECT package, notes_path, 3 FROM slides WHERE notes_path IS NOT NULL""",
+    "directory_totals": pages_query("""SELECT d.package, d.path AS node,
+          (SELECT count(DISTINCT node) FROM (
+             SELECT package, node, CASE WHEN node LIKE '/%/%' THEN regexp_replace(node, '/[^/]*$', '') ELSE '/' END AS up FROM climbed) c
+           WHERE c.package = d.package AND c.up = d.path) AS n_children,
+          count_if(p.kind <> 'Directory') AS n_parts,
+          coalesce(sum(p.size) FILTER (p.kind <> 'Directory'), 0)::BIGINT AS size,
+          coalesce(sum(p.compressed_size) FILTER (p.kind <> 'Directory'), 0)::BIGINT AS compressed_size,
+          count_if(p.kind = 'Xml') AS n_xml, count_if(p.kind = 'Image') AS n_image, count_if(p.kind = 'Binary') AS n_binary
+        FROM (SELECT package, path FROM folders UNION SELECT DISTINCT package, '/' FROM parts) d
+        LEFT JOIN parts p ON p.package = d.package AND (d.path = '/' OR p.path LIKE d.path || '/%' OR starts_with(p.path, d.path || '/'))
+        GROUP BY d.package, d.path"""),
     # Index.
     "normalize_path": pages_query("SELECT package, ord, archive_name, substr(path, 2) AS path FROM named"),
     "unsafe_name": pages_query("SELECT package, ord, archive_name, unsafe FROM named"),

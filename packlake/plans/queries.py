@@ -12,7 +12,7 @@ from packlake.functions import paths as P
 from packlake.functions import text as T
 from packlake.functions.xml import xml_attr
 from packlake.limits import Limits
-from packlake.operators import details, preview, report, search, summary, tree
+from packlake.operators import details, formulas, graph, inheritance, links, preview, ranges, report, search, summary, tree
 from packlake.operators import index as I
 from packlake.operators import presentation as S
 from packlake.operators import shred as X
@@ -21,6 +21,7 @@ from packlake.operators import workbook as W
 from packlake.plans import adapters as A
 from packlake.plans.adapters import Tables, spread
 from packlake.session import configure, shared_dir, staged
+from packlake.sources.datasource import read_packages, write_packages
 from packlake.sources.packages import (
     explode_packages,
     pack_zip,
@@ -65,6 +66,26 @@ def explode_packages_query(t: Tables) -> DataFrame:
     return entries.select("package", "ord", "archive_name", "is_dir", "size", "read_error")
 
 
+@query
+def package_source(t: Tables) -> DataFrame:
+    """The same entries, from files that are read by ranges."""
+    path = shared_dir(t.spark, "files")
+    write_packages(_zips(A.word_files(t)), path, ending=".docx")
+    entries = read_packages(t.spark, path, content="none")
+    package = F.regexp_replace("package", "[.]docx$", "").alias("package")
+    return entries.select(package, "ord", "archive_name", "is_dir", "size", "read_error")
+
+
+@query
+def package_source_parts(t: Tables) -> DataFrame:
+    """One part of each file: the filter is the reader's, which reads the bytes of that entry alone."""
+    path = shared_dir(t.spark, "files")
+    write_packages(_zips(A.word_files(t)), path, ending=".docx")
+    entries = read_packages(t.spark, path, content="all").filter(F.col("archive_name") == "word/document.xml")
+    package = F.regexp_replace("package", "[.]docx$", "").alias("package")
+    return entries.select(package, F.md5("content").alias("digest"), F.octet_length("content").alias("size"))
+
+
 @query
 def read_part_query(t: Tables) -> DataFrame:
     packages = _zips(A.word_files(t))
@@ -257,6 +278,17 @@ def relationship_diagnostics(t: Tables) -> DataFrame:
     return errors.select("package", "path", lacking.alias("message"))
 
 
+@query
+def container_diagnostics(t: Tables) -> DataFrame:
+    """Of the whole index: damaged and rejected containers, metadata that cannot be read or parsed."""
+    limits = Limits(entry_count=9, metadata_bytes=1000)
+    packages = A.damaged_packages(t, _zips(A.faulty_files(t)))
+    entries = staged(explode_packages(packages, limits=limits), "entries")
+    found = I.build_index(entries, limits)["diagnostics"]
+    # Where a parser stopped is its own affair.
+    return found.select("package", "severity", "stage", "part", F.regexp_extract("message", "^([^:]*)", 1).alias("message"))
+
+
 @query
 def is_directory(t: Tables) -> DataFrame:
     parts = A.page_parts(t)
@@ -325,6 +357,21 @@ def search_packages_query(t: Tables) -> DataFrame:
     return search_packages(_zips(A.word_files(t)), NEEDLES)
 
 
+@query
+def search_many_needles(t: Tables) -> DataFrame:
+    """All words of the benchmark's items, in one pass over the packages."""
+    words = t.benchmark.select(F.explode(F.split(F.concat_ws(" ", *_texts(t.benchmark)), " ")).alias("w")).filter("w <> ''")
+    needles = [row[0] for row in words.distinct().orderBy("w").collect()]
+    hits = search_packages(_zips(A.word_files(t)), needles).filter(F.col("path") == "/word/document.xml")
+    return hits.groupBy("package", "path").agg(
+        F.count(F.lit(1)).alias("n_needles"), F.md5(F.concat_ws(" ", F.array_sort(F.collect_list("needle")))).alias("digest")
+    )
+
+
+def _texts(df: DataFrame) -> list[str]:
+    return [name for name, kind in df.dtypes if kind == "string"]
+
+
 # Details ------------------------------------------------------------------------------------
 
 
@@ -401,6 +448,38 @@ def relationship_count(t: Tables) -> DataFrame:
     return details.relationship_count(A.graph_relationships(t), "/image")
 
 
+def _reached(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The parts of the key graph, and those that orders lead to."""
+    parts = staged(A.graph_parts(t), "parts")
+    orders = parts.filter(F.col("path").startswith("/orders/")).select("package", "path")
+    return parts, graph.reachable_parts(parts, A.graph_relationships(t), orders)
+
+
+@query
+def reachable_parts(t: Tables) -> DataFrame:
+    return _reached(t)[1]
+
+
+@query
+def orphan_parts(t: Tables) -> DataFrame:
+    return graph.orphan_parts(*_reached(t)).select("package", "path")
+
+
+@query
+def unreached_slide_parts(t: Tables) -> DataFrame:
+    """Presentations, from their roots through their relationships."""
+    files = A.deck_files(t)
+    parts = A.file_parts(files).select("package", "path", F.lit("Xml").alias("kind"))
+    reached = graph.reachable_parts(parts, A.file_relationships(files))
+    lost = graph.orphan_parts(parts, reached).select("package", "path", F.lit(None).cast("int").alias("hops"))
+    return reached.unionByName(lost)
+
+
+@query
+def directory_totals(t: Tables) -> DataFrame:
+    return tree.directory_totals(A.page_parts(t))
+
+
 @query
 def selection_status(t: Tables) -> DataFrame:
     parts = A.page_parts(t)
@@ -592,6 +671,75 @@ def excel_summary(t: Tables) -> DataFrame:
     return _summary_lines(A.workbook_files(t))
 
 
+# Facts of documents -------------------------------------------------------------------------
+
+
+def _ledgers(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells, sheets and tokens of workbooks with formulas."""
+    files = A.ledger_files(t)
+    events = staged(ranges.range_tokens(A.file_parts(files, "sheet1.xml", "sheet2.xml", "workbook.xml")), "tokens")
+    sheet_events = X.shred_xml(A.file_parts(files, "workbook.xml"), names=["sheet"], with_text=False)
+    sheets = staged(W.workbook_sheets(sheet_events, A.file_relationships(files)), "sheets")
+    return staged(W.worksheet_cells(events), "cells"), sheets, events
+
+
+@query
+def merged_anchors(t: Tables) -> DataFrame:
+    cells, _, events = _ledgers(t)
+    found = ranges.merged_anchors(cells, ranges.merged_ranges(events))
+    return found.select("package", "path", "reference", "ref", "anchor", "is_anchor")
+
+
+@query
+def named_cells(t: Tables) -> DataFrame:
+    cells, sheets, events = _ledgers(t)
+    found = ranges.named_cells(cells, ranges.defined_names(events), sheets)
+    return found.join(cells.select("package", "path", "ord", "reference"), ["package", "path", "ord"]).drop("ord")
+
+
+def _references(t: Tables) -> tuple[DataFrame, DataFrame]:
+    cells, sheets, events = _ledgers(t)
+    return cells, staged(formulas.formula_references(cells, sheets, ranges.defined_names(events)), "references")
+
+
+@query
+def formula_references(t: Tables) -> DataFrame:
+    cells, found = _references(t)
+    where = cells.select("package", "path", "ord", "reference")
+    return found.join(where, ["package", "path", "ord"]).drop("ord")
+
+
+@query
+def formula_levels(t: Tables) -> DataFrame:
+    cells, references = _references(t)
+    levels = formulas.formula_levels(cells, references)
+    return levels.join(cells.select("package", "path", "ord", "reference"), ["package", "path", "ord"]).drop("ord")
+
+
+@query
+def styled_outline(t: Tables) -> DataFrame:
+    events = staged(inheritance.style_tokens(A.file_parts(A.styled_files(t))), "tokens")
+    return inheritance.styled_outline(events).drop("ord")
+
+
+@query
+def style_inheritance(t: Tables) -> DataFrame:
+    events = inheritance.style_tokens(A.file_parts(A.styled_files(t), "styles.xml"))
+    return inheritance.inherited(inheritance.word_styles(events), ["outline"])
+
+
+@query
+def slide_chain(t: Tables) -> DataFrame:
+    files = A.themed_files(t)
+    return inheritance.slide_chain(A.file_parts(files).drop("content"), A.file_relationships(files))
+
+
+@query
+def document_links(t: Tables) -> DataFrame:
+    files = A.linked_files(t)
+    return links.document_links(links.link_tokens(A.file_parts(files, "document.xml")), A.file_relationships(files))
+
+
 @query
 def bounded_lines(t: Tables) -> DataFrame:
     return report.bounded_lines(
@@ -698,6 +846,18 @@ def build_previews(t: Tables) -> DataFrame:
     )
 
 
+@query
+def preview_packages(t: Tables) -> DataFrame:
+    shown = preview.preview_packages(staged(_zips(A.media_files(t)), "packages"))
+    return shown.select(
+        "package",
+        "path",
+        "preview_kind",
+        F.md5("preview_text").alias("digest"),
+        F.col("preview_error").isNotNull().alias("failed"),
+    )
+
+
 # Requests -----------------------------------------------------------------------------------
 
 

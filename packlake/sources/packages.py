@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 
 from packlake.functions.paths import normalize_path
 from packlake.limits import DEFAULT, Limits, bound
+from packlake.operators.folds import ascii_lower, attribute
+from packlake.operators.shred import tokens_of
 from packlake.session import staged
+from packlake.sources import compound
 
 PACKAGE_GLOB = "*.{pptx,docx,xlsx}"
 # Requests up to which they are sent to all tasks: some 100 MB.
@@ -29,6 +32,7 @@ BROADCAST_PACKAGES, BROADCAST_REQUESTS = 500_000, 5_000_000
 MAX_FILE_BYTES = 2**31 - 1 - 1024
 NO_MARKUP = "malformed XML: no element found"
 TOO_LARGE = "package is too large to open"
+IMAGE_ENDINGS = ("png", "jpg", "jpeg", "gif", "bmp", "webp")
 MARKUP_STARTS = {bytes([b]) for b in b"<\xef\xff\xfe \t\n\r"}
 
 ENTRY_SCHEMA = (
@@ -87,13 +91,45 @@ def scan_packages(
     return df.filter(F.col("length") <= max_bytes).unionByName(large)
 
 
-def _raw_entry(blob: bytes, info: zipfile.ZipInfo) -> memoryview:
+class Ranges:
+    """An open file as something to slice; each slice is one read. Counts the bytes it has read."""
+
+    def __init__(self, file):
+        self.file, self.bytes_read = file, 0
+
+    def __getitem__(self, at: slice) -> bytes:
+        self.file.seek(at.start)
+        return self.read(max(0, at.stop - at.start))
+
+    # What the ZIP directory reader needs.
+    def read(self, n: int = -1) -> bytes:
+        data = self.file.read() if n < 0 else self.file.read(n)
+        self.bytes_read += len(data)
+        return data
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        try:
+            self.file.seek(at, whence)
+        except ValueError as error:  # some file systems say so of a place before the start
+            raise OSError(str(error)) from error
+        return self.file.tell()
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def seekable(self) -> bool:
+        return True
+
+
+def _raw_entry(blob: bytes | Ranges, info: zipfile.ZipInfo) -> bytes | memoryview:
     at = info.header_offset
-    if blob[at : at + 4] != b"PK\x03\x04":
+    head = blob[at : at + 30]
+    if head[:4] != b"PK\x03\x04":
         raise ValueError("invalid local file header")
-    name_len, extra_len = struct.unpack("<HH", blob[at + 26 : at + 30])
+    name_len, extra_len = struct.unpack("<HH", head[26:30])
     start = at + 30 + name_len + extra_len
-    return memoryview(blob)[start : start + info.compress_size]
+    whole = memoryview(blob) if isinstance(blob, bytes) else blob
+    return whole[start : start + info.compress_size]
 
 
 def read_prefix(blob: bytes, info: zipfile.ZipInfo, limit: int) -> bytes | None:
@@ -112,7 +148,7 @@ def read_prefix(blob: bytes, info: zipfile.ZipInfo, limit: int) -> bytes | None:
 
 
 def bounded_read(
-    blob: bytes, info: zipfile.ZipInfo, limit: int
+    blob: bytes | Ranges, info: zipfile.ZipInfo, limit: int
 ) -> tuple[bytes | None, str | None]:
     """Entry bytes, or why they cannot be had. The declared size is tested, then not trusted."""
     if info.file_size > limit:
@@ -168,6 +204,48 @@ def _clean_name(name: str) -> str:
     return "/".join(pieces)
 
 
+class ContentTypes:
+    """The content types that a package declares for its parts; the rules of `operators.index`."""
+
+    NAME = "[content_types].xml"
+
+    def __init__(self, declared: bytes | None):
+        self.defaults: dict[str, str] = {}
+        self.overrides: dict[str, str] = {}
+        for local, attrs in tokens_of(declared or b"", ("Default", "Override")):
+            typ = attribute(attrs, "ContentType")
+            name = attribute(attrs, "Extension" if local == "Default" else "PartName")
+            if typ is None or name is None:
+                continue
+            if local == "Default":
+                self.defaults[ascii_lower(name)] = typ
+            else:
+                self.overrides["/" + _clean_name(name)] = typ
+
+    @classmethod
+    def of_package(cls, blob: bytes, infos: list[zipfile.ZipInfo], cap: int) -> ContentTypes:
+        """Of the last entry of that name which can be read, in whatever case."""
+        for info in reversed(infos):
+            if ascii_lower(_clean_name(info.orig_filename)) == cls.NAME:
+                declared, problem = bounded_read(blob, info, cap)
+                if problem is None:
+                    return cls(declared)
+        return cls(None)
+
+    def of(self, path: str) -> str | None:
+        ending = ascii_lower(path.rsplit(".", 1)[-1])
+        return self.overrides[path] if path in self.overrides else self.defaults.get(ending)
+
+
+def is_markup(name: str, content_type: str | None) -> bool:
+    """Whether a part is shown as XML: by its name, or by its type if its name is not that of an image."""
+    stem, dot, ending = name.replace("\\", "/").rstrip("/").rsplit("/", 1)[-1].rpartition(".")
+    ending = ascii_lower(ending) if dot and stem else ""
+    kind = ascii_lower((content_type or "").split(";", 1)[0].strip())
+    typed = kind in ("application/xml", "text/xml") or kind.endswith("+xml")
+    return ending not in IMAGE_ENDINGS and (ending in ("xml", "rels") or typed)
+
+
 def _over_limits(infos: list[zipfile.ZipInfo], limits: Limits) -> str | None:
     if len(infos) > bound(limits.entry_count):
         return f"archive has {len(infos)} entries; limit is {limits.entry_count}"
@@ -183,6 +261,7 @@ def explode_packages(
     parts: str | None = None,
     limits: Limits = DEFAULT,
     limit: int | None = None,
+    typed: str | None = None,
 ) -> DataFrame:
     """One row per archive entry, in archive order.
 
@@ -192,6 +271,8 @@ def explode_packages(
     `parts` names an `ARRAY<INT>` column of `packages` with the entry positions to inflate;
     without it all entries are inflated if `with_content`, else only the metadata parts.
     `only_markup` leaves media and other entries that cannot be XML by their first byte packed.
+    `typed` adds the column `content_type`, resolved in the task that has the package, and is "markup",
+    "other" or "all": entries that are shown as XML, those that are not, or both; the rest is not inflated.
     A container that cannot be opened, has no content, or is over the archive limits (tested before anything is
     inflated), gives one row with `ord = -1` and `read_error`. So a package has at most
     `limits.entry_count` entries from here on.
@@ -203,28 +284,36 @@ def explode_packages(
     def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
+        untyped = (None,) if typed else ()
         for batch in batches:
             wanted_column = batch.column(2) if parts else None
             for row in range(batch.num_rows):
                 package = batch.column(0)[row].as_py()
                 blob = batch.column(1)[row].as_py()
                 if blob is None:
-                    rows.append((package, -1, None, False, 0, 0, None, TOO_LARGE, 0))
+                    rows.append((package, -1, None, False, 0, 0, None, TOO_LARGE, 0) + untyped)
                     continue
                 wanted = set(wanted_column[row].as_py() or ()) if parts else None
                 try:
                     infos = zipfile.ZipFile(io.BytesIO(blob)).infolist()
                     problem = _over_limits(infos, limits)
                 except Exception as error:  # any damage ends as a diagnostic, never as a failed job
-                    infos, problem = [], str(error)
+                    infos, problem = [], compound.problem(blob) or str(error)
                 if problem is not None:
-                    rows.append((package, -1, None, False, 0, 0, None, problem, 0))
+                    rows.append((package, -1, None, False, 0, 0, None, problem, 0) + untyped)
                     continue
                 seen: Counter[str] = Counter()
+                types = ContentTypes.of_package(blob, infos, metadata_cap) if typed else None
                 for ord_, info in enumerate(infos):
                     name = info.orig_filename
-                    content = read_error = None
+                    content = read_error = content_type = None
                     is_dir = name.endswith(("/", "\\"))
+                    path = _clean_name(name)
+                    if types is not None:
+                        content_type = types.of(f"/{path}")
+                        if typed != "all" and is_markup(name, content_type) != (typed == "markup"):
+                            seen[path] += 1
+                            continue
                     if wanted is not None:
                         if ord_ in wanted:
                             content, read_error = bounded_read(blob, info, cap)
@@ -236,7 +325,6 @@ def explode_packages(
                     elif not with_content and _is_metadata(name):
                         content, read_error = bounded_read(blob, info, metadata_cap)
                     held += len(content or b"")
-                    path = _clean_name(name)
                     rows.append(
                         (
                             package,
@@ -249,6 +337,7 @@ def explode_packages(
                             read_error,
                             seen[path],
                         )
+                        + ((content_type,) if typed else ())
                     )
                     seen[path] += 1
                     if held >= _FLUSH_BYTES or len(rows) >= _FLUSH_ROWS:
@@ -257,32 +346,71 @@ def explode_packages(
         if rows:
             yield _entry_batch(rows)
 
-    return packages.select(*columns).mapInArrow(unzip, ENTRY_SCHEMA)
+    schema = f"{ENTRY_SCHEMA}, content_type string" if typed else ENTRY_SCHEMA
+    return packages.select(*columns).mapInArrow(unzip, schema)
 
 
 def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
-    arrays = [
-        pa.array(values, field.type) for values, field in zip(zip(*rows), _ARROW_ENTRY)
-    ]
-    return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_ENTRY)
+    typed = len(rows[0]) > len(_ARROW_ENTRY)
+    schema = _ARROW_ENTRY.append(pa.field("content_type", pa.string())) if typed else _ARROW_ENTRY
+    arrays = [pa.array(values, field.type) for values, field in zip(zip(*rows), schema)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+#: UTF-8 bytes of needles that one pass looks for; more are looked for in several passes.
+NEEDLE_BYTES = 16 << 20
+
+
+class Needles:
+    """Byte strings, found together in one pass over some bytes: an automaton over all of them."""
+
+    def __init__(self, needles: list[str]):
+        import ahocorasick
+
+        self.needles = needles
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for number, needle in enumerate(needles):
+            # A character for each byte, so that UTF-8 is searched byte for byte.
+            self.automaton.add_word(needle.encode().decode("latin-1"), number)
+        self.automaton.make_automaton()
+
+    def inside(self, content: bytes) -> list[str]:
+        """The needles that `content` holds, overlapping ones and those within others too."""
+        met: set[int] = set()
+        for _, number in self.automaton.iter(content.decode("latin-1")):
+            met.add(number)
+        return [self.needles[number] for number in sorted(met)]
+
+
+def _passes(needles: list[str], most: int) -> list[list[str]]:
+    passes: list[list[str]] = [[]]
+    size = 0
+    for needle in needles:
+        size += len(needle.encode())
+        if passes[-1] and size > most:
+            passes.append([])
+            size = len(needle.encode())
+        passes[-1].append(needle)
+    return passes
 
 
 def search_packages(
-    packages: DataFrame, needles: list[str], limits: Limits = DEFAULT
+    packages: DataFrame, needles: list[str], limits: Limits = DEFAULT, needle_bytes: int = NEEDLE_BYTES
 ) -> DataFrame:
     """`(package, needle, path)`: the parts of packages that hold a needle, byte for byte.
 
     Entries are inflated one at a time in the task that has the package, the first entry of a path
     counts, and only hits leave the task. An entry that declares more than `limits.entry_bytes` is not
-    read; of one that turns out larger, the bytes up to that limit are searched.
+    read; of one that turns out larger, the bytes up to that limit are searched. The needles are looked
+    for together, so a pass costs about the same for one and for ten thousand; those of more than
+    `needle_bytes` are dealt out to several passes. Empty needles find nothing, repeated ones count once.
     """
     usable = list(dict.fromkeys(n for n in needles if n))
     if too_long := [n for n in usable if len(n) > bound(limits.search_chars)]:
         raise ValueError(f"needle of {len(too_long[0])} characters; limit is {limits.search_chars}")
-    wanted = [(n, n.encode()) for n in usable]
     cap = bound(limits.entry_bytes)
 
-    def hits(blob: bytes) -> Iterator[tuple[str, str]]:
+    def hits(blob: bytes, wanted: Needles) -> Iterator[tuple[str, str]]:
         try:
             infos = zipfile.ZipFile(io.BytesIO(blob)).infolist()
         except Exception:  # the index reports it
@@ -298,25 +426,29 @@ def search_packages(
             seen.add(path)
             if name.endswith(("/", "\\")) or info.file_size > cap:
                 continue
-            content = read_prefix(blob, info, cap)
-            for needle, raw in wanted:
-                if content is not None and raw in content:
-                    yield needle, f"/{path}"
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for row in range(batch.num_rows):
-                package = batch.column(0)[row].as_py()
-                found += [(package, *hit) for hit in hits(batch.column(1)[row].as_py() or b"")]
-            columns = list(zip(*found)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.string()) for c in columns], ["package", "needle", "path"]
-            )
+            for needle in wanted.inside(read_prefix(blob, info, cap) or b""):
+                yield needle, f"/{path}"
+
+    def one_pass(chosen: list[str]) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted = Needles(chosen)
+            for batch in batches:
+                found = []
+                for row in range(batch.num_rows):
+                    package = batch.column(0)[row].as_py()
+                    found += [(package, *hit) for hit in hits(batch.column(1)[row].as_py() or b"", wanted)]
+                columns = list(zip(*found)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.string()) for c in columns], ["package", "needle", "path"]
+                )
+
+        return packages.select("package", "content").mapInArrow(
+            search, "package string, needle string, path string"
+        )
 
-    found = packages.select("package", "content").mapInArrow(
-        search, "package string, needle string, path string"
-    )
+    found, *more = map(one_pass, _passes(usable, needle_bytes))
+    for other in more:
+        found = found.unionByName(other)
     if limits.search_hits is None:
         return found
     w = Window.partitionBy("package", "needle").orderBy("path")

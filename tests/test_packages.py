@@ -195,7 +195,10 @@ def test_files_on_disk_and_index_sink(spark, tmp_path):
     found = scan_packages(spark, str(tmp_path / "corpus"))
     assert found.count() == 2
     small = scan_packages(spark, str(tmp_path / "corpus"), max_bytes=10)
-    assert small.count() == 0
+    # Packages over the size are rows without content, and a diagnostic of the index.
+    assert small.count() == 2 and small.filter("content is null").count() == 2
+    told = I.build_index(explode_packages(small.select("package", "content")))["diagnostics"]
+    assert rows(told, "severity", "stage", "message") == [("Error", "index", "package is too large to open")] * 2
     plan = small._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,10)" in plan
     index = I.build_index(explode_packages(found.select("package", "content")))
