@@ -26,6 +26,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+TAG = {}  # by element name: its tags, in any case
 
 # Element names by what they do, and name parts by what they tell.
 BLOCKS = frozenset(
@@ -35,9 +36,13 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe object svg math select button canvas audio video head".split())
+#: Of these, text up to the end of the page is raw where no end tag comes; the others are then ordinary elements.
+TO_THE_END = frozenset("script style title textarea".split())
+#: Words that make a name tell a state of the element, not what it is.
+STATES = frozenset("has have no not with without is enabled disabled enable disable free on off open closed".split())
 CLOSES_P = BLOCKS - frozenset("html body caption legend option optgroup tbody td tfoot th thead tr".split())
 OUTSIDE = {"nav": -7, "footer": -7, "aside": -6, "form": -6, "menu": -6, "dialog": -6, "header": -6, "fieldset": -3}
-INSIDE = {"article": 4, "main": 3}
+INSIDE = {"article": 2, "main": 1.5}
 BAD_PARTS = frozenset(
     "ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs byline comment comments consent cookie "
     "cookies disclaimer discussion disqus footer header login menu modal nav navbar navigation newsletter notice notification "
@@ -61,10 +66,10 @@ class Costs:
     sentence: float = 0.5
     links: float = -5.0  # for a text that is all links
     bad_part: float = -6.0
-    good_part: float = 2.0
+    good_part: float = 1.0
     hidden: float = -8.0
-    next: float = 0.8
-    sibling: float = 1.0
+    next: float = 2.0
+    sibling: float = 1.5
 
 
 COSTS = Costs()
@@ -103,12 +108,39 @@ def weight_of(name: str, attributes: str, above: float, costs: Costs) -> float:
         if found[1].lower() == "hidden":
             weight += costs.hidden
         elif name not in ("html", "body"):
-            parts = {p.lower() for p in NAME_PART.findall(value)}
-            bad |= not parts.isdisjoint(BAD_PARTS)
-            good |= not parts.isdisjoint(GOOD_PARTS)
+            for word in value.split():
+                parts = {p.lower() for p in NAME_PART.findall(word)}
+                if parts.isdisjoint(STATES):
+                    bad |= not parts.isdisjoint(BAD_PARTS)
+                    good |= not parts.isdisjoint(GOOD_PARTS)
     return min(weight, 0.0) + costs.bad_part if bad else weight + (costs.good_part if good else 0)
 
 
+def raw_end(page: str, name: str, tag: str, at: int) -> int:
+    """Where an element ends whose text does not count, `tag` being its start tag, which ends at `at`.
+
+    Elements of its name within it are skipped with it. One that closes itself, or that has no end tag, is
+    just its tag, but a script and the like without an end goes on to the end of the page, as browsers have it.
+    """
+    if tag.endswith("/>") and name in ("svg", "math"):
+        return at
+    if name not in TAG:
+        TAG[name] = re.compile(rf"<(/?){re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE)
+    depth = 1
+    for found in TAG[name].finditer(page, at):
+        if found[1]:
+            depth -= 1
+        elif name not in TO_THE_END and not (found[0].endswith("/>") and name in ("svg", "math")):
+            depth += 1
+        if not depth:
+            return found.end()
+    if name == "head":
+        # A head without its end tag ends where the body starts.
+        body = re.compile(r"<body\b", re.IGNORECASE).search(page, at)
+        return body.start() if body else at
+    return len(page) if name in TO_THE_END else at
+
+
 def blocks_of(page: str, costs: Costs = COSTS) -> list[Block]:
     """The blocks of a page that have text, in order. Unclosed and stray tags, and a page that is cut off
     anywhere, are read as far as they go."""
@@ -159,11 +191,7 @@ def blocks_of(page: str, costs: Costs = COSTS) -> list[Block]:
                 close(name, frozenset())
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-            if name == "head":
-                # A head without its end tag ends where the body starts.
-                end = end or re.compile(r"(?=<body\b)", re.IGNORECASE).search(page, at)
-            at = end.end() if end else at if name == "head" else len(page)
+            at = raw_end(page, name, token[0], at)
             continue
         if name == "br":
             add(" ") if block is not None else None

@@ -17,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packlake.llm.common import lower_words, utf8
@@ -84,7 +84,7 @@ def signature_maker(rows: int = ROWS, bands: int = BANDS):
 
 
 def prints(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, digest, signature, keys); without words n is 0 and the others are null."""
+    """(doc_id, text_hash, n, digest, signature, keys); without words n is 0 and the last three are null."""
 
     def run(batches):
         known, make = WordHashes(), signature_maker()
@@ -100,19 +100,25 @@ def prints(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array(n, pa.int64()),
                     pa.array(digest, pa.binary()),
                     pa.array(signature, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n", "digest", "signature", "keys"],
+                ["doc_id", "text_hash", "n", "digest", "signature", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n long, digest binary, signature binary, keys array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash")).mapInArrow(
+        run, "doc_id long, text_hash binary, n long, digest binary, signature binary, keys array<long>"
     )
 
 
+def text_hash() -> Column:
+    """What tells the rows of one doc_id apart; null texts and empty ones are alike."""
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+
+
 def least_matches(percent: int, length: int, batch: int = BATCH, miss: float = MISS) -> list[tuple[int, int]]:
     """(bytes compared, matches a pair needs to stay) after each batch.
 
@@ -279,6 +285,11 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     doc_id that links lead to. Rows of one doc_id are one document with several texts. A row with a null
     doc_id is linked with nothing: its component is null and it is kept. Reads `doc_id`, `text` only.
     """
+    return grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """`groups` with the columns text_hash and digest (of the set, null without words)."""
     rows = staged(prints(docs, size), "prints")
     named = rows.where("doc_id IS NOT NULL AND n > 0")
     equal = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
@@ -315,34 +326,49 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     several = named.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("low"), F.max(F.xxhash64("digest")).alias("high")).where("low <> high")
     own = named.select("doc_id", "digest").join(several.select("doc_id"), "doc_id", "left_semi").join(equal, "digest").select("doc_id", "rep")
     final = components(links.union(more).union(own)).toDF("rep", "component")
-    grouped = (
-        named.select("doc_id", "n", "digest")
+    linked = (
+        named.select("doc_id", "text_hash", "n", "digest")
         .join(equal, "digest")
         .join(final, "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+        .select("doc_id", "text_hash", "digest", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    )
+    alone = rows.where("doc_id IS NULL OR n = 0").select(
+        "doc_id", "text_hash", "digest", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")
     )
-    alone = rows.where("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return grouped.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-#: Rows of (doc_id) up to which a table is sent to all executors.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a table of ids and hashes, some 60 bytes each, is sent to all executors.
+BROADCAST_ROWS = 500_000
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs`, with all their columns, that `groups` keeps; of equal ids and sets one row.
+    """The rows of `docs`, with all their columns, that near-duplicates leave: of each group the document
+    with the smallest id.
 
-    Rows with a null doc_id, or without words, all stay.
+    Rows go that have words and an id that is not the smallest of its group, and of the rows of one id with
+    one set of shingles all but one: that with the least hash of its text, of equal texts any one, since
+    they are the same document. Rows of one id with different sets all stay, as do rows with a null id or
+    without words.
     """
-    found = staged(groups(docs, size, percent).select("doc_id", "kept"), "groups")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    gone = staged(gone, "gone")
-    marked = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(marked, docs["doc_id"].cast("long") == marked["gone"], "left_anti")
-    if again.isEmpty():
+    found = staged(grouped(docs, size, percent).where("doc_id IS NOT NULL AND n_shingles > 0"), "groups")
+    gone = found.where("NOT kept").select("doc_id", "text_hash")
+    first = found.where("kept").groupBy("doc_id", "digest").agg(F.min("text_hash").alias("first"), F.count("*").alias("n"))
+    first = staged(first.where("n > 1"), "repeated")
+    again = found.where("kept").join(first, ["doc_id", "digest"])
+    gone = gone.union(again.where("text_hash <> first").select("doc_id", "text_hash")).distinct()
+    gone = staged(gone.toDF("_gone_id", "_gone_hash"), "gone")
+
+    def few(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    same = (docs["doc_id"].cast("long") == F.col("_gone_id")) & (text_hash() == F.col("_gone_hash"))
+    kept = docs.join(few(gone), same, "left_anti")
+    once = again.where("text_hash = first").groupBy("doc_id", "text_hash").count().where("count > 1")
+    if once.isEmpty():
         return kept
-    again = staged(again.select(F.col("doc_id").alias("again")), "again")
-    twice = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    same = kept["doc_id"].cast("long") == twice["again"]
-    return kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    # Rows of one id and one text: the same document several times.
+    once = few(staged(once.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")), "once"))
+    same = (kept["doc_id"].cast("long") == F.col("_gone_id")) & (text_hash() == F.col("_gone_hash"))
+    repeated = kept.join(once, same, "left_semi").withColumn("_hash", text_hash())
+    return kept.join(once, same, "left_anti").union(repeated.dropDuplicates(["doc_id", "_hash"]).drop("_hash"))

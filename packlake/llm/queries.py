@@ -25,6 +25,7 @@ from packlake.llm import (
     warc,
 )
 from packlake.llm.common import is_held_out, remainder, table
+from packlake.session import shared_dir
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         "n_sentences",
         F.size("offending").cast("long").alias("n_offending"),
+        "offending",
     )
 
 
@@ -66,16 +68,25 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under the base rules; then the ledger of that run is there for a second one with all rules,
+    which scans the pairs of blobs and rules that it lacks."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    found = secrets.findings(*secrets.update(docs))
-    named = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    folder = shared_dir(spark, "ledger")
+    secrets.update(docs, rules=secrets.RULES)[1].write.parquet(folder)
+    addressed, new = secrets.update(docs, folder, rules=secrets.ALL_RULES)
+    found = secrets.findings(addressed, secrets.read_ledger(spark, folder).unionByName(new), rules=secrets.ALL_RULES)
+    base = [rule.kind for rule in secrets.RULES]
+
+    def named(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     def count(kind: str):
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(kind) for kind in ("assign", "access", "hex")]
-    # All rules are base rules, so the base spans are all spans.
-    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(named, 256).alias("base_sha256"), named.alias("spans"))
+    base_spans = named(F.filter("found", lambda s: s["kind"].isin(*base)))
+    return found.select(
+        F.col("path").alias("doc_id"), *map(count, base), F.sha2(base_spans, 256).alias("base_sha256"), named("found").alias("spans")
+    )
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,14 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{12,}", 0, 0, 16),
     Rule("hex", 1, r"[0-9a-f]{32,}", 0, 0, 32),
 )
+#: Rules beyond these: the head of a private key with what follows of it, a bearer token, and the password of
+#: a user in an address.
+MORE_RULES = (
+    Rule("key", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
+    Rule("bearer", 1, r"\b[Bb]earer\x20+([A-Za-z0-9+/_.~-]+=*)", 0, 1, 20),
+    Rule("address", 1, r"\b[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@]{1,100}:([^\s/@]{3,100})@", 0, 1, 3),
+)
+ALL_RULES = RULES + MORE_RULES
 
 LEDGER = "blob binary, kind string, version int, starts array<long>, ends array<long>"
 #: Rows of (path, blob, kinds) up to which a table is sent to all executors: some 100 MB.
@@ -148,8 +156,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Overlapping spans are replaced together; a text without findings, or null, stays as it is. A column
     `n_chars`, where there is one, gets the new length of the texts that changed.
     """
-    addressed, ledger = update(docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
-    spans = staged(findings(addressed, ledger).where(F.size("found") > 0).distinct(), "findings")
+    addressed, ledger = update(docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content")), rules=ALL_RULES)
+    spans = staged(findings(addressed, ledger, ALL_RULES).where(F.size("found") > 0).distinct(), "findings")
     size = spans.count()
     spans = spans.toDF("_secret_path", "_secret_blob", "_secret_spans")
     spans = F.broadcast(spans) if size <= BROADCAST_ROWS else spans

@@ -65,3 +65,31 @@ def test_pages(spark):
     text = P + " é"
     assert got == sorted([(1, "u", text, len(text)), (2, None, "", 0), (None, "v", "", 0), (1, "u", text, len(text))], key=str)
     assert h.extract(spark.createDataFrame(rows[:0], "page_id long, url string, html string, text string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "mark",
+    ['<svg width="1"/>', "<svg>", "<select>", "<button>", "<math/>", '<svg/><p>Text of its own stands here too.</p><svg><text>x</text></svg>', "<svg><svg/></svg>", "<object>", "<canvas>"],
+)
+def test_elements_without_an_end_drop_no_text(mark):
+    text = h.main_text(page(f"<article><p>{P}</p>{mark}<p>Text of the article goes on.</p></article>"))
+    own = "Text of its own stands here too.\n" if "own" in mark else ""
+    assert text == f"{P}\n{own}Text of the article goes on."
+
+
+@pytest.mark.parametrize("name", ["post share-enabled", "no-comments entry", "has-sidebar", "content ads-off"])
+def test_names_of_states_do_not_outweigh_an_article(name):
+    assert h.main_text(page(f'<article class="{name}"><p>{P}</p><p>{P}</p></article>')) == f"{P}\n{P}"
+    for bad in ("post-comments", "site-footer", "share", "comment open"):
+        got = h.main_text(page(f'<article><p>{P}</p></article><div class="{bad}"><p>{P}</p></div>'))
+        assert got == P or bad == "comment open"
+
+
+def test_cut_keeps_what_the_classifier_alone_would_lose():
+    """Short blocks between paragraphs, and a long one between boxes of links: neighbours outweigh them."""
+    inside = page(f"<div><p>{P}</p><p>{P}</p><div>Yes</div><p>{P}</p><p>{P}</p></div>")
+    blocks = h.blocks_of(inside)
+    signs = [h.odds(b) > 0 for b in blocks]
+    labels = h.minimum_cut([h.odds(b) for b in blocks], h.ties(blocks))
+    assert not all(signs) and all(labels)
+    assert h.main_text(inside) == "\n".join([P, P, "Yes", P, P])

@@ -1,5 +1,6 @@
 """Near-duplicate groups and components against brute force."""
 
+import hashlib
 import random
 from collections import defaultdict
 
@@ -129,3 +130,32 @@ def test_components(spark):
         assert component == find(node)
     assert {a for a, b in links if a != b and find(a) != a} <= set(found)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keep_first_loses_no_other_row(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, None), (1, ""), (1, " "), (2, "text A of some words"), (2, "other text B of other words"), (3, "c")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string")
+    kept = neardup.keep_first(docs)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(rows, key=str) and kept.columns == docs.columns
+    more = [(4, text), (5, text), (5, " "), (5, text.upper()), (6, "alone here in this text"), (6, "ALONE here in this text"), (6, "alone here in this text")]
+    more += [(None, text), (None, text), (7, text + " more"), (7, "something else altogether in these words")]
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in neardup.keep_first(docs).collect()), key=str)
+    # 5 and 7 are in the group of 4, but 5 has a row without words; 6 is one text in two spellings.
+    chosen = min(("alone here in this text", "ALONE here in this text"), key=lambda t: hashlib.sha256(t.encode()).digest())
+    assert got == sorted(rows + [(4, text), (5, " "), (6, chosen), (None, text), (None, text)], key=str)
+    assert neardup.keep_first(docs.limit(0)).count() == 0
+
+
+def test_keep_first_by_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    test_keep_first_loses_no_other_row(spark)
+
+
+def test_long_texts(spark):
+    base = [f"w{k % 5000}-{k // 7}" for k in range(60_000)]
+    other = list(base)
+    for k in range(0, 60_000, 1000):
+        other[k] = "changed"
+    check(spark, [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(base[:30_000]))])

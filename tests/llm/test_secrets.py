@@ -82,3 +82,34 @@ def test_redact(spark):
     assert got[1].text == "é token:short [SECRET], [SECRET] and AKIASHORT"
     assert got[7].text == "[SECRET]" and got[3].text == TEXTS[3] and got[5].text is None and got[4].n_chars == -1
     assert secrets.redact(docs).columns == docs.columns
+
+
+def test_more_rules_add_spans(spark):
+    texts = [
+        "-----BEGIN RSA PRIVATE KEY-----\nMIIB\nabc=\n-----END RSA PRIVATE KEY----- rest",
+        "Authorization: Bearer abcdefghijklmnopqrstuvwxyz.1 and bearer short",
+        "postgres://user:hunter22@db.example/x https://host/path user@mail",
+        'password = "abcdefgh12"',
+        "-----BEGIN PRIVATE KEY-----",
+    ]
+    got = secrets.findings(*secrets.update(versions(spark, texts), rules=secrets.ALL_RULES), rules=secrets.ALL_RULES).collect()
+    assert [named(r) for r in sorted(got, key=lambda r: r.path)] == [
+        f"key:0:{len(texts[0]) - 5}", "bearer:15:50", "address:0:25", plain(texts[3]), f"key:0:{len(texts[4])}"
+    ]
+
+
+def test_two_increments_are_one_scan(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    rows = versions(spark, TEXTS)
+    secrets.update(rows)[1].write.parquet(ledger)
+    addressed, new = secrets.update(rows, ledger, rules=secrets.ALL_RULES)
+    assert {r.kind for r in new.select("kind").collect()} == {r.kind for r in secrets.MORE_RULES}
+    both = secrets.findings(addressed, secrets.read_ledger(spark, ledger).unionByName(new), secrets.ALL_RULES)
+    once = secrets.findings(*secrets.update(rows, rules=secrets.ALL_RULES), secrets.ALL_RULES)
+    assert sorted((r.path, named(r)) for r in both.collect()) == sorted((r.path, named(r)) for r in once.collect())
+
+
+def test_long_text(spark):
+    text = "words and " * 200_000 + "password=abcdefgh12" + " more" * 200_000
+    (row,) = secrets.findings(*secrets.update(versions(spark, [text]))).collect()
+    assert named(row) == plain(text) != ""
