@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packlake.functions.paths import kind_label, type_label
+from packlake.functions.paths import ancestors, kind_label, type_label
 from packlake.functions.text import col, compact_text
-from packlake.operators.index import degrees
 from packlake.operators.tree import tree_nodes
 
 # Fixed values.
@@ -24,21 +23,36 @@ def target_label(
     ).otherwise(F.coalesce(col(resolved_target), target))
 
 
+def node_degrees(parts: DataFrame, rels: DataFrame) -> DataFrame:
+    """`(package, path, n_out, n_in)` of every part and implied directory, in one exchange."""
+
+    def mark(path: Column, node: int, out: int, in_: int) -> Column:
+        return F.struct(path.alias("path"), F.lit(node).alias("node"), F.lit(out).alias("o"), F.lit(in_).alias("i"))
+
+    nodes = parts.select("package", F.inline(F.transform(ancestors("path"), lambda p: mark(p, 1, 0, 0))))
+    ends = F.array(mark(F.col("source"), 0, 1, 0), mark(F.col("resolved_target"), 0, 0, 1))
+    ended = rels.select("package", F.inline(ends)).filter(F.col("path").isNotNull())
+    return (
+        nodes.unionByName(ended)
+        .groupBy("package", "path")
+        .agg(F.max("node").alias("node"), F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
+        .filter("node = 1")
+        .drop("node")
+    )
+
+
 def part_details(
     parts: DataFrame, rels: DataFrame, diagnostics: DataFrame | None = None
 ) -> DataFrame:
     """One row per part and per implied directory: labels, sizes, degrees, warnings.
 
-    Parts, tree nodes and degrees all hash on `(package, path)`: one shuffle each, none above.
-    The warning count belongs to the package and is joined once per package.
+    Nodes and both ends of relationships are counted in one aggregate, merged per task before its exchange;
+    the facts of parts are joined to that. The warning count belongs to the package, once per package.
     """
-    nodes = tree_nodes(parts).select("package", F.col("node").alias("path"))
     known = parts.select(
         "package", "path", "archive_name", "content_type", "size", "compressed_size", "kind"
     )
-    out = nodes.join(known, ["package", "path"], "left").join(
-        degrees(rels), ["package", "path"], "left"
-    )
+    out = node_degrees(parts, rels).join(known, ["package", "path"], "left")
     display = F.regexp_replace("path", r"\A/+", "")
     is_part = F.col("kind").isNotNull()
     n_warnings = F.lit(0).cast("bigint")
@@ -57,8 +71,8 @@ def part_details(
         .alias("content_type"),
         "size",
         "compressed_size",
-        F.coalesce("n_out", F.lit(0)).alias("n_out"),
-        F.coalesce("n_in", F.lit(0)).alias("n_in"),
+        "n_out",
+        "n_in",
         n_warnings.alias("n_warnings"),
     )
 

@@ -856,6 +856,22 @@ ORACLES: dict[str, str] = {
         WHERE event_id = (SELECT max(event_id) FROM events m WHERE m.user_id = e.user_id)
           AND event_type = (SELECT arg_max(event_type, event_id) FROM events m
                             WHERE m.user_id = e.user_id AND event_type <> 'error')""",
+    "stream_current_results": """SELECT user_id AS key, event_type AS path, event_id AS request_id FROM events e
+        WHERE event_id = (SELECT max(event_id) FROM events m WHERE m.user_id = e.user_id)
+          AND event_type = (SELECT arg_max(event_type, event_id) FROM events m
+                            WHERE m.user_id = e.user_id AND event_type <> 'error')""",
+    "versioned_index": """WITH names AS (
+          SELECT c_custkey % 4 AS r, 'w' || c_custkey AS package, unnest(['/[Content_Types].xml', '/_rels/.rels', '/xl/workbook.xml',
+            '/xl/_rels/workbook.xml.rels', '/xl/sharedStrings.xml', '/xl/worksheets/sheet1.xml', '/xl/worksheets/sheet2.xml']) AS path
+          FROM customer)
+        SELECT package, path, 'added' AS change, 1 AS version FROM names
+        UNION ALL SELECT package, path, CASE WHEN r = 3 THEN 'removed' ELSE 'changed' END, 2 FROM names
+        WHERE r = 3 OR r <> 1 AND path = '/xl/sharedStrings.xml'
+        UNION ALL SELECT package, path, CASE WHEN r = 3 THEN 'added' ELSE 'changed' END, 3 FROM names
+        WHERE r = 3 OR r <> 1 AND path = '/xl/sharedStrings.xml'
+        UNION ALL SELECT 'w' || c_custkey, '/new.txt', unnest(['added', 'removed']), unnest([2, 3]) FROM customer WHERE c_custkey % 4 = 1""",
+    "bucketed_dangling": graph_query("""SELECT source, id, resolved_target FROM rels
+        WHERE resolved_target IS NOT NULL AND resolved_target NOT IN (SELECT path FROM nodes)"""),
     "stream_latest_wins": """SELECT user_id AS key, max(event_id) AS request_id, arg_max(event_type, event_id) AS path
         FROM events GROUP BY user_id""",
 }

@@ -21,6 +21,7 @@ from packlake.operators import workbook as W
 from packlake.plans import adapters as A
 from packlake.plans.adapters import Tables, spread
 from packlake.session import configure, shared_dir, staged
+from packlake.sources.buckets import BucketedIndex
 from packlake.sources.datasource import read_packages, write_packages
 from packlake.sources.packages import (
     explode_packages,
@@ -31,7 +32,8 @@ from packlake.sources.packages import (
 )
 from packlake.sources.sinks import read_index, write_index
 from packlake.streaming.packages import index_stream, stream_packages
-from packlake.streaming.requests import current_requests, latest_wins
+from packlake.streaming.requests import current_requests, current_results, latest_wins
+from packlake.streaming.versions import VersionedIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -899,6 +901,52 @@ def stream_latest_wins(t: Tables) -> DataFrame:
     return current_requests(t.spark.read.parquet(out).drop("batch"))
 
 
+@query
+def stream_current_results(t: Tables) -> DataFrame:
+    """Results that count when they arrive, from a stream of requests, selections and results."""
+    out = shared_dir(t.spark, "results")
+    events = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    kinds = "array('request', 'result', if(event_type <> 'error', 'selection', NULL))"
+    changes = events.selectExpr("user_id AS key", f"explode({kinds}) AS kind", "event_id AS request_id", "event_type AS path")
+    (
+        current_results(changes.filter("kind is not null"))
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", shared_dir(t.spark, "progress"))
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    return t.spark.read.schema("key long, request_id long, path string").parquet(out)
+
+
+@query
+def versioned_index(t: Tables) -> DataFrame:
+    """Three versions of the packages of customers; the parts that differ between them."""
+    index = VersionedIndex(t.spark, shared_dir(t.spark, "versions"))
+    files = A.workbook_files(t)
+    key = "CAST(substring(package, 2) AS bigint)"
+    extra = "concat(files, array(named_struct('name', 'new.txt', 'content', 'x')))"
+    edited = "transform(files, f -> if(f.name = 'xl/sharedStrings.xml', named_struct('name', f.name, 'content', '<sst/>'), f))"
+    second = files.filter(f"{key} % 4 <> 3").selectExpr("package", f"if({key} % 4 = 1, {extra}, {edited}) AS files")
+    first = pack_zip(files)
+    index.refresh(first)
+    index.refresh(first)  # nothing has changed, so there is no version for it
+    index.refresh(pack_zip(second))
+    index.refresh(first)
+    found = index.changes(1)
+    for version in range(2, index.current() + 1):
+        found = found.unionByName(index.changes(version))
+    return found
+
+
+@query
+def bucketed_dangling(t: Tables) -> DataFrame:
+    index = BucketedIndex(t.spark, shared_dir(t.spark, "buckets"), buckets=8)
+    index.append(A.graph_parts(t), A.graph_relationships(t))
+    return index.dangling().select("source", "id", "resolved_target")
+
+
 # Operators whose plain name is already taken by an import carry a suffix above.
 for _name in [n for n in QUERIES if n.endswith("_query")]:
     QUERIES[_name.removesuffix("_query")] = QUERIES.pop(_name)

@@ -94,6 +94,8 @@ def current_results(changes: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
     """
     spark = changes.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    # State that is forgotten by the clock asks for batches without data; a run over what is there would never end.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     kind = changes.schema["key"].dataType.simpleString()
     return changes.select("key", "kind", "request_id", "path").groupBy("key").transformWithStateInPandas(
         statefulProcessor=CurrentResults(idle_ms),

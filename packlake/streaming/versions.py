@@ -13,7 +13,7 @@ from packlake.sources.packages import explode_packages
 MANIFEST = "package string, digest string, modified timestamp, version int"
 PARTS = "package string, path string, size bigint, digest string, version int"
 CHANGES = "package string, path string, change string, version int"
-POINTER = "_current"
+POINTER = "current.txt"
 
 
 class VersionedIndex:
