@@ -30,6 +30,8 @@ HEADLINES = [
     "slide_title",
     "worksheet_cells",
     "explode_packages",
+    "search_packages",
+    "read_part",
     "excel_summary",
 ]
 
