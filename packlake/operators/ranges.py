@@ -7,6 +7,8 @@ keys and an exact test, with neither pairs of all cells and rectangles nor a bou
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,38 +35,50 @@ def rectangle(reference: Column | str) -> Column:
     Corners may come in any order. A reference beyond the last row or column is none.
     """
     reference = F.col(reference) if isinstance(reference, str) else reference
+    pieces = F.struct(
+        *(F.regexp_extract(reference, _REFERENCE, k).alias(f"g{k}") for k in (1, 2, 3, 4)),
+        F.contains(reference, F.lit(":")).alias("pair"),
+    )
 
-    def group(k: int) -> Column:
-        return F.regexp_extract(reference, _REFERENCE, k)
+    def numbers(g: Column) -> Column:
+        def number(digits: Column) -> Column:
+            return F.nullif(digits, F.lit("")).cast("int")
 
-    def number(k: int) -> Column:
-        return F.nullif(group(k), F.lit("")).cast("int")
+        return F.struct(
+            g["pair"].alias("pair"),
+            column_number(g["g1"]).alias("c1"),
+            number(g["g2"]).alias("r1"),
+            F.when(g["pair"], column_number(g["g3"])).otherwise(column_number(g["g1"])).alias("c2"),
+            F.when(g["pair"], number(g["g4"])).otherwise(number(g["g2"])).alias("r2"),
+        )
 
-    pair = F.contains(reference, F.lit(":"))
-    c1, r1 = column_number(group(1)), number(2)
-    c2 = F.when(pair, column_number(group(3))).otherwise(c1)
-    r2 = F.when(pair, number(4)).otherwise(r1)
-    # A whole column has no rows at either end, a whole row no columns.
-    whole = F.when(r1.isNull() & r2.isNull() & pair & c1.isNotNull() & c2.isNotNull(), "columns").when(
-        c1.isNull() & c2.isNull() & pair & r1.isNotNull() & r2.isNotNull(), "rows"
-    )
-    top = F.when(whole == "columns", 1).otherwise(F.least(r1, r2))
-    bottom = F.when(whole == "columns", MAX_ROW).otherwise(F.greatest(r1, r2))
-    first = F.when(whole == "rows", 1).otherwise(F.least(c1, c2))
-    last = F.when(whole == "rows", MAX_COLUMN).otherwise(F.greatest(c1, c2))
-    corners = F.when(whole.isNotNull(), F.lit(True)).otherwise(
-        r1.isNotNull() & r2.isNotNull() & c1.isNotNull() & c2.isNotNull()
-    )
-    fits = (top >= 1) & (bottom <= MAX_ROW) & (last <= MAX_COLUMN)
-    return F.when(
-        corners & fits,
-        F.struct(
-            top.cast("int").alias("top"),
-            first.cast("int").alias("first_column"),
-            bottom.cast("int").alias("bottom"),
-            last.cast("int").alias("last_column"),
-        ),
-    )
+    def corners(n: Column) -> Column:
+        c1, r1, c2, r2 = n["c1"], n["r1"], n["c2"], n["r2"]
+        has_columns, has_rows = c1.isNotNull() & c2.isNotNull(), r1.isNotNull() & r2.isNotNull()
+        # A whole column has no rows at either end, a whole row no columns.
+        columns = n["pair"] & has_columns & r1.isNull() & r2.isNull()
+        lines = n["pair"] & has_rows & c1.isNull() & c2.isNull()
+        top = F.when(columns, 1).otherwise(F.least(r1, r2))
+        bottom = F.when(columns, MAX_ROW).otherwise(F.greatest(r1, r2))
+        first = F.when(lines, 1).otherwise(F.least(c1, c2))
+        last = F.when(lines, MAX_COLUMN).otherwise(F.greatest(c1, c2))
+        fits = (top >= 1) & (bottom <= MAX_ROW) & (last <= MAX_COLUMN)
+        return F.when(
+            (columns | lines | has_columns & has_rows) & fits,
+            F.struct(
+                top.cast("int").alias("top"),
+                first.cast("int").alias("first_column"),
+                bottom.cast("int").alias("bottom"),
+                last.cast("int").alias("last_column"),
+            ),
+        )
+
+    return once(once(pieces, numbers), corners)
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _tile(extent: Column) -> Column:

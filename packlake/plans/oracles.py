@@ -704,8 +704,18 @@ ORACLES: dict[str, str] = {
     "selection_status": pages_query(f"SELECT package, path, {EXT_LABEL} AS label FROM parts"),
     # Shredding.
     "shred_xml": f"""WITH {BOOKS}, events AS (
-          SELECT package, unnest({SHEET_EVENTS}) AS e FROM books)
-        SELECT package, e.seq, e.event, e.qname, e.depth, e.n_attrs, e.text FROM events""",
+          SELECT package, unnest({SHEET_EVENTS}) AS e FROM books),
+        numbers AS (SELECT package, k, 18 + k % 6 AS last, unnest(range(1, 19 + k % 6)) AS n FROM books),
+        listed AS (
+          SELECT package, unnest([0, 1, 5 * last + 2, 5 * last + 3]) AS seq, unnest(['Start', 'Start', 'End', 'End']) AS event,
+                 unnest(['worksheet', 'sheetData', 'sheetData', 'worksheet']) AS qname, unnest([0, 1, 1, 0]) AS depth,
+                 0 AS n_attrs, NULL AS text FROM (SELECT DISTINCT package, last FROM numbers)
+          UNION ALL
+          SELECT package, 5 * n - 3 + unnest(range(5)), unnest(['Start', 'Start', 'Text', 'End', 'End']),
+                 unnest(['c', 'v', NULL, 'v', 'c']), unnest([2, 3, 4, 3, 2]), unnest([1, 0, 0, 0, 0]),
+                 unnest([NULL, NULL, (n * k)::VARCHAR, NULL, NULL]) FROM numbers)
+        SELECT package, '/xl/worksheets/sheet1.xml' AS path, e.seq, e.event, e.qname, e.depth, e.n_attrs, e.text FROM events
+        UNION ALL SELECT package, '/xl/worksheets/sheet2.xml', seq, event, qname, depth, n_attrs, text FROM listed""",
     "validate_xml": "SELECT 'page-' || page_id AS package, page_id % 13 <> 0 AS valid FROM pages",
     "detect_format": """SELECT 'c' || conv_id || '-' || turn AS package, 'ppt' AS format FROM conversations
         UNION ALL SELECT 'd' || doc_id, 'word' FROM documents
@@ -875,3 +885,8 @@ ORACLES: dict[str, str] = {
     "stream_latest_wins": """SELECT user_id AS key, max(event_id) AS request_id, arg_max(event_type, event_id) AS path
         FROM events GROUP BY user_id""",
 }
+
+#: The tables of an index as they were written; two of them are results above.
+ORACLES["write_index"] += f"""
+        UNION ALL SELECT 'relationships', package, source, id FROM ({ORACLES["parse_relationships"]})
+        UNION ALL SELECT 'diagnostics', package, part, message FROM ({ORACLES["diagnostics"]})"""

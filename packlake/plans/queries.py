@@ -124,6 +124,8 @@ def write_index_query(t: Tables) -> DataFrame:
         "parts": (parts, "kind"),
         "directories": (I.directories(parts), "CAST(NULL AS string)"),
         "types": (typed.select("package", "path", "content_type"), "content_type"),
+        "relationships": (_page_relationships(t).withColumn("path", F.col("source")), "id"),
+        "diagnostics": (diagnostics(t).withColumn("path", F.col("part")), "message"),
     }
     write_index({name: df for name, (df, _) in values.items()}, path, buckets=8)
     read = [
@@ -132,7 +134,10 @@ def write_index_query(t: Tables) -> DataFrame:
         )
         for name, (_, value) in values.items()
     ]
-    return read[0].unionByName(read[1]).unionByName(read[2])
+    found = read[0]
+    for more in read[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 @query
@@ -496,8 +501,8 @@ def selection_status(t: Tables) -> DataFrame:
 
 @query
 def shred_xml(t: Tables) -> DataFrame:
-    events = X.shred_xml(A.file_parts(A.workbook_files(t), "sheet1.xml"))
-    return events.select("package", "seq", "event", "qname", "depth", F.size("attrs").alias("n_attrs"), "text")
+    events = X.shred_xml(A.file_parts(A.workbook_files(t), "sheet1.xml", "sheet2.xml"))
+    return events.select("package", "path", "seq", "event", "qname", "depth", F.size("attrs").alias("n_attrs"), "text")
 
 
 @query

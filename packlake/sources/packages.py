@@ -377,6 +377,8 @@ class Needles:
     def inside(self, content: bytes) -> list[str]:
         """The needles that `content` holds, overlapping ones and those within others too."""
         met: set[int] = set()
+        if not self.needles:
+            return []
         for _, number in self.automaton.iter(content.decode("latin-1")):
             met.add(number)
         return [self.needles[number] for number in sorted(met)]
