@@ -119,7 +119,7 @@ def mine(
     """Anchors, positives and their hard negatives: the columns of SCHEMA.
 
     `rows` has vec_id, label and embedding. Rows without a label or a vector, or with a component that is null,
-    not finite or beyond 2**23, take no part. Anchors are the rows whose id is divisible by `every`. The
+    not finite or beyond 2**23, take no part; scores are taken to fit in a long. Anchors are the rows whose id is divisible by `every`. The
     positives of one are the best `positives` rows of its label with another id; for each, the best `negatives`
     rows of other labels that score from `low` to `high` percent of it. Ties go to the smaller id, a null id
     comes last. Of vectors of unequal lengths the longer one's rest counts nothing. Repeated rows are rows of
@@ -163,11 +163,11 @@ def mine(
         )
         scores = positive.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("rank", "positive_score"))).alias("p"))
         scores = scores.withColumn("p", F.col("p.positive_score"))
-        # Whole scores in the window: low * p <= 100 * s <= high * p.
+        # Whole scores s in the window: low * p <= 100 * s <= high * p.
         windows = scores.select(
             "anchor",
-            F.transform("p", lambda p: _div(p * low + F.pmod(-p * low, F.lit(100)), 100)).alias("lows"),
-            F.transform("p", lambda p: _div(p * high - F.pmod(p * high, F.lit(100)), 100)).alias("highs"),
+            F.transform("p", lambda p: _percent(p, low, up=True)).alias("lows"),
+            F.transform("p", lambda p: _percent(p, high, up=False)).alias("highs"),
         )
         negative = found(anchors.join(windows, "anchor"), negatives, False)
         negative = negative.select("anchor", "slot", F.col("rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
@@ -177,9 +177,12 @@ def mine(
         return staged(result.select(*names), "negatives")
 
 
-def _div(a: Column, b: int) -> Column:
-    """Whole division without doubles, of multiples."""
-    return F.call_function("div", a, F.lit(b))
+def _percent(p: Column, percent: int, up: bool) -> Column:
+    """`percent` hundredths of a whole number, rounded up or down; hundreds apart, so nothing overflows."""
+    rest = F.pmod(p, F.lit(100))
+    more = rest * percent
+    more = more + F.pmod(-more, F.lit(100)) if up else more - F.pmod(more, F.lit(100))
+    return F.call_function("div", p - rest, F.lit(100)) * percent + F.call_function("div", more, F.lit(100))
 
 
 def _matrix(lists: pa.Array, size: int) -> np.ndarray:
