@@ -646,7 +646,10 @@ def themed_files(t: Tables) -> DataFrame:
 
 
 def media_files(t: Tables) -> DataFrame:
-    """Parts as packages with something of each kind that has a preview, and of each that fails."""
+    """Parts as packages with something of each kind that has a preview, and of each that fails.
+
+    A WebP header holds one less than the width.
+    """
     be = lambda n: f"unhex(lpad(hex({n}), 8, '0'))"
     le = lambda n: f"unhex(concat_ws('', lpad(hex({n} % 256), 2, '0'), lpad(hex({n} div 256), 2, '0'), '00'))"
     side = "(p_partkey * 13 % 9000 + 1)"
@@ -668,7 +671,7 @@ def media_files(t: Tables) -> DataFrame:
             binary("d.json", "X'7BFF'"),
             binary("o/typed.bin", "concat('[', p_size, ']')"),
             binary("i.png", f"concat(X'89504E470D0A1A0A0000000D49484452', {be(side)}, {be('p_size')}, X'0802000000')"),
-            binary("w.webp", f"concat(CAST('RIFF----WEBPVP8X' AS binary), X'0A00000000000000', {le(side)}, {le('p_size')})"),
+            binary("w.webp", f"concat(CAST('RIFF----WEBPVP8X' AS binary), X'0A00000000000000', {le(f'({side} - 1)')}, {le('p_size')})"),
             binary("x.webp", "'no image'"),
             binary("r.bin", "'AB'"),
             binary("s.txt", "p_name"),

@@ -144,3 +144,13 @@ def test_previews_of_packages(spark):
     assert "Exchange" not in plan
     assert rows(preview_packages(packages(spark, ("p", blob)).limit(0))) == []
     assert zipfile.ZipFile(io.BytesIO(blob)).namelist()[3] == "d/"
+
+
+def test_widest_webp_of_a_package_is_shown(spark, tmp_path):
+    from packlake.plans.queries import QUERIES
+
+    # Key 2707 has a width of 8192, which is the limit; key 2708 is over it.
+    part = spark.createDataFrame([(2707, "n", 5), (2708, "n", 5)], "p_partkey long, p_name string, p_size int")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    found = rows(QUERIES["preview_packages"](spark, str(tmp_path)).filter("path in ('/i.png', '/w.webp')"), "package", "path", "preview_kind")
+    assert found == [(f"m{k}", path, kind) for k, kind in ((2707, "Image"), (2708, "Error")) for path in ("/i.png", "/w.webp")]
