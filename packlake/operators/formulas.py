@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packlake.operators.ranges import RECTANGLE, contained, positioned, rectangle
+from packlake.operators.ranges import RECTANGLE, contained, placed, positioned
 from packlake.session import Scratch, staged
 
 #: Links of one package up to which its formulas are ordered in one task.
 LOCAL_LINKS = 500_000
+_FLUSH_ROWS = 20_000
 _STRING = r'"(?:[^"]|"")*"'
 _SHEET = r"(?:'((?:[^']|'')+)'|([\p{L}_][\p{L}0-9_.]*))!"
 _CELL = r"\$?[A-Za-z]{1,3}\$?[0-9]{1,7}"
@@ -42,12 +45,13 @@ def formula_references(cells: DataFrame, sheets: DataFrame, names: DataFrame | N
         F.replace(F.regexp_extract("token", whole, 1), F.lit("''"), F.lit("'")), F.regexp_extract("token", whole, 2)
     )
     found = found.select(
-        "package", "path", "ord", F.nullif(sheet, F.lit("")).alias("sheet"), rectangle(F.regexp_extract("token", whole, 3)).alias("at")
-    ).filter("at is not null")
+        "package", "path", "ord", F.nullif(sheet, F.lit("")).alias("sheet"), F.regexp_extract("token", whole, 3).alias("area")
+    )
+    found = placed(found, "area").drop("area")
     parts = sheets.filter("path is not null").groupBy("package", F.lower("name").alias("sheet_key")).agg(F.min_by("path", "ord").alias("named_path"))
-    own = found.filter("sheet is null").select("package", "path", "ord", F.col("path").alias("ref_path"), "at.*")
+    own = found.filter("sheet is null").select("package", "path", "ord", F.col("path").alias("ref_path"), *RECTANGLE)
     other = found.filter("sheet is not null").withColumn("sheet_key", F.lower("sheet")).join(parts, ["package", "sheet_key"])
-    refs = own.unionByName(other.select("package", "path", "ord", F.col("named_path").alias("ref_path"), "at.*"))
+    refs = own.unionByName(other.select("package", "path", "ord", F.col("named_path").alias("ref_path"), *RECTANGLE))
     if names is not None:
         words = code.select("package", "path", "ord", F.explode(F.regexp_extract_all("code", F.lit(NAME), 0)).alias("word"))
         words = words.withColumn("word", F.lower("word")).distinct()
@@ -82,10 +86,10 @@ def formula_links(cells: DataFrame, references: DataFrame) -> DataFrame:
     return inside.unionByName(read.join(filled, ["package", "before"], "left_semi"))
 
 
-def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
+def _ordered(links: Iterator[tuple[str, str]]) -> dict[str, int]:
     """Levels of one package, by taking nodes whose links are all served; what is left is on or behind a cycle."""
-    waiting, behind, level = defaultdict(int), defaultdict(list), {}
-    for before, after in zip(rows["before"], rows["after"]):
+    waiting, behind = defaultdict(int), defaultdict(list)
+    for before, after in links:
         waiting[after] += 1
         behind[before].append(after)
     ready = [node for node in behind if node not in waiting]
@@ -99,8 +103,25 @@ def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
             waiting[after] -= 1
             if not waiting[after]:
                 ready.append(after)
-    settled = [node for node in done if node.startswith("c")]
-    return pd.DataFrame({"package": rows["package"].iloc[:1].repeat(len(settled)).values, "node": settled, "level": [level[n] for n in settled]})
+    return {node: level[node] for node in done if node.startswith("c")}
+
+
+def _level_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of packages whose links (package, before, after) come one package after the other."""
+    links = (link for batch in batches for link in zip(*(column.to_pylist() for column in batch.columns)))
+    rows: list[tuple] = []
+    for package, own in groupby(links, key=lambda link: link[0]):
+        rows += [(package, *found) for found in _ordered(link[1:] for link in own).items()]
+        if len(rows) >= _FLUSH_ROWS:
+            yield _levels(rows)
+            rows = []
+    if rows:
+        yield _levels(rows)
+
+
+def _levels(rows: list[tuple]) -> pa.RecordBatch:
+    arrays = [pa.array(values, kind) for values, kind in zip(zip(*rows), (pa.string(), pa.string(), pa.int32()))]
+    return pa.RecordBatch.from_arrays(arrays, ["package", "node", "level"])
 
 
 def formula_levels(cells: DataFrame, references: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
@@ -120,7 +141,9 @@ def formula_levels(cells: DataFrame, references: DataFrame, local_links: int = L
         counts = links.groupBy("package").agg(F.count(F.lit(1)).alias("n"))
         large = scratch.staged(counts.filter(F.col("n") > local_links).select("package"), "large")
         small = links.join(large, "package", "left_anti")
-        levels = small.groupBy("package").applyInPandas(lambda rows: _ordered(rows), "package string, node string, level int")
+        # The links of a package come to one task and one after the other; a task goes through many packages.
+        together = small.select("package", "before", "after").repartition("package").sortWithinPartitions("package")
+        levels = together.mapInArrow(_level_batches, "package string, node string, level int")
         levels = [scratch.staged(levels, "levels")]
         if not large.isEmpty():
             levels += _peeled(links.join(large, "package", "left_semi"), scratch)

@@ -81,6 +81,54 @@ def once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def placed(rows: DataFrame, reference: str) -> DataFrame:
+    """Adds the columns RECTANGLE of a column of references, by the rules of `rectangle`; rows without one are left out.
+
+    In steps of plain expressions: the pieces of a reference are columns, computed once, and the generator keeps
+    the test from being pushed below them and computed again.
+    """
+    ref, pair = F.col(reference), F.coalesce(F.contains(reference, F.lit(":")), F.lit(False))
+
+    def piece(k: int) -> Column:
+        return F.nullif(F.regexp_extract(ref, _REFERENCE, k), F.lit(""))
+
+    pieces = rows.select(
+        "*",
+        pair.alias("_pair"),
+        F.upper(piece(1)).alias("_g1"),
+        piece(2).cast("int").alias("_r1"),
+        F.when(pair, F.upper(piece(3))).alias("_g3"),
+        F.when(pair, piece(4).cast("int")).alias("_r4"),
+    )
+
+    def number(letters: str) -> Column:
+        """Of one to three capital letters."""
+        code = [F.ascii(F.substring(letters, k, 1)) - 64 for k in (1, 2, 3)]
+        return (
+            F.when(F.length(letters) == 1, code[0])
+            .when(F.length(letters) == 2, code[0] * 26 + code[1])
+            .when(F.length(letters) == 3, code[0] * 676 + code[1] * 26 + code[2])
+        )
+
+    c1, r1, is_pair = F.col("_c1"), F.col("_r1"), F.col("_pair")
+    c2, r2 = F.when(is_pair, F.col("_c3")).otherwise(c1), F.when(is_pair, F.col("_r4")).otherwise(r1)
+    has_columns, has_rows = c1.isNotNull() & c2.isNotNull(), r1.isNotNull() & r2.isNotNull()
+    columns = is_pair & has_columns & r1.isNull() & r2.isNull()
+    lines = is_pair & has_rows & c1.isNull() & c2.isNull()
+    corners = F.struct(
+        F.when(columns, 1).otherwise(F.least(r1, r2)).alias("top"),
+        F.when(lines, 1).otherwise(F.least(c1, c2)).alias("first_column"),
+        F.when(columns, MAX_ROW).otherwise(F.greatest(r1, r2)).alias("bottom"),
+        F.when(lines, MAX_COLUMN).otherwise(F.greatest(c1, c2)).alias("last_column"),
+    )
+    numbered = pieces.select("*", number("_g1").alias("_c1"), number("_g3").alias("_c3"))
+    # Whether the corners are there and fit; `least` and `greatest` skip nulls.
+    rows_fit = columns | (has_rows & (F.least(r1, r2) >= 1) & (F.greatest(r1, r2) <= MAX_ROW))
+    columns_fit = lines | (has_columns & (F.greatest(c1, c2) <= MAX_COLUMN))
+    names_one = rows_fit & columns_fit
+    return numbered.select(*rows.columns, F.inline(F.when(names_one, F.array(corners))))
+
+
 def _tile(extent: Column) -> Column:
     """The least power of STEP that is not below `extent`."""
     power = 1
@@ -131,18 +179,17 @@ def contained(points: DataFrame, rectangles: DataFrame, keys: list[str]) -> Data
 
 def positioned(cells: DataFrame, reference: str = "reference") -> DataFrame:
     """Adds `row_no` and `column_no`; cells whose reference names no single cell are left out."""
-    at = rectangle(reference)
-    found = cells.withColumn("_at", at).filter(
-        F.col("_at").isNotNull()
-        & (F.col("_at.top") == F.col("_at.bottom"))
-        & (F.col("_at.first_column") == F.col("_at.last_column"))
-    )
-    return found.select(*cells.columns, F.col("_at.top").alias("row_no"), F.col("_at.first_column").alias("column_no"))
+    at = placed(cells, reference)
+    single = (F.col("top") == F.col("bottom")) & (F.col("first_column") == F.col("last_column"))
+    return at.filter(single).select(*cells.columns, F.col("top").alias("row_no"), F.col("first_column").alias("column_no"))
+
+
+RANGE_NAMES = ["mergeCell"]
 
 
-def range_tokens(contents: DataFrame) -> DataFrame:
-    """Tokens of merged ranges, cells and defined names, for the operators below."""
-    return shred_xml(contents, names=["mergeCell"], with_text=False, folds=("cells", "names"))
+def range_tokens(contents: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Tokens of merged ranges, cells and defined names, for the operators below; and of elements named in `more`."""
+    return shred_xml(contents, names=[*RANGE_NAMES, *more], with_text=False, folds=("cells", "names"))
 
 
 def merged_ranges(events: DataFrame) -> DataFrame:
@@ -150,13 +197,10 @@ def merged_ranges(events: DataFrame) -> DataFrame:
 
     References that name no rectangle are left out; repeated ones stay.
     """
-    return (
-        events.filter(is_element("mergeCell", "Start", "Empty"))
-        .select("package", "path", F.col("seq").alias("ord"), xml_attr("attrs", "ref").alias("ref"))
-        .withColumn("_at", rectangle("ref"))
-        .filter("_at is not null")
-        .select("package", "path", "ord", "ref", "_at.*")
+    merges = events.filter(is_element("mergeCell", "Start", "Empty")).select(
+        "package", "path", F.col("seq").alias("ord"), xml_attr("attrs", "ref").alias("ref")
     )
+    return placed(merges, "ref")
 
 
 def merged_anchors(cells: DataFrame, merges: DataFrame) -> DataFrame:
@@ -203,7 +247,7 @@ def defined_names(events: DataFrame) -> DataFrame:
     """
     quoted = r"(?:'((?:[^']|'')+)'|([^'!,\[\]()+*/ ]+))!(\$?[A-Za-z]{0,3}\$?[0-9]{0,7}(?::\$?[A-Za-z]{0,3}\$?[0-9]{0,7})?)"
     area = rf"\A{quoted}\z"
-    return (
+    areas = (
         found_rows(events, "Name")
         .select(
             "package",
@@ -222,10 +266,8 @@ def defined_names(events: DataFrame) -> DataFrame:
             F.concat(F.replace(F.regexp_extract("area", area, 1), F.lit("''"), F.lit("'")), F.regexp_extract("area", area, 2)).alias("sheet"),
             F.regexp_extract("area", area, 3).alias("ref"),
         )
-        .withColumn("_at", rectangle("ref"))
-        .filter("_at is not null")
-        .select("package", "ord", "name", "local_sheet", "sheet", "ref", "_at.*")
     )
+    return placed(areas, "ref")
 
 
 def named_cells(cells: DataFrame, names: DataFrame, sheets: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import pyarrow as pa
 from helpers import one, rels_xml, rows, xml_parts
 from pyspark.sql import functions as F
 
@@ -262,3 +263,26 @@ def test_title_of_a_shape_that_never_closes(spark):
     from packlake.operators.shred import found_rows, shred_xml
 
     assert found_rows(shred_xml(parts, names=[], folds=("titles",)), "Title").count() == 0
+
+
+def test_levels_of_many_packages_in_one_task(spark):
+    """Packages are told apart within a task, and none is a group of its own."""
+    from packlake.operators.formulas import _level_batches
+
+    links = [("a", "c:1", "c:2"), ("b", "c:1", "c:2"), ("b", "c:2", "c:3"), ("c", "c:1", "c:2"), ("c", "c:2", "c:1")]
+    table = pa.table(dict(zip(("package", "before", "after"), zip(*links))))
+    # A package may lie across batches.
+    found = [tuple(row.values()) for batch in _level_batches(iter(table.to_batches(max_chunksize=2))) for row in batch.to_pylist()]
+    assert sorted(found) == [("a", "c:1", 1), ("a", "c:2", 2), ("b", "c:1", 1), ("b", "c:2", 2), ("b", "c:3", 3)]
+
+
+def test_placed_follows_rectangle(spark):
+    from packlake.operators.ranges import RECTANGLE, placed, rectangle
+
+    refs = "A1 $B$2:D9 d9:b2 A:C 3:5 ABC XFD1048576 XFE1 A1048577 A0 A1:B 5 A1:3 AAA1 ZZ9:A1".split() + ["", " a1 ", "A1:A1", None, ":"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(refs)], "i int, ref string")
+    whole = rows(df.withColumn("at", rectangle("ref")).filter("at is not null").select("i", "at.*"))
+    assert rows(placed(df, "ref"), "i", *RECTANGLE) == whole
+    # The pattern is not evaluated once more for a pushed filter.
+    plan = placed(df, "ref").filter("top = bottom")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan.split("Generate")[1]
