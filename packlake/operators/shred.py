@@ -65,6 +65,8 @@ class _Tokens:
     ):
         self.data, self.keep, self.with_text = data, keep, with_text
         self.folds = [FOLDS[name](self.found) for name in folds]
+        # By qualified name: the local name, and the folds that see it. A part has few names and many tags.
+        self.known: dict[str, tuple[str, list]] = {}
         self.waiting: tuple[str, list[str]] | None = None
         self.rows: list[tuple] = []
         self.seq = self.depth = 0
@@ -79,19 +81,25 @@ class _Tokens:
         parser.EndCdataSectionHandler = self.cdata_end
 
     def add(self, event, qname, attrs, text):
-        local = qname.rsplit(":", 1)[-1] if qname is not None else None
+        local = self.about(qname)[0] if qname is not None else None
         if local is None or self.keep is None or local in self.keep:
             self.rows.append((self.seq, event, qname, local, self.depth, attrs, text))
         self.seq += 1
 
+    def about(self, qname):
+        found = self.known.get(qname)
+        if found is None:
+            local = qname.rsplit(":", 1)[-1]
+            found = self.known[qname] = (local, [fold for fold in self.folds if local in fold.names])
+        return found
+
     def found(self, event: str, number: int, fields: list[tuple[str, str]], text: str | None):
         self.rows.append((number, event, None, None, 0, fields, text))
 
     def tell(self, event, qname, attrs=()):
-        local = qname.rsplit(":", 1)[-1]
-        for fold in self.folds:
-            if local in fold.names:
-                fold.element(event, local, attrs)
+        local, folds = self.about(qname)
+        for fold in folds:
+            fold.element(event, local, attrs)
 
     def told(self):
         if self.waiting is not None:
@@ -100,35 +108,42 @@ class _Tokens:
 
     def start(self, qname, attrs):
         if self.folds:
-            self.told()
+            if self.waiting is not None:
+                self.told()
             self.waiting = (qname, attrs)
-        pairs = list(zip(attrs[::2], attrs[1::2]))
-        self.add("Start", qname, pairs, None)
+        local = self.about(qname)[0]
+        if self.keep is None or local in self.keep:
+            self.rows.append((self.seq, "Start", qname, local, self.depth, list(zip(attrs[::2], attrs[1::2])), None))
+        self.seq += 1
         self.depth += 1
         self.opened = True
 
     def end(self, qname):
         self.depth -= 1
-        at = self.parser.CurrentByteIndex
-        if self.opened and self.data[at - 2 : at] == b"/>":
-            local = qname.rsplit(":", 1)[-1]
-            if self.keep is None or local in self.keep:
-                row = self.rows.pop()
-                self.rows.append((row[0], "Empty", *row[2:]))
-            if self.folds:
-                self.tell("Empty", *self.waiting)
-                self.waiting = None
-        else:
-            self.add("End", qname, [], None)
-            if self.folds:
+        if self.opened:
+            at = self.parser.CurrentByteIndex
+            if self.data[at - 2 : at] == b"/>":
+                local = self.about(qname)[0]
+                if self.keep is None or local in self.keep:
+                    row = self.rows.pop()
+                    self.rows.append((row[0], "Empty", *row[2:]))
+                if self.folds:
+                    self.tell("Empty", *self.waiting)
+                    self.waiting = None
+                self.opened = False
+                return
+        self.add("End", qname, [], None)
+        if self.folds:
+            if self.waiting is not None:
                 self.told()
-                self.tell("End", qname)
+            self.tell("End", qname)
         self.opened = False
 
     def text(self, data):
         self.opened = False
         if not self.in_cdata:
-            self.told()
+            if self.waiting is not None:
+                self.told()
             for fold in self.folds:
                 fold.text(data)
             if self.with_text:

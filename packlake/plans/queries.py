@@ -683,10 +683,11 @@ def excel_summary(t: Tables) -> DataFrame:
 
 def _ledgers(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cells, sheets and tokens of workbooks with formulas."""
-    files = A.ledger_files(t)
-    events = staged(ranges.range_tokens(A.file_parts(files, "sheet1.xml", "sheet2.xml", "workbook.xml")), "tokens")
-    sheet_events = X.shred_xml(A.file_parts(files, "workbook.xml"), names=["sheet"], with_text=False)
-    sheets = staged(W.workbook_sheets(sheet_events, A.file_relationships(files)), "sheets")
+    parts = A.file_parts(A.ledger_files(t), "sheet1.xml", "sheet2.xml", "workbook.xml", ".rels")
+    # One pass over the parts: cells, ranges, names, sheets and their relationships.
+    events = staged(ranges.range_tokens(parts, more=("sheet", "Relationship")), "tokens")
+    rels = I.parse_relationships(events.filter(F.col("path").endswith(".rels")), I.relationship_parts(parts.drop("content")))
+    sheets = staged(W.workbook_sheets(events, rels), "sheets")
     return staged(W.worksheet_cells(events), "cells"), sheets, events
 
 
