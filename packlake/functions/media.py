@@ -116,24 +116,28 @@ def hex_lines(content, limits: Limits = DEFAULT) -> Column:
     content = col(content).cast("binary")
     shown = F.least(F.octet_length(content), F.lit(min(bound(limits.hex_bytes), 2**31 - 1)))
 
-    def dump(at: Column) -> Column:
-        chunk = F.substring(content, at + 1, F.least(F.lit(16), shown - at))
-        spaced = F.rpad(F.regexp_replace(F.lower(F.hex(chunk)), "(..)", "$1 "), 48, " ")
-        printable = F.regexp_replace(F.decode(chunk, "ISO-8859-1"), "(?s)[^ -~]", ".")
+    # Digits and characters are made once for all bytes, and kept as bytes, of which a line takes its slice.
+    head = F.substring(content, F.lit(1), shown)
+    made = F.struct(
+        F.regexp_replace(F.lower(F.hex(head)), "(..)", "$1 ").cast("binary").alias("digits"),
+        F.regexp_replace(F.decode(head, "ISO-8859-1"), "(?s)[^ -~]", ".").cast("binary").alias("printable"),
+    )
+
+    def dump(whole: Column, at: Column) -> Column:
         return F.concat(
             F.lower(F.lpad(F.hex(at), 8, "0")),
             F.lit("  "),
-            F.substring(spaced, 1, 24),
+            F.rpad(F.substring(whole["digits"], at * 3 + 1, F.lit(24)).cast("string"), 24, " "),
             F.lit(" "),
-            F.substring(spaced, 25, 24),
+            F.rpad(F.substring(whole["digits"], at * 3 + 25, F.lit(24)).cast("string"), 24, " "),
             F.lit(" |"),
-            printable,
+            F.substring(whole["printable"], at + 1, F.lit(16)).cast("string"),
             F.lit("|"),
         )
 
-    return F.when(
-        shown > 0, F.transform(F.sequence(F.lit(0), shown - 1, F.lit(16)), dump)
-    ).otherwise(F.array().cast("array<string>"))
+    starts = F.sequence(F.lit(0), shown - 1, F.lit(16))
+    lines = F.get(F.transform(F.array(made), lambda whole: F.transform(starts, lambda at: dump(whole, at))), F.lit(0))
+    return F.when(shown > 0, lines).otherwise(F.array().cast("array<string>"))
 
 
 def truncation_notice(content, limits: Limits = DEFAULT) -> Column:

@@ -257,3 +257,19 @@ def test_streamed_files_are_indexed_once(spark, tmp_path):
     assert first == [("a.docx", "/x.xml"), ("b.xlsx", "/y.xml"), ("b.xlsx", "/y/z.xml")]
     arrive("c.pptx", "w.xml")
     assert run() == first + [("c.pptx", "/w.xml")]
+
+
+def test_hex_lines_slice_what_is_made_once(spark):
+    from packlake.functions.media import hex_lines
+
+    content = bytes(range(256)) + b"end"
+    df = spark.createDataFrame([(bytearray(content),), (bytearray(b""),), (None,)], "content binary")
+
+    def line(at):
+        chunk = content[at : at + 16]
+        digits = "".join(f"{b:02x} " for b in chunk).ljust(48)
+        shown = "".join(chr(b) if 32 <= b < 127 else "." for b in chunk)
+        return f"{at:08x}  {digits[:24]} {digits[24:]} |{shown}|"
+
+    lines = [r[0] for r in df.select(hex_lines("content")).collect()]
+    assert lines == [[line(at) for at in range(0, len(content), 16)], [], []]
