@@ -154,11 +154,9 @@ def resolve_target(source: Column | str, target: Column | str) -> Column:
 
 def ancestors(path: Column | str) -> Column:
     """`/a`, `/a/b`, `/a/b/c` for `/a/b/c`."""
-    pieces = F.split(F.ltrim(col(path), F.lit("/")), "/")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(pieces)),
-        lambda i: F.concat(F.lit("/"), F.array_join(F.slice(pieces, F.lit(1), i), "/")),
-    )
+    whole = F.concat(F.lit("/"), F.ltrim(col(path), F.lit("/")))
+    n = F.char_length(whole) - F.char_length(F.replace(whole, F.lit("/"), F.lit("")))
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.call_function("substring_index", whole, F.lit("/"), i + 1))
 
 
 def type_label(relationship_type: Column | str) -> Column:
