@@ -935,10 +935,11 @@ def versioned_index(t: Tables) -> DataFrame:
     extra = "concat(files, array(named_struct('name', 'new.txt', 'content', 'x')))"
     edited = "transform(files, f -> if(f.name = 'xl/sharedStrings.xml', named_struct('name', f.name, 'content', '<sst/>'), f))"
     second = files.filter(f"{key} % 4 <> 3").selectExpr("package", f"if({key} % 4 = 1, {extra}, {edited}) AS files")
-    first = pack_zip(files)
+    # Made once: a refresh reads its packages twice.
+    first, other = staged(pack_zip(files), "packages"), staged(pack_zip(second), "packages")
     index.refresh(first)
     index.refresh(first)  # nothing has changed, so there is no version for it
-    index.refresh(pack_zip(second))
+    index.refresh(other)
     index.refresh(first)
     found = index.changes(1)
     for version in range(2, index.current() + 1):

@@ -5,6 +5,7 @@ from helpers import packages, rows, zip_bytes
 from pyspark.sql import functions as F
 
 from packlake.operators.details import dangling_relationships, node_degrees
+from packlake.plans.queries import QUERIES
 from packlake.sources.buckets import BucketedIndex
 from packlake.streaming.requests import REQUEST, RESULT, SELECTION, current_results, latest_wins
 from packlake.streaming.versions import VersionedIndex
@@ -132,3 +133,16 @@ def test_empty_buckets(spark, tmp_path):
     parts, rels = graph(spark, "p", 3)
     index.append(parts.limit(0), rels.limit(0))
     assert rows(index.dangling()) == [] and rows(index.node_degrees()) == []
+
+
+def test_query_packs_its_packages_once(spark, monkeypatch):
+    seen = []
+    refresh = VersionedIndex.refresh
+
+    def watched(self, packages, complete=True):
+        seen.append(packages._jdf.queryExecution().executedPlan().toString())
+        return refresh(self, packages, complete)
+
+    monkeypatch.setattr(VersionedIndex, "refresh", watched)
+    QUERIES["versioned_index"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 4 and not any("MapInArrow" in plan for plan in seen)
