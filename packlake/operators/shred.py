@@ -6,7 +6,7 @@ is filters over single tokens. So tokens are not brought together again after th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.parsers import expat
 
 import pandas as pd
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packlake.operators.folds import FOLDS
+from packlake.operators.folds import FOLDS, Fold
 
 EVENT_SCHEMA = (
     "package string, path string, seq int, event string, qname string, local string, "
@@ -65,9 +65,12 @@ class _Tokens:
     ):
         self.data, self.keep, self.with_text = data, keep, with_text
         self.folds = [FOLDS[name](self.found) for name in folds]
-        # By qualified name: the local name, and the folds that see it. A part has few names and many tags.
-        self.known: dict[str, tuple[str, list]] = {}
-        self.waiting: tuple[str, list[str]] | None = None
+        self.readers = [fold.text for fold in self.folds if type(fold).text is not Fold.text]
+        # By qualified name: the local name, whether its tokens are kept, and what the folds do with it. A part
+        # has few names and many tags.
+        self.known: dict[str, tuple[str, bool, list[Callable]]] = {}
+        #: The last start tag, while it may still be an empty element.
+        self.waiting: tuple[list[Callable], str, list[str]] | None = None
         self.rows: list[tuple] = []
         self.seq = self.depth = 0
         self.opened = False  # the last callback was a start tag
@@ -80,39 +83,29 @@ class _Tokens:
         parser.StartCdataSectionHandler = self.cdata_start
         parser.EndCdataSectionHandler = self.cdata_end
 
-    def add(self, event, qname, attrs, text):
-        local = self.about(qname)[0] if qname is not None else None
-        if local is None or self.keep is None or local in self.keep:
-            self.rows.append((self.seq, event, qname, local, self.depth, attrs, text))
-        self.seq += 1
-
     def about(self, qname):
-        found = self.known.get(qname)
-        if found is None:
-            local = qname.rsplit(":", 1)[-1]
-            found = self.known[qname] = (local, [fold for fold in self.folds if local in fold.names])
+        local = qname.rsplit(":", 1)[-1]
+        told = [fold.element for fold in self.folds if local in fold.names]
+        found = self.known[qname] = (local, self.keep is None or local in self.keep, told)
         return found
 
     def found(self, event: str, number: int, fields: list[tuple[str, str]], text: str | None):
         self.rows.append((number, event, None, None, 0, fields, text))
 
-    def tell(self, event, qname, attrs=()):
-        local, folds = self.about(qname)
-        for fold in folds:
-            fold.element(event, local, attrs)
-
     def told(self):
         if self.waiting is not None:
-            self.tell("Start", *self.waiting)
+            elements, local, attrs = self.waiting
             self.waiting = None
+            for element in elements:
+                element("Start", local, attrs)
 
     def start(self, qname, attrs):
-        if self.folds:
-            if self.waiting is not None:
-                self.told()
-            self.waiting = (qname, attrs)
-        local = self.about(qname)[0]
-        if self.keep is None or local in self.keep:
+        if self.waiting is not None:
+            self.told()
+        local, kept, elements = self.known.get(qname) or self.about(qname)
+        if elements:
+            self.waiting = (elements, local, attrs)
+        if kept:
             self.rows.append((self.seq, "Start", qname, local, self.depth, list(zip(attrs[::2], attrs[1::2])), None))
         self.seq += 1
         self.depth += 1
@@ -120,36 +113,38 @@ class _Tokens:
 
     def end(self, qname):
         self.depth -= 1
+        local, kept, elements = self.known[qname]
         if self.opened:
+            self.opened = False
             at = self.parser.CurrentByteIndex
             if self.data[at - 2 : at] == b"/>":
-                local = self.about(qname)[0]
-                if self.keep is None or local in self.keep:
+                if kept:
                     row = self.rows.pop()
                     self.rows.append((row[0], "Empty", *row[2:]))
-                if self.folds:
-                    self.tell("Empty", *self.waiting)
+                if elements:
+                    attrs = self.waiting[2]
                     self.waiting = None
-                self.opened = False
+                    for element in elements:
+                        element("Empty", local, attrs)
                 return
-        self.add("End", qname, [], None)
-        if self.folds:
             if self.waiting is not None:
                 self.told()
-            self.tell("End", qname)
-        self.opened = False
+        if kept:
+            self.rows.append((self.seq, "End", qname, local, self.depth, [], None))
+        self.seq += 1
+        for element in elements:
+            element("End", local, ())
 
     def text(self, data):
         self.opened = False
         if not self.in_cdata:
             if self.waiting is not None:
                 self.told()
-            for fold in self.folds:
-                fold.text(data)
+            for read in self.readers:
+                read(data)
             if self.with_text:
-                self.add("Text", None, [], data)
-            else:
-                self.seq += 1
+                self.rows.append((self.seq, "Text", None, None, self.depth, [], data))
+            self.seq += 1
 
     def done(self):
         self.told()
@@ -223,15 +218,20 @@ def shred_xml(
     names: list[str] | None = None,
     with_text: bool = True,
     folds: tuple[str, ...] = (),
+    only_at: dict[str, str] | None = None,
 ) -> DataFrame:
     """`(package, path, content[, read_error])` to tokens Start/Empty/End/Text, or one Error row.
 
     `names` keeps element tokens with these local names only: the projection a query needs,
-    applied while tokenising. `folds` add the rows of these `operators.folds`. Empty elements are told from start tags. CDATA, comments and
+    applied while tokenising. `folds` add the rows of these `operators.folds`; those in `only_at` of the part
+    with that path alone. Empty elements are told from start tags. CDATA, comments and
     processing instructions give no row. A part that ends before its root does, or has none, keeps
     the tokens up to there. A null `content` gives an Unread row with its `read_error`, or none.
     """
     keep = frozenset(names) if names is not None else None
+    only_at = only_at or {}
+    common = tuple(fold for fold in folds if fold not in only_at)
+    special = {path: tuple(fold for fold in folds if only_at.get(fold, path) == path) for path in only_at.values()}
 
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -246,7 +246,7 @@ def shred_xml(
                     continue
                 # What a part gives is kept back, as Arrow batches, until the part is known to be sound.
                 start, parked = len(held), []
-                for tokens in _tokenise(content, keep, with_text, folds):
+                for tokens in _tokenise(content, keep, with_text, special.get(key[1], common)):
                     if isinstance(tokens, str):
                         del held[start:]
                         parked = []

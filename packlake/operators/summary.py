@@ -22,6 +22,8 @@ MAIN_PARTS = {"ppt": S.PRESENTATION, "word": D.DOCUMENT, "excel": X.WORKBOOK}
 
 SUMMARY_NAMES = ["sldId", "sheet", "dimension"]
 SUMMARY_FOLDS = ("titles", "whole", "paragraphs", "headings", "strings", "cells")
+# Read of one part alone; slides, notes and sheets may have any path.
+FOLDS_AT = {"paragraphs": D.DOCUMENT, "headings": D.DOCUMENT, "strings": X.SHARED_STRINGS}
 
 
 def detect_format(parts: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def summary_tokens(contents: DataFrame) -> DataFrame:
     by several operators: write or persist them before `document_summaries`.
     """
     return shred_xml(
-        contents.filter(~F.col("is_dir")), names=SUMMARY_NAMES, with_text=False, folds=SUMMARY_FOLDS
+        contents.filter(~F.col("is_dir")), names=SUMMARY_NAMES, with_text=False, folds=SUMMARY_FOLDS, only_at=FOLDS_AT
     )
 
 

@@ -320,3 +320,11 @@ def test_a_malformed_part_gives_nothing_else(spark):
     broken = "<r>" + "<e>x</e>" * 15_000 + "</wrong>"
     parts = xml_parts(spark, ("p", "/a", "<a/>"), ("p", "/b", broken), ("p", "/c", "<c/>")).coalesce(1)
     assert rows(X.shred_xml(parts), "path", "event") == [("/a", "Empty"), ("/b", "Error"), ("/c", "Empty")]
+
+
+def test_summary_folds_of_one_part_run_there_alone(spark):
+    body = "<a><p><pStyle w:val='Heading1'/><r><t>x</t></r></p><si><t>y</t></si></a>"
+    paths = ("/word/document.xml", "/xl/sharedStrings.xml", "/z.xml")
+    parts = xml_parts(spark, *[("p", path, body) for path in paths]).withColumn("is_dir", F.lit(False))
+    found = rows(summary.summary_tokens(parts).filter("local is null and event <> 'Whole'"), "path", "event", "text")
+    assert found == [("/word/document.xml", "Counts", None), ("/word/document.xml", "Heading", "x"), ("/xl/sharedStrings.xml", "String", "y")]
