@@ -25,13 +25,14 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """A small table over all cores, for adapters that make packages of the rows of one file.
 
-    Tables of as many files as there are cores stay as they are.
+    Tables of as many files as there are cores stay as they are. With `keys`, columns that tell rows apart,
+    rows are dealt by their hash; dealing them in turns costs a sort of all of them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
 
 
 def escaped(sql: str) -> str:
@@ -159,7 +160,7 @@ def graph_parts(t: Tables) -> DataFrame:
         .unionByName(rows(t.customer, "customer", "c_custkey", "c_name"))
         .unionByName(rows(t.supplier, "supplier", "s_suppkey", "s_name"))
         .unionByName(rows(t.part, "part", "p_partkey", "p_name"))
-        .unionByName(rows(spread(t.orders), "orders", "o_orderkey", "o_orderpriority"))
+        .unionByName(rows(spread(t.orders, "o_orderkey", "o_orderpriority"), "orders", "o_orderkey", "o_orderpriority"))
     )
 
 
@@ -187,11 +188,11 @@ def graph_relationships(t: Tables) -> DataFrame:
             rows(t.supplier, "concat('/supplier/', s_suppkey)", "'r1'", "1", "nation", "concat('.././nation//', s_nationkey)")
         )
         .unionByName(
-            rows(spread(t.orders), "concat('/orders/', o_orderkey)", "'r1'", "1", "customer", "concat('../customer/', o_custkey)", "o_orderkey % 7 = 0")
+            rows(spread(t.orders, "o_orderkey", "o_custkey"), "concat('/orders/', o_orderkey)", "'r1'", "1", "customer", "concat('../customer/', o_custkey)", "o_orderkey % 7 = 0")
         )
         .unionByName(
             rows(
-                spread(t.lineitem),
+                spread(t.lineitem, "l_orderkey", "l_linenumber"),
                 "concat('/orders/', l_orderkey)",
                 "concat('p', l_linenumber)",
                 "l_partkey * 10 + l_linenumber",

@@ -4,8 +4,10 @@ import random
 
 from helpers import rows
 
+from packlake.operators import graph as graph_module
 from packlake.operators.graph import orphan_parts, package_roots, reachable_parts
 from packlake.operators.tree import directory_totals
+from packlake.plans.adapters import Tables, graph_relationships
 
 PARTS = "package string, path string, kind string"
 RELS = "package string, source string, resolved_target string, target_mode string"
@@ -100,3 +102,26 @@ def test_many_parts_in_one_directory_are_summed_before_the_exchange(spark):
     parts = spark.range(20000).selectExpr("'p' package", "concat('/d/e/', id) path", "'Xml' kind", "id size", "1L compressed_size")
     found = {r[1]: r for r in rows(directory_totals(parts))}
     assert found["/d/e"][2:5] == (20000, 20000, 19999 * 10000) and found["/"][2] == 1
+
+
+def test_a_large_frontier_takes_its_links_along(spark, monkeypatch):
+    kept = {}
+
+    class Recording(graph_module.Scratch):
+        def staged(self, df, purpose):
+            table = super().staged(df, purpose)
+            kept.setdefault(purpose, []).append(table.count())
+            return table
+
+    monkeypatch.setattr(graph_module, "Scratch", Recording)
+    links = [(f"/s{k}", f"/t{k % 5}") for k in range(90)] + [(f"/t{k}", "/end") for k in range(5)]
+    parts, rels = graph(spark, links)
+    starts = parts.filter("path like '/s%'").select("package", "path")
+    found = dict(rows(reachable_parts(parts, rels, starts), "path", "hops"))
+    assert (found["/s7"], found["/t2"], found["/end"], len(found)) == (0, 1, 2, 96)
+    assert kept["links"][:2] == [95, 5]  # those of the starts are done with
+
+
+def test_rows_are_dealt_without_a_sort(spark):
+    plan = graph_relationships(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in plan
