@@ -13,8 +13,9 @@ from packlake.operators.shred import found_rows, shred_xml
 _FIRST_ARGUMENT = r'\A\s*\S+\s+(?:"((?:[^"\\]|\\.)*)"|(\S+))'
 
 
-def link_tokens(contents: DataFrame) -> DataFrame:
-    return shred_xml(contents, names=[], with_text=False, folds=("links",))
+def link_tokens(contents: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Links, and the elements with names in `more`, of all parts given."""
+    return shred_xml(contents, names=list(more), with_text=False, folds=("links",))
 
 
 def document_links(events: DataFrame, rels: DataFrame, limits: Limits = DEFAULT) -> DataFrame:

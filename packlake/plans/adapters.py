@@ -6,11 +6,12 @@ grows with the table and no key can pile up in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packlake.functions import paths as P
 from packlake.operators import index as I
+from packlake.session import staged
 
 
 class Tables:
@@ -711,18 +712,34 @@ def file_parts(files: DataFrame, *endings: str) -> DataFrame:
         F.col("file.name").alias("archive_name"),
         F.col("file.content").cast("binary").alias("content"),
     )
-    if endings:
-        keep = F.lit(False)
-        for ending in endings:
-            keep = keep | F.col("path").endswith(ending)
-        parts = parts.filter(keep)
-    return parts
+    return parts.filter(_ends_so(endings)) if endings else parts
 
 
-def file_relationships(files: DataFrame, *endings: str) -> DataFrame:
-    parts = file_parts(files, *(endings or (".rels",)))
-    rels_parts = I.relationship_parts(parts.drop("content"))
-    return I.parse_relationships(I.relationship_tokens(parts), rels_parts)
+def file_names(files: DataFrame, *endings: str) -> DataFrame:
+    """`file_parts` without contents, which are not made for it either."""
+    names = files.select("package", F.col("files.name").alias("names")).select(
+        "package", F.posexplode("names").alias("ord", "archive_name")
+    )
+    parts = names.select("package", "ord", F.concat(F.lit("/"), F.col("archive_name")).alias("path"), "archive_name")
+    return parts.filter(_ends_so(endings)) if endings else parts
+
+
+def _ends_so(endings: tuple[str, ...]) -> Column:
+    keep = F.lit(False)
+    for ending in endings:
+        keep = keep | F.col("path").endswith(ending)
+    return keep
+
+
+def file_relationships(files: DataFrame, *endings: str, events: DataFrame | None = None) -> DataFrame:
+    """Relationships of the files; of `events`, if there are written tokens with their `Relationship` elements."""
+    endings = endings or (".rels",)
+    if events is None:
+        # Read three times: rows, malformed parts, incomplete parts.
+        events = staged(I.relationship_tokens(file_parts(files, *endings)), "rels-tokens")
+    else:
+        events = events.filter(_ends_so(endings))
+    return I.parse_relationships(events, I.relationship_parts(file_names(files, *endings)))
 
 
 # Orders as one workbook ---------------------------------------------------------------------

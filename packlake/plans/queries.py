@@ -745,7 +745,10 @@ def slide_chain(t: Tables) -> DataFrame:
 @query
 def document_links(t: Tables) -> DataFrame:
     files = A.linked_files(t)
-    return links.document_links(links.link_tokens(A.file_parts(files, "document.xml")), A.file_relationships(files))
+    # One pass over the parts: links, and relationships.
+    events = staged(links.link_tokens(A.file_parts(files, "document.xml", ".rels"), more=("Relationship",)), "tokens")
+    found = events.filter(F.col("path").endswith("document.xml"))
+    return links.document_links(found, A.file_relationships(files, events=events))
 
 
 @query

@@ -11,6 +11,8 @@ from packlake.operators import formulas, inheritance, links, ranges
 from packlake.operators import index as I
 from packlake.operators import presentation as S
 from packlake.operators import workbook as W
+from packlake.plans import adapters as A
+from packlake.plans.queries import QUERIES
 
 
 @pytest.mark.parametrize(
@@ -286,3 +288,11 @@ def test_placed_follows_rectangle(spark):
     # The pattern is not evaluated once more for a pushed filter.
     plan = placed(df, "ref").filter("top = bottom")._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" not in plan.split("Generate")[1]
+
+
+def test_links_and_relationships_are_read_in_one_pass(spark):
+    folder = "/root/testdata/sf0.001"
+    found = QUERIES["document_links"](spark, folder)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    files = A.linked_files(A.Tables(spark, folder))
+    assert rows(A.file_names(files, ".rels")) == rows(A.file_parts(files, ".rels").drop("content").select("package", "ord", "path", "archive_name"))
