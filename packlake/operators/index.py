@@ -23,6 +23,7 @@ TRAVERSAL_MESSAGE = "traversal-like archive name was normalized"
 SOURCE_MESSAGE = "could not determine relationship source"
 CONTENT_TYPES = "[content_types].xml"
 
+METADATA_NAMES = ["Default", "Override", "Relationship"]
 META = ["package", "ord", "archive_name", "is_dir", "size", "compressed_size", "copy"]
 
 
@@ -460,13 +461,16 @@ def build_index(
     metadata = _within_metadata_limit(part_contents(named_so, limits), limits)
     type_contents = metadata.filter(_is_content_types())
     rels_contents = metadata.filter(_is_relationships()).withColumn("source", _described_part())
+    # One pass over the bytes of both.
+    described = metadata.filter(_is_content_types() | _is_relationships())
+    events = stage(shred_xml(described, names=METADATA_NAMES, with_text=False), "metadata-tokens")
     type_events = stage(
-        type_tokens(type_contents).join(
+        events.filter(_is_content_types()).join(
             last_readable(type_contents), ["package", "path"], "left_semi"
         ),
         "type-tokens",
     )
-    rels_events = stage(relationship_tokens(rels_contents), "rels-tokens")
+    rels_events = events.filter(~_is_content_types())
 
     defaults, overrides = parse_content_types(type_events)
     parts = refine_kind(resolve_content_type(untyped, defaults, overrides))

@@ -7,6 +7,7 @@ from helpers import one, packages, rels_xml, rows, zip_bytes
 from packlake.limits import Limits
 from packlake.operators import index as I
 from packlake.operators import details, summary
+from packlake.operators.shred import shred_xml
 from packlake.session import staged
 from packlake.sources.packages import (
     bounded_read,
@@ -238,3 +239,13 @@ def test_packages_over_the_size_limit_are_reported(spark, tmp_path):
     found = explode_packages(scan_packages(spark, str(tmp_path), max_bytes=1000))
     assert sorted((r["package"].rsplit("/", 1)[1], r["ord"]) for r in found.collect()) == [("large.docx", -1), ("small.docx", 0)]
     assert [r["message"] for r in package_errors(found).collect()] == ["package is too large to open"]
+
+
+def test_metadata_parts_are_tokenised_in_one_pass(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(I, "shred_xml", lambda *args, **how: passes.append(how) or shred_xml(*args, **how))
+    types = b"<Types><Default Extension='xml' ContentType='t/x'/><Relationship Id='no'/></Types>"
+    blob = zip_bytes([("[Content_Types].xml", types), ("_rels/.rels", rels_xml(("a", "t", "x.xml"))), ("x.xml", b"<x/>")])
+    index = I.build_index(staged(explode_packages(packages(spark, ("p", blob))), "entries"))
+    assert rows(index["relationships"], "id", "resolved_target") == [("a", "/x.xml")] and index["diagnostics"].count() == 0
+    assert rows(index["parts"].filter("path = '/x.xml'"), "content_type") == [("t/x",)] and len(passes) == 1
