@@ -7,8 +7,10 @@ is filters over single tokens. So tokens are not brought together again after th
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from xml.parsers import expat
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,6 +37,8 @@ _ARROW_EVENT = pa.schema(
     ]
 )
 _FLUSH_ROWS = 20_000
+#: Parts up to this size that a task has met are remembered, this many of them: packages share most metadata parts.
+SMALL_BYTES, SMALL_ENTRIES = 2048, 1024
 _BOMS = {b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}
 
 
@@ -234,34 +238,45 @@ def shred_xml(
     special = {path: tuple(fold for fold in folds if only_at.get(fold, path) == path) for path in only_at.values()}
 
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        @lru_cache(SMALL_ENTRIES)
+        def small(content: bytes, chosen: tuple[str, ...]) -> list[list[tuple] | str]:
+            return list(_tokenise(content, keep, with_text, chosen))
+
+        held = _Held()
         for batch in batches:
-            for row in range(batch.num_rows):
+            packages, paths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for row, key in enumerate(zip(packages, paths, strict=True)):
                 content = batch.column(2)[row].as_py()
-                key = (batch.column(0)[row].as_py(), batch.column(1)[row].as_py())
                 if content is None:
                     problem = batch.column(3)[row].as_py()
                     if problem is not None:
-                        held.append(key + (0, "Unread", None, None, 0, [], problem))
+                        held.add(key, [(0, "Unread", None, None, 0, [], problem)])
                     continue
                 # What a part gives is kept back, as Arrow batches, until the part is known to be sound.
-                start, parked = len(held), []
-                for tokens in _tokenise(content, keep, with_text, special.get(key[1], common)):
+                mark, parked = held.mark(), []
+                chosen = special.get(key[1], common)
+                if len(content) <= SMALL_BYTES:
+                    found = small(content, chosen)
+                else:
+                    found = _tokenise(content, keep, with_text, chosen)
+                for tokens in found:
                     if isinstance(tokens, str):
-                        del held[start:]
+                        held.cut(mark)
                         parked = []
-                        held.append(key + (0, "Error", None, None, 0, [], tokens))
+                        held.add(key, [(0, "Error", None, None, 0, [], tokens)])
                         continue
-                    held.extend(key + token for token in tokens)
-                    if len(held) >= _FLUSH_ROWS:
-                        if start:
-                            yield _event_batch(held[:start])
-                        if len(held) > start:
-                            parked.append(_event_batch(held[start:]))
-                        held, start = [], 0
+                    held.add(key, tokens)
+                    if len(held.rows) >= _FLUSH_ROWS:
+                        before, own = held.split(mark)
+                        if before.rows:
+                            yield before.batch()
+                        if own.rows:
+                            parked.append(own.batch())
+                        held = _Held()
+                        mark = held.mark()
                 yield from parked
-        if held:
-            yield _event_batch(held)
+        if held.rows:
+            yield held.batch()
 
     known = "read_error" in parts.columns
     read_error = F.col("read_error") if known else F.lit(None).cast("string").alias("read_error")
@@ -269,9 +284,35 @@ def shred_xml(
     return parts.select("package", "path", content, read_error).mapInArrow(shred, EVENT_SCHEMA)
 
 
-def _event_batch(rows: list[tuple]) -> pa.RecordBatch:
-    arrays = [pa.array(values, field.type) for values, field in zip(zip(*rows), _ARROW_EVENT)]
-    return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_EVENT)
+class _Held:
+    """Tokens that have not left the task yet, and the parts they are of, with their numbers of tokens."""
+
+    def __init__(self, parts: list[tuple[tuple[str, str], int]] = (), rows: list[tuple] = ()):
+        self.parts, self.rows = list(parts), list(rows)
+
+    def add(self, key: tuple[str, str], tokens: list[tuple]) -> None:
+        if tokens:
+            self.parts.append((key, len(tokens)))
+            self.rows.extend(tokens)
+
+    def mark(self) -> tuple[int, int]:
+        return len(self.parts), len(self.rows)
+
+    def cut(self, mark: tuple[int, int]) -> None:
+        del self.parts[mark[0] :]
+        del self.rows[mark[1] :]
+
+    def split(self, mark: tuple[int, int]) -> tuple[_Held, _Held]:
+        parts, rows = mark
+        return _Held(self.parts[:parts], self.rows[:rows]), _Held(self.parts[parts:], self.rows[rows:])
+
+    def batch(self) -> pa.RecordBatch:
+        keys, counts = zip(*self.parts)
+        at = pa.array(np.repeat(np.arange(len(keys)), counts))
+        arrays = [pa.array(values, pa.string()).take(at) for values in zip(*keys)]
+        fields = list(_ARROW_EVENT)[len(arrays) :]
+        arrays += [pa.array(values, field.type) for values, field in zip(zip(*self.rows), fields, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_EVENT)
 
 
 def found_rows(events: DataFrame, event: str) -> DataFrame:

@@ -12,7 +12,8 @@ import struct
 import zipfile
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from packlake.functions.paths import normalize_path
 from packlake.limits import DEFAULT, Limits, bound
 from packlake.operators.folds import ascii_lower, attribute
-from packlake.operators.shred import tokens_of
+from packlake.operators.shred import SMALL_BYTES, SMALL_ENTRIES, tokens_of
 from packlake.session import staged
 from packlake.sources import compound
 
@@ -32,6 +33,8 @@ BROADCAST_PACKAGES, BROADCAST_REQUESTS = 500_000, 5_000_000
 MAX_FILE_BYTES = 2**31 - 1 - 1024
 NO_MARKUP = "malformed XML: no element found"
 TOO_LARGE = "package is too large to open"
+# Deflated size up to which an entry is inflated before its first byte is looked at.
+SMALL_ENTRY_BYTES = 1 << 15
 IMAGE_ENDINGS = ("png", "jpg", "jpeg", "gif", "bmp", "webp")
 MARKUP_STARTS = {bytes([b]) for b in b"<\xef\xff\xfe \t\n\r"}
 
@@ -188,6 +191,15 @@ def _starts_like_markup(blob: bytes, info: zipfile.ZipInfo) -> bool:
         return True  # the full read says what is wrong
 
 
+def _markup_read(blob: bytes, info: zipfile.ZipInfo, limit: int) -> tuple[bytes | None, str | None]:
+    """`bounded_read` of an entry that can be XML by its first byte. Small entries are inflated once for both."""
+    if info.compress_size <= SMALL_ENTRY_BYTES:
+        content, problem = bounded_read(blob, info, limit)
+        if problem is None:
+            return (content, None) if not content or content[:1] in MARKUP_STARTS else (None, NO_MARKUP)
+    return bounded_read(blob, info, limit) if _starts_like_markup(blob, info) else (None, NO_MARKUP)
+
+
 def _is_metadata(name: str) -> bool:
     lowered = name.lower()
     return lowered.endswith(".rels") or "[content_types].xml" in lowered
@@ -318,10 +330,7 @@ def explode_packages(
                         if ord_ in wanted:
                             content, read_error = bounded_read(blob, info, cap)
                     elif with_content and not is_dir:
-                        if only_markup and not _starts_like_markup(blob, info):
-                            read_error = NO_MARKUP
-                        else:
-                            content, read_error = bounded_read(blob, info, cap)
+                        content, read_error = (_markup_read if only_markup else bounded_read)(blob, info, cap)
                     elif not with_content and _is_metadata(name):
                         content, read_error = bounded_read(blob, info, metadata_cap)
                     held += len(content or b"")
@@ -506,28 +515,53 @@ def read_part(
     return found.select("package", path, "content", "read_error").unionByName(missing)
 
 
+def _deflated(content: str | bytes) -> tuple[int, int, bytes]:
+    """Checksum, size and deflated bytes."""
+    data = content.encode() if isinstance(content, str) else content
+    deflater = zlib.compressobj(1, zlib.DEFLATED, -15)
+    return zlib.crc32(data), len(data), deflater.compress(data) + deflater.flush()
+
+
+def _zip_of(names: list[str], contents: list[str | bytes], small: Callable) -> bytes:
+    """A package of these entries; `small` is `_deflated` that remembers, for entries that many packages share.
+
+    A fixed date keeps the bytes the same on every run.
+    """
+    out, directory, at = [], [], 0
+    for name, content in zip(names, contents, strict=True):
+        crc, size, data = (small if len(content) <= SMALL_BYTES else _deflated)(content)
+        raw = name.encode()
+        # What the local header and the directory share: version 2.0, name in UTF-8 if need be, deflated, 1980-01-01.
+        shared = struct.pack(
+            "<HHHHHIIIHH", 20, 0 if name.isascii() else 0x800, 8, 0, 33, crc, len(data), size, len(raw), 0
+        )
+        out += (b"PK\x03\x04", shared, raw, data)
+        directory += (b"PK\x01\x02\x14\x03", shared, struct.pack("<HHHII", 0, 0, 0, 0o600 << 16, at), raw)
+        at += 30 + len(raw) + len(data)
+    tail = b"".join(directory)
+    end = struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, len(names), len(names), len(tail), at, 0)
+    return b"".join((*out, tail, end))
+
+
 def pack_zip(files: DataFrame) -> DataFrame:
     """Rows `(package, files ARRAY<STRUCT<name, content>>)` to package blobs.
 
-    Used to make packages out of tables; each row is packed where it is.
+    Used to make packages out of tables; each row is packed where it is. Entries that packages have in common
+    are deflated once in a task. A package has less than 65,536 entries and, as a row, less than 2 GiB.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = lru_cache(SMALL_ENTRIES)(_deflated)
         for batch in batches:
-            packages, blobs = [], []
-            for row in batch.to_pylist():
-                buffer = io.BytesIO()
-                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as out:
-                    for entry in row["files"]:
-                        # A fixed date keeps the bytes the same on every run.
-                        info = zipfile.ZipInfo(entry["name"], (1980, 1, 1, 0, 0, 0))
-                        info.compress_type = zipfile.ZIP_DEFLATED
-                        out.writestr(info, entry["content"])
-                packages.append(row["package"])
-                blobs.append(buffer.getvalue())
+            lists = batch.column(1)
+            entries = lists.flatten()
+            names, contents = (entries.field(name).to_pylist() for name in ("name", "content"))
+            blobs, at = [], 0
+            for n in lists.value_lengths().to_pylist():
+                blobs.append(_zip_of(names[at : at + (n or 0)], contents[at : at + (n or 0)], small))
+                at += n or 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(packages, pa.string()), pa.array(blobs, pa.binary())],
-                names=["package", "content"],
+                [batch.column(0), pa.array(blobs, pa.binary())], names=["package", "content"]
             )
 
     return files.select("package", "files").mapInArrow(pack, "package string, content binary")

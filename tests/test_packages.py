@@ -1,7 +1,10 @@
+import io
+import os
 import random
 import warnings
 import zipfile
 
+import pyarrow as pa
 from helpers import one, packages, rels_xml, rows, zip_bytes
 
 from packlake.limits import Limits
@@ -249,3 +252,59 @@ def test_metadata_parts_are_tokenised_in_one_pass(spark, monkeypatch):
     index = I.build_index(staged(explode_packages(packages(spark, ("p", blob))), "entries"))
     assert rows(index["relationships"], "id", "resolved_target") == [("a", "/x.xml")] and index["diagnostics"].count() == 0
     assert rows(index["parts"].filter("path = '/x.xml'"), "content_type") == [("t/x",)] and len(passes) == 1
+
+
+def test_what_packages_share_is_deflated_and_parsed_once(spark, monkeypatch):
+    from packlake.operators import shred
+    from packlake.sources import packages as P
+
+    class Here:
+        """A table whose task function is called in this process."""
+
+        columns = ("package", "path", "content")
+
+        def __init__(self, batch):
+            self.batch = batch
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, task, schema):
+            return [row for batch in task(iter([self.batch])) for row in batch.to_pylist()]
+
+    def counted(module, name):
+        calls, plain = [], getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *given: calls.append(given) or plain(*given))
+        return calls
+
+    deflated, parsers = counted(P, "_deflated"), counted(shred, "_new_parser")
+    own = ["<a>%d</a>" % n for n in range(5)] + ["<a>" + "é" * 3000 + "</a>"] * 2
+    files = [[{"name": "same.xml", "content": "<s><t/></s>"}, {"name": "ü.xml", "content": text}] for text in own] + [[]]
+    table = pa.table({"package": [str(n) for n in range(8)], "files": files})
+    packed = P.pack_zip(Here(table.to_batches()[0]))
+    assert len(deflated) == 1 + 5 + 2
+    for row, given in zip(packed, files, strict=True):
+        with zipfile.ZipFile(io.BytesIO(row["content"])) as found:
+            assert found.testzip() is None
+            assert [(i.filename, found.read(i).decode()) for i in found.infolist()] == [(f["name"], f["content"]) for f in given]
+
+    bad = "<s><t></s>"
+    contents = [b"<s><t/></s>", bad.encode(), b"<u/>"] * 3
+    table = pa.table({"package": [str(n) for n in range(9)], "path": ["/x"] * 9, "content": contents})
+    events = shred.shred_xml(Here(table.to_batches()[0]))
+    assert len(parsers) == 3
+    assert [(e["package"], e["event"], e["local"]) for e in events[:5]] == [
+        ("0", "Start", "s"), ("0", "Empty", "t"), ("0", "End", "s"), ("1", "Error", None), ("2", "Empty", "u"),
+    ]
+    assert [{**e, "package": ""} for e in events[:5]] * 3 == [{**e, "package": ""} for e in events]
+
+
+def test_entries_without_markup_stay_unread(spark):
+    """Small entries are inflated before their first byte is looked at, large ones after it."""
+    contents = [b"<a/>", b"", b"PNG", b" <a/>" + bytes(200_000), os.urandom(200_000)]
+    blob = zip_bytes([(f"{n}.xml", content) for n, content in enumerate(contents)])
+    found = explode_packages(packages(spark, ("p", blob)), with_content=True, only_markup=True).orderBy("ord").collect()
+    no = "malformed XML: no element found"
+    assert [r["read_error"] for r in found[:4]] == [None, None, no, None]
+    assert [r["content"] for r in found[:4]] == [contents[0], b"", None, contents[3]]
+    assert contents[4][:1] in (b"<", b"\xef", b"\xff", b"\xfe", b" ", b"\t", b"\n", b"\r") or found[4]["read_error"] == no
