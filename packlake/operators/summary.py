@@ -60,15 +60,16 @@ def summary_failures(needed: DataFrame, parts: DataFrame, events: DataFrame) ->
     )
 
 
-def summary_tokens(contents: DataFrame) -> DataFrame:
+def summary_tokens(contents: DataFrame, reports: bool = True) -> DataFrame:
     """The tokens summaries need, of all parts given, in one pass and without moving bytes.
 
     `contents` are `part_contents`, best of entries read with `only_markup`. The tokens are read
-    by several operators: write or persist them before `document_summaries`.
+    by several operators: write or persist them before `document_summaries`. Without `reports` they are
+    what the diagnostics need, which read no texts or cells.
     """
-    return shred_xml(
-        contents.filter(~F.col("is_dir")), names=SUMMARY_NAMES, with_text=False, folds=SUMMARY_FOLDS, only_at=FOLDS_AT
-    )
+    found = contents.filter(~F.col("is_dir"))
+    folds, only_at = (SUMMARY_FOLDS, FOLDS_AT) if reports else ((), {})
+    return shred_xml(found, names=SUMMARY_NAMES, with_text=False, folds=folds, only_at=only_at)
 
 
 def bare_lines(main: DataFrame) -> DataFrame:

@@ -577,7 +577,7 @@ def ppt_slides(t: Tables) -> DataFrame:
     )
 
 
-def _summary_inputs(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _summary_inputs(files: DataFrame, reports: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Index tables and tokens of packages made from `files`, through the container.
 
     Two passes over the packages, so that no inflated part is ever written.
@@ -587,7 +587,7 @@ def _summary_inputs(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     parts = staged(index["parts"], "parts")
     rels = staged(index["relationships"], "relationships")
     opened = explode_packages(packages, with_content=True, only_markup=True)
-    tokens = staged(summary.summary_tokens(I.part_contents(opened)), "tokens")
+    tokens = staged(summary.summary_tokens(I.part_contents(opened), reports), "tokens")
     return parts, rels, tokens
 
 
@@ -602,7 +602,7 @@ def ppt_summary(t: Tables) -> DataFrame:
 
 @query
 def summary_diagnostics(t: Tables) -> DataFrame:
-    failed = summary.document_summaries(*_summary_inputs(A.deck_files(t)))[1]
+    failed = summary.document_summaries(*_summary_inputs(A.deck_files(t), reports=False))[1]
     named = F.regexp_extract("message", r"^(.*?: /[^:]*: malformed XML)", 1)
     return failed.select("package", "severity", "stage", "part", named.alias("message"))
 

@@ -328,3 +328,26 @@ def test_summary_folds_of_one_part_run_there_alone(spark):
     parts = xml_parts(spark, *[("p", path, body) for path in paths]).withColumn("is_dir", F.lit(False))
     found = rows(summary.summary_tokens(parts).filter("local is null and event <> 'Whole'"), "path", "event", "text")
     assert found == [("/word/document.xml", "Counts", None), ("/word/document.xml", "Heading", "x"), ("/xl/sharedStrings.xml", "String", "y")]
+
+
+def test_diagnostics_need_no_texts(spark):
+    """The same failures from tokens without the rows that only reports read."""
+    slide = '<p:sld xmlns:p="p"><p:sp><p:nvPr><p:ph type="title"/></p:nvPr><t>text</t></p:sp></p:sld>'
+    bodies = {"good": slide, "bad": slide.replace("</p:sld>", "</p:lost>"), "lost": None}
+    blobs = []
+    for name, body in bodies.items():
+        files = [
+            ("ppt/presentation.xml", b'<p xmlns:r="r"><sldIdLst><sldId r:id="a"/></sldIdLst></p>'),
+            ("ppt/_rels/presentation.xml.rels", rels_xml(("a", "slide", "s.xml"))),
+        ]
+        blobs.append((name, zip_bytes(files + ([("ppt/s.xml", body.encode())] if body else []))))
+    given = staged(packages(spark, *blobs), "packages")
+    index = I.build_index(staged(explode_packages(given), "entries"))
+    contents = I.part_contents(explode_packages(given, with_content=True, only_markup=True))
+    found = []
+    for reports in (True, False):
+        tokens = staged(summary.summary_tokens(contents, reports), "tokens")
+        failed = summary.document_summaries(index["parts"], index["relationships"], tokens)[1]
+        found.append(rows(failed.orderBy("package"), "package", "message"))
+    assert found[0] == found[1] and {package for package, _ in found[0]} >= {"bad"}
+    assert tokens.filter("event NOT IN ('Start', 'Empty', 'End', 'Error')").count() == 0
