@@ -20,8 +20,8 @@ from packlake.session import staged
 MAIN_PARTS = {"ppt": S.PRESENTATION, "word": D.DOCUMENT, "excel": X.WORKBOOK}
 
 
-SUMMARY_NAMES = ["sldId", "sheet", "dimension"]
-SUMMARY_FOLDS = ("titles", "whole", "paragraphs", "headings", "strings", "cells")
+SUMMARY_NAMES = ["sldId", "sheet"]
+SUMMARY_FOLDS = ("titles", "whole", "paragraphs", "headings", "strings", "shown")
 # Read of one part alone; slides, notes and sheets may have any path.
 FOLDS_AT = {"paragraphs": D.DOCUMENT, "headings": D.DOCUMENT, "strings": X.SHARED_STRINGS}
 
@@ -92,7 +92,7 @@ def document_summaries(
     """`(report lines, diagnostics)` for all packages of a known format.
 
     `events` are the `summary_tokens` of the packages. One bad part fails the summary of its
-    package, never the job. `stage` keeps the lists of main parts, slides and sheets, the cells
+    package, never the job. `stage` keeps the lists of main parts, slides and sheets
     and the failures, which several branches read.
     """
     form = stage(main_parts(parts), "formats")
@@ -152,17 +152,14 @@ def document_summaries(
         )
     if "excel" in present:
         sheet_events = of_parts(worksheets)
-        cells = stage(X.worksheet_cells(sheet_events, limits), "cells")
-        # Only the cells that are shown need their strings.
-        shown = X.resolve_shared(
-            cells.filter(F.col("ord") <= X.SAMPLE_CELLS),
-            X.shared_strings(of_parts(strings), limits),
-        )
+        # The tokens have the cells that are shown alone; only those need their strings.
+        cells = X.worksheet_cells(sheet_events, limits)
+        shown = X.resolve_shared(cells, X.shared_strings(of_parts(strings), limits))
         reports.append(
             X.excel_summary(
                 kept(main, "excel"),
                 kept(sheets, "excel"),
-                X.sheet_stats(sheet_events, cells, limits),
+                X.sheet_stats(sheet_events, limits=limits),
                 X.cell_sample(shown),
                 limits,
             )

@@ -9,12 +9,12 @@ from packlake.functions.text import prefix
 from packlake.functions.xml import is_element, xml_attr
 from packlake.limits import DEFAULT, Limits, bound
 from packlake.operators.details import relationship_target_for_id
+from packlake.operators.folds import SAMPLE_CELLS
 from packlake.operators.report import line, numbered
 from packlake.operators.shred import found_rows, shred_xml
 
 WORKBOOK = "/xl/workbook.xml"
 SHARED_STRINGS = "/xl/sharedStrings.xml"
-SAMPLE_CELLS = 20
 
 
 def workbook_sheets(events: DataFrame, rels: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
@@ -98,8 +98,31 @@ def resolve_shared(cells: DataFrame, strings: DataFrame) -> DataFrame:
     )
 
 
-def sheet_stats(events: DataFrame, cells: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """Per worksheet: declared range (last one), cell count (up to the items limit, if any), formula count."""
+def sheet_tokens(contents: DataFrame) -> DataFrame:
+    """Facts of worksheets, without a row for each cell; for `sheet_stats` alone."""
+    return shred_xml(contents, names=[], with_text=False, folds=("sheet",))
+
+
+def shown_tokens(contents: DataFrame) -> DataFrame:
+    """The facts of worksheets and the cells that reports show; for `sheet_stats` alone and `cell_sample`."""
+    return shred_xml(contents, names=[], with_text=False, folds=("shown",))
+
+
+def sheet_stats(events: DataFrame, cells: DataFrame | None = None, limits: Limits = DEFAULT) -> DataFrame:
+    """Per worksheet: declared range (last one), cell count (up to the items limit, if any), formula count.
+
+    Of `cell_tokens` and their `worksheet_cells`, or of `sheet_tokens` alone: these have a row for each part,
+    so nothing is brought together.
+    """
+    if cells is None:
+        n_cells = xml_attr("attrs", "cells").cast("bigint")
+        return found_rows(events, "Sheet").select(
+            "package",
+            "path",
+            F.col("text").alias("range"),
+            F.least(n_cells, F.lit(bound(limits.summary_items))).cast("bigint").alias("n_cells"),
+            xml_attr("attrs", "formulas").cast("bigint").alias("formula_count"),
+        )
     ranges = (
         events.filter(is_element("dimension", "Start", "Empty"))
         .groupBy("package", "path")

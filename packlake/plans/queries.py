@@ -663,8 +663,7 @@ def resolve_shared(t: Tables) -> DataFrame:
 
 @query
 def sheet_stats(t: Tables) -> DataFrame:
-    events = _sheet_events(t)
-    return W.sheet_stats(events, W.worksheet_cells(events))
+    return W.sheet_stats(W.sheet_tokens(A.file_parts(A.workbook_files(t), "sheet1.xml", "sheet2.xml")))
 
 
 @query

@@ -351,3 +351,29 @@ def test_diagnostics_need_no_texts(spark):
         found.append(rows(failed.orderBy("package"), "package", "message"))
     assert found[0] == found[1] and {package for package, _ in found[0]} >= {"bad"}
     assert tokens.filter("event NOT IN ('Start', 'Empty', 'End', 'Error')").count() == 0
+
+
+def test_sheet_facts_without_a_row_for_each_cell(spark):
+    from packlake.operators.folds import SAMPLE_CELLS
+
+    many = "".join(f'<c r="A{n}"><v>{n}</v></c>' for n in range(1, 101))
+    sheets = {
+        "/many": f'<w><dimension ref="A1"/><dimension ref="A1:A100"></dimension>{many}<c r="B1"><f>A1</f></c><c r="B2"><f/><v>x</v></c></w>',
+        "/range": '<w><dimension ref="A1"/><dimension/></w>',
+        "/cells": '<w><c r="A1"/><c r="A2"><f></f></c><v>outside</v><c r="A3"><v>1</v><f>B<![CDATA[no]]>1</f></c></w>',
+        "/none": "<w><row/></w>",
+        "/bad": "<w><c/></v>",
+    }
+    parts = xml_parts(spark, *[("p", path, xml) for path, xml in sheets.items()])
+    events = W.cell_tokens(parts)
+    cells = W.worksheet_cells(events)
+    facts = W.sheet_tokens(parts)
+    for limits in (Limits(), SCREEN, Limits(summary_items=2)):
+        assert rows(W.sheet_stats(facts, limits=limits).orderBy("path")) == rows(W.sheet_stats(events, cells, limits).orderBy("path"))
+    assert rows(facts.orderBy("path"), "path", "event") == [
+        ("/bad", "Error"), ("/cells", "Sheet"), ("/many", "Sheet"), ("/range", "Sheet"),
+    ]
+    shown = W.shown_tokens(parts)
+    assert shown.filter("event = 'Cell' AND path = '/many'").count() == SAMPLE_CELLS
+    assert rows(W.cell_sample(W.worksheet_cells(shown)).orderBy("path", "ord")) == rows(W.cell_sample(cells).orderBy("path", "ord"))
+    assert rows(W.sheet_stats(shown).orderBy("path")) == rows(W.sheet_stats(facts).orderBy("path"))
