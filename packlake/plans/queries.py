@@ -668,7 +668,7 @@ def sheet_stats(t: Tables) -> DataFrame:
 
 @query
 def cell_sample(t: Tables) -> DataFrame:
-    cells = W.worksheet_cells(_sheet_events(t))
+    cells = W.worksheet_cells(W.shown_tokens(A.file_parts(A.workbook_files(t), "sheet1.xml", "sheet2.xml")))
     return W.cell_sample(W.resolve_shared(cells, _strings(t)))
 
 
