@@ -26,6 +26,7 @@ from packlake.sources.datasource import read_packages, write_packages
 from packlake.sources.packages import (
     explode_packages,
     pack_zip,
+    part_needles,
     read_part,
     scan_packages,
     search_packages,
@@ -369,10 +370,9 @@ def search_many_needles(t: Tables) -> DataFrame:
     """All words of the benchmark's items, in one pass over the packages."""
     words = t.benchmark.select(F.explode(F.split(F.concat_ws(" ", *_texts(t.benchmark)), " ")).alias("w")).filter("w <> ''")
     needles = [row[0] for row in words.distinct().orderBy("w").collect()]
-    hits = search_packages(_zips(A.word_files(t)), needles).filter(F.col("path") == "/word/document.xml")
-    return hits.groupBy("package", "path").agg(
-        F.count(F.lit(1)).alias("n_needles"), F.md5(F.concat_ws(" ", F.array_sort(F.collect_list("needle")))).alias("digest")
-    )
+    hits = part_needles(_zips(A.word_files(t)), needles).filter(F.col("path") == "/word/document.xml")
+    digest = F.md5(F.concat_ws(" ", F.array_sort("needles"))).alias("digest")
+    return hits.select("package", "path", F.size("needles").cast("bigint").alias("n_needles"), digest)
 
 
 def _texts(df: DataFrame) -> list[str]:

@@ -57,6 +57,7 @@ _ARROW_ENTRY = pa.schema(
 )
 _FLUSH_BYTES = 16 * 1024 * 1024
 _FLUSH_ROWS = 4096
+_FLUSH_HITS = 200_000
 _INT64 = 2**63 - 1
 
 
@@ -408,20 +409,35 @@ def _passes(needles: list[str], most: int) -> list[list[str]]:
 def search_packages(
     packages: DataFrame, needles: list[str], limits: Limits = DEFAULT, needle_bytes: int = NEEDLE_BYTES
 ) -> DataFrame:
-    """`(package, needle, path)`: the parts of packages that hold a needle, byte for byte.
+    """`(package, needle, path)`: the parts of packages that hold a needle, byte for byte; `part_needles` by rows."""
+    found = part_needles(packages, needles, limits, needle_bytes).select(
+        "package", F.explode("needles").alias("needle"), "path"
+    )
+    if limits.search_hits is None:
+        return found
+    w = Window.partitionBy("package", "needle").orderBy("path")
+    ranked = found.withColumn("_rank", F.row_number().over(w))
+    return ranked.filter(F.col("_rank") <= limits.search_hits).drop("_rank")
+
+
+def part_needles(
+    packages: DataFrame, needles: list[str], limits: Limits = DEFAULT, needle_bytes: int = NEEDLE_BYTES
+) -> DataFrame:
+    """`(package, path, needles)`: all needles that a part holds, byte for byte, of parts with any.
 
     Entries are inflated one at a time in the task that has the package, the first entry of a path
-    counts, and only hits leave the task. An entry that declares more than `limits.entry_bytes` is not
-    read; of one that turns out larger, the bytes up to that limit are searched. The needles are looked
-    for together, so a pass costs about the same for one and for ten thousand; those of more than
-    `needle_bytes` are dealt out to several passes. Empty needles find nothing, repeated ones count once.
+    counts, and only hits leave the task, a row for each part. An entry that declares more than
+    `limits.entry_bytes` is not read; of one that turns out larger, the bytes up to that limit are searched.
+    The needles are looked for together, so a pass costs about the same for one and for ten thousand; those of
+    more than `needle_bytes` are dealt out to several passes, whose hits are then brought together by part.
+    Empty needles find nothing, repeated ones count once.
     """
     usable = list(dict.fromkeys(n for n in needles if n))
     if too_long := [n for n in usable if len(n) > bound(limits.search_chars)]:
         raise ValueError(f"needle of {len(too_long[0])} characters; limit is {limits.search_chars}")
     cap = bound(limits.entry_bytes)
 
-    def hits(blob: bytes, wanted: Needles) -> Iterator[tuple[str, str]]:
+    def hits(blob: bytes, wanted: Needles) -> Iterator[tuple[str, list[str]]]:
         try:
             infos = zipfile.ZipFile(io.BytesIO(blob)).infolist()
         except Exception:  # the index reports it
@@ -437,34 +453,41 @@ def search_packages(
             seen.add(path)
             if name.endswith(("/", "\\")) or info.file_size > cap:
                 continue
-            for needle in wanted.inside(read_prefix(blob, info, cap) or b""):
-                yield needle, f"/{path}"
+            if met := wanted.inside(read_prefix(blob, info, cap) or b""):
+                yield f"/{path}", met
 
     def one_pass(chosen: list[str]) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = Needles(chosen)
+            found, held = [], 0
             for batch in batches:
-                found = []
                 for row in range(batch.num_rows):
                     package = batch.column(0)[row].as_py()
-                    found += [(package, *hit) for hit in hits(batch.column(1)[row].as_py() or b"", wanted)]
-                columns = list(zip(*found)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.string()) for c in columns], ["package", "needle", "path"]
-                )
+                    for path, met in hits(batch.column(1)[row].as_py() or b"", wanted):
+                        found.append((package, path, met))
+                        held += len(met)
+                        if held >= _FLUSH_HITS:
+                            yield _hit_batch(found)
+                            found, held = [], 0
+            if found:
+                yield _hit_batch(found)
 
         return packages.select("package", "content").mapInArrow(
-            search, "package string, needle string, path string"
+            search, "package string, path string, needles array<string>"
         )
 
     found, *more = map(one_pass, _passes(usable, needle_bytes))
+    if not more:
+        return found
     for other in more:
         found = found.unionByName(other)
-    if limits.search_hits is None:
-        return found
-    w = Window.partitionBy("package", "needle").orderBy("path")
-    ranked = found.withColumn("_rank", F.row_number().over(w))
-    return ranked.filter(F.col("_rank") <= limits.search_hits).drop("_rank")
+    return found.groupBy("package", "path").agg(F.flatten(F.collect_list("needles")).alias("needles"))
+
+
+def _hit_batch(found: list[tuple[str, str, list[str]]]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.list_(pa.string()))
+    arrays = [pa.array(values, kind) for values, kind in zip(zip(*found), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, ["package", "path", "needles"])
 
 
 def package_errors(entries: DataFrame) -> DataFrame:

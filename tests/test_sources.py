@@ -154,3 +154,16 @@ def test_widest_webp_of_a_package_is_shown(spark, tmp_path):
     part.write.parquet(str(tmp_path / "part.parquet"))
     found = rows(QUERIES["preview_packages"](spark, str(tmp_path)).filter("path in ('/i.png', '/w.webp')"), "package", "path", "preview_kind")
     assert found == [(f"m{k}", path, kind) for k, kind in ((2707, "Image"), (2708, "Error")) for path in ("/i.png", "/w.webp")]
+
+
+def test_a_row_for_each_part_with_its_needles(spark):
+    from packlake.sources.packages import part_needles
+
+    blob = zip_bytes([("a.xml", b"one two"), ("b.xml", b"two"), ("c.xml", b"one of"), ("b.xml", b"one")])
+    given = packages(spark, ("p", blob), ("q", zip_bytes([("a.xml", b"x")])), ("bad", b"no package"))
+    needles = ["two", "one", "", "two", "wo"]
+    for most in (1 << 20, 3):  # in one pass, in several
+        found = part_needles(given, needles, needle_bytes=most)
+        got = {(r["package"], r["path"]): sorted(r["needles"]) for r in found.collect()}
+        assert got == {("p", "/a.xml"): ["one", "two", "wo"], ("p", "/b.xml"): ["two", "wo"], ("p", "/c.xml"): ["one"]}
+        assert found.count() == 3 and search_packages(given, needles, needle_bytes=most).count() == 6
