@@ -9,6 +9,7 @@ any size can be opened, since it is never a row.
 from __future__ import annotations
 
 import fnmatch
+import io
 import re
 import zipfile
 from collections import Counter
@@ -50,6 +51,8 @@ from packlake.sources.packages import (
 #: Files and bytes of one task.
 TASK_FILES, TASK_BYTES = 1000, 256 << 20
 _FLUSH_BYTES, _FLUSH_ROWS = 16 << 20, 4096
+#: A file up to this size is one read; its directory alone may need as much.
+SMALL_FILE = 1 << 16
 #: Filters that the reader applies itself, on these columns.
 PUSHED = ("package", "archive_name", "size", "compressed_size", "ord")
 TESTS = {
@@ -67,7 +70,7 @@ TESTS = {
 
 @dataclass
 class Files(InputPartition):
-    files: list[tuple[str, str]]  # name of the package, path in the file system
+    files: list[tuple[str, str, int]]  # name of the package, path in the file system, size
 
 
 class PackageReader(DataSourceReader):
@@ -111,7 +114,7 @@ class PackageReader(DataSourceReader):
             if tasks[-1].files and (size + n > TASK_BYTES or len(tasks[-1].files) >= TASK_FILES):
                 tasks.append(Files([]))
                 size = 0
-            tasks[-1].files.append((name, path))
+            tasks[-1].files.append((name, path, n))
             size += n
         return tasks
 
@@ -119,8 +122,10 @@ class PackageReader(DataSourceReader):
         files = fs.FileSystem.from_uri(self.folder)[0] if ":/" in self.folder else fs.LocalFileSystem()
         rows: list[tuple] = []
         held = 0
-        for package, path in partition.files:
+        for package, path, size in partition.files:
             with files.open_input_file(path) as file:
+                if size <= SMALL_FILE:
+                    file = io.BytesIO(file.read())
                 for row in self.entries(package, Ranges(file)):
                     rows.append(row)
                     held += len(row[6] or b"")

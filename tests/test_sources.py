@@ -167,3 +167,18 @@ def test_a_row_for_each_part_with_its_needles(spark):
         got = {(r["package"], r["path"]): sorted(r["needles"]) for r in found.collect()}
         assert got == {("p", "/a.xml"): ["one", "two", "wo"], ("p", "/b.xml"): ["two", "wo"], ("p", "/c.xml"): ["one"]}
         assert found.count() == 3 and search_packages(given, needles, needle_bytes=most).count() == 6
+
+
+def test_small_files_are_one_read(tmp_path, monkeypatch):
+    from packlake.sources import datasource
+
+    (tmp_path / "a.docx").write_bytes(zip_bytes([("x.xml", b"<x/>"), ("y.xml", b"<y/>")]))
+    (tmp_path / "b.docx").write_bytes(large_package())
+    given = []
+    monkeypatch.setattr(datasource, "Ranges", lambda file: given.append(file) or Ranges(file))
+    reader = PackageReader({"path": str(tmp_path), "content": "all"})
+    rows_of = [row for part in reader.partitions() for batch in reader.read(part) for row in batch.to_pylist()]
+    assert [(r["package"], r["archive_name"]) for r in rows_of] == [
+        ("b.docx", "noise.bin"), ("b.docx", "word/document.xml"), ("b.docx", "more.bin"), ("a.docx", "x.xml"), ("a.docx", "y.xml"),
+    ]
+    assert [isinstance(file, io.BytesIO) for file in given] == [False, True]
