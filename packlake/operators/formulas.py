@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from packlake.operators.ranges import RECTANGLE, contained, placed, positioned
 from packlake.session import Scratch, staged
 
 #: Links of one package up to which its formulas are ordered in one task.
 LOCAL_LINKS = 500_000
+#: Different defined names up to which they are sent to all tasks.
+BROADCAST_NAMES = 100_000
 _FLUSH_ROWS = 20_000
 _STRING = r'"(?:[^"]|"")*"'
 _SHEET = r"(?:'((?:[^']|'')+)'|([\p{L}_][\p{L}0-9_.]*))!"
@@ -25,36 +31,48 @@ REFERENCE = rf"{_BEFORE}(?:{_SHEET})?({_AREA}){_AFTER}"
 NAME = rf"{_BEFORE}[\p{{L}}_][\p{{L}}0-9_.]*{_AFTER}"
 
 
-def _code(formula: Column | str) -> Column:
+def _code(formula: str) -> Column:
     """The formula without what its texts hold."""
-    return F.regexp_replace(formula, _STRING, '""')
+    return F.when(F.contains(formula, F.lit('"')), F.regexp_replace(formula, _STRING, '""')).otherwise(F.col(formula))
 
 
-def formula_references(cells: DataFrame, sheets: DataFrame, names: DataFrame | None = None) -> DataFrame:
+def formula_references(cells: DataFrame, sheets: DataFrame, names: DataFrame | None = None, distinct: bool = True) -> DataFrame:
     """`(package, path, ord, ref_path, …RECTANGLE)`: the ranges that formulas read, once for each formula.
 
     `cells` are `worksheet_cells`; `sheets` (`workbook_sheets`) tell the part of a sheet that a reference
     names, without one it is the formula's own. Texts in quotes, function names and other workbooks are no
     references; a sheet that does not exist has no part and gives no row. `names` are `defined_names`, whose
     letters count in either case, and of which those of the formula's sheet come before global ones.
+    Without `distinct` a formula may have a range more than once, and those of its own sheet are not shuffled.
     """
     code = cells.filter("formula is not null").select("package", "path", "ord", _code("formula").alias("code"))
     whole = rf"\A{REFERENCE}\z"
-    found = code.select("package", "path", "ord", F.explode(F.regexp_extract_all("code", F.lit(REFERENCE), 0)).alias("token"))
+    far = F.contains("token", F.lit("!"))
+
+    def tokens(code: DataFrame) -> DataFrame:
+        return code.select("package", "path", "ord", F.explode(F.regexp_extract_all("code", F.lit(REFERENCE), 0)).alias("token"))
+
+    # A reference names a sheet if there is a `!` in it; one without is an area as it stands.
+    near = placed(tokens(code).filter(~far), "token")
     sheet = F.concat(
         F.replace(F.regexp_extract("token", whole, 1), F.lit("''"), F.lit("'")), F.regexp_extract("token", whole, 2)
     )
-    found = found.select(
-        "package", "path", "ord", F.nullif(sheet, F.lit("")).alias("sheet"), F.regexp_extract("token", whole, 3).alias("area")
+    found = tokens(code.filter(F.contains("code", F.lit("!")))).filter(far).select(
+        "package", "path", "ord", sheet.alias("sheet"), F.regexp_extract("token", whole, 3).alias("area")
     )
     found = placed(found, "area").drop("area")
     parts = sheets.filter("path is not null").groupBy("package", F.lower("name").alias("sheet_key")).agg(F.min_by("path", "ord").alias("named_path"))
-    own = found.filter("sheet is null").select("package", "path", "ord", F.col("path").alias("ref_path"), *RECTANGLE)
-    other = found.filter("sheet is not null").withColumn("sheet_key", F.lower("sheet")).join(parts, ["package", "sheet_key"])
+    own = near.select("package", "path", "ord", F.col("path").alias("ref_path"), *RECTANGLE)
+    other = found.withColumn("sheet_key", F.lower("sheet")).join(parts, ["package", "sheet_key"])
     refs = own.unionByName(other.select("package", "path", "ord", F.col("named_path").alias("ref_path"), *RECTANGLE))
     if names is not None:
         words = code.select("package", "path", "ord", F.explode(F.regexp_extract_all("code", F.lit(NAME), 0)).alias("word"))
-        words = words.withColumn("word", F.lower("word")).distinct()
+        words = words.withColumn("word", F.lower("word"))
+        told = staged(names.select(F.lower("name").alias("word")).distinct(), "names")
+        # Most words are cells; where the names are few, none that no package defines is shuffled.
+        if told.count() <= BROADCAST_NAMES:
+            words = words.join(F.broadcast(told), "word", "left_semi")
+        words = words.distinct()
         places = sheets.select("package", "path", (F.col("ord") - 1).alias("place"))
         words = words.join(places, ["package", "path"], "left")
         known = names.withColumn("word", F.lower("name")).withColumn("sheet_key", F.lower("sheet")).join(parts, ["package", "sheet_key"])
@@ -64,7 +82,7 @@ def formula_references(cells: DataFrame, sheets: DataFrame, names: DataFrame | N
         nearest = met.groupBy("package", "path", "ord", "word").agg(F.bool_or(F.col("local_sheet").isNotNull()).alias("is_local"))
         met = met.join(nearest, ["package", "path", "ord", "word"]).filter(F.col("is_local") == F.col("local_sheet").isNotNull())
         refs = refs.unionByName(met.select("package", "path", "ord", F.col("named_path").alias("ref_path"), *RECTANGLE))
-    return refs.distinct()
+    return refs.distinct() if distinct else refs
 
 
 def formula_links(cells: DataFrame, references: DataFrame) -> DataFrame:
@@ -124,18 +142,136 @@ def _levels(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["package", "node", "level"])
 
 
-def formula_levels(cells: DataFrame, references: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
-    """`(package, path, ord, level, in_cycle)` of every formula.
+def _levels_of(formulas: list[tuple], references: list[tuple]) -> list[int | None]:
+    """Levels of one package's formulas (path, ord, row, column; 0 for no cell), whose references are (path, ord, ref_path, …RECTANGLE);
+    none on or behind a cycle."""
+    place: dict[tuple, int] = {}
+    nodes = [place.setdefault(formula[:2], len(place)) for formula in formulas]
+    columns: dict[str, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+    for node, (path, _, row, column) in zip(nodes, formulas):
+        if row:
+            columns[path][column].append((row, node))
+    # Rows in order, and their nodes.
+    columns = {path: {c: tuple(zip(*sorted(at))) for c, at in of_path.items()} for path, of_path in columns.items()}
+    readers: dict[tuple, set[int]] = defaultdict(set)
+    for path, number, *area in references:
+        reader = place.get((path, number))
+        if reader is not None:
+            readers[tuple(area)].add(reader)
+    lies_in: list[list[tuple]] = [[] for _ in place]
+    left, waits = {}, [0] * len(place)
+    for area, by in readers.items():
+        path, top, first, bottom, last = area
+        of_path = columns.get(path, {})
+        n = 0
+        for column in (first,) if first == last else [c for c in of_path if first <= c <= last]:
+            if column in of_path:
+                rows, at = of_path[column]
+                inside = at[bisect_left(rows, top) : bisect_right(rows, bottom)]
+                n += len(inside)
+                for node in inside:
+                    lies_in[node].append(area)
+        if n:
+            left[area] = n
+            for node in by:
+                waits[node] += 1
+    level, highest = [1] * len(place), dict.fromkeys(left, 0)
+    ready = [node for node, n in enumerate(waits) if not n]
+    while ready:
+        node = ready.pop()
+        own = level[node]
+        for area in lies_in[node]:
+            left[area] -= 1
+            if own > highest[area]:
+                highest[area] = own
+            if not left[area]:
+                above = highest[area] + 1
+                for reader in readers[area]:
+                    if above > level[reader]:
+                        level[reader] = above
+                    waits[reader] -= 1
+                    if not waits[reader]:
+                        ready.append(reader)
+    return [None if waits[node] else level[node] for node in nodes]
+
+
+def _values(column: pa.Array) -> list:
+    """Numbers and texts without a Python call for each; no number is 0."""
+    if pa.types.is_integer(column.type):
+        return column.fill_null(0).to_numpy().tolist()
+    return column.to_numpy(zero_copy_only=False).tolist() if pa.types.is_string(column.type) else column.to_pylist()
+
+
+def _ordered_packages(batches: Iterator[pa.RecordBatch], local_links: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Levels of packages whose formulas (without ref_path) and references come one package after the other.
+
+    The links of a package are at most as many as its references hold cells, or formulas, each. One that may have
+    more than `local_links` is not kept, and has a row that says so.
+    """
+    rows: list[tuple] = []
+    given = (row for batch in batches for row in zip(*(_values(column) for column in batch.columns)))
+    for package, own in groupby(given, key=itemgetter(0)):
+        formulas, kept, references, cells = [], [], [], 0
+        is_large = False
+        for _, path, number, ref_path, top, first, bottom, last, *more in own:
+            if is_large:
+                continue
+            if ref_path is None:
+                formulas.append((path, number, top, first))
+                kept.append(more)
+            else:
+                references.append((path, number, ref_path, top, first, bottom, last))
+                cells += (bottom - top + 1) * (last - first + 1)
+            held = len(formulas) + len(references)
+            is_large = held > local_links or held + min(cells, len(formulas) * len(references)) > local_links
+            if is_large:
+                rows.append((package, None, None, None, None, True, *(None for _ in more)))
+                formulas, kept, references = [], [], []
+        for (path, number, _, _), more, level in zip(formulas, kept, _levels_of(formulas, references)):
+            rows.append((package, path, number, level, level is None, False, *more))
+        if len(rows) >= _FLUSH_ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def formula_levels(cells: DataFrame, references: DataFrame, local_links: int = LOCAL_LINKS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`(package, path, ord, level, in_cycle, …keep)` of every formula; `keep` are columns of `cells` to go along.
 
     Level 1 reads no other formula, any other one is one above the highest it reads. A formula on a cycle,
-    or that reads one that is, has no level and `in_cycle`. The links of a package are ordered in one task
-    where they are counted to be few enough; those of larger ones are peeled round by round, each round
-    taking the formulas that wait for nothing. A cell whose reference names no cell is read by none.
+    or that reads one that is, has no level and `in_cycle`. A package's formulas and references come to one task,
+    which orders it if they cannot make too many links. Of the others the links are made by joins; where they are
+    counted to be few enough, they are ordered in one task, and those of larger ones are peeled round by round, each
+    round taking the formulas that wait for nothing. A cell whose reference names no cell is read by none.
+    `references` may have rows more than once.
     """
-    spark = cells.sparkSession
-    formulas = cells.filter("formula is not null").select(
-        "package", "path", "ord", F.concat_ws(":", F.lit("c"), "path", "ord").alias("node")
+    at = placed(cells.filter("formula is not null").select("package", "path", "ord", "reference", *(F.col(c).alias(f"_{c}") for c in keep)), "reference", outer=True)
+    single = (F.col("top") == F.col("bottom")) & (F.col("first_column") == F.col("last_column"))
+    key, carried = ["package", "path", "ord"], [f"_{c}" for c in keep]
+    formulas = at.select(
+        *key, F.lit(None).cast("string").alias("ref_path"), *(F.when(single, F.col(c)).alias(c) for c in RECTANGLE), *carried
     )
+    reads = references.select(*key, "ref_path", *RECTANGLE, *(F.lit(None).cast(cells.schema[c].dataType).alias(f"_{c}") for c in keep))
+    # What a package has comes to one task and one after the other; a task goes through many packages.
+    together = formulas.unionByName(reads).repartition("package").sortWithinPartitions("package")
+    types = [(c, cells.schema[c].dataType) for c in key]
+    types += [("level", IntegerType()), ("in_cycle", BooleanType()), ("is_large", BooleanType())]
+    given = StructType([StructField(*c) for c in types + [(c, cells.schema[c].dataType) for c in keep]])
+    arrow = to_arrow_schema(given)
+    found = staged(together.mapInArrow(lambda batches: _ordered_packages(batches, local_links, arrow), given), "levels")
+    large = found.filter("is_large").select("package")
+    found = found.filter("not is_large").drop("is_large")
+    if large.isEmpty():
+        return found
+    mine = cells.filter("formula is not null").join(large, "package", "left_semi")
+    return found.unionByName(_by_links(mine, references.join(large, "package", "left_semi").distinct(), local_links, keep))
+
+
+def _by_links(cells: DataFrame, references: DataFrame, local_links: int, keep: tuple[str, ...]) -> DataFrame:
+    """`formula_levels` of packages with many links."""
+    spark = cells.sparkSession
+    formulas = cells.select("package", "path", "ord", F.concat_ws(":", F.lit("c"), "path", "ord").alias("node"), *keep)
     with Scratch(spark) as scratch:
         links = scratch.staged(formula_links(cells, references), "links")
         counts = links.groupBy("package").agg(F.count(F.lit(1)).alias("n"))
@@ -161,6 +297,7 @@ def formula_levels(cells: DataFrame, references: DataFrame, local_links: int = L
                 # Formulas in no link read no formula and are read by none.
                 F.coalesce("level", F.when(F.col("waits").isNull(), 1)).alias("level"),
                 (F.col("level").isNull() & F.col("waits").isNotNull()).alias("in_cycle"),
+                *keep,
             )
         )
         return staged(found, "levels")

@@ -81,8 +81,9 @@ def once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def placed(rows: DataFrame, reference: str) -> DataFrame:
-    """Adds the columns RECTANGLE of a column of references, by the rules of `rectangle`; rows without one are left out.
+def placed(rows: DataFrame, reference: str, outer: bool = False) -> DataFrame:
+    """Adds the columns RECTANGLE of a column of references, by the rules of `rectangle`; rows without one are left
+    out, or have nulls if `outer`.
 
     In steps of plain expressions: the pieces of a reference are columns, computed once, and the generator keeps
     the test from being pushed below them and computed again.
@@ -126,7 +127,8 @@ def placed(rows: DataFrame, reference: str) -> DataFrame:
     rows_fit = columns | (has_rows & (F.least(r1, r2) >= 1) & (F.greatest(r1, r2) <= MAX_ROW))
     columns_fit = lines | (has_columns & (F.greatest(c1, c2) <= MAX_COLUMN))
     names_one = rows_fit & columns_fit
-    return numbered.select(*rows.columns, F.inline(F.when(names_one, F.array(corners))))
+    each = F.inline_outer if outer else F.inline
+    return numbered.select(*rows.columns, each(F.when(names_one, F.array(corners))))
 
 
 def _tile(extent: Column) -> Column:
@@ -187,9 +189,12 @@ def positioned(cells: DataFrame, reference: str = "reference") -> DataFrame:
 RANGE_NAMES = ["mergeCell"]
 
 
-def range_tokens(contents: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """Tokens of merged ranges, cells and defined names, for the operators below; and of elements named in `more`."""
-    return shred_xml(contents, names=[*RANGE_NAMES, *more], with_text=False, folds=("cells", "names"))
+def range_tokens(contents: DataFrame, more: tuple[str, ...] = (), cells: str = "cells") -> DataFrame:
+    """Tokens of merged ranges, cells and defined names, for the operators below; and of elements named in `more`.
+
+    `cells` may be `formulas`: of the cells those with a formula alone.
+    """
+    return shred_xml(contents, names=[*RANGE_NAMES, *more], with_text=False, folds=(cells, "names"))
 
 
 def merged_ranges(events: DataFrame) -> DataFrame:

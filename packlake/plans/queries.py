@@ -680,14 +680,16 @@ def excel_summary(t: Tables) -> DataFrame:
 # Facts of documents -------------------------------------------------------------------------
 
 
-def _ledgers(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cells, sheets and tokens of workbooks with formulas."""
+def _ledgers(t: Tables, fold: str = "cells") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells (those of the fold), sheets and the other tokens of workbooks with formulas."""
     parts = A.file_parts(A.ledger_files(t), "sheet1.xml", "sheet2.xml", "workbook.xml", ".rels")
     # One pass over the parts: cells, ranges, names, sheets and their relationships.
-    events = staged(ranges.range_tokens(parts, more=("sheet", "Relationship")), "tokens")
-    rels = I.parse_relationships(events.filter(F.col("path").endswith(".rels")), I.relationship_parts(parts.drop("content")))
-    sheets = staged(W.workbook_sheets(events, rels), "sheets")
-    return staged(W.worksheet_cells(events), "cells"), sheets, events
+    events = staged(ranges.range_tokens(parts, more=("sheet", "Relationship"), cells=fold), "tokens")
+    # Most tokens are cells, which what follows from the others need not read again and again.
+    facts = staged(events.filter("event <> 'Cell'"), "facts")
+    rels = I.parse_relationships(facts.filter(F.col("path").endswith(".rels")), I.relationship_parts(parts.drop("content")))
+    sheets = staged(W.workbook_sheets(facts, rels), "sheets")
+    return staged(W.worksheet_cells(events), "cells"), sheets, facts
 
 
 @query
@@ -718,9 +720,9 @@ def formula_references(t: Tables) -> DataFrame:
 
 @query
 def formula_levels(t: Tables) -> DataFrame:
-    cells, references = _references(t)
-    levels = formulas.formula_levels(cells, references)
-    return levels.join(cells.select("package", "path", "ord", "reference"), ["package", "path", "ord"]).drop("ord")
+    cells, sheets, events = _ledgers(t, "formulas")
+    references = formulas.formula_references(cells, sheets, ranges.defined_names(events), distinct=False)
+    return formulas.formula_levels(cells, references, keep=("reference",)).drop("ord")
 
 
 @query

@@ -296,3 +296,27 @@ def test_links_and_relationships_are_read_in_one_pass(spark):
     assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
     files = A.linked_files(A.Tables(spark, folder))
     assert rows(A.file_names(files, ".rels")) == rows(A.file_parts(files, ".rels").drop("content").select("package", "ord", "path", "archive_name"))
+
+
+@pytest.mark.parametrize("local", [10**6, 40])
+def test_levels_need_no_links_of_packages_with_few(spark, local, monkeypatch):
+    """A package is ordered in its task without a row for each link, if it cannot have many; with few of those it
+    might have, it is ordered by its links. Columns to go along, ranges told twice, areas of several columns."""
+    sums = [cell("A1", "1")] + [cell(f"A{k}", f"SUM($A$1:A{k - 1})+A1") for k in range(2, 7)]
+    sheet = "".join(sums + [cell("C1", "A1+$A$1+SUM(D2:A2)"), cell("B1", "C9"), cell("C9", "B1:B1"), cell("D1", "SUM(B:C)"), cell("?", "Two!A1")])
+    cells, sheets, _ = book(spark, sheet)
+    made = []
+    links = formulas.formula_links
+    monkeypatch.setattr(formulas, "formula_links", lambda *given: made.append(given) or links(*given))
+    references = formulas.formula_references(cells, sheets, distinct=False)
+    found = formulas.formula_levels(cells, references, local_links=local, keep=("reference", "formula"))
+    got = {r[0]: r[1:] for r in rows(found, "reference", "level", "in_cycle", "formula")}
+    want = {f"A{k}": (k, False) for k in range(1, 7)} | {"C1": (3, False), "B1": (None, True), "C9": (None, True), "D1": (None, True), "?": (1, False)}
+    assert {k: v[:2] for k, v in got.items()} == want and got["B1"][2] == "C9"
+    assert len(made) == (local == 40)
+
+
+def test_only_formulas_leave_the_tokeniser(spark):
+    parts = xml_parts(spark, ("p", "/xl/worksheets/sheet1.xml", f'<s><c r="A1"><v>1</v></c>{cell("B1", "A1")}<c r="C1"/>{cell("D1", "B1")}</s>'))
+    found = rows(W.worksheet_cells(ranges.range_tokens(parts, cells="formulas")), "ord", "reference", "formula")
+    assert found == [(2, "B1", "A1"), (4, "D1", "B1")]
