@@ -708,7 +708,8 @@ def named_cells(t: Tables) -> DataFrame:
 
 def _references(t: Tables) -> tuple[DataFrame, DataFrame]:
     cells, sheets, events = _ledgers(t)
-    return cells, staged(formulas.formula_references(cells, sheets, ranges.defined_names(events)), "references")
+    names = staged(ranges.defined_names(events), "defined")
+    return cells, staged(formulas.formula_references(cells, sheets, names), "references")
 
 
 @query
@@ -721,7 +722,8 @@ def formula_references(t: Tables) -> DataFrame:
 @query
 def formula_levels(t: Tables) -> DataFrame:
     cells, sheets, events = _ledgers(t, "formulas")
-    references = formulas.formula_references(cells, sheets, ranges.defined_names(events), distinct=False)
+    names = staged(ranges.defined_names(events), "defined")
+    references = formulas.formula_references(cells, sheets, names, distinct=False)
     return formulas.formula_levels(cells, references, keep=("reference",)).drop("ord")
 
 
