@@ -143,21 +143,23 @@ def _levels(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _levels_of(formulas: list[tuple], references: list[tuple]) -> list[int | None]:
-    """Levels of one package's formulas (path, ord, row, column; 0 for no cell), whose references are (path, ord, ref_path, …RECTANGLE);
-    none on or behind a cycle."""
+    """Levels of one package's formulas, none on or behind a cycle.
+
+    Rows are (package, path, ord, ref_path, …RECTANGLE); a formula has its cell there, or 0, and no ref_path.
+    """
     place: dict[tuple, int] = {}
-    nodes = [place.setdefault(formula[:2], len(place)) for formula in formulas]
+    nodes = [place.setdefault(formula[1:3], len(place)) for formula in formulas]
     columns: dict[str, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-    for node, (path, _, row, column) in zip(nodes, formulas):
-        if row:
-            columns[path][column].append((row, node))
+    for node, formula in zip(nodes, formulas):
+        if formula[4]:
+            columns[formula[1]][formula[5]].append((formula[4], node))
     # Rows in order, and their nodes.
     columns = {path: {c: tuple(zip(*sorted(at))) for c, at in of_path.items()} for path, of_path in columns.items()}
     readers: dict[tuple, set[int]] = defaultdict(set)
-    for path, number, *area in references:
-        reader = place.get((path, number))
+    for reference in references:
+        reader = place.get(reference[1:3])
         if reader is not None:
-            readers[tuple(area)].add(reader)
+            readers[reference[3:8]].add(reader)
     lies_in: list[list[tuple]] = [[] for _ in place]
     left, waits = {}, [0] * len(place)
     for area, by in readers.items():
@@ -211,24 +213,19 @@ def _ordered_packages(batches: Iterator[pa.RecordBatch], local_links: int, schem
     rows: list[tuple] = []
     given = (row for batch in batches for row in zip(*(_values(column) for column in batch.columns)))
     for package, own in groupby(given, key=itemgetter(0)):
-        formulas, kept, references, cells = [], [], [], 0
-        is_large = False
-        for _, path, number, ref_path, top, first, bottom, last, *more in own:
-            if is_large:
-                continue
-            if ref_path is None:
-                formulas.append((path, number, top, first))
-                kept.append(more)
+        formulas, references, n = [], [], 0
+        for row in own:
+            n += 1
+            if n <= local_links:
+                (formulas if row[3] is None else references).append(row)
             else:
-                references.append((path, number, ref_path, top, first, bottom, last))
-                cells += (bottom - top + 1) * (last - first + 1)
-            held = len(formulas) + len(references)
-            is_large = held > local_links or held + min(cells, len(formulas) * len(references)) > local_links
-            if is_large:
-                rows.append((package, None, None, None, None, True, *(None for _ in more)))
-                formulas, kept, references = [], [], []
-        for (path, number, _, _), more, level in zip(formulas, kept, _levels_of(formulas, references)):
-            rows.append((package, path, number, level, level is None, False, *more))
+                formulas, references = [], []
+        cells = sum((row[6] - row[4] + 1) * (row[7] - row[5] + 1) for row in references)
+        if n + min(cells, len(formulas) * len(references)) > local_links:
+            rows.append((package, None, None, None, None, True, *(None for _ in row[8:])))
+            continue
+        for formula, level in zip(formulas, _levels_of(formulas, references)):
+            rows.append((*formula[:3], level, level is None, False, *formula[8:]))
         if len(rows) >= _FLUSH_ROWS:
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
             rows = []
